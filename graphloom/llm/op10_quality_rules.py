@@ -21,6 +21,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 KEEP_FROM = 0.5
+#: Most that EM may take as the chance of a bad vote on a good text.
+MAX_FALSE_ALARM = 0.03
 EM_ROUNDS = 50
 
 FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_letters long, n_upper long, n_digits long, n_chars long"
@@ -118,38 +120,44 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = EM_ROUNDS) -> tuple[float, np.ndarray]:
-    """Prior of good, and for each rule P(vote | class) as [rule, class bad/good, vote -1/0/+1].
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Priors of the classes, and P(vote | class) as [rule, class, vote -1/0/+1].
 
-    One-coin weak supervision with abstention: maximum likelihood with add-one smoothing, started from
-    rules that seldom fire on good texts and miss most kinds of bad ones, so that the classes cannot swap.
+    Class 0 is good text; class 1 + r starts as the kind of bad text that rule r sees, for different kinds of junk
+    fail different rules. Maximum likelihood with add-one smoothing; that good texts seldom get a bad vote
+    (MAX_FALSE_ALARM) keeps the classes from swapping.
     """
-    prior = 0.8
-    table = np.empty((n_rules, 2, 3))
-    table[:, 0], table[:, 1] = (0.3, 0.2, 0.5), (0.02, 0.2, 0.78)
+    prior = np.array([0.8] + [0.2 / n_rules] * n_rules)
+    table = np.empty((n_rules, 1 + n_rules, 3))
+    table[:, 0], table[:, 1:] = (0.02, 0.2, 0.78), (0.1, 0.3, 0.6)
+    table[np.arange(n_rules), 1 + np.arange(n_rules)] = (0.8, 0.1, 0.1)
     if not patterns:
         return prior, table
     votes = np.array([p for p, _ in patterns]) + 1
     n = np.array([k for _, k in patterns], float)
     for _ in range(rounds):
-        good = _posterior(votes, prior, table)
-        prior = float(np.clip((n @ good + 1) / (n.sum() + 2), 1e-3, 1 - 1e-3))
-        for side, weight in ((0, n * (1 - good)), (1, n * good)):
+        share = class_posteriors(votes, prior, table)
+        prior = (n @ share + 1) / (n.sum() + 1 + n_rules)
+        for side in range(1 + n_rules):
             for r in range(n_rules):
-                counts = np.bincount(votes[:, r], weight, minlength=3) + 1.0
+                counts = np.bincount(votes[:, r], n * share[:, side], minlength=3) + 1.0
                 table[r, side] = counts / counts.sum()
-        # A rule never counts against what it says: its votes are at worst uninformative.
-        for v, better in ((0, 0), (2, 1)):
-            wrong = table[:, better, v] < table[:, 1 - better, v]
-            table[wrong, :, v] = table[wrong, :, v].mean(axis=1, keepdims=True)
+        bad = np.minimum(table[:, 0, 0], MAX_FALSE_ALARM)
+        table[:, 0, 1:] *= ((1 - bad) / table[:, 0, 1:].sum(axis=1))[:, None]
+        table[:, 0, 0] = bad
     return prior, table
 
 
-def _posterior(votes: np.ndarray, prior: float, table: np.ndarray) -> np.ndarray:
+def class_posteriors(votes: np.ndarray, prior: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """P(class | votes) as [pattern, class]; votes count from 0.
+
+    Abstentions carry no evidence: a short text must not look bad because rules had nothing to say.
+    """
     r = np.arange(table.shape[0])
-    # Abstentions carry no evidence: a short text must not look bad because rules had nothing to say.
-    weight = np.where(votes == 1, 0.0, np.log(table[r, 1, votes]) - np.log(table[r, 0, votes]))
-    return 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + weight.sum(axis=1))))
+    log = np.log(table)[r[None, :], :, votes]  # [pattern, rule, class]
+    log = np.log(prior) + np.where((votes == 1)[:, :, None], 0.0, log).sum(axis=1)
+    p = np.exp(log - log.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
 def quality_rules(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -162,13 +170,14 @@ def quality_rules(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     table = written(features(docs).select("*", *(v.cast("int").alias(f"vote_{k}") for k, v in named.items())))
     votes = [f"vote_{k}" for k in named]
     counts = table.groupBy(*votes).count().collect()  # at most 3 ** len(votes) rows
-    prior, p = estimate(sorted((tuple(r[v] for v in votes), r["count"]) for r in counts), len(votes))
-    logit = F.lit(float(np.log(prior / (1 - prior))))
-    for r, v in enumerate(votes):
-        up, down = (float(np.log(p[r, 1, k] / p[r, 0, k])) for k in (2, 0))
-        logit = logit + F.when(F.col(v) == 1, up).when(F.col(v) == -1, down).otherwise(0.0)
+    patterns = sorted((tuple(r[v] for v in votes), r["count"]) for r in counts)
+    prior, p = estimate(patterns, len(votes))
+    seen = np.array([k for k, _ in patterns], int).reshape(-1, len(votes))
+    good = class_posteriors(seen + 1, prior, p)[:, 0]
+    spark = docs.sparkSession
+    by_pattern = spark.createDataFrame([(*map(int, k), float(g)) for k, g in zip(seen, good, strict=True)], ", ".join(f"{v} int" for v in votes) + ", posterior double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scored = table.withColumn("posterior", 1 / (1 + F.exp(-logit))).withColumn("base_failed", failed)
+    scored = table.join(F.broadcast(by_pattern), votes).withColumn("base_failed", failed)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from))
 
 
