@@ -22,7 +22,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 KEEP_FROM = 0.5
 #: Most that EM may take as the chance of a bad vote on a good text.
-MAX_FALSE_ALARM = 0.03
+MAX_FALSE_ALARM = 0.002
 EM_ROUNDS = 50
 
 FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_letters long, n_upper long, n_digits long, n_chars long"
