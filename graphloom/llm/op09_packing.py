@@ -26,8 +26,8 @@ CAPACITY = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 GROUP_TOKENS = 8_000_000
 END_ID = 2
-#: Words a worker remembers the ids of; beyond it a new word is encoded again.
-MEMO_ENTRIES = 700_000
+#: White-space-delimited chunks, and words in them, whose ids a worker remembers; beyond it new ones are encoded again.
+MEMO_CHUNKS, MEMO_WORDS = 900_000, 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -36,6 +36,10 @@ _memos: dict[str, tuple] = {}
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: White space to str.split() but not to the tokenizer.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
 def _tokenizer(path: str):
     if path not in _memos:
         import json
@@ -45,48 +49,46 @@ def _tokenizer(path: str):
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if spec.get("pre_tokenizer", {}).get("type") == "Sequence" else None
-        _memos[path] = (Tokenizer.from_file(path), {}, regex.compile(WORDS) if split == WORDS else None)
+        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if (spec.get("pre_tokenizer") or {}).get("type") == "Sequence" else None
+        _memos[path] = (Tokenizer.from_file(path), {}, {}, regex.compile(WORDS) if split == WORDS else None)
     return _memos[path]
 
 
-def encode(texts: list[str], path: str, memo_entries: int = MEMO_ENTRIES) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, without special tokens added. Words are encoded once per worker.
+def _pack_ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
 
-    A text with a special string (such as ``<|endoftext|>``), or all texts if the file's pattern is not the
-    one above, are encoded whole.
+def encode(texts: list[str], path: str, memo_chunks: int = MEMO_CHUNKS, memo_words: int = MEMO_WORDS) -> list[bytes]:
+    """Little-endian 32-bit ids of each text, without special tokens added.
+
+    No token spans white space, so each distinct chunk between white space is encoded once, from the words in it,
+    which are encoded once too. A text with a special string (such as ``<|endoftext|>``) or one of SEPARATORS,
+    and all texts if the file's pattern is not the one above, are encoded whole.
     """
-    tokenizer, memo, pattern = _tokenizer(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    packed = lambda ids: array("I", ids).tobytes()
+    tokenizer, memo, words, pattern = _tokenizer(path)
+    whole = [t.content for t in tokenizer.get_added_tokens_decoder().values()] + list(SEPARATORS)
     out: list[bytes | None] = [None] * len(texts)
-    words: list[list[str]] = [[]] * len(texts)
-    new: dict[str, None] = {}
+    chunks: list[list[str]] = [[]] * len(texts)
     for i, text in enumerate(texts):
-        if pattern is None or any(s in text for s in special):
-            out[i] = packed(tokenizer.encode(text, add_special_tokens=False).ids)
-            continue
-        if not text.isascii():
-            text = tokenizer.normalizer.normalize_str(text)
-            words[i] = pattern.findall(text)
+        if pattern is None or any(s in text for s in whole):
+            out[i] = _pack_ids(tokenizer.encode(text, add_special_tokens=False).ids)
         else:
-            words[i] = pattern.findall(text.lower())
-        for w in words[i]:
-            if w not in memo:
-                new[w] = None
-    fresh: dict[str, bytes] = {}
-    if new:
-        keys = list(new)
-        fresh = {w: packed(e.ids) for w, e in zip(keys, tokenizer.encode_batch_fast(keys, add_special_tokens=False), strict=True)}
-        if len(memo) + len(fresh) <= memo_entries:
-            memo.update(fresh)
-            fresh = {}
-    if fresh:
-        both = {**{w: memo[w] for ws in words for w in ws if w in memo}, **fresh}
-    else:
-        both = memo
-    get = both.__getitem__
-    return [done if done is not None else b"".join(map(get, words[i])) for i, done in enumerate(out)]
+            chunks[i] = text.split()
+    new = list(set().union(*chunks).difference(memo))
+    normal = tokenizer.normalizer.normalize_str
+    parts = [pattern.findall(c.lower() if c.isascii() else normal(c)) for c in new] if new else []
+    new_words = list(set().union(*parts).difference(words))
+    if new_words:
+        words.update(zip(new_words, (_pack_ids(e.ids) for e in tokenizer.encode_batch_fast(new_words, add_special_tokens=False)), strict=True))
+    word_ids = words.__getitem__
+    memo.update((c, b"".join(map(word_ids, p))) for c, p in zip(new, parts, strict=True))
+    get = memo.__getitem__
+    out = [done if done is not None else b"".join(map(get, chunks[i])) for i, done in enumerate(out)]
+    for table, fresh, most in ((memo, new, memo_chunks), (words, new_words, memo_words)):
+        if len(table) > most:
+            for k in fresh:
+                del table[k]
+    return out
 
 
 def cost(n: int) -> float:
