@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op02_minhash_dedup import op2_minhash_dedup
+from .op04_line_dedup import ORACLE_SQL as OP4_SQL
+from .op04_line_dedup import op4_line_dedup
 from .op06_token_counts import op6_token_counts
 from .op07_language_id import op7_language_id
 from .op09_packing import op9_packing
@@ -14,6 +17,8 @@ from .op10_quality_rules import op10_quality_rules
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_minhash_dedup": op2_minhash_dedup,
+        "op4_line_dedup": op4_line_dedup,
         "op6_token_counts": op6_token_counts,
         "op7_language_id": op7_language_id,
         "op9_packing": op9_packing,
@@ -22,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": OP4_SQL}
