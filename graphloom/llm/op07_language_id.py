@@ -165,48 +165,66 @@ def viterbi(scores: np.ndarray, doc_at: np.ndarray, penalty: float = SWITCH_PENA
 SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
 
 
+def label_block(column: pa.Array, model: dict, penalty: float, with_spans: bool) -> tuple[list[str], np.ndarray, list[list[dict]]]:
+    """Language, score and spans of each text."""
+    langs, n = model["langs"], len(column)
+    bucket, word_at, starts, ends, doc, script, at = _words(column)
+    pred, score, spans = [UNDETERMINED] * n, np.zeros(n), [[] for _ in range(n)]
+    if not len(starts) or not langs:
+        return pred, score, spans
+    scores = word_scores(bucket, word_at, script, model)
+    doc_at = np.searchsorted(doc, np.arange(n + 1))
+    labels = viterbi(scores, doc_at, penalty)
+    letters = np.bincount(doc * len(langs) + labels, ends - starts, minlength=n * len(langs)).reshape(n, -1)
+    best = letters.argmax(axis=1)
+    some = np.flatnonzero(doc_at[1:] > doc_at[:-1])
+    totals = np.add.reduceat(np.where((labels == best[doc])[:, None], scores, 0.0), doc_at[:-1][some], axis=0)
+    sure = 1 / np.exp(np.clip(totals - totals[np.arange(len(some)), best[some]][:, None], -700, 700)).sum(axis=1)
+    score[some] = np.clip(sure * letters[some, best[some]] / letters[some].sum(axis=1), 0, 1)
+    for d in some:
+        pred[d] = langs[best[d]]
+    if with_spans:
+        cut = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])]))
+        stop = np.concatenate([cut[1:], [len(labels)]]) - 1
+        for a, b in zip(cut, stop, strict=True):
+            d = doc[a]
+            spans[d].append({"start": int(starts[a] - at[d]), "end": int(ends[b] - at[d]), "lang": langs[labels[a]]})
+    return pred, score, spans
+
+
 def identify(docs: DataFrame, model: dict, with_spans: bool = True, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """lang_pred, score and spans (code points, end exclusive) of each row of ``docs`` (doc_id, text).
 
-    Null texts and texts without letters are ``und`` with score 0 and no spans, as is all if nothing was learned.
-    Ties go to the language that sorts first. Repeated rows are judged each; other columns are ignored.
+    The score is the share of letters in spans of that language, times its posterior over those spans. Null texts and
+    texts without letters are ``und`` with score 0 and no spans, as is all if nothing was learned. Ties go to the
+    language that sorts first. Repeated rows are judged each; an empty table gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
-    langs = model["langs"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is that of the learned languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
         for block in blocks(batches):
-            n = block.num_rows
-            bucket, word_at, starts, ends, doc, script, at = _words(block.column("text"))
-            pred, score, spans = [UNDETERMINED] * n, np.zeros(n), [[] for _ in range(n)]
-            if len(starts) and langs:
-                scores = word_scores(bucket, word_at, script, model)
-                doc_at = np.searchsorted(doc, np.arange(n + 1))
-                labels = viterbi(scores, doc_at, penalty)
-                letters = np.bincount(doc * len(langs) + labels, ends - starts, minlength=n * len(langs)).reshape(n, -1)
-                best = letters.argmax(axis=1)
-                some = np.flatnonzero(doc_at[1:] > doc_at[:-1])
-                totals = np.add.reduceat(np.where((labels == best[doc])[:, None], scores, 0.0), doc_at[:-1][some], axis=0)
-                sure = 1 / np.exp(np.clip(totals - totals[np.arange(len(some)), best[some]][:, None], -700, 700)).sum(axis=1)
-                score[some] = np.clip(sure * letters[some, best[some]] / letters[some].sum(axis=1), 0, 1)
-                for d in some:
-                    pred[d] = langs[best[d]]
-                if with_spans:
-                    cut = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])]))
-                    stop = np.concatenate([cut[1:], [len(labels)]]) - 1
-                    for a, b in zip(cut, stop, strict=True):
-                        d = doc[a]
-                        spans[d].append({"start": int(starts[a] - at[d]), "end": int(ends[b] - at[d]), "lang": langs[labels[a]]})
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(pred), pa.array(score), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))],
-                ["doc_id", "lang_pred", "score", "spans"],
-            )
+            pred, score, spans = label_block(block.column("text"), shared.value, penalty, with_spans)
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def keep_identified(docs: DataFrame, model: dict, min_score: float, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known with at least that score. No shuffle."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            pred, score, _ = label_block(block.column("text"), shared.value, penalty, with_spans=False)
+            keep = (score >= min_score) & np.array([p != UNDETERMINED for p in pred], bool)
+            yield block.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 5 = 0"
 
 

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .op02_minhash_dedup import op2_minhash_dedup
+from .op03_decontaminate import op3_decontaminate
 from .op04_line_dedup import ORACLE_SQL as OP4_SQL
 from .op04_line_dedup import op4_line_dedup
 from .op06_token_counts import op6_token_counts
@@ -18,11 +21,13 @@ from .op10_quality_rules import op10_quality_rules
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_dedup": op2_minhash_dedup,
+        "op3_decontaminate": op3_decontaminate,
         "op4_line_dedup": op4_line_dedup,
         "op6_token_counts": op6_token_counts,
         "op7_language_id": op7_language_id,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
