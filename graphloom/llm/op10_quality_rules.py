@@ -104,12 +104,12 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-def rules() -> dict[str, Column]:
+def rules(min_words: int = MIN_WORDS) -> dict[str, Column]:
     """Name and vote of each rule. Every rule abstains where the text gives it nothing to judge."""
     c = F.col
     long_enough = c("n_words") >= 5
     return {
-        "length": _vote(c("n_words") >= 50, c("n_words") < MIN_WORDS),
+        "length": _vote(c("n_words") >= 50, c("n_words") < min_words),
         "word_length": _vote(long_enough & (c("word_chars") >= 3 * c("n_words")) & (c("word_chars") <= 9 * c("n_words")), long_enough & ((c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words")))),
         "symbols": _vote(long_enough & (100 * c("n_symbols") <= c("n_words")), long_enough & (10 * c("n_symbols") >= c("n_words"))),
         "line_repeats": _vote((c("n_lines") >= 2) & (c("n_dup_lines") == 0), (c("n_lines") >= 2) & (100 * c("n_dup_lines") > MAX_REPEAT_PERCENT * c("n_lines"))),

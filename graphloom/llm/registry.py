@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from .op01_substring_dedup import op1_substring_dedup
 from .op02_minhash_dedup import op2_minhash_dedup
 from .op03_decontaminate import op3_decontaminate
 from .op04_line_dedup import ORACLE_SQL as OP4_SQL
@@ -15,18 +16,21 @@ from .op04_line_dedup import op4_line_dedup
 from .op05_pii import op5_pii
 from .op06_token_counts import op6_token_counts
 from .op07_language_id import op7_language_id
+from .op08_quality_classifier import op8_quality_classifier
 from .op09_packing import op9_packing
 from .op10_quality_rules import op10_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_decontaminate": op3_decontaminate,
         "op4_line_dedup": op4_line_dedup,
         "op5_pii": op5_pii,
         "op6_token_counts": op6_token_counts,
         "op7_language_id": op7_language_id,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
         "pipeline": corpus_pipeline.run,
