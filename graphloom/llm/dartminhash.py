@@ -66,7 +66,7 @@ def _darts(sets: np.ndarray, elements: np.ndarray, weights: np.ndarray, low: np.
             # Cells wider than one expected dart are drawn in slices, so that the Poisson draw stays short.
             slices = max(1, math.ceil(extent * width))
             for part in range(slices):
-                cell = mix(seed + U(0x632BE59BD9B4E019) * U(part + 1)) if part < 1 << 62 else seed
+                cell = mix(seed + np.full(1, 0x632BE59BD9B4E019 * (part + 1) & (1 << 64) - 1, U))
                 n = _poisson(_uniform(cell), extent * width / slices)
                 hit = np.flatnonzero(n)
                 k = 0

@@ -3,10 +3,11 @@
 1. Texts with equal shingle sets form one class at once; only its smallest doc_id goes on.
 2. Each class has a complete DartMinHash signature, cut into bands; classes that share a band share a bucket.
 3. Every class is compared with the smallest class it shares a bucket with, exactly, on its whole shingle set.
-4. Buckets that still hold several components go through rounds: a few leaders of each bucket, drawn by hash, are
-   compared with all its members of other components and then leave it. A round costs a few comparisons
-   a member, and rounds end when no bucket holds two components with members yet to compare. So every
-   pair that shares a bucket and lies in different components is compared, and no bucket is capped or paired in full.
+4. Buckets that still hold several components go through rounds: leaders of each bucket, drawn by hash, are compared
+   with its members of other components. A round has four times the leaders of the one before, and rounds end
+   when each bucket holds one component or all its members have led. So every pair that shares a bucket and lies in
+   different components is compared, no bucket is capped, and only pairs whose sketches (4 bits of each
+   coordinate) leave their link possible are emitted and verified.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -27,12 +28,15 @@ from .textops import U, mix, shingle_sets
 SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES, BAND = 96, 4
-#: Leaders a bucket sends out in one round.
-LEADERS = 4
+#: Leaders of a bucket in the first round, about; each round has GROWTH times as many.
+LEADERS, GROWTH = 16, 4
+SKETCH = COORDINATES // 16
+#: Standard deviations below its mean at which the sketch agreement of a link is taken to be impossible (3 in a million).
+SURE = 4.5
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f1, f2, bands) of each row: a 128-bit fingerprint of its shingle set, and its band keys."""
+    """(doc_id, f1, f2, bands, sketch) of each row: a 128-bit fingerprint of its shingle set, its band keys and its sketch."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +51,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if len(some):
                 for k in range(2):
                     f[k, some] = np.add.reduceat(mix(h + U(k + 1)), at[:-1][some])
-            sig = signatures(owner, h, np.ones(len(h)), n, COORDINATES).reshape(n, -1, BAND)
+            sig = signatures(owner, h, np.ones(len(h)), n, COORDINATES)
+            nibbles = (sig.reshape(n, SKETCH, 16) & U(15)) << (U(4) * np.arange(16, dtype=U))
+            sketch = np.bitwise_or.reduce(nibbles, axis=2).view(np.int64)
+            sig = sig.reshape(n, -1, BAND)
             bands = np.zeros(sig.shape[:2], U)
             for k in range(BAND):
                 bands = mix(bands + sig[:, :, k])
@@ -62,9 +69,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     f[:, i] = np.array([d >> 64, d & (1 << 64) - 1], U).view(np.int64)
             full = np.where(size > 0, bands.shape[1], 0)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full)]).astype(np.int32), pa.array(bands[some].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(f[0]), pa.array(f[1]), lists], ["doc_id", "f1", "f2", "bands"])
+            sketches = pa.ListArray.from_arrays((np.arange(n + 1) * SKETCH).astype(np.int32), pa.array(sketch.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(f[0]), pa.array(f[1]), lists, sketches], ["doc_id", "f1", "f2", "bands", "sketch"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, f1 long, f2 long, bands array<long>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, f1 long, f2 long, bands array<long>, sketch array<long>")
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
@@ -102,6 +110,19 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def possible(similarity: float) -> Column:
+    """Whether the sketches of the rows ``x`` and ``y`` agree often enough for a link."""
+    p = similarity + (1 - similarity) / 16
+    least = int(COORDINATES * p - SURE * (COORDINATES * p * (1 - p)) ** 0.5)
+    different = F.lit(0)
+    for k in range(SKETCH):
+        b = F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))
+        b = b.bitwiseOR(F.shiftrightunsigned(b, 1))
+        b = b.bitwiseOR(F.shiftrightunsigned(b, 2))
+        different = different + F.bit_count(b.bitwiseAND(F.lit(0x1111111111111111)))
+    return different <= COORDINATES - least
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, is_kept) of each row of ``docs`` (doc_id, text).
 
@@ -114,9 +135,9 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     """
     ship(docs.sparkSession)
     fp = written(fingerprints(docs))
-    # max(struct) keeps the bands of one of the equal sets; it is summed per task first, so a hot text is a row a task.
-    sets_of = fp.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands")).alias("one"))
-    groups = written(sets_of.select("f1", "f2", "rep", F.col("one.bands").alias("bands")))
+    # min(struct) keeps the bands of one of the equal sets; it is summed per task first, so a hot text is a row a task.
+    sets_of = fp.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands", "sketch")).alias("one"))
+    groups = written(sets_of.select("f1", "f2", "rep", F.col("one.bands").alias("bands"), *(F.col("one.sketch")[k].alias(f"s{k}") for k in range(SKETCH))))
     banded = groups.select("rep", F.explode("bands").alias("band"))
     leaders = written(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead"))
     buckets = written(banded.join(leaders, "band").select("band", "rep", "lead"))
@@ -128,20 +149,25 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     links = written(verified(first.where("rep <> lead").selectExpr("rep a", "lead b"), sets, similarity))
     labels = connected_components(links)
 
-    alive = buckets.select("band", "rep")
+    # u places a class among the leaders of every bucket it is in, the same way in all.
+    u = (F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
+    alive = written(buckets.select("band", "rep").join(groups.select("rep", u, *(f"s{k}" for k in range(SKETCH))), "rep"))
     old: list[DataFrame] = []
+    done, wide = 0, LEADERS
     while True:
-        marked = alive.join(labels.selectExpr("id rep", "label"), "rep", "left").selectExpr("band", "rep", "coalesce(label, rep) label")
-        marked = written(marked)
-        drawn = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "label")).alias(f"l{k}") for k in range(LEADERS)]
-        open_buckets = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), *drawn).where("low < high")
-        open_buckets = written(open_buckets.select("band", F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("leads")))
+        marked = written(alive.join(labels.selectExpr("id rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+        drop_written(alive)
+        counts = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+        open_buckets = written(counts.where(F.col("low") < F.col("high")).where(F.col("n") > done).select("band", "n"))
         if open_buckets.limit(1).count() == 0:
             break
         members = written(marked.join(open_buckets, "band"))
-        pairs = members.select("rep", "label", F.explode("leads").alias("lead")).where("label <> lead.label").selectExpr("least(rep, lead.rep) a", "greatest(rep, lead.rep) b")
+        leads = members.where((F.col("u") * F.col("n") >= done) & (F.col("u") * F.col("n") < done + wide))
+        apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & (F.struct("x.u", "x.rep") < F.struct("y.u", "y.rep"))
+        pairs = leads.alias("x").join(members.alias("y"), apart & possible(similarity)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         new = written(verified(pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), sets, similarity))
-        alive = members.where("not exists(leads, x -> x.rep = rep)").select("band", "rep")
+        done, wide = done + wide, wide * GROWTH
+        alive = members.drop("label", "n")
         old.append(links)
         links = written(links.union(new))
         if new.limit(1).count():
