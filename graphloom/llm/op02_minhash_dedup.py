@@ -2,7 +2,9 @@
 
 1. Texts with equal shingle sets form one class at once; only its smallest doc_id goes on.
 2. Each class has a complete DartMinHash signature, cut into bands; classes that share a band share a bucket.
-3. Every class is compared with the smallest class it shares a bucket with, exactly, on its whole shingle set.
+3. Every class is compared, exactly and on its whole shingle set, with the smallest class it shares a bucket with, and
+   with the smallest it shares each longer run of bands with (up to DEEPEST): the longer the run, the closer the two. That is a
+   few comparisons a class, and joins most of even a large group whose copies have drifted apart.
 4. Buckets that still hold several components go through rounds: leaders of each bucket, drawn by hash, are compared
    with its members of other components. A round has four times the leaders of the one before, and rounds end
    when each bucket holds one component or all its members have led. So every pair that shares a bucket and lies in
@@ -28,6 +30,8 @@ from .textops import U, mix, shingle_sets
 SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES, BAND = 96, 4
+#: Bands of the longest runs by which a class finds a close one.
+DEEPEST = 4
 #: Leaders of a bucket in the first round, about; each round has GROWTH times as many.
 LEADERS, GROWTH = 16, 4
 SKETCH = COORDINATES // 16
@@ -141,12 +145,17 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     banded = groups.select("rep", F.explode("bands").alias("band"))
     leaders = written(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead"))
     buckets = written(banded.join(leaders, "band").select("band", "rep", "lead"))
-    first = written(buckets.groupBy("rep").agg(F.min("lead").alias("lead")))
-    # A rep that leads all its buckets has itself as lead: it is in a bucket, so its set is needed too.
-    needed = first.select(F.col("rep").alias("doc_id"))
+    needed = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("text is not null").join(needed, "doc_id", "left_semi")
     sets = written(shingle_table(texts))
-    links = written(verified(first.where("rep <> lead").selectExpr("rep a", "lead b"), sets, similarity))
+    n = COORDINATES // BAND
+    crowd = groups.select("rep", "bands").join(needed.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")
+    runs = [F.struct(F.lit(k).alias("k"), F.xxhash64(*(F.col("bands")[(j + i) % n] for i in range(k))).alias("run")) for k in range(2, DEEPEST + 1) for j in range(n)]
+    deeper = written(crowd.select("rep", F.inline(F.array(*runs))))
+    least = written(deeper.groupBy("k", "run").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("k", "run", "lead"))
+    closest = deeper.join(least, ["k", "run"]).groupBy("rep", "k").agg(F.min("lead").alias("lead")).select("rep", "lead")
+    first = buckets.groupBy("rep").agg(F.min("lead").alias("lead")).unionByName(closest).where("rep <> lead").distinct()
+    links = written(verified(first.selectExpr("rep a", "lead b"), sets, similarity))
     labels = connected_components(links)
 
     # u places a class among the leaders of every bucket it is in, the same way in all.
@@ -174,7 +183,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
             labels = connected_components(links)
         drop_written(marked)
         drop_written(open_buckets)
-    for table in (*old, leaders, first, sets):
+    for table in (*old, leaders, deeper, least, sets):
         drop_written(table)
 
     of_group = groups.select("f1", "f2", "rep").join(labels.selectExpr("id rep", "label"), "rep", "left").selectExpr("f1", "f2", "coalesce(label, rep) label")
