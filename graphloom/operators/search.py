@@ -34,7 +34,11 @@ def search_names(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
 def term_counts(text: Column, terms: list[str]) -> Column:
     """How many words of a text begin with each (stemmed) term."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
-    return F.array(*(F.size(F.filter(words, lambda w, t=t: w.startswith(t))) for t in terms))
+
+    def count(term: str) -> Column:
+        return F.size(F.filter(words, lambda w: w.startswith(term)))
+
+    return F.array(*map(count, terms))
 
 
 def bm25(docs: DataFrame, key: str, text: Column, query: str, limit: int = 50) -> DataFrame:

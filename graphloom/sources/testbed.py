@@ -68,7 +68,7 @@ UNION ALL SELECT project_id, 'new/' || file_path, file_hash, size_bytes FROM {fi
 """
 ANNOTATIONS = """
 SELECT c_custkey AS id, CAST(1 AS BIGINT) AS project_id, 'node' AS kind, CASE WHEN c_custkey % 100 = 0 THEN 'gone.' || c_name ELSE lower(c_mktsegment) || '.' || c_name END AS target, 'note' AS source,
-       'x' || CAST(c_custkey AS VARCHAR(20)) AS external_id, 'balance ' || CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR(20)) AS note FROM {customer} WHERE c_custkey % 20 = 0
+       'x' || CAST(c_custkey AS VARCHAR(20)) AS external_id, 'balance ' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR(20)) AS note FROM {customer} WHERE c_custkey % 20 = 0
 UNION ALL
 SELECT 1000000 + s_suppkey, CAST(1 AS BIGINT), 'path', s_name || ' -> Customer#000000001', 'note', CAST(NULL AS VARCHAR(20)), 'path note' FROM {supplier} WHERE s_suppkey % 5 = 0
 """
