@@ -8,8 +8,9 @@
 4. Buckets that still hold several components go through rounds: leaders of each bucket, drawn by hash, are compared
    with its members of other components. A round has four times the leaders of the one before, and rounds end
    when each bucket holds one component or all its members have led. So every pair that shares a bucket and lies in
-   different components is compared, no bucket is capped, and only pairs whose sketches (4 bits of each
-   coordinate) leave their link possible are emitted and verified.
+   different components is compared, no bucket is capped, and only pairs are emitted and verified that two bounds leave
+   possible: the agreement of their sketches (4 bits of each coordinate), and the bits by which hashed bitmaps of their
+   sets differ, of which each is a shingle that only one of the two has.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ DEEPEST = 4
 #: Leaders of a bucket in the first round, about; each round has GROWTH times as many.
 LEADERS, GROWTH = 16, 4
 SKETCH = COORDINATES // 16
+#: Words of 64 bits in a bitmap of a set.
+BITMAP = 16
 #: Standard deviations below its mean at which the sketch agreement of a link is taken to be impossible (3 in a million).
 SURE = 4.5
 
@@ -80,16 +83,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
-    """(id, shingles): the sorted distinct 64-bit shingle hashes of each row, as bytes."""
+    """(id, shingles, size, bits): the sorted distinct 64-bit shingle hashes of each row as bytes, how many, and their bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             owner, h, _ = shingle_sets(block.column("text"), SHINGLE)
             at = np.searchsorted(owner, np.arange(block.num_rows + 1))
             sets = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+            bits = np.zeros((block.num_rows, BITMAP), U)
+            place = h >> U(54)
+            np.bitwise_or.at(bits, (owner, (place >> U(6)).astype(np.int64)), U(1) << (place & U(63)))
+            lists = pa.ListArray.from_arrays((np.arange(block.num_rows + 1) * BITMAP).astype(np.int32), pa.array(bits.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(sets, pa.binary()), pa.array(np.diff(at).astype(np.int64)), lists], ["id", "shingles", "size", "bits"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "id long, shingles binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "id long, shingles binary, size long, bits array<long>")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -103,19 +110,24 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     bound = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             # Sizes alone rule out most pairs that are far apart.
             ok = [min(len(p), len(q)) >= bound * max(len(p), len(q)) and jaccard(p, q) >= bound for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([pc.filter(batch.column(k), pa.array(ok, pa.bool_())) for k in ("a", "b")], ["a", "b"])
 
+    sets = sets.select("id", "shingles")
     left = sets.selectExpr("id a", "shingles x")
     right = sets.selectExpr("id b", "shingles y")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def possible(similarity: float) -> Column:
-    """Whether the sketches of the rows ``x`` and ``y`` agree often enough for a link."""
+    """Whether the sketches and bitmaps of the rows ``x`` and ``y`` leave a link possible.
+
+    A bit that only one bitmap has stands for a shingle that only one set has, so the second bound loses nothing: at a
+    similarity t, two sets of s elements in sum differ in at most s (1 - t) / (1 + t).
+    """
     p = similarity + (1 - similarity) / 16
     least = int(COORDINATES * p - SURE * (COORDINATES * p * (1 - p)) ** 0.5)
     different = F.lit(0)
@@ -124,7 +136,11 @@ def possible(similarity: float) -> Column:
         b = b.bitwiseOR(F.shiftrightunsigned(b, 1))
         b = b.bitwiseOR(F.shiftrightunsigned(b, 2))
         different = different + F.bit_count(b.bitwiseAND(F.lit(0x1111111111111111)))
-    return different <= COORDINATES - least
+    apart = F.lit(0)
+    for k in range(BITMAP):
+        apart = apart + F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k]))
+    most = (F.col("x.size") + F.col("y.size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return (different <= COORDINATES - least) & (apart <= most)
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -160,7 +176,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
 
     # u places a class among the leaders of every bucket it is in, the same way in all.
     u = (F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    alive = written(buckets.select("band", "rep").join(groups.select("rep", u, *(f"s{k}" for k in range(SKETCH))), "rep"))
+    alive = written(buckets.select("band", "rep").join(groups.select("rep", u, *(f"s{k}" for k in range(SKETCH))), "rep").join(sets.selectExpr("id rep", "size", "bits"), "rep"))
     old: list[DataFrame] = []
     done, wide = 0, LEADERS
     while True:

@@ -1,39 +1,21 @@
-"""Helpers every operator here shares: code shipping, written intermediates and bounded Arrow blocks."""
+"""Helpers every operator here shares: written intermediates and bounded Arrow blocks."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one vectorised step holds at a time; a longer document is a block of its own.
-BLOCK_BYTES = 2 << 20
-
-_shipped: set[str] = set()
-
+from ..ship import ship
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, for drivers that do not have it on PYTHONPATH."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    _shipped.add(context.applicationId)
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(), f"{os.path.basename(package)}.zip")
-    with zipfile.ZipFile(target, "w") as archive:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    archive.write(path, os.path.relpath(path, os.path.dirname(package)))
-    context.addPyFile(target)
+__all__ = ["BLOCK_BYTES", "blocks", "drop_written", "ship", "shared_dir", "written"]
 
+#: Bytes of text that one vectorised step holds at a time; a longer document is a block of its own.
+BLOCK_BYTES = 1 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own is set only where the session names none."""
@@ -61,10 +43,6 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches at row borders so that each holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:
