@@ -92,16 +92,21 @@ FROM (SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_p
 VIEWS = {"nodes": NODES, "edges": EDGES, "files": FILES, "coverage": COVERAGE, "later": LATER, "annotations": ANNOTATIONS, "hunks": HUNKS, "positions": POSITIONS, "refs": REFS}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of VIEWS, or a table of ``sf_dir``, as a DataFrame."""
-    if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    inputs = {k: view(spark, sf_dir, k) for k in sorted(set(re.findall(r"{(\w+)}", VIEWS[name])))}
-    return spark.sql(VIEWS[name], **inputs)
+def view(spark: SparkSession, sf_dir: str, name: str, have: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One of VIEWS, or a table of ``sf_dir``, as a DataFrame. ``have`` keeps what was opened, so no table is opened twice."""
+    have = {} if have is None else have
+    if name not in have:
+        if name in VIEWS:
+            inputs = {k: view(spark, sf_dir, k, have) for k in sorted(set(re.findall(r"{(\w+)}", VIEWS[name])))}
+            have[name] = spark.sql(VIEWS[name], **inputs)
+        else:
+            have[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return have[name]
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(*(view(spark, sf_dir, k) for k in ("nodes", "edges", "files", "coverage", "annotations")))
+    have: dict[str, DataFrame] = {}
+    return Graph(*(view(spark, sf_dir, k, have) for k in ("nodes", "edges", "files", "coverage", "annotations")))
 
 
 def with_sql(*names: str) -> str:
