@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,26 +69,39 @@ def encode(texts: list[str], path: str, memo_chunks: int = MEMO_CHUNKS, memo_wor
     tokenizer, memo, words, pattern = _tokenizer(path)
     whole = [t.content for t in tokenizer.get_added_tokens_decoder().values()] + list(SEPARATORS)
     out: list[bytes | None] = [None] * len(texts)
-    chunks: list[list[str]] = [[]] * len(texts)
+    found: dict[int, list] = {}
+    misses = []
+    new: set[str] = set()
+    known = memo.get
     for i, text in enumerate(texts):
         if pattern is None or any(s in text for s in whole):
             out[i] = _pack_ids(tokenizer.encode(text, add_special_tokens=False).ids)
-        else:
-            chunks[i] = text.split()
-    new = list(set().union(*chunks).difference(memo))
+            continue
+        chunks = text.split()
+        ids = found[i] = list(map(known, chunks))
+        if None in ids:
+            missing = [(k, chunks[k]) for k, x in enumerate(ids) if x is None]
+            misses.append((ids, missing))
+            new.update(c for _, c in missing)
     normal = tokenizer.normalizer.normalize_str
-    parts = [pattern.findall(c.lower() if c.isascii() else normal(c)) for c in new] if new else []
-    new_words = list(set().union(*parts).difference(words))
+    parts = {c: pattern.findall(c.lower() if c.isascii() else normal(c)) for c in new}
+    new_words = list(set().union(*parts.values()).difference(words))
+    word_ids = words
     if new_words:
-        words.update(zip(new_words, (_pack_ids(e.ids) for e in tokenizer.encode_batch_fast(new_words, add_special_tokens=False)), strict=True))
-    word_ids = words.__getitem__
-    memo.update((c, b"".join(map(word_ids, p))) for c, p in zip(new, parts, strict=True))
-    get = memo.__getitem__
-    out = [done if done is not None else b"".join(map(get, chunks[i])) for i, done in enumerate(out)]
-    for table, fresh, most in ((memo, new, memo_chunks), (words, new_words, memo_words)):
-        if len(table) > most:
-            for k in fresh:
-                del table[k]
+        fresh_words = dict(zip(new_words, (_pack_ids(e.ids) for e in tokenizer.encode_batch_fast(new_words, add_special_tokens=False)), strict=True))
+        if len(words) < memo_words:
+            words.update(fresh_words)
+        else:
+            word_ids = ChainMap(fresh_words, words)
+    of = word_ids.__getitem__
+    fresh = {c: b"".join(map(of, p)) for c, p in parts.items()}
+    for ids, missing in misses:
+        for k, c in missing:
+            ids[k] = fresh[c]
+    if len(memo) < memo_chunks:
+        memo.update(fresh)
+    for i, ids in found.items():
+        out[i] = b"".join(ids)
     return out
 
 
