@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.testbed import graph, view, with_sql
+from . import exploration as E
 from . import reports as P
-from .queries import BLAST, CHANGED, FILE_COVERAGE, G, GF, INBOUND, RANKED, ROOTS, SUBS, query, sql_dir, sql_test_path, suppliers
+from .queries import BLAST, CHANGED, FILE_COVERAGE, G, GF, INBOUND, KEY_SYMBOLS, RANKED, ROOTS, SUBS, UP, query, sql_dir, sql_test_path, suppliers
 
 IMPACT_ROWS = """imp AS (SELECT r.root, count(b.id) AS affected, count(*) FILTER (b.depth = 1) AS direct, count(*) FILTER (b.depth > 1) AS indirect, count(*) FILTER (b.confirmed) AS confirmed, count(*) FILTER (n.kind = 'test') AS tests, count(DISTINCT """ + sql_dir("n.file_path") + """) AS packages
 FROM (SELECT DISTINCT root FROM roots) r LEFT JOIN blast b ON b.root = r.root LEFT JOIN nodes n ON n.id = b.id GROUP BY r.root)"""
@@ -119,3 +120,58 @@ def processes(spark, sf_dir):
 @query("SELECT conv_id, turn, used AS tokens_used FROM (SELECT conv_id, turn, CAST(sum((strlen(coalesce(text, '')) + 3) // 4) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM conversations) WHERE used <= 200")
 def turns_within_budget(spark, sf_dir):
     return P.within_budget(view(spark, sf_dir, "conversations"), "conv_id", [F.col("turn")], "text", 200).select("conv_id", "turn", "tokens_used")
+
+
+@query(with_sql("nodes", "annotations") + """, k AS (SELECT fqn AS e FROM nodes UNION SELECT symbol FROM nodes), x AS (SELECT id, unnest(CASE WHEN kind = 'path' THEN string_split(target, ' -> ') ELSE [target] END) AS e FROM annotations)
+SELECT id, kind, target, id IN (SELECT id FROM x WHERE e NOT IN (SELECT e FROM k WHERE e IS NOT NULL)) AS dangling FROM annotations""")
+def annotations(spark, sf_dir):
+    return E.annotation_list(graph(spark, sf_dir)).select("id", "kind", "target", "dangling")
+
+
+UP_ = UP.format(d=sql_dir("file_path"))
+
+
+@query(G + ", " + KEY_SYMBOLS + ", lead AS (SELECT unnest(" + UP_ + """) AS folder, symbol, score, id FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, start_line, fqn, id) AS rn FROM sc) WHERE rn <= 3),
+t AS (SELECT folder, string_agg(symbol, ',' ORDER BY rn) AS leading FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY score DESC, symbol, id) AS rn FROM lead) WHERE rn <= 3 GROUP BY folder), f AS (SELECT unnest(""" + UP_ + """) AS folder, file_path FROM (SELECT DISTINCT file_path FROM nodes))
+SELECT f.folder, count(*) AS files, any_value(t.leading) AS leading, CASE WHEN f.folder = '' THEN 'root' WHEN regexp_matches(f.folder, '^cmd(/|$)') THEN 'entrypoints' WHEN regexp_matches(f.folder, '^internal(/|$)') THEN 'internal' WHEN regexp_extract(f.folder, '([^/]*)$', 1) = 'web' THEN 'frontend' ELSE 'source' END AS role FROM f LEFT JOIN t ON t.folder = f.folder GROUP BY f.folder""")
+def atlas(spark, sf_dir):
+    return E.atlas(graph(spark, sf_dir)).select("folder", "files", "leading", "role")
+
+
+@query(G + ", " + ROOTS + """ SELECT r.root, n.file_path, e.edge_type AS reason, count(*) AS sites, bool_and(e.provenance = 'precise') AS confirmed FROM edges e JOIN roots r ON r.id = e.target_id JOIN nodes n ON n.id = e.source_id WHERE e.edge_type <> 'defines' GROUP BY ALL
+UNION ALL SELECT r.root, n.file_path, 'definition', 1, true FROM roots r JOIN nodes n ON n.id = r.id""")
+def refactor_sites(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return E.refactor_sites(g, suppliers(g, spark))
+
+
+# Keys are priorities of orders, used at the line where an order's method starts.
+USES = "uses AS (SELECT DISTINCT 'KEY_' || substr(o_orderpriority, 1, 1) AS key, n.file_path, n.start_line AS line FROM orders JOIN nodes n ON n.id = 4000000000 + o_orderkey WHERE o_orderkey % 50 = 0), users AS (SELECT DISTINCT key, id FROM (SELECT u.key, n.id, row_number() OVER (PARTITION BY u.key, u.file_path, u.line ORDER BY n.end_line - n.start_line, n.start_line, n.id) AS rn FROM uses u JOIN nodes n ON n.file_path = u.file_path AND n.start_line <= u.line AND u.line <= n.end_line) WHERE rn = 1)"
+
+
+def _uses(g, spark, sf_dir):
+    orders = view(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select((F.lit(4000000000) + F.col("o_orderkey")).alias("id"), F.concat(F.lit("KEY_"), F.substring("o_orderpriority", 1, 1)).alias("key"))
+    return g.nodes.join(orders, "id").select("key", "file_path", F.col("start_line").alias("line")).distinct()
+
+
+@query(G + ", " + USES + ", roots AS (SELECT DISTINCT id, id AS root FROM users), " + BLAST + ", x AS (SELECT key, id, 0 AS depth, true AS confirmed FROM users UNION ALL SELECT u.key, b.id, b.depth, b.confirmed FROM users u JOIN blast b ON b.root = u.id), m AS (SELECT key, id, min(depth) AS depth FROM x GROUP BY key, id) SELECT m.key, m.id, m.depth, bool_or(x.confirmed) AS confirmed FROM m JOIN x ON x.key = m.key AND x.id = m.id AND x.depth = m.depth GROUP BY m.key, m.id, m.depth")
+def key_impact(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return E.key_impact(g, _uses(g, spark, sf_dir))
+
+
+@query(G + ", " + ROOTS + ", " + USES + ", walk AS (SELECT root, id, 0 AS depth FROM roots UNION SELECT w.root, e.target_id, w.depth + 1 FROM walk w JOIN (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type = 'calls') e ON e.source_id = w.id WHERE w.depth < 3) SELECT DISTINCT w.root, u.key FROM walk w JOIN users u ON u.id = w.id")
+def required_keys(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return E.required_keys(g, suppliers(g, spark), _uses(g, spark, sf_dir))
+
+
+@query()
+def explore(spark, sf_dir):
+    return E.explore(graph(spark, sf_dir), "Customer building")
+
+
+@query()
+def flow_tree(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return E.flow_tree(g, suppliers(g, spark))

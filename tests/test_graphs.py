@@ -129,3 +129,30 @@ def test_walks_do_not_depend_on_order_or_copies_of_edges(spark):
 def test_gate(spark, level, limit, fails):
     row = P.gate(spark.createDataFrame([(level, "covered")], "level string, coverage string"), limit).first()
     assert row.would_fail is fails
+
+
+def test_flow_tree_marks_cycles_and_repeats(spark):
+    from graphloom.plans import exploration as E
+
+    nodes = {n: function(f"d/{n}.go", start=i) for i, n in enumerate("ABCDE", 1)}
+    links = [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "E"), ("D", "A")]
+    g, ids = make(spark, nodes, [(s, t, "calls", "precise") for s, t in links])
+    rows = E.flow_tree(g, roots(spark, ids, "A"), 4).orderBy("path").collect()
+    back = {v: k for k, v in ids.items()}
+    assert [(r.path, back[r.id], r.leaf) for r in rows] == [("", "A", None), ("001.", "B", None), ("001.001.", "D", None), ("001.001.001.", "A", "cycle"), ("001.001.002.", "E", None), ("002.", "C", None), ("002.001.", "D", "repeat")]
+
+
+def test_required_keys_and_key_impact(spark):
+    from graphloom.plans import exploration as E
+
+    g, ids = make(spark, {"main": function("a.go", 1, 9), "load": function("a.go", 20, 29), "other": function("b.go", 1, 9)}, [("main", "load", "calls", "precise")])
+    uses = spark.createDataFrame([("DB_URL", "a.go", 22), ("TOKEN", "b.go", 3)], "key string, file_path string, line int")
+    assert [r.key for r in E.required_keys(g, roots(spark, ids, "main"), uses).collect()] == ["DB_URL"]
+    assert {(r.key, r.id, r.depth) for r in E.key_impact(g, uses).collect()} == {("DB_URL", ids["load"], 0), ("DB_URL", ids["main"], 1), ("TOKEN", ids["other"], 0)}
+
+
+def test_features(spark):
+    from graphloom.plans import exploration as E
+
+    texts = spark.createDataFrame([("a.js", "x\napp.get('/users', list)\n"), ("main.go", "func main() {\n"), ("n.go", "nothing\n")], "file_path string, content string")
+    assert {(r.file_path, r.line, r.kind, r.name) for r in E.features(texts).collect()} == {("a.js", 2, "http_route", "/users"), ("main.go", 1, "program", "main")}
