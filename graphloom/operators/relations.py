@@ -196,8 +196,8 @@ def resolve_qualified(nodes: DataFrame, names: DataFrame) -> DataFrame:
     both = exact.unionByName(suffix)
     first = F.min("tier").over(W.partitionBy("name"))
     left = both.withColumn("first", first).where("tier = first")
-    kinds = F.size(F.collect_set("symbol").over(W.partitionBy("name")))
-    return left.withColumn("kinds", kinds).where("tier = 0 or kinds = 1").select("name", "id", "tier").distinct()
+    one = F.min("symbol").over(W.partitionBy("name")) == F.max("symbol").over(W.partitionBy("name"))
+    return left.withColumn("one", one).where("tier = 0 or one").select("name", "id", "tier").distinct()
 
 
 def language_family(language: Column) -> Column:
