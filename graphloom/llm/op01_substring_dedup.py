@@ -151,7 +151,9 @@ def _expanded(together: DataFrame, length: int, batch_bytes: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    ordered = together.select("anchor", "n", "content", "bytes").repartition("anchor").sortWithinPartitions("anchor", "n", "content")
+    # A fixed number of partitions: by bytes alone Spark would merge them, though a byte costs about a microsecond here.
+    parts = int(together.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = together.select("anchor", "n", "content", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "n", "content")
     return ordered.mapInArrow(run, FLAGS)
 
 
@@ -212,13 +214,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
 
     Every byte goes that a string of ``length`` bytes covers which starts anywhere else as well, in the same text or another, as
     judged on the texts as they came. Null texts count as empty. Repeated rows are texts of their own, and so repeats of
-    each other. An empty table gives no rows; other columns are ignored.
+    each other. Rows without doc_id come back whole and are no repeats of others. An empty table gives no rows; other
+    columns are ignored.
     """
     ship(docs.sparkSession)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) body", "coalesce(text, '') text")
     low = F.flatten(F.collect_list("low")).alias("low")
     marks = repeated_windows(texts.where(f"octet_length(text) >= {length} and doc_id is not null"), length, **options)
-    # Rows without doc_id are told apart by nothing; they only take part where they have one.
     per_doc = written(marks.groupBy("doc_id", "body").agg(low, F.flatten(F.collect_list("high")).alias("high")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

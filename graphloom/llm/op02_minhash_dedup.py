@@ -150,7 +150,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     runs of letters, digits, underscore and characters beyond ASCII) have a Jaccard similarity of ``similarity`` or
     more; class_id is its smallest doc_id. All shingles weigh 1. Shorter texts have one shingle of all their words;
     texts without words are one class if equal byte for byte. A null text stands alone. Rows that repeat a doc_id
-    are of one class. An empty table gives no rows; other columns are ignored. Two linked texts share a bucket
+    are of one class, rows without doc_id are kept. An empty table gives no rows; other columns are ignored. Two linked texts share a bucket
     with probability 1 - (1 - s ** 4) ** 24: 0.999997 at s = 0.8.
     """
     ship(docs.sparkSession)
@@ -204,7 +204,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
 
     of_group = groups.select("f1", "f2", "rep").join(labels.selectExpr("id rep", "label"), "rep", "left").selectExpr("f1", "f2", "coalesce(label, rep) label")
     of_group = written(of_group)
-    out = fp.select("doc_id", "f1", "f2").join(of_group, ["f1", "f2"]).selectExpr("doc_id", "label class_id", "doc_id = label is_kept")
+    out = fp.select("doc_id", "f1", "f2").join(of_group, ["f1", "f2"]).selectExpr("doc_id", "label class_id", "coalesce(doc_id = label, true) is_kept")
     return out
 
 

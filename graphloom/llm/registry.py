@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from . import oracles
 from .op01_substring_dedup import op1_substring_dedup
 from .op02_minhash_dedup import op2_minhash_dedup
 from .op03_decontaminate import op3_decontaminate
@@ -38,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op1_substring_dedup": oracles.OP1, "op2_minhash_dedup": oracles.OP2, "op3_decontaminate": oracles.OP3, "op4_line_dedup": OP4_SQL}
