@@ -241,7 +241,7 @@ def resolve_imports(imports: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     here = paths.folder(F.col("file_path"))
     spec = F.col("spec")
-    relative = spec.rlike(r"^\.{1,2}/")
+    relative = spec.rlike(r"^\.{1,2}/") | spec.rlike(r"^[^/@~].*\.(md|markdown|css|scss|sass|less|js|mjs|ts|html?)$")
     joined = F.when(relative, F.concat_ws("/", here, spec)).when(spec.rlike(r"^[@~]/"), F.substring(spec, 3, 10000)).otherwise(F.translate(spec, ".", "/"))
     ends = ["", ".py", "/__init__.py", ".ts", ".tsx", ".js", "/index.ts", "/index.js", ".rb", ".lua", ".scss", ".css", ".md"]
     tries = imports.select("file_path", "spec", F.posexplode(F.transform(F.array(*map(F.lit, ends)), lambda e: F.concat(joined, e))).alias("k", "path"))
