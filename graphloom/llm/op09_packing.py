@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .runtime import blocks, ship
+from .textops import FIELD_BYTES, flat, span_hashes, spans
 
 CAPACITY = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -37,15 +38,14 @@ _memos: dict[str, tuple] = {}
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-#: White space to str.split() but not to the tokenizer.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
-
-
 def _tokenizer(path: str):
     if path not in _memos:
         import json
+        import os
 
         import regex
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives the task its core; threads of the library would wait for others
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -62,30 +62,26 @@ def _pack_ids(ids: list[int]) -> bytes:
 def encode(texts: list[str], path: str, memo_chunks: int = MEMO_CHUNKS, memo_words: int = MEMO_WORDS) -> list[bytes]:
     """Little-endian 32-bit ids of each text, without special tokens added.
 
-    No token spans white space, so each distinct chunk between white space is encoded once, from the words in it,
-    which are encoded once too. A text with a special string (such as ``<|endoftext|>``) or one of SEPARATORS,
-    and all texts if the file's pattern is not the one above, are encoded whole.
+    No token spans white space, so the texts are cut at ASCII white space, and of the chunks of a call each distinct
+    one is looked up once, or encoded from the words in it, which are encoded once too. Texts with a special string (such
+    as ``<|endoftext|>``), and all texts if the file's pattern is not the one above, are encoded whole.
     """
     tokenizer, memo, words, pattern = _tokenizer(path)
-    whole = [t.content for t in tokenizer.get_added_tokens_decoder().values()] + list(SEPARATORS)
-    out: list[bytes | None] = [None] * len(texts)
-    found: dict[int, list] = {}
-    misses = []
-    new: set[str] = set()
-    known = memo.get
-    for i, text in enumerate(texts):
-        if pattern is None or any(s in text for s in whole):
-            out[i] = _pack_ids(tokenizer.encode(text, add_special_tokens=False).ids)
-            continue
-        chunks = text.split()
-        ids = found[i] = list(map(known, chunks))
-        if None in ids:
-            missing = [(k, chunks[k]) for k, x in enumerate(ids) if x is None]
-            misses.append((ids, missing))
-            new.update(c for _, c in missing)
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    whole = [i for i, text in enumerate(texts) if pattern is None or any(s in text for s in special)]
+    column = pa.array(texts, pa.large_string())
+    if whole:
+        column = pc.if_else(pa.array(np.isin(np.arange(len(texts)), whole)), pa.scalar("", pa.large_string()), column)
+    buf, at = flat(column)
+    starts, ends, doc = spans(buf, at, FIELD_BYTES)
+    _, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    raw = buf.tobytes()
+    chunks = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    ids = list(map(memo.get, chunks))
+    missing = [k for k, x in enumerate(ids) if x is None]
     normal = tokenizer.normalizer.normalize_str
-    parts = {c: pattern.findall(c.lower() if c.isascii() else normal(c)) for c in new}
-    new_words = list(set().union(*parts.values()).difference(words))
+    parts = [pattern.findall(c.lower() if c.isascii() else normal(c)) for c in map(chunks.__getitem__, missing)]
+    new_words = list(set().union(*parts).difference(words))
     word_ids = words
     if new_words:
         fresh_words = dict(zip(new_words, (_pack_ids(e.ids) for e in tokenizer.encode_batch_fast(new_words, add_special_tokens=False)), strict=True))
@@ -94,14 +90,21 @@ def encode(texts: list[str], path: str, memo_chunks: int = MEMO_CHUNKS, memo_wor
         else:
             word_ids = ChainMap(fresh_words, words)
     of = word_ids.__getitem__
-    fresh = {c: b"".join(map(of, p)) for c, p in parts.items()}
-    for ids, missing in misses:
-        for k, c in missing:
-            ids[k] = fresh[c]
+    for k, part in zip(missing, parts, strict=True):
+        ids[k] = b"".join(map(of, part))
     if len(memo) < memo_chunks:
-        memo.update(fresh)
-    for i, ids in found.items():
-        out[i] = b"".join(ids)
+        memo.update((chunks[k], ids[k]) for k in missing)
+    # Each occurrence takes the ids of its chunk.
+    table = np.frombuffer(b"".join(ids), np.uint32)
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    begin = np.cumsum(size) - size
+    n = size[which]
+    out_at = np.concatenate([[0], np.cumsum(n)])
+    flat_ids = table[np.arange(out_at[-1]) + np.repeat(begin[which] - out_at[:-1], n)]
+    cut = out_at[np.searchsorted(doc, np.arange(len(texts) + 1))]
+    out = [flat_ids[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    for i in whole:
+        out[i] = _pack_ids(tokenizer.encode(texts[i], add_special_tokens=False).ids)
     return out
 
 
