@@ -22,7 +22,7 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
         rank = (rank << bits) | np.concatenate([rank[span:], np.zeros(min(span, n), np.int64)])[:n]
         span, bits = span * 2, bits * 2
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         new = np.empty(n, np.int64)
         ordered = rank[order]
         new[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))

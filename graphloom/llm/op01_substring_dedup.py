@@ -31,7 +31,7 @@ GRAM = 64
 MAX_RUN = 4096
 MAX_TOGETHER = 1000
 #: Bytes of segments in one transform; a batch is closed at the first anchor border beyond it.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 ANCHOR_BLOCK = 1 << 20
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
