@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,6 +128,22 @@ def embedding_text(nodes: DataFrame, cap: int = 2000) -> DataFrame:
     return nodes.where("kind <> 'file'").select("id", text.alias("text"), F.sha2(text, 256).alias("digest"))
 
 
+def embed(texts: DataFrame, function: Callable[[list[str]], list[list[float]]], batch_rows: int = 256) -> DataFrame:
+    """(id, embedding) of texts (id, text, digest): ``function`` sees each distinct text once, in batches of ``batch_rows``.
+
+    The function is shipped with the plan; a client it needs should be made within it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), batch_rows):
+                part = batch.iloc[start : start + batch_rows]
+                yield pd.DataFrame({"digest": part["digest"], "embedding": function(part["text"].tolist())})
+
+    once = texts.groupBy("digest").agg(F.min("text").alias("text"))
+    return texts.select("id", "digest").join(once.mapInPandas(run, "digest string, embedding array<float>"), "digest").select("id", "embedding")
+
+
 def grep(texts: DataFrame, key: str, text: str, pattern: str, limit: int = 100, ignore_case: bool = False) -> DataFrame:
     """(key, line_number, line): lines that match a regular expression, the first ``limit`` by key and line."""
     # The cheap test of the whole text keeps those without a match from being split.

@@ -45,3 +45,13 @@ def apply_batches(bursts: DataFrame, apply: Callable[[DataFrame, int], None], ch
             apply(batch, number)
 
     return bursts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def idle_projects(events: DataFrame, idle: str = "45 seconds", late: str = "1 minute", key: str = "project", ts: str = "ts") -> DataFrame:
+    """(project, events, idle_at): when a project has had no event for ``idle``, so that slow exact resolution is due.
+
+    A later event begins a new spell, which is how it calls a pending one off.
+    """
+    seen = events.withWatermark(ts, late) if events.isStreaming else events
+    spell = F.session_window(ts, idle)
+    return seen.groupBy(key, spell).agg(F.count(F.lit(1)).alias("events")).select(key, "events", F.col("session_window.end").alias("idle_at"))

@@ -126,3 +126,22 @@ def test_manifest_merge(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1")], "file_path string, file_hash string")
     batch = spark.createDataFrame([("a", "delete", None), ("b", "write", "2"), ("c", "write", "3")], "path string, op string, file_hash string")
     assert {tuple(r) for r in changes.merged_manifest(old, batch).collect()} == {("b", "2"), ("c", "3")}
+
+
+def test_idle_spells(spark):
+    events = spark.createDataFrame([("p", 0), ("p", 30), ("p", 200), ("q", 10)], "project string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    assert {(r.project, r.events) for r in changes.idle_projects(events).collect()} == {("p", 2), ("p", 1), ("q", 1)}
+
+
+def test_each_text_is_embedded_once(spark):
+    from graphloom.operators import search
+
+    texts = spark.createDataFrame([(1, "a", "h1"), (2, "a", "h1"), (3, "bb", "h2")], "id long, text string, digest string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def lengths(batch):
+        calls.add(len(batch))
+        return [[float(len(t))] for t in batch]
+
+    assert {(r.id, r.embedding[0]) for r in search.embed(texts, lengths).collect()} == {(1, 1.0), (2, 1.0), (3, 2.0)}
+    assert calls.value == 2
