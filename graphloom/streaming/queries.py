@@ -13,9 +13,10 @@ from . import changes
 s AS (SELECT *, sum(new) OVER (PARTITION BY project, path ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT project, path, count(*) AS events, min(ts) AS began, max(ts) + INTERVAL 30 MINUTE AS quiet_at FROM s GROUP BY project, path, k""")
 def debounced_changes(spark, sf_dir):
     events = view(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("project"), F.col("event_type").alias("path"), F.col("props").alias("op"), F.col("ts").cast("timestamp").alias("ts"))
-    return changes.debounced(events, "30 minutes").select("project", "path", "events", "began", "quiet_at")
+    return changes.debounced(events, "30 minutes").select("project", "path", "events", F.col("began").cast("timestamp_ntz").alias("began"), F.col("quiet_at").cast("timestamp_ntz").alias("quiet_at"))
 
 
 @query("SELECT event_type AS target, count(*) AS hits, max(ts) AS last_hit_at FROM events GROUP BY event_type")
 def usage_counts(spark, sf_dir):
-    return changes.usage_counts(view(spark, sf_dir, "events").select(F.col("event_type").alias("target"), F.col("ts").cast("timestamp").alias("ts")))
+    hits = view(spark, sf_dir, "events").select(F.col("event_type").alias("target"), F.col("ts").cast("timestamp").alias("ts"))
+    return changes.usage_counts(hits).withColumn("last_hit_at", F.col("last_hit_at").cast("timestamp_ntz"))
