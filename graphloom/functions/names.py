@@ -7,11 +7,22 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
-STOP_WORDS = frozenset("the and for with that this from are was were how does what where when which who why can could should would into onto not but all any use using used its our your their has have had get gets via per out".split())
-#: Suffixes cut off terms, the first that leaves at least MIN_STEM letters.
-SUFFIXES = ("ing", "ies", "ed", "es", "s")
+# Words of a question that carry no subject, and what is cut off the others.
+STOP_WORDS = frozenset(
+    """the and for with from into that this these those are was were been being has have had does did doing can could should
+    would will how what where which who why when there here about work works working happen happens handled implemented code
+    find show all any some its our your you not use used uses""".split()
+)
+#: The first suffix that leaves at least MIN_STEM letters; a plain s only after another letter.
+SUFFIXES = ("ions", "ion", "ings", "ing", "ed", "es", "s")
 MIN_STEM = 4
+# Words that make a short search text a question.
+QUESTION_WORDS = tuple(
+    """a an the is are was were do does did can could should would will where what when how why who which with for to in on at of
+    and or not this that these those we i you it its be been""".split()
+)
+#: Dotted, scoped, snake-case and camel-case names.
+IDENTIFIER = r"\w+(?:\.\w+)+|::|\w+_\w+|[a-z0-9][A-Z]"
 
 
 def bare(fqn: Column) -> Column:
@@ -28,13 +39,14 @@ def camel_tokens(text: str) -> list[str]:
     out = []
     for word in text.split():
         out += [m.lower() for m in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[^A-Z]+", word)]
-    return out
+    return list(dict.fromkeys(out))
 
 
 def stem(term: str) -> str:
     for suffix in SUFFIXES:
-        if term.endswith(suffix) and len(term) - len(suffix) >= MIN_STEM:
-            return term[: -len(suffix)]
+        rest = term.removesuffix(suffix)
+        if rest != term and len(rest) >= MIN_STEM and not (suffix == "s" and rest.endswith("s")):
+            return rest
     return term
 
 
@@ -48,18 +60,16 @@ def lexical_terms(query: str) -> list[str]:
 
 
 def classify_query(query: str) -> str:
-    """'identifier', 'natural_language' or 'mixed', by the look of a search text."""
-    words = query.split()
-    looks = [bool(re.search(r"[a-z][A-Z]|[_.:/()]|[A-Za-z][0-9]", w)) for w in words]
-    if len(words) == 1:
-        return "identifier"
-    if any(looks):
-        return "mixed"
-    return "natural_language" if len(words) >= 3 else "mixed"
+    """'identifier' for names and for one or two words without a question word, else 'natural_language'."""
+    text = re.sub(r"[.?!]$", "", query.strip())
+    words = text.split()
+    short = 0 < len(words) <= 2 and not any(w.lower() in QUESTION_WORDS for w in words)
+    return "identifier" if re.search(IDENTIFIER, text) or short else "natural_language"
 
 
 def query_class(text: Column) -> Column:
     """The same for a column."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    looks = F.exists(words, lambda w: w.rlike(r"[a-z][A-Z]|[_.:/()]|[A-Za-z][0-9]"))
-    return F.when(F.size(words) == 1, "identifier").when(looks, "mixed").when(F.size(words) >= 3, "natural_language").otherwise("mixed")
+    clean = F.regexp_replace(F.trim(text), r"[.?!]$", "")
+    words = F.filter(F.split(F.lower(clean), r"\s+"), lambda w: w != "")
+    short = F.size(words).between(1, 2) & ~F.arrays_overlap(words, F.array(*map(F.lit, QUESTION_WORDS)))
+    return F.when(clean.rlike(IDENTIFIER) | short, "identifier").otherwise("natural_language")

@@ -65,7 +65,10 @@ def ancestors(path: Column) -> Column:
 
 def glob_regex(pattern: str) -> str:
     """Regex of an exclude glob. A bare name matches any path segment; with a slash it is tied to the root; ``**/`` is any depth."""
-    pattern = pattern.removeprefix("./").rstrip("/")
+    deep = pattern.startswith("**/")
+    pattern = pattern.removeprefix("**/")
+    tied = deep or "/" in pattern  # a slash at the end ties as well
+    pattern = pattern.removeprefix("./").strip("/")
     out = ""
     i = 0
     while i < len(pattern):
@@ -79,7 +82,7 @@ def glob_regex(pattern: str) -> str:
             out, i = out + "[^/]", i + 1
         else:
             out, i = out + re.escape(pattern[i]), i + 1
-    return f"^{out}(?:/.*)?$" if "/" in pattern else f"(?:^|/){out}(?:/|$)"
+    return f"^{out}(?:/|$)" if tied and not deep else f"(?:^|/){out}(?:/|$)"
 
 
 def matches_any_glob(path: Column, patterns: list[str]) -> Column:

@@ -50,8 +50,8 @@ def coverage_without_nodes(graph: Graph) -> DataFrame:
     return graph.coverage.join(graph.nodes.select("project_id", "file_path"), ["project_id", "file_path"], "left_anti")
 
 
-#: Methods that interfaces of standard libraries call.
-INTERFACE_METHODS = ("String", "Error", "Read", "Write", "Close", "Len", "Less", "Swap", "ServeHTTP", "MarshalJSON", "UnmarshalJSON", "Scan", "Value", "Unwrap", "Is", "As", "Format", "GoString")
+#: Methods that standard interfaces call.
+INTERFACE_METHODS = ("Error", "String", "Unwrap", "MarshalJSON", "UnmarshalJSON", "MarshalText", "UnmarshalText")
 
 
 def orphans(graph: Graph) -> DataFrame:

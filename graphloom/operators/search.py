@@ -19,16 +19,15 @@ RRF = 60
 
 
 def search_names(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """Nodes by tiers: 0 all tokens in symbol or full name, 1 with the docstring, 2 the raw text as a substring; then exact, prefix, short and named first."""
+    """Nodes by tiers: 0 all tokens in the symbol or all in the full name, 1 all in the docstring, 2 the raw text as a substring; then exact, prefix, short and named first."""
     low = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("symbol", "fqn", "docstring")}
     raw = query.strip().lower()
     tokens = names.camel_tokens(query)
-    in_name, in_any = F.lit(bool(tokens)), F.lit(bool(tokens))
+    has = {field: F.lit(bool(tokens)) for field in low}
     for t in tokens:
-        here = low["symbol"].contains(t) | low["fqn"].contains(t)
-        in_name, in_any = in_name & here, in_any & (here | low["docstring"].contains(t))
+        has = {field: has[field] & low[field].contains(t) for field in low}
     whole = low["symbol"].contains(raw) | low["fqn"].contains(raw)
-    tier = F.when(in_name, 0).when(in_any, 1).when(whole & F.lit(bool(raw)), 2)
+    tier = F.when(has["symbol"] | has["fqn"], 0).when(has["docstring"], 1).when(whole & F.lit(bool(raw)), 2)
     found = nodes.where("kind <> 'file'").withColumn("tier", tier).where("tier is not null")
     found = found.withColumn("exact", (low["symbol"] == raw).cast("int")).withColumn("prefix", low["symbol"].startswith(raw).cast("int"))
     return found.orderBy("tier", F.desc("exact"), F.desc("prefix"), F.length("symbol"), "symbol", "file_path", "start_line", "id").limit(limit)
@@ -66,8 +65,9 @@ def bm25(docs: DataFrame, key: str, text: Column, query: str, limit: int = 50) -
     return ranked.orderBy(F.desc("score"), key).limit(limit)
 
 
-#: Which kinds come first among equally covered hits.
-KIND_RANK = ("function", "method", "type", "class", "test", "variable")
+#: Behaviour comes before declarations, and those before data.
+KIND_RANK = {"function": 0, "method": 0, "class": 0, "test": 0, "type": 1, "module": 1}
+OTHER_KIND = 2
 
 
 def lexical_search(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
@@ -82,9 +82,9 @@ def lexical_search(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
             here = F.lower(F.coalesce(F.col(field), F.lit(""))).contains(t)
             weighted, hit = weighted + F.when(here, weight).otherwise(0.0), hit | here
         covered = covered + hit.cast("int")
-    kind = F.lit(len(KIND_RANK))
-    for i, k in enumerate(KIND_RANK):
-        kind = F.when(F.col("kind") == k, i).otherwise(kind)
+    kind = F.lit(OTHER_KIND)
+    for k, rank in KIND_RANK.items():
+        kind = F.when(F.col("kind") == k, rank).otherwise(kind)
     test = paths.is_test_node(F.col("kind"), F.col("file_path"))
     found = nodes.where("kind <> 'file'").select("*", weighted.alias("weight"), covered.alias("covered"), kind.alias("kind_rank"), test.cast("int").alias("is_test")).where("covered > 0")
     ordered = found.orderBy(F.desc("covered"), "is_test", "kind_rank", F.desc("weight"), F.length("symbol"), "symbol", "file_path", "start_line", "id").limit(limit)

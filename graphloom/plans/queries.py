@@ -474,8 +474,8 @@ NAME_ORDER = "tier, exact DESC, prefix DESC, length(symbol), symbol, file_path,
 
 
 def _name_sql(tokens: list[str], raw: str) -> str:
-    name = " AND ".join(f"(contains(lower(symbol), '{t}') OR contains(lower(fqn), '{t}'))" for t in tokens)
-    either = " AND ".join(f"(contains(lower(symbol), '{t}') OR contains(lower(fqn), '{t}') OR contains(lower(coalesce(docstring, '')), '{t}'))" for t in tokens)
+    every = lambda field: " AND ".join(f"contains(lower(coalesce({field}, '')), '{t}')" for t in tokens)
+    name, either = f"({every('symbol')}) OR ({every('fqn')})", every("docstring")
     return f"hits AS (SELECT *, CASE WHEN {name} THEN 0 WHEN {either} THEN 1 WHEN contains(lower(symbol), '{raw}') OR contains(lower(fqn), '{raw}') THEN 2 END AS tier, CAST(lower(symbol) = '{raw}' AS INT) AS exact, CAST(starts_with(lower(symbol), '{raw}') AS INT) AS prefix FROM nodes WHERE kind <> 'file')"
 
 
@@ -507,7 +507,7 @@ LEX_TERMS = names.lexical_terms("orders of priority handled")
 def _lexical_sql(terms: list[str]) -> str:
     weight = " + ".join(f"CASE WHEN contains(lower(coalesce({f}, '')), '{t}') THEN {w} ELSE 0 END" for t in terms for f, w in S.FIELD_WEIGHTS.items())
     cov = " + ".join("CAST(" + " OR ".join(f"contains(lower(coalesce({f}, '')), '{t}')" for f in S.FIELD_WEIGHTS) + " AS INT)" for t in terms)
-    kind = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(S.KIND_RANK)) + f" ELSE {len(S.KIND_RANK)} END"
+    kind = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for k, i in S.KIND_RANK.items()) + f" ELSE {S.OTHER_KIND} END"
     return f"lex AS (SELECT *, {weight} AS weight, {cov} AS covered, {kind} AS kind_rank, CAST(kind = 'test' OR {sql_test_path('file_path')} AS INT) AS is_test FROM nodes WHERE kind <> 'file')"
 
 
@@ -540,7 +540,7 @@ def hybrid_search(spark, sf_dir):
     return S.fuse(near, text, "vec_id", "identifier")
 
 
-@query("SELECT turn, CASE WHEN n = 1 THEN 'identifier' WHEN looks THEN 'mixed' WHEN n >= 3 THEN 'natural_language' ELSE 'mixed' END AS class, count(*) AS n FROM (SELECT turn, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '[a-z][A-Z]|[_.:/()]|[A-Za-z][0-9]'))) > 0 AS looks FROM (SELECT turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM conversations)) GROUP BY ALL")
+@query("SELECT turn, CASE WHEN regexp_matches(t, '" + names.IDENTIFIER + "') OR (len(w) BETWEEN 1 AND 2 AND NOT list_has_any(w, " + str(list(names.QUESTION_WORDS)) + ")) THEN 'identifier' ELSE 'natural_language' END AS class, count(*) AS n FROM (SELECT turn, t, list_filter(string_split_regex(lower(t), '\\s+'), lambda x: x <> '') AS w FROM (SELECT turn, regexp_replace(trim(text), '[.?!]$', '') AS t FROM conversations)) GROUP BY ALL")
 def query_classes(spark, sf_dir):
     turns = view(spark, sf_dir, "conversations")
     return turns.groupBy("turn", names.query_class(F.col("text")).alias("class")).agg(F.count(F.lit(1)).alias("n"))

@@ -23,8 +23,8 @@ from ..ship import ship
 EXTRACTED = "file_path string, row string, kind string, name string, fqn string, start_line int, end_line int, from_fqn string, docstring string"
 #: Longer files are hashed but not parsed; generated and minified ones neither.
 MAX_BYTES = 2 << 20
-GENERATED = r"(?i)(code generated .* do not edit|@generated)"
-MINIFIED_LINE = 5000
+GENERATED = r"(?m)^\s*// Code generated .* DO NOT EDIT\.\s*$"
+MINIFIED = r"\.min\.(js|mjs|css|js\.map|css\.map)$"
 
 Row = tuple[str, str, str, str, int, int, str | None, str | None]
 
@@ -223,7 +223,7 @@ def extract(files: DataFrame) -> DataFrame:
     of = {**{k: pattern_rows(k) for k in PATTERNS}, **EXTRACTORS}
     known = paths.language(F.col("file_path"))
     head = F.left("content", F.lit(4096))
-    fit = (F.octet_length("content") <= MAX_BYTES) & ~head.rlike(GENERATED) & ~F.exists(F.split(head, "\n"), lambda line: F.length(line) >= min(MINIFIED_LINE, 4096))
+    fit = (F.octet_length("content") <= MAX_BYTES) & ~head.rlike(GENERATED) & ~F.lower("file_path").rlike(MINIFIED)
     todo = files.where(fit).select("file_path", known.alias("language"), "content").where(F.col("language").isin(*of))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

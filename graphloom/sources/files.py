@@ -16,7 +16,10 @@ from ..schema import Graph
 from ..ship import ship
 
 #: What a walk leaves out by default.
-EXCLUDED = ["node_modules", "vendor", "dist", "build", "target"]
+EXCLUDED = [
+    ".git", "node_modules", "vendor", "dist/", "build/", "target/", "coverage/", "dist-*", "build-*", ".next", ".nuxt", "__pycache__", "venv/", "env/", "site-packages",
+    "*.min.js", "*.gen.go", "*_gen.go", "*.pb.go", "*_pb.go", "*.lock",
+]
 
 
 def walk_tree(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ def test_paths(spark, path, file, anywhere, subsystem):
 
 @pytest.mark.parametrize(
     ("glob", "path", "hit"),
-    [("vendor", "a/vendor/x.go", True), ("vendor", "a/vendored/x.go", False), ("a/b", "a/b/c.go", True), ("a/b", "x/a/b/c.go", False), ("**/gen/*.go", "x/y/gen/a.go", True), ("./a/b", "a/b", True), ("*.min.js", "web/x.min.js", True)],
+    [("vendor", "a/vendor/x.go", True), ("vendor", "a/vendored/x.go", False), ("a/b", "a/b/c.go", True), ("a/b", "x/a/b/c.go", False), ("**/gen/*.go", "x/y/gen/a.go", True), ("./a/b", "a/b", True), ("*.min.js", "web/x.min.js", True), ("dist/", "dist/a.js", True), ("dist/", "web/dist/a.js", False), ("build-*", "x/build-1/a.js", True)],
 )
 def test_globs(spark, glob, path, hit):
     assert spark.range(1).select(paths.matches_any_glob(F.lit(path), [glob])).first()[0] is hit
@@ -30,7 +30,7 @@ def test_globs(spark, glob, path, hit):
 def test_query_texts():
     assert names.camel_tokens("parseHTTPRequest now") == ["parse", "http", "request", "now"]
     assert names.lexical_terms("The parsing of parsed files") == ["pars", "file"]
-    assert [names.classify_query(q) for q in ("getUser", "how do callers reach this", "fix getUser now")] == ["identifier", "natural_language", "mixed"]
+    assert [names.classify_query(q) for q in ("getUser", "how do callers reach this", "fix getUser now", "node store", "the store")] == ["identifier", "natural_language", "identifier", "identifier", "natural_language"]
 
 
 def test_python_extraction():
@@ -54,12 +54,12 @@ def test_markdown_extraction():
 
 
 def test_tree_to_symbols_and_imports(spark, tmp_path):
-    for name, text in {"pkg/a.py": "from pkg.b import f\n\ndef g():\n    f()\n", "pkg/b.py": "def f():\n    pass\n", "web/i.ts": "import x from './j'\nexport class K {}\n", "web/j.ts": "export function x() {}\n", "vendor/z.py": "x = 1\n", ".git/h.py": "y = 1\n", "gen.py": "# Code generated by x. DO NOT EDIT.\ndef q(): pass\n"}.items():
+    for name, text in {"pkg/a.py": "from pkg.b import f\n\ndef g():\n    f()\n", "pkg/b.py": "def f():\n    pass\n", "web/i.ts": "import x from './j'\nexport class K {}\n", "web/j.ts": "export function x() {}\n", "vendor/z.py": "x = 1\n", ".git/h.py": "y = 1\n", "gen.go": "// Code generated by x. DO NOT EDIT.\npackage q\nfunc q() {}\n"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_text(text)
     (tmp_path / "b.bin").write_bytes(b"\0\1")
     tree = files.walk_tree(spark, f"file://{tmp_path}")
-    assert {r.file_path for r in tree.collect()} == {"pkg/a.py", "pkg/b.py", "web/i.ts", "web/j.ts", "gen.py", "b.bin"}
+    assert {r.file_path for r in tree.collect()} == {"pkg/a.py", "pkg/b.py", "web/i.ts", "web/j.ts", "gen.go", "b.bin"}
     rows = X.extract(tree)
     assert {r.fqn for r in rows.where("row = 'symbol'").collect()} == {"g", "f", "K", "x"}
     imports = rows.where("kind = 'imports'").selectExpr("file_path", "name spec")
