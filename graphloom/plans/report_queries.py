@@ -76,8 +76,11 @@ def file_impact(spark, sf_dir):
     return P.file_impact(graph(spark, sf_dir))
 
 
-@query(G + ", " + RANKED + ", pf AS (SELECT file_path, sum(effective) AS effective FROM ranked GROUP BY file_path), own AS (SELECT file_path, max(CAST(starts_with(" + sql_dir("file_path") + ", 'cmd') OR symbol = 'main' AS INT)) AS entry, count(*) FILTER (regexp_matches(regexp_extract(symbol, '([^.]*)$', 1), '^\\p{Lu}')) AS public FROM nodes WHERE kind <> 'test' AND NOT " + sql_test_path("file_path") + """ GROUP BY file_path)
-SELECT own.file_path, (floor((0.6::DOUBLE * coalesce(effective, 0) / (SELECT max(effective) FROM pf) + 0.55::DOUBLE * entry) * 1000 + 0.5) / 1000)::DOUBLE AS score, entry, public FROM own LEFT JOIN pf ON pf.file_path = own.file_path ORDER BY score DESC, own.file_path LIMIT 100""")
+@query(G + ", " + RANKED + ", c AS (SELECT n.*, coalesce(r.in_degree, 0) AS in_degree, coalesce(r.effective, 0) AS effective FROM nodes n LEFT JOIN (SELECT id, in_degree, effective FROM ranked) r ON r.id = n.id WHERE n.kind IN ('function', 'method') AND NOT " + sql_test_path("n.file_path") + """),
+e AS (SELECT *, CASE WHEN symbol = 'main' AND kind = 'function' THEN 'main' WHEN starts_with(file_path, 'cmd/') THEN NULL WHEN kind = 'method' AND language = 'go' AND len(string_split(fqn, '.')) >= 3 AND NOT regexp_matches(string_split(fqn, '.')[-2], '^\\p{Lu}') THEN NULL
+WHEN regexp_matches(regexp_extract(symbol, '([^.]*)$', 1), '^\\p{Lu}') AND in_degree = 0 THEN 'exported_root' WHEN regexp_matches(regexp_extract(symbol, '([^.]*)$', 1), '^\\p{Lu}') THEN 'exported' END AS reason FROM c),
+z AS (SELECT *, floor((0.6::DOUBLE * effective / (SELECT max(effective) FROM ranked) + 0.55::DOUBLE * CASE reason WHEN 'main' THEN 1.0 WHEN 'exported_root' THEN 0.65 WHEN 'exported' THEN 0.35 ELSE 0 END + CASE WHEN reason = 'main' THEN 1 ELSE 0 END) * 1000 + 0.5) / 1000 AS score FROM e)
+SELECT id, symbol, file_path, score::DOUBLE AS score, in_degree, effective::DOUBLE AS effective, reason FROM z WHERE score > 0 ORDER BY z.score DESC, z.effective DESC, in_degree DESC, file_path, start_line, fqn, kind, symbol, id LIMIT 20""")
 def read_order(spark, sf_dir):
     return P.read_order(graph(spark, sf_dir))
 

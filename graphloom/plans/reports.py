@@ -131,19 +131,58 @@ def file_impact(graph: Graph) -> DataFrame:
     return out.select("file_path", F.coalesce("dependents", F.lit(0)).alias("dependents"), F.when(F.col("sure") == 1, "unsafe").otherwise("unknown").alias("delete_verdict"))
 
 
-#: Weights of the reading order.
-IMPORTANCE, ENTRYPOINT = 0.6, 0.55
+#: Weights of the reading order, folders of auxiliary programs, files that open a module, scores of entry points.
+IMPORTANCE, ENTRYPOINT, PRIMARY_MAIN = 0.6, 0.55, 1.0
+AUXILIARY_FOLDERS = ("bench", "benchmarks", "benchmark", "examples", "example", "scripts", "tools", "hack", "testdata")
+MODULE_FILES = ("index.ts", "index.tsx", "index.js", "index.jsx", "index.mjs", "__main__.py")
+ENTRY_SCORES = {"auxiliary_main": 0.5, "main": 1.0, "wired_handler": 0.9, "module_file": 0.8, "exported_root": 0.65, "exported": 0.35}
+
+
+def entrypoint_reason() -> Column:
+    """Which of ENTRY_SCORES a callable (with in_degree and wired) is, null for none; the first that fits."""
+    file, symbol = F.col("file_path"), F.col("symbol")
+    parts = F.split(F.lower(paths.folder(file)), "/")
+    script = F.lower("language").isin("javascript", "typescript", "tsx", "jsx")
+    auxiliary = script | ((paths.folder(file) != "") & (F.split(paths.folder(file), "/")[0] != "cmd") & F.arrays_overlap(parts, F.array(*map(F.lit, AUXILIARY_FOLDERS))))
+    is_main = (F.col("kind") == "function") & (symbol == "main")
+    base = F.lower(paths.base_name(file))
+    command = file.contains("/cmd/") | file.startswith("cmd/") | (base == "main.go")
+    owner = F.split("fqn", r"\.")
+    hidden = (F.col("kind") == "method") & (F.col("language") == "go") & (F.size(owner) >= 3) & ~names.is_exported(F.try_element_at(owner, F.lit(-2)))
+    return (
+        F.when(is_main & auxiliary, "auxiliary_main")
+        .when(is_main, "main")
+        .when((F.col("kind") == "function") & command & F.col("wired"), "wired_handler")
+        .when(base.isin(*MODULE_FILES), "module_file")
+        .when(command | F.coalesce(hidden, F.lit(False)), None)
+        .when(names.is_exported(symbol) & (F.col("in_degree") == 0), "exported_root")
+        .when(names.is_exported(symbol), "exported")
+    )
+
 
+def read_order(graph: Graph, query: str = "", limit: int = 20) -> DataFrame:
+    """Callables to read first: effective in-degree over the largest, and how much of an entry point they are; tests are left out.
 
-def read_order(graph: Graph, limit: int = 100) -> DataFrame:
-    """Files to read first: importance (sum of effective in-degrees over the largest such sum) and whether they are entry points or public."""
-    per_file = A.ranked_hotspots(graph).groupBy("file_path").agg(F.sum("effective").alias("effective"))
-    own = graph.nodes.where(~paths.is_test_node(F.col("kind"), F.col("file_path"))).groupBy("file_path").agg(F.max((paths.folder(F.col("file_path")).startswith("cmd") | (F.col("symbol") == "main")).cast("int")).alias("entry"), F.sum(names.is_exported(F.col("symbol")).cast("long")).alias("public"))
-    files = own.join(per_file, "file_path", "left").fillna(0.0, ["effective"])
-    most = per_file.agg(F.max("effective")).scalar()
+    Ranks follow score, effective and raw in-degree, then durable keys.
+    """
+    ranked = A.ranked_hotspots(graph).select("id", "in_degree", "effective")
+    most = ranked.agg(F.max("effective")).scalar()
+    source = graph.nodes.where(~paths.is_test_node(F.col("kind"), F.col("file_path"))).select(F.col("id").alias("source_id"))
+    wired = graph.edges.where("edge_type = 'references'").join(source, "source_id", "left_semi").select(F.col("target_id").alias("id")).distinct().withColumn("referenced", F.lit(True))
+    callables = graph.nodes.where(F.col("kind").isin("function", "method") & ~paths.is_test_node(F.col("kind"), F.col("file_path")))
+    if wanted := query.strip().lower():
+        callables = callables.where(F.lower("symbol").contains(wanted) | F.lower("fqn").contains(wanted) | F.lower("file_path").contains(wanted))
+    rows = callables.join(ranked, "id", "left").join(wired, "id", "left").join(A.definition_counts(graph), ["project_id", "symbol"], "left")
+    rows = rows.fillna(0, ["in_degree"]).fillna(0.0, ["effective"])
+    rows = rows.withColumn("wired", F.coalesce("referenced", F.lit(False)) & (F.coalesce("definitions", F.lit(0)) <= 1) & (F.col("in_degree") == 0))
+    rows = rows.withColumn("reason", entrypoint_reason())
+    table = F.create_map(*[F.lit(x) for kv in ENTRY_SCORES.items() for x in kv])
+    entry = F.coalesce(F.try_element_at(table, F.col("reason")), F.lit(0.0))
     importance = F.coalesce(F.col("effective") / F.nullif(most, F.lit(0.0)), F.lit(0.0))
-    scored = files.withColumn("score", scores.round_half_up(IMPORTANCE * importance + ENTRYPOINT * F.col("entry"), 3))
-    return scored.orderBy(F.desc("score"), "file_path").limit(limit).select("file_path", "score", "entry", "public")
+    lead = F.when(F.col("reason") == "main", PRIMARY_MAIN).otherwise(0.0)
+    rows = rows.withColumn("score", scores.round_half_up(IMPORTANCE * importance + ENTRYPOINT * entry + lead, 3)).where("score > 0")
+    order = [F.desc("score"), F.desc("effective"), F.desc("in_degree"), "file_path", "start_line", "fqn", "kind", "symbol", "id"]
+    return rows.orderBy(*order).limit(limit).select("id", "symbol", "file_path", "score", "in_degree", "effective", "reason")
 
 
 def staleness(before: DataFrame, after: DataFrame) -> DataFrame:
