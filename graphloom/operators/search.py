@@ -33,9 +33,13 @@ def search_names(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
     return found.orderBy("tier", F.desc("exact"), F.desc("prefix"), F.length("symbol"), "symbol", "file_path", "start_line", "id").limit(limit)
 
 
-def term_counts(text: Column, terms: list[str]) -> Column:
-    """How many words of a text begin with each (stemmed) term."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
+def words_of(text: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
+def term_counts(words: Column, terms: list[str]) -> Column:
+    """How many words begin with each (stemmed) term."""
 
     def count(term: str) -> Column:
         return F.size(F.filter(words, lambda w: w.startswith(term)))
@@ -51,8 +55,7 @@ def bm25(docs: DataFrame, key: str, text: Column, query: str, limit: int = 50) -
     terms = names.lexical_terms(query)
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("covered")).limit(0)
-    length = F.size(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0))
-    counted = docs.select(key, term_counts(text, terms).alias("tf"), length.alias("dl"))
+    counted = docs.select(key, words_of(text).alias("w")).select(key, term_counts(F.col("w"), terms).alias("tf"), F.size("w").alias("dl"))
     sums = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *(F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()
     score, covered = F.lit(0.0), F.lit(0)
     for i in range(len(terms)):
