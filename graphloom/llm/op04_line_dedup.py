@@ -1,10 +1,13 @@
 """Recurring lines across documents, by a log-template tree in DataFrame functions alone.
 
 A line is parsed at fixed depth: the tree branches by its number of tokens, then by its DEPTH leading tokens; tokens with
-a digit are variable fields. A leaf keeps the rest of the template. Long lines also belong to templates in which one
-third of the rest is free, so that fields without digits (names, places) are generalised as well. A template that
-recurs in MIN_DOCS documents or more, with not all of them equal texts, is dropped from every document but the
-one of smallest doc_id.
+a digit are variable fields. A leaf keeps the rest of the template. Lines of MIN_SHORT tokens or more also belong to
+templates in which one third of the rest is free, so that fields without digits (names, places) are generalised as well.
+A template that recurs in MIN_DOCS documents or more, with not all of them equal texts, is dropped from every document
+but the one of smallest doc_id.
+
+The SQL of op4_line_dedup knows no templates of lines with fewer than MIN_CONSTANT constant tokens and no free third below
+MIN_FREE tokens. That query keeps to it (``short=False``); op4_line_dedup_all and the pipeline take every line.
 """
 
 from __future__ import annotations
@@ -16,20 +19,30 @@ from .runtime import ship, written
 
 MIN_DOCS = 5
 DEPTH = 2
-#: Fewer tokens that are no variable fields make no template.
+#: Fewer tokens that are no variable fields make no template with a free third, and with ``short=False`` no template at all.
 MIN_CONSTANT = 2
 #: From so many tokens on, a template may leave a third of its rest free.
 MIN_FREE = 12
+#: From so many tokens on each third has a token; a shorter line frees one if MIN_CONSTANT constant tokens stand outside it.
+MIN_SHORT = DEPTH + 3
 
 BLANKS = " \t\x0b\f\r"
 FIELD = "<*>"
 _NON_FIELD = f"[^{BLANKS}0-9]"
+#: Letters of scripts that set no blanks between words: a line in them may be one token, and a digit would make all of it a field.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+
 
+def template_keys(line: Column, short: bool = True) -> Column:
+    """The 64-bit keys of the templates of a line: its own, and those with a free third. Empty if it makes none.
 
-def template_keys(line: Column) -> Column:
-    """The 64-bit keys of the templates of a line: its own, and those with a free third. Empty if it makes none."""
+    A line with a constant token has a key of its own; a line of fields alone has one only in a script without blanks,
+    where only the digits are fields. Without ``short``, lines of fewer than MIN_CONSTANT constant tokens have none, and
+    those of fewer than MIN_FREE tokens no free third.
+    """
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, f"(?<![^{BLANKS}]){_NON_FIELD}*+[0-9][^{BLANKS}]*", FIELD)).otherwise(line)
     tokens = F.split(F.btrim(masked, F.lit(BLANKS)), f"[{BLANKS}]+")
+    none = F.array().cast("array<long>")
 
     def keys(t: Column) -> Column:
         n = F.size(t)
@@ -39,18 +52,24 @@ def template_keys(line: Column) -> Column:
         thirds = [F.slice(t, DEPTH + 1, a), F.slice(t, a + (DEPTH + 1), b - a), F.slice(t, b + (DEPTH + 1), rest - b)]
         own = F.xxhash64(n, t)
         free = [F.xxhash64(F.lit(k), lead, *(x for j, x in enumerate(thirds) if j != k)) for k in range(3)]
-        return F.when(n >= MIN_FREE, F.array(own, *free)).otherwise(F.array(own))
+        constant = F.size(F.array_remove(t, FIELD))
+        long = F.when((n >= MIN_FREE) & (constant >= MIN_CONSTANT), F.array(own, *free))
+        if not short:
+            return long.when(constant >= MIN_CONSTANT, F.array(own)).otherwise(none)
+        outside = [constant - F.size(F.array_remove(x, FIELD)) for x in thirds]
+        some = F.array(own, *(F.when(c >= MIN_CONSTANT, x).otherwise(own) for c, x in zip(outside, free, strict=True)))
+        unspaced = F.when(line.rlike(UNSPACED), F.array(F.xxhash64(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), "[0-9]+", FIELD)))).otherwise(none)
+        blank = (n == 1) & (F.get(t, F.lit(0)) == "")
+        return long.when(blank, none).when(constant == 0, unspaced).when((n >= MIN_SHORT) & (n < MIN_FREE), some).otherwise(F.array(own))
 
-    constant = F.size(F.array_remove(tokens, FIELD))
     # A one-element array binds the tokens once for all that reads them.
-    found = F.flatten(F.transform(F.array(tokens), keys))
-    return F.when(constant >= MIN_CONSTANT, found).otherwise(F.array().cast("array<long>"))
+    return F.flatten(F.transform(F.array(tokens), keys))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short: bool = True) -> DataFrame:
     """``docs`` with ``text`` without the lines of recurring templates, and with n_lines and n_dropped as (last) columns.
 
-    Lines are what stands between line ends; blank lines and lines with fewer than MIN_CONSTANT constant tokens stay.
+    Lines are what stands between line ends; blank lines and lines without a template stay (see template_keys for ``short``).
     Every row stays, if need be with an empty text. A null text stays null and has no lines; an empty one has one.
     Rows that repeat a doc_id count as documents each and lose the same lines. An empty table gives no rows. Other
     columns pass through; columns named n_lines or n_dropped are replaced.
@@ -58,7 +77,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     spark = docs.sparkSession
     ship(spark)
     lines = F.split(F.col("text"), "\n", -1)
-    all_keys = F.array_distinct(F.flatten(F.transform(lines, template_keys)))
+    all_keys = F.array_distinct(F.flatten(F.transform(lines, lambda x: template_keys(x, short))))
     keyed = written(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), all_keys.alias("keys")))
     exploded = keyed.select("doc_id", "body", F.explode("keys").alias("key"))
     recurring = written(
@@ -70,7 +89,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     lost = written(exploded.select("doc_id", "key").join(recurring, "key").where("doc_id <> keeper").select("doc_id", "key"))
     per_doc = lost.groupBy("doc_id").agg(F.collect_set("key").alias("__lost")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(per_doc, docs["doc_id"].cast("long") == F.col("__id"), "left")
-    kept = F.filter(lines, lambda x: ~F.arrays_overlap(template_keys(x), F.col("__lost")))
+    kept = F.filter(lines, lambda x: ~F.arrays_overlap(template_keys(x, short), F.col("__lost")))
     rest = F.when(F.col("__lost").isNull(), lines).otherwise(kept)
     out = joined.withColumn("__kept", rest)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
@@ -80,9 +99,19 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     return out.withColumn("text", text).drop("__kept", "__lost", "__id")
 
 
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _query(spark: SparkSession, sf_dir: str, short: bool) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_recurring_lines(docs).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+    return drop_recurring_lines(docs, short=short).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL has it, which leaves out the templates of short lines."""
+    return _query(spark, sf_dir, short=False)
+
+
+def op4_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line, short ones and those in scripts without blanks too."""
+    return _query(spark, sf_dir, short=True)
 
 
 _BLANK = r"[ \t\x0b\f\r]"

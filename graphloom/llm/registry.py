@@ -13,7 +13,7 @@ from .op01_substring_dedup import op1_substring_dedup
 from .op02_minhash_dedup import op2_minhash_dedup
 from .op03_decontaminate import op3_decontaminate
 from .op04_line_dedup import ORACLE_SQL as OP4_SQL
-from .op04_line_dedup import op4_line_dedup
+from .op04_line_dedup import op4_line_dedup, op4_line_dedup_all
 from .op05_pii import op5_pii
 from .op06_token_counts import op6_token_counts
 from .op07_language_id import op7_language_id
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_decontaminate": op3_decontaminate,
         "op4_line_dedup": op4_line_dedup,
+        "op4_line_dedup_all": op4_line_dedup_all,
         "op5_pii": op5_pii,
         "op6_token_counts": op6_token_counts,
         "op7_language_id": op7_language_id,

@@ -158,6 +158,19 @@ def test_free_thirds_generalise(spark):
     assert found[0] == 0 and all(found[d] == 1 for d in range(1, 8))
 
 
+def test_short_lines_recur(spark):
+    names = "Anna Bert Cleo Dora Emil Finn".split()
+    short = lambda d: ["Les.", f"Page {d}", f"Posted by {names[d]} in News", "本网站版权所有未经许可不得转载", f"第{d}页共九页", "สงวนลิขสิทธิ์"]
+    stay = lambda d: ["", f"{d} 12", " \t", f"{names[d]} is away"]
+    rows = [(d, "\n".join([prose(d, 12), *short(d), *stay(d)])) for d in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in op4.drop_recurring_lines(docs).collect()}
+    assert found[0].text == rows[0][1]
+    for d in range(1, 6):
+        assert found[d].text == "\n".join([prose(d, 12), *stay(d)]) and found[d].n_dropped == 6
+    assert all(r.n_dropped == 0 for r in op4.drop_recurring_lines(docs, short=False).collect())
+
+
 def test_classifier_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     out = op8.op8_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
