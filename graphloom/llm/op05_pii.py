@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .runtime import blocks, ship
+from .top_names import TOP_LEVEL
 
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -197,14 +198,14 @@ def digit_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-#: Words for @ and for a dot in disguised addresses, and top-level names that tell a bare "at" from prose (fixed values).
+#: Words for @ and for a dot in disguised addresses, and top-level names that tell a bare "at" from prose in any case (fixed values).
 AT_WORDS, DOT_WORDS = "at|arroba|arobase|ät", "dot|punkt|point|punto"
 TOP_NAMES = "com|org|net|edu|gov|info|io|co|eu|de|fr|es|uk|us|example"
 _AT = rf"(?: ?[\[({{<] ?(?:{AT_WORDS}|@) ?[\])}}>] ?| @ ?|@ | (?:{AT_WORDS}) )"
 _DOT = rf"(?: ?[\[({{<] ?(?:{DOT_WORDS}|\.) ?[\])}}>] ?| (?:{DOT_WORDS}) )"
 _LABEL = r"[A-Za-z0-9-]+"
 _ADDRESS = re.compile(rf"(?P<at>{_AT}|@){_LABEL}(?:(?:{_DOT}|\.){_LABEL})+", re.IGNORECASE)
-_PLAIN_TOP = re.compile(rf"{_LABEL}(?:\.{_LABEL})*\.(?:{TOP_NAMES})$", re.IGNORECASE)
+_COMMON = frozenset(TOP_NAMES.split("|"))
 _LAST_LOCAL = re.compile(r"[A-Za-z0-9%+_.-]$")
 _LOCAL_DOT = re.compile(rf"[A-Za-z0-9%+_-]+(?:{_DOT}[A-Za-z0-9%+_-]+)+$", re.IGNORECASE)
 _DOT_PART = re.compile(_DOT, re.IGNORECASE)
@@ -212,6 +213,12 @@ _DOT_PART = re.compile(_DOT, re.IGNORECASE)
 LOCAL_REACH = 128
 
 
+def _known_top(domain: str) -> bool:
+    """Whether an undisguised domain ends in a top-level name. "at home.It was" is prose: only common names may be capitalised."""
+    top = domain.rsplit(".", 1)[1]
+    return top.lower() in _COMMON or (top.lower() in TOP_LEVEL and not top.istitle())
+
+
 def address_edits(text: str) -> list[tuple[int, int, str]]:
     low = text.lower()
     words = AT_WORDS.split("|")
@@ -225,12 +232,12 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
         domain = text[b : m.end()]
         disguised = list(_DOT_PART.finditer(domain))
         bare = text[a:b].strip().isalpha()
-        if bare and not disguised and not _PLAIN_TOP.fullmatch(domain):
+        if bare and not disguised and not _known_top(domain):
             continue
         edits = [(a, b, "@")] if text[a:b] != "@" else []
         edits += [(b + d.start(), b + d.end(), ".") for d in disguised]
         reach = max(done, a - LOCAL_REACH)
-        if edits and (local := _LOCAL_DOT.search(text, reach, a)) and not bare:
+        if edits and (local := _LOCAL_DOT.search(text, reach, a)):
             edits = [(local.start() + d.start(), local.start() + d.end(), ".") for d in _DOT_PART.finditer(local.group())] + edits
         out += edits
         done = m.end()

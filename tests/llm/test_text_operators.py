@@ -131,6 +131,28 @@ def test_disguises_map_back(text, kind, found):
     assert not base[kind]
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("mail john dot smith at gmail dot com now", "john dot smith at gmail dot com"),
+        ("mail john dot smith at gmail.com now", "john dot smith at gmail.com"),
+        ("mail jane at acme.ch.", "jane at acme.ch"),
+        ("mail jane at mail.acme.it, or", "jane at mail.acme.it"),
+        ("mail jane at acme.museum", "jane at acme.museum"),
+        ("MAIL JANE AT ACME.NL", "JANE AT ACME.NL"),
+    ],
+)
+def test_bare_at_takes_local_dots_and_every_top_level_name(text, found):
+    base, added = op5.find(text)
+    assert [text[a:b] for a, b in added["email"]] == [found] and not base["email"]
+
+
+@pytest.mark.parametrize("text", ["he was at home.It rained", "look at a.b1 and at that.thing", "she is at work.So am I"])
+def test_bare_at_before_missing_blanks_is_prose(text):
+    base, added = op5.find(text)
+    assert not any(base.values()) and not any(added.values())
+
+
 @pytest.mark.parametrize("text", ["look at that. It is at dot", "the at that.\nIn dot", "five six seven apples", "m² and 10³", "at the point of no return"])
 def test_prose_has_no_personal_data(text):
     base, added = op5.find(text)
