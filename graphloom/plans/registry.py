@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..sources import queries as _sources  # noqa: F401  (these modules register their queries)
 from ..streaming import queries as _streaming  # noqa: F401
 from . import report_queries as _reports  # noqa: F401
+from . import whole_queries as _whole  # noqa: F401
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -1,0 +1,103 @@
+"""Queries over all roots, selectors, positions and keys, beside those whose SQL names a small set of them.
+
+Where the SQL of the small set is quick enough, the same SQL with the whole set goes with the query.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import relations as R
+from ..operators import traverse as T
+from ..schema import Graph
+from ..sources.testbed import POSITIONS, graph, view
+from . import exploration as E
+from . import reports as P
+from .queries import ROOTS, SQL, query
+
+#: What the SQL of the small sets says, and what it says for all.
+WHOLE = {
+    ROOTS: "roots AS (SELECT 6000000000 + s_suppkey AS id, 6000000000 + s_suppkey AS root FROM supplier)",
+    " WHERE o_orderkey % 50 = 0": "",
+    " WHERE s_suppkey % 3 = 0": "",
+    " AND id % 4 = 0": "",
+    POSITIONS.replace("{nodes}", "nodes"): POSITIONS.replace("{nodes}", "nodes").removesuffix(" WHERE id % 3 = 0"),
+}
+
+
+def whole_sql(name: str) -> str:
+    sql = SQL[name]
+    for part, whole in WHOLE.items():
+        sql = sql.replace(part, whole)
+    return sql
+
+
+def all_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = F.lit(6000000000) + F.col("s_suppkey")
+    return view(spark, sf_dir, "supplier").select(root.alias("id"), root.alias("root"))
+
+
+def _uses(g: Graph, spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = view(spark, sf_dir, "orders").select((F.lit(4000000000) + F.col("o_orderkey")).alias("id"), F.concat(F.lit("KEY_"), F.substring("o_orderpriority", 1, 1)).alias("key"))
+    return g.nodes.join(orders, "id").select("key", "file_path", F.col("start_line").alias("line")).distinct()
+
+
+def _positions(g: Graph) -> DataFrame:
+    return g.nodes.select("file_path", (F.col("start_line") + F.col("id") % 13).cast("int").alias("line"), F.col("id").alias("position_id"))
+
+
+def _shortest_paths(g: Graph, roots: DataFrame) -> DataFrame:
+    """To every part that a root reaches; others have no path."""
+    parts = g.nodes.where("kind = 'type'").select("id")
+    pairs = T.closure(g, roots, 4).join(parts, "id", "left_semi").select("root", F.col("id").alias("target"))
+    return T.shortest_paths(g, pairs, 4).select("root", "target", F.array_join("path", ">").alias("path"))
+
+
+FROM_ROOTS: dict[str, Callable[[Graph, DataFrame], DataFrame]] = {
+    "callers": lambda g, r: R.callers(g, r).select("root", "id", "symbol", "file_path", "in_degree"),
+    "callees": lambda g, r: R.callees(g, r).select("root", "id", "symbol", "file_path", "in_degree"),
+    "blast_radius": lambda g, r: T.blast_radius(g, r, 3),
+    "callee_closure": lambda g, r: T.closure(g, r, 3),
+    "shortest_paths": _shortest_paths,
+    "traverse_both": lambda g, r: T.traverse(g, r, "both").select("root", "id", "depth", "position", "total", "truncated"),
+    "footprint": T.footprint,
+    "impact": P.impact,
+    "risk": lambda g, r: P.risk(g, r).select("root", "affected", "definitions", "score", "level"),
+    "symbol_context": P.context,
+    "processes": P.processes,
+    "refactor_sites": E.refactor_sites,
+    "flow_tree": E.flow_tree,
+}
+#: Too slow in SQL for all roots, or not to be said in it.
+NO_SQL = {"shortest_paths", "traverse_both", "footprint", "processes", "flow_tree", "key_impact"}
+
+
+def _register(name: str, f: Callable[[Graph, SparkSession, str], DataFrame]) -> None:
+    query(None if name in NO_SQL else whole_sql(name), f"{name}_all")(lambda spark, sf_dir: f(graph(spark, sf_dir), spark, sf_dir))
+
+
+for _name, _f in FROM_ROOTS.items():
+    _register(_name, lambda g, spark, sf_dir, f=_f: f(g, all_suppliers(spark, sf_dir)))
+_register("required_keys", lambda g, spark, sf_dir: E.required_keys(g, all_suppliers(spark, sf_dir), _uses(g, spark, sf_dir)))
+_register("key_impact", lambda g, spark, sf_dir: E.key_impact(g, _uses(g, spark, sf_dir)))
+_register("symbol_at", lambda g, spark, sf_dir: R.enclosing(g, _positions(g)).select("position_id", "file_path", "line", "id", "symbol"))
+_register("nearest_declaration", lambda g, spark, sf_dir: R.nearest_declaration(g, _positions(g)).select("position_id", "id", "symbol", "start_line"))
+
+
+def _selectors(g: Graph, spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = g.nodes.where("kind = 'type'").select(F.col("id").alias("selector_id"), "file_path", "fqn", "start_line", "kind")
+    return R.resolve_selector(g.nodes, wanted).select("selector_id", "id", "matches")
+
+
+def _to_heal(g: Graph, spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = g.nodes.select(F.col("fqn").alias("to_fqn"))
+    sources = g.nodes.groupBy(F.col("fqn").alias("from_fqn")).agg(F.max_by(F.struct("project_id", "file_path"), "id").alias("s"))
+    unresolved = view(spark, sf_dir, "refs").where("to_fqn is not null").join(known, "to_fqn", "left_anti").join(sources, "from_fqn").select("s.*", "to_name")
+    return R.files_to_heal(unresolved, view(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))).select("file_path")
+
+
+_register("selector_resolution", _selectors)
+_register("files_to_heal", _to_heal)

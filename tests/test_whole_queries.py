@@ -1,0 +1,37 @@
+"""Queries over all roots, where a table has more of them than the small sets."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from graphloom.plans.whole_queries import FROM_ROOTS, NO_SQL, whole_sql
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+def test_no_whole_query_names_a_subset():
+    for name in [*FROM_ROOTS, "required_keys", "key_impact", "symbol_at", "nearest_declaration", "selector_resolution", "files_to_heal"]:
+        assert f"{name}_all" in entry.QUERIES
+        if name not in NO_SQL:
+            assert entry.SQL[f"{name}_all"] != entry.SQL[name] and "6000000012" not in entry.SQL[f"{name}_all"]
+
+
+@pytest.mark.parametrize("name", ["callers", "blast_radius", "selector_resolution"])
+def test_whole_query_equals_sql(spark, duck, name):
+    rel = duck.sql(whole_sql(name))
+    got = entry.QUERIES[f"{name}_all"](spark, SF).select(*rel.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rel.fetchall()))
+    assert len(got) > entry.QUERIES[name](spark, SF).count()
+
+
+def test_all_shortest_paths_hold_the_small_set(spark):
+    few = {tuple(r) for r in entry.QUERIES["shortest_paths"](spark, "/root/testdata/sf0.001").collect()}
+    assert few <= {tuple(r) for r in entry.QUERIES["shortest_paths_all"](spark, "/root/testdata/sf0.001").collect()}
