@@ -125,9 +125,14 @@ def cascade(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return best.select("id", F.when(F.col("b.mode") == 0, "name").otherwise("lexical").alias("mode"), F.row_number().over(W.orderBy("b")).alias("position")).where(F.col("position") <= limit)
 
 
-def embedding_text(nodes: DataFrame, cap: int = 2000) -> DataFrame:
-    """Text to embed: docstring, signature and name, cut at whole characters; each distinct text once with its digest."""
-    text = F.left(F.concat_ws("\n", F.when(F.col("docstring") != "", F.col("docstring")), "signature", "fqn"), F.lit(cap))
+def embedding_text(nodes: DataFrame, cap: int = 0) -> DataFrame:
+    """Text to embed: docstring, signature, name and, where nodes have a column ``source``, the source body; each text with its digest.
+
+    A ``cap`` above 0 cuts it at so many whole characters; nothing is cut by itself.
+    """
+    body = [F.when(F.col("source") != "", F.col("source"))] if "source" in nodes.columns else []
+    text = F.concat_ws("\n", F.when(F.col("docstring") != "", F.col("docstring")), "signature", "fqn", *body)
+    text = F.left(text, F.lit(cap)) if cap > 0 else text
     return nodes.where("kind <> 'file'").select("id", text.alias("text"), F.sha2(text, 256).alias("digest"))
 
 

@@ -7,6 +7,7 @@ from graphloom import schema
 from graphloom.operators import aggregates as A
 from graphloom.operators import maintenance as M
 from graphloom.operators import relations as R
+from graphloom.operators import search as S
 from graphloom.operators import traverse as T
 from graphloom.plans import reports as P
 from graphloom.schema import Graph
@@ -156,3 +157,13 @@ def test_features(spark):
 
     texts = spark.createDataFrame([("a.js", "x\napp.get('/users', list)\n"), ("main.go", "func main() {\n"), ("n.go", "nothing\n")], "file_path string, content string")
     assert {(r.file_path, r.line, r.kind, r.name) for r in E.features(texts).collect()} == {("a.js", 2, "http_route", "/users"), ("main.go", 1, "program", "main")}
+
+
+def test_embedding_text_is_whole(spark):
+    long = "x" * 2500
+    rows = [(1, "function", long + "a", "f()", "m.f", "body"), (2, "function", long + "b", "f()", "m.f", ""), (3, "function", "", "f()", "m.f", "body"), (4, "file", "", "", "m", None)]
+    nodes = spark.createDataFrame(rows, "id long, kind string, docstring string, signature string, fqn string, source string")
+    found = {r.id: r for r in S.embedding_text(nodes).collect()}
+    assert {k: r.text for k, r in found.items()} == {1: long + "a\nf()\nm.f\nbody", 2: long + "b\nf()\nm.f", 3: "f()\nm.f\nbody"}
+    assert len({r.digest for r in S.embedding_text(nodes.drop("source")).collect()}) == 3
+    assert all(len(r.text) <= 2000 for r in S.embedding_text(nodes, 2000).collect())
