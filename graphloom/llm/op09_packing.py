@@ -2,9 +2,10 @@
 
 The cost of a piece of n tokens is estimated as LINEAR * n + QUADRATIC * n * n (attention within the piece).
 Documents of one group (a bounded run of rows of one partition) are taken in descending cost; each goes to the
-sequence of lowest cost that has room for all of it, and is cut only where none has. A group opens as many
-full sequences as its tokens fill, and what is left goes to sequences of powers of two, which need no padding.
-A group holds at most GROUP_TOKENS tokens and its longest document, so memory does not grow with the input.
+sequence of lowest cost that has room for all of it, found exactly among all sequences of the group, and is cut only
+where none has. A group opens as many full sequences as its tokens fill, and what is left goes to sequences of powers
+of two, which need no padding. A group holds at most GROUP_TOKENS tokens and its longest block, and what a worker
+remembers of the tokenizer is bounded in bytes, so memory does not grow with the input.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from __future__ import annotations
 import heapq
 import zlib
 from array import array
-from collections import ChainMap
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,25 +22,27 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from .memo import Memo, distinct, expand
 from .runtime import blocks, ship
 from .textops import FIELD_BYTES, flat, span_hashes, spans
 
 CAPACITY = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-GROUP_TOKENS = 8_000_000
+GROUP_TOKENS = 4_000_000
 END_ID = 2
-#: White-space-delimited chunks, and words in them, whose ids a worker remembers; beyond it new ones are encoded again.
-MEMO_CHUNKS, MEMO_WORDS = 900_000, 500_000
+#: Bytes of white-space-delimited chunks, and of words in them, whose ids a worker remembers; others are encoded again.
+MEMO_CHUNK_BYTES, MEMO_WORD_BYTES = 32 << 20, 16 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_memos: dict[str, tuple] = {}
+_memos: dict[tuple, tuple] = {}
 #: What the tokenizer splits a normalised text into; between two matches there is nothing to encode. Must equal its own pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _tokenizer(path: str):
-    if path not in _memos:
+def _tokenizer(path: str, chunk_bytes: int, word_bytes: int):
+    key = (path, chunk_bytes, word_bytes)
+    if key not in _memos:
         import json
         import os
 
@@ -51,58 +54,73 @@ def _tokenizer(path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if (spec.get("pre_tokenizer") or {}).get("type") == "Sequence" else None
-        _memos[path] = (Tokenizer.from_file(path), {}, {}, regex.compile(WORDS) if split == WORDS else None)
-    return _memos[path]
+        _memos[key] = (Tokenizer.from_file(path), Memo(chunk_bytes), Memo(word_bytes), regex.compile(WORDS) if split == WORDS else None)
+    return _memos[key]
 
 
 def _pack_ids(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-def encode(texts: list[str], path: str, memo_chunks: int = MEMO_CHUNKS, memo_words: int = MEMO_WORDS) -> list[bytes]:
+Rows = tuple[np.ndarray, np.ndarray]
+
+
+def _looked_up(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, memo: Memo, fresh: Callable[[list[str]], Rows]) -> tuple[np.ndarray, Rows]:
+    """Which distinct string each span is, and the number of ids and the ids of each distinct one in turn; ``fresh`` gives those of new ones."""
+    key, check = span_hashes(buf, starts, ends), span_hashes(buf, starts, ends, other=True)
+    key, first, which = distinct(key, check)
+    check = check[first]
+    known, old_size, old_ids = memo.find(key, check)
+    new = np.flatnonzero(~known)
+    raw = buf.tobytes()
+    new_size, new_ids = fresh([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+    memo.add(key[new], check[new], new_size, new_ids)
+    size = np.zeros(len(key), np.int64)
+    size[known], size[new] = old_size, new_size
+    begin = np.empty(len(key), np.int64)
+    begin[known], begin[new] = np.cumsum(old_size) - old_size, len(old_ids) + np.cumsum(new_size) - new_size
+    return which, (size, np.concatenate([old_ids, new_ids])[expand(begin, size)])
+
+
+def _per_span(which: np.ndarray, rows: Rows) -> Rows:
+    size, ids = rows
+    begin = np.cumsum(size) - size
+    return size[which], ids[expand(begin[which], size[which])]
+
+
+def encode(texts: list[str], path: str, chunk_bytes: int = MEMO_CHUNK_BYTES, word_bytes: int = MEMO_WORD_BYTES) -> list[bytes]:
     """Little-endian 32-bit ids of each text, without special tokens added.
 
     No token spans white space, so the texts are cut at ASCII white space, and of the chunks of a call each distinct
     one is looked up once, or encoded from the words in it, which are encoded once too. Texts with a special string (such
     as ``<|endoftext|>``), and all texts if the file's pattern is not the one above, are encoded whole.
     """
-    tokenizer, memo, words, pattern = _tokenizer(path)
+    tokenizer, chunk_memo, word_memo, pattern = _tokenizer(path, chunk_bytes, word_bytes)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     whole = [i for i, text in enumerate(texts) if pattern is None or any(s in text for s in special)]
     column = pa.array(texts, pa.large_string())
     if whole:
         column = pc.if_else(pa.array(np.isin(np.arange(len(texts)), whole)), pa.scalar("", pa.large_string()), column)
+    normal = tokenizer.normalizer.normalize_str
+
+    def words_of(words: list[str]) -> Rows:
+        ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+
+    def chunks_of(chunks: list[str]) -> Rows:
+        parts = [pattern.findall(c.lower() if c.isascii() else normal(c)) for c in chunks]
+        n_parts = np.fromiter(map(len, parts), np.int64, len(parts))
+        buf, at = flat(pa.array(list(chain.from_iterable(parts)), pa.large_string()))
+        size, ids = _per_span(*_looked_up(buf, at[:-1], at[1:], word_memo, words_of))
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(n_parts)]
+        return np.diff(ends, prepend=0), ids
+
     buf, at = flat(column)
     starts, ends, doc = spans(buf, at, FIELD_BYTES)
-    _, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-    raw = buf.tobytes()
-    chunks = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    ids = list(map(memo.get, chunks))
-    missing = [k for k, x in enumerate(ids) if x is None]
-    normal = tokenizer.normalizer.normalize_str
-    parts = [pattern.findall(c.lower() if c.isascii() else normal(c)) for c in map(chunks.__getitem__, missing)]
-    new_words = list(set().union(*parts).difference(words))
-    word_ids = words
-    if new_words:
-        fresh_words = dict(zip(new_words, (_pack_ids(e.ids) for e in tokenizer.encode_batch_fast(new_words, add_special_tokens=False)), strict=True))
-        if len(words) < memo_words:
-            words.update(fresh_words)
-        else:
-            word_ids = ChainMap(fresh_words, words)
-    of = word_ids.__getitem__
-    for k, part in zip(missing, parts, strict=True):
-        ids[k] = b"".join(map(of, part))
-    if len(memo) < memo_chunks:
-        memo.update((chunks[k], ids[k]) for k in missing)
-    # Each occurrence takes the ids of its chunk.
-    table = np.frombuffer(b"".join(ids), np.uint32)
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    begin = np.cumsum(size) - size
-    n = size[which]
-    out_at = np.concatenate([[0], np.cumsum(n)])
-    flat_ids = table[np.arange(out_at[-1]) + np.repeat(begin[which] - out_at[:-1], n)]
-    cut = out_at[np.searchsorted(doc, np.arange(len(texts) + 1))]
-    out = [flat_ids[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    size, ids = _per_span(*_looked_up(buf, starts, ends, chunk_memo, chunks_of))
+    cut = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(doc, np.arange(len(texts) + 1))]
+    out = [ids[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
     for i in whole:
         out[i] = _pack_ids(tokenizer.encode(texts[i], add_special_tokens=False).ids)
     return out
@@ -122,50 +140,42 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
     rest = total % capacity
     sizes += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
     out: list[tuple[int, int, int, int, int]] = []
-    used = [0] * len(sizes)
-    # Of the sequences with room: a heap by cost, and room classes so that one that can hold a piece is found fast.
-    heap = [(0.0, s) for s in range(len(sizes))]
-    costs = [0.0] * len(sizes)
-
-    def put(d: int, start: int, n: int, s: int) -> None:
-        out.append((d, start, n, s, used[s]))
-        used[s] += n
-        costs[s] += cost(n)
-
+    used, costs = [0] * len(sizes), [0.0] * len(sizes)
     whole = 0  # sequences that a long document fills alone, from the front
     rests = []
     for d, left in enumerate(lengths):
         start = 0
         while left >= capacity:
-            put(d, start, capacity, whole)
+            out.append((d, start, capacity, whole, 0))
             start, left, whole = start + capacity, left - capacity, whole + 1
-        rests.append((-left, d, start))
+        if left:
+            rests.append((-left, d, start))
+    # Heaps by cost of the sequences with the same room, and the least cost of each.
+    by_room: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    least = np.full(capacity + 1, np.inf)
+
+    def offer(s: int) -> None:
+        room = sizes[s] - used[s]
+        if room:
+            heapq.heappush(by_room[room], (costs[s], s))
+            least[room] = by_room[room][0][0]
+
+    for s in range(whole, len(sizes)):
+        offer(s)
     for minus, d, start in sorted(rests):
         left = -minus
         while left:
-            passed = []
-            found = None
-            while heap:
-                c, s = heap[0]
-                if c != costs[s] or used[s] == sizes[s]:
-                    heapq.heappop(heap)  # out of date: it was filled or its cost has changed
-                    continue
-                if sizes[s] - used[s] >= left:
-                    found = s
-                    break
-                passed.append(heapq.heappop(heap))
-                if len(passed) >= 64:
-                    break
-            if found is None:  # none of the cheapest has room for all: fill the one with most room
-                found = max((s for _, s in passed), key=lambda s: (sizes[s] - used[s], -s))
-            n = min(left, sizes[found] - used[found])
-            put(d, start, n, found)
+            room = left + int(least[left:].argmin())
+            if least[room] == np.inf:  # none has room for all: fill the one with most room
+                room = int(np.flatnonzero(least < np.inf)[-1])
+            _, s = heapq.heappop(by_room[room])
+            least[room] = by_room[room][0][0] if by_room[room] else np.inf
+            n = min(left, room)
+            out.append((d, start, n, s, used[s]))
+            used[s] += n
+            costs[s] += cost(n)
             start, left = start + n, left - n
-            for entry in passed:
-                if entry[1] != found:
-                    heapq.heappush(heap, entry)
-            if used[found] < sizes[found]:
-                heapq.heappush(heap, (costs[found], found))
+            offer(s)
     return out
 
 

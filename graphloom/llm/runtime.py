@@ -10,17 +10,30 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..ship import ship
+from ..ship import ship as _ship
 
 __all__ = ["BLOCK_BYTES", "blocks", "drop_written", "ship", "shared_dir", "written"]
 
 #: Bytes of text that one vectorised step holds at a time; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes of one Arrow batch between Spark and Python; Spark's own default of 64 MB would be held several times over.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, and bound Arrow batches in bytes unless the session has a bound of its own below Spark's."""
+    _ship(spark)
+    if int(spark.conf.get(_BATCHES).rstrip("b")) >= 64 << 20:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own is set only where the session names none."""
+    """The folder all executors share; one of our own is set only where a local session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

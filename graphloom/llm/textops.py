@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Powers that stay in memory (8 bytes each, two tables); those of longer texts are made again.
+MOST_POWERS = 1 << 21
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 #: Bytes of words: ASCII letters, digits and underscore, and every byte of a character beyond ASCII.
@@ -33,7 +35,8 @@ def _power(kind: str, n: int) -> np.ndarray:
         while len(have) < n:
             last = have[-1:] * base
             have = np.concatenate([have, have * last])
-        _powers[kind] = have if len(have) <= 1 << 24 else have[: 1 << 24]
+        if len(have) <= MOST_POWERS:
+            _powers[kind] = have
     return have[:n]
 
 
@@ -62,11 +65,15 @@ def spans(buf: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray
     return starts, ends, np.searchsorted(at, starts, "right") - 1
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, from one polynomial prefix sum."""
+#: What a byte counts in the second of two independent hashes.
+_OTHER = mix(np.arange(256, dtype=U) + U(0x51ED270B))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, from one polynomial prefix sum; ``other`` gives a second, independent one."""
     n = len(buf)
     total = np.zeros(n + 1, U)
-    np.cumsum((buf.astype(U) + U(1)) * _power("up", n), out=total[1:])
+    np.cumsum((_OTHER[buf] if other else buf.astype(U) + U(1)) * _power("up", n), out=total[1:])
     h = (total[ends] - total[starts]) * _power("down", n + 1)[starts]
     return mix(h ^ (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 

@@ -44,7 +44,9 @@ def test_ids_equal_the_library():
     path = P.path("word_bpe_49k.json")
     want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts(), add_special_tokens=False)]
     assert op9.encode(texts(), path) == want
-    assert op9.encode(texts(), path, memo_chunks=10, memo_words=10) == want
+    assert op9.encode(texts(), path, 1000, 500) == want
+    both = [x for i in range(0, len(texts()), 7) for x in op9.encode(texts()[i : i + 7], path, 20_000, 9_000)]
+    assert both == want
 
 
 def test_pieces_rebuild_documents(spark):
