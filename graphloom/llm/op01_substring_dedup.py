@@ -211,7 +211,7 @@ def covered(low: np.ndarray, high: np.ndarray, length: int) -> list[tuple[int, i
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, **options) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text), as in SCHEMA; ``with_text`` adds ``text``, what remains,
-    where the parts of a character that was cut become U+FFFD.
+    without the parts of characters that were cut.
 
     Every byte goes that a string of ``length`` bytes covers which starts anywhere else as well, in the same text or another, as
     judged on the texts as they came. Null texts count as empty. Repeated rows are texts of their own, and so repeats of
@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
                     parts.append(raw[last:a])
                     last = b
                 kept = b"".join([*parts, raw[last:]])
-                rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace") if spans else text))
+                rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if spans else text))
             n_bytes, n_removed, n_spans, sums, left = zip(*rows, strict=True)
             columns = [block.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sums)]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(left, pa.string())] if with_text else []), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text])

@@ -16,7 +16,9 @@ g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + {_N} THEN 1
 s AS (SELECT doc_id, min(i) AS a, max(i) + {_N} AS b FROM g GROUP BY doc_id, k),
 p AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS last FROM s),
 r AS (SELECT h.doc_id, any_value(x) AS x, count(p.a) AS n_spans, coalesce(sum(b - a), 0) AS n_removed, coalesce(string_agg(substr(x, 2 * last + 1, 2 * (a - last)), '' ORDER BY a), '') AS head, coalesce(max(b), 0) AS rest FROM h LEFT JOIN p ON p.doc_id = h.doc_id GROUP BY h.doc_id)
-SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(head || substr(x, 2 * rest + 1))) AS kept_sha256 FROM r
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256,
+       decode(unhex(regexp_replace(kept, '((?:[0-7].)+|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].)|..', '\\1', 'g'))) AS text
+FROM (SELECT *, head || substr(x, 2 * rest + 1) AS kept FROM r)
 """
 
 _WORD = r"[0-9a-z_\x{80}-\x{10FFFF}]+"
