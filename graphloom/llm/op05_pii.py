@@ -2,8 +2,8 @@
 
 Plain identifiers are found on the text itself. Then transducers normalise disguises one after another - look-alike
 characters, spelled digits, dots in numbers, and at/dot words - each keeping its edits, the same detectors run on the result, and a
-span found there is mapped back through the edits to source characters. Found spans that touch a plain one of their kind
-are not added, so plain spans always stay as they are.
+span found there is mapped back through the edits to source characters. A found span that lies within a plain one of its
+kind is not added; a wider one is added beside it, so plain spans always stay as they are. Every scan is linear in the text.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 Span = tuple[int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9.]*[0-9]\.[0-9.]*")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+#: Numbers joined by single dots; tried only where a number begins, and without backtracking.
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -55,7 +56,7 @@ def ips(text: str) -> list[Span]:
     for run in _DOTTED.finditer(text):
         at, row = run.start(), []
         for part in run.group().split("."):
-            row = [*row, (at, at + len(part))] if part else []
+            row.append((at, at + len(part)))
             if len(row) == 4:
                 values = [text[a:b].lstrip("0") for a, b in row]
                 if all(len(v) <= 3 and int(v or 0) <= 255 for v in values):
@@ -207,10 +208,26 @@ _LABEL = r"[A-Za-z0-9-]+"
 _ADDRESS = re.compile(rf"(?P<at>{_AT}|@){_LABEL}(?:(?:{_DOT}|\.){_LABEL})+", re.IGNORECASE)
 _COMMON = frozenset(TOP_NAMES.split("|"))
 _LAST_LOCAL = re.compile(r"[A-Za-z0-9%+_.-]$")
-_LOCAL_DOT = re.compile(rf"[A-Za-z0-9%+_-]+(?:{_DOT}[A-Za-z0-9%+_-]+)+$", re.IGNORECASE)
+_DOT_AT_END = re.compile(rf"(?:{_DOT})$", re.IGNORECASE)
 _DOT_PART = re.compile(_DOT, re.IGNORECASE)
-#: Characters before an address's @ in which disguised dots of its local part are looked for.
-LOCAL_REACH = 128
+#: Longest disguised dot.
+_DOT_LENGTH = 12
+_LABEL_BEFORE = _LOCAL - {"."}
+
+
+def _local_dots(text: str, least: int, end: int) -> list[tuple[int, int, str]]:
+    """Edits of the disguised dots in the local part that ends at ``end`` and begins at ``least`` or later."""
+    out: list[tuple[int, int, str]] = []
+    at = end
+    while True:
+        while at > least and text[at - 1] in _LABEL_BEFORE:
+            at -= 1
+        low = max(least, at - _DOT_LENGTH)
+        m = _DOT_AT_END.search(text[low:at])
+        if not m or low + m.start() == least or text[low + m.start() - 1] not in _LABEL_BEFORE:
+            return out[::-1]
+        out.append((low + m.start(), at, "."))
+        at = low + m.start()
 
 
 def _known_top(domain: str) -> bool:
@@ -236,9 +253,8 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
             continue
         edits = [(a, b, "@")] if text[a:b] != "@" else []
         edits += [(b + d.start(), b + d.end(), ".") for d in disguised]
-        reach = max(done, a - LOCAL_REACH)
-        if edits and (local := _LOCAL_DOT.search(text, reach, a)):
-            edits = [(local.start() + d.start(), local.start() + d.end(), ".") for d in _DOT_PART.finditer(local.group())] + edits
+        if edits:
+            edits = _local_dots(text, done, a) + edits
         out += edits
         done = m.end()
     return out
@@ -264,13 +280,16 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
             now = stages[-1].text
     if stages:
         for kind, spans in detect(now).items():
+            plain, last = base[kind], 0
             for span in spans:
                 a, b = span
                 for stage in reversed(stages):
                     a, b = stage.source(a, b)
-                taken = base[kind] + added[kind]
-                if text[a:b] != now[span[0] : span[1]] and not any(a < y and x < b for x, y in taken):
+                k = bisect_right(plain, (a, len(text))) - 1
+                within = b <= last or (k >= 0 and b <= plain[k][1])
+                if text[a:b] != now[span[0] : span[1]] and not within:
                     added[kind].append((a, b))
+                    last = b
     return base, added
 
 

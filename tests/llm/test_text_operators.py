@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -161,6 +162,39 @@ def test_prose_has_no_personal_data(text):
     assert not any(base.values()) and not any(added.values())
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "base_found", "found"),
+    [
+        ("jοhn@example.com", "email", "hn@example.com", "jοhn@example.com"),
+        ("mail x@b.de at noon dot", "email", "x@b.de", None),
+        ("ip 10.0.0.1 and 1０.0.0.12.", "ip", "10.0.0.1", "1０.0.0.12"),
+    ],
+)
+def test_wider_spans_stand_beside_plain_ones(text, kind, base_found, found):
+    base, added = op5.find(text)
+    assert base_found in [text[a:b] for a, b in base[kind]]
+    assert [text[a:b] for a, b in added[kind]] == ([found] if found else [])
+    assert all(not (x <= a and b <= y) for a, b in added[kind] for x, y in base[kind])
+
+
+def test_local_part_has_no_limit():
+    text = "write " + " dot ".join(["part"] * 400) + " at gmail dot com"
+    _, added = op5.find(text)
+    assert [text[a:b] for a, b in added["email"]] == [text[6:]]
+
+
+@pytest.mark.parametrize("unit", ["1", "1.", "@", "a@", "a.", " at a", "+1 ", "one ", "1 ", "  ", "a@b.c ", "1.2.3.4 ", "(", " dot a", "é", "０", "a [at] b [dot] c "])
+def test_personal_data_is_linear_in_the_text(unit):
+    def seconds(n):
+        text = "a@b.cd 1.2.3.4 one two three. " + unit * (n // len(unit)) + " x at y dot com"
+        began = time.process_time()
+        op5.find(text)
+        return time.process_time() - began
+
+    small, large = seconds(40_000), seconds(400_000)
+    assert large < 30 * max(small, 0.02)
+
+
 def test_personal_data_digest(spark):
     row = op5.personal_data(spark.createDataFrame([(1, "é a@b.cd and x [at] y [dot] zz")], "doc_id long, text string")).first()
     assert row.base_sha256 == hashlib.sha256(b"email:2:8").hexdigest()
