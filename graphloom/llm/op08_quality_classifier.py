@@ -33,17 +33,17 @@ SHAPE = 0.3
 
 
 def labelled(docs: DataFrame) -> tuple[DataFrame, list[tuple[str, float, float]]]:
-    """(doc_id, posterior) of each row, and (labeller, P(bad vote | good), P(good vote | good)) as estimated."""
+    """(doc_id, posterior) of each row, and (labeller, P(bad vote | good), P(bad vote | junk)) as estimated, both of the votes it gives."""
     named = rules(MIN_WORDS)
     table = written(features(docs).select("doc_id", *(v.cast("int").alias(k) for k, v in named.items())))
     counts = table.groupBy(*named).count().collect()  # at most 3 ** labellers rows
     patterns = sorted((tuple(r[v] for v in named), r["count"]) for r in counts)
-    prior, p = estimate(patterns, len(named))
+    prior, bad = estimate(patterns, len(named))
     seen = np.array([k for k, _ in patterns], int).reshape(-1, len(named))
-    good = class_posteriors(seen + 1, prior, p)[:, 0]
+    good = class_posteriors(seen, prior, bad)[:, 0]
     rows = [(*map(int, k), float(g)) for k, g in zip(seen, good, strict=True)]
     known = docs.sparkSession.createDataFrame(rows, ", ".join(f"{v} int" for v in named) + ", posterior double")
-    return table.join(F.broadcast(known), list(named)).select("doc_id", "posterior"), [(k, float(p[r, 0, 0]), float(p[r, 0, 2])) for r, k in enumerate(named)]
+    return table.join(F.broadcast(known), list(named)).select("doc_id", "posterior"), [(k, float(bad[r, 0]), float(1 - prior[1:] @ (1 - bad[r, 1:]) / prior[1:].sum())) for r, k in enumerate(named)]
 
 
 def vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -69,8 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> np.
     n = labels.count()
     if not n:
         return np.zeros(DIMENSIONS + 1)
-    ppm = min(1_000_000, max(1, 1_000_000 * train_rows // n))
-    some = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < ppm
+    some = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= F.lit(min((1 << 63) - 1, (train_rows << 63) // n))
     shares = max(1, min(n, train_rows) // SHARE_ROWS)
     sample = docs.selectExpr("cast(doc_id as long) doc_id", "text").where(some).join(labels.where(some).dropDuplicates(["doc_id"]), "doc_id")
     sample = sample.select("doc_id", "text", "posterior").repartition(shares, "doc_id").sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "text")
