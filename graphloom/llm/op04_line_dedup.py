@@ -6,8 +6,8 @@ templates in which one third of the rest is free, so that fields without digits
 A template that recurs in MIN_DOCS documents or more, with not all of them equal texts, is dropped from every document
 but the one of smallest doc_id.
 
-The SQL of op4_line_dedup knows no templates of lines with fewer than MIN_CONSTANT constant tokens and no free third below
-MIN_FREE tokens. That query keeps to it (``short=False``); op4_line_dedup_all and the pipeline take every line.
+Keys are 64-bit hashes. Of 10 ** 12 distinct keys with 10 ** 9 recurring ones among them, some 50 that recur nowhere are expected
+to share the hash of one that does, and go with it.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import ship, written
+from .runtime import drop_written, ship, written
 
 MIN_DOCS = 5
 DEPTH = 2
-#: Fewer tokens that are no variable fields make no template with a free third, and with ``short=False`` no template at all.
+#: Fewer tokens that are no variable fields make no template with a free third.
 MIN_CONSTANT = 2
 #: From so many tokens on, a template may leave a third of its rest free.
 MIN_FREE = 12
@@ -33,12 +33,11 @@ _NON_FIELD = f"[^{BLANKS}0-9]"
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
-def template_keys(line: Column, short: bool = True) -> Column:
+def template_keys(line: Column) -> Column:
     """The 64-bit keys of the templates of a line: its own, and those with a free third. Empty if it makes none.
 
     A line with a constant token has a key of its own; a line of fields alone has one only in a script without blanks,
-    where only the digits are fields. Without ``short``, lines of fewer than MIN_CONSTANT constant tokens have none, and
-    those of fewer than MIN_FREE tokens no free third.
+    where only the digits are fields. A blank line has none.
     """
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, f"(?<![^{BLANKS}]){_NON_FIELD}*+[0-9][^{BLANKS}]*", FIELD)).otherwise(line)
     tokens = F.split(F.btrim(masked, F.lit(BLANKS)), f"[{BLANKS}]+")
@@ -54,8 +53,6 @@ def template_keys(line: Column, short: bool = True) -> Column:
         free = [F.xxhash64(F.lit(k), lead, *(x for j, x in enumerate(thirds) if j != k)) for k in range(3)]
         constant = F.size(F.array_remove(t, FIELD))
         long = F.when((n >= MIN_FREE) & (constant >= MIN_CONSTANT), F.array(own, *free))
-        if not short:
-            return long.when(constant >= MIN_CONSTANT, F.array(own)).otherwise(none)
         outside = [constant - F.size(F.array_remove(x, FIELD)) for x in thirds]
         some = F.array(own, *(F.when(c >= MIN_CONSTANT, x).otherwise(own) for c, x in zip(outside, free, strict=True)))
         unspaced = F.when(line.rlike(UNSPACED), F.array(F.xxhash64(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), "[0-9]+", FIELD)))).otherwise(none)
@@ -66,10 +63,10 @@ def template_keys(line: Column, short: bool = True) -> Column:
     return F.flatten(F.transform(F.array(tokens), keys))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short: bool = True) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with ``text`` without the lines of recurring templates, and with n_lines and n_dropped as (last) columns.
 
-    Lines are what stands between line ends; blank lines and lines without a template stay (see template_keys for ``short``).
+    Lines are what stands between line ends; blank lines and lines without a template stay.
     Every row stays, if need be with an empty text. A null text stays null and has no lines; an empty one has one.
     Rows that repeat a doc_id count as documents each and lose the same lines. An empty table gives no rows. Other
     columns pass through; columns named n_lines or n_dropped are replaced.
@@ -77,7 +74,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short: bool
     spark = docs.sparkSession
     ship(spark)
     lines = F.split(F.col("text"), "\n", -1)
-    all_keys = F.array_distinct(F.flatten(F.transform(lines, lambda x: template_keys(x, short))))
+    all_keys = F.array_distinct(F.flatten(F.transform(lines, template_keys)))
     keyed = written(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), all_keys.alias("keys")))
     exploded = keyed.select("doc_id", "body", F.explode("keys").alias("key"))
     recurring = written(
@@ -87,9 +84,11 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short: bool
         .select("key", "keeper")
     )
     lost = written(exploded.select("doc_id", "key").join(recurring, "key").where("doc_id <> keeper").select("doc_id", "key"))
+    drop_written(keyed)
+    drop_written(recurring)
     per_doc = lost.groupBy("doc_id").agg(F.collect_set("key").alias("__lost")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(per_doc, docs["doc_id"].cast("long") == F.col("__id"), "left")
-    kept = F.filter(lines, lambda x: ~F.arrays_overlap(template_keys(x, short), F.col("__lost")))
+    kept = F.filter(lines, lambda x: ~F.arrays_overlap(template_keys(x), F.col("__lost")))
     rest = F.when(F.col("__lost").isNull(), lines).otherwise(kept)
     out = joined.withColumn("__kept", rest)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
@@ -99,21 +98,12 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short: bool
     return out.withColumn("text", text).drop("__kept", "__lost", "__id")
 
 
-def _query(spark: SparkSession, sf_dir: str, short: bool) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_recurring_lines(docs, short=short).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
-
-
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL has it, which leaves out the templates of short lines."""
-    return _query(spark, sf_dir, short=False)
-
-
-def op4_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line, short ones and those in scripts without blanks too."""
-    return _query(spark, sf_dir, short=True)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return drop_recurring_lines(docs).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
 
 
+SQL_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 _BLANK = r"[ \t\x0b\f\r]"
 #: The same in SQL, on the templates themselves instead of their hashes. LINES and LOST can go before other statements.
 SQL_LINES = rf"""
@@ -122,16 +112,31 @@ line_rows AS (
          list_transform(string_split_regex(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '{_BLANK}+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t
   FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)
 ),
+line_thirds AS (
+  SELECT *, len(t) AS n, len(t) - {DEPTH} AS rest, t[{DEPTH + 1} : {DEPTH} + (len(t) - {DEPTH}) // 3] AS t0,
+         t[{DEPTH + 1} + (len(t) - {DEPTH}) // 3 : {DEPTH} + 2 * (len(t) - {DEPTH}) // 3] AS t1, t[{DEPTH + 1} + 2 * (len(t) - {DEPTH}) // 3 :] AS t2,
+         array_to_string(t, ' ') AS own, len(list_filter(t, lambda x: x <> '<*>')) AS constant
+  FROM line_rows
+),
+line_free AS (
+  SELECT *, concat_ws(chr(10), '0', n, t[1], t[2], array_to_string(t1, ' '), array_to_string(t2, ' ')) AS f0,
+         concat_ws(chr(10), '1', n, t[1], t[2], array_to_string(t0, ' '), array_to_string(t2, ' ')) AS f1,
+         concat_ws(chr(10), '2', n, t[1], t[2], array_to_string(t0, ' '), array_to_string(t1, ' ')) AS f2
+  FROM line_thirds
+),
 line_keys AS (
   SELECT doc_id, body, pos, unnest(CASE
-      WHEN len(list_filter(t, lambda x: x <> '<*>')) < {MIN_CONSTANT} THEN []
-      WHEN len(t) < {MIN_FREE} THEN [array_to_string(t, ' ')]
-      ELSE [array_to_string(t, ' '),
-            concat_ws(chr(10), '0', len(t), t[1], t[2], array_to_string(t[{DEPTH + 1} + (len(t) - {DEPTH}) // 3 : {DEPTH} + 2 * (len(t) - {DEPTH}) // 3], ' '), array_to_string(t[{DEPTH + 1} + 2 * (len(t) - {DEPTH}) // 3 :], ' ')),
-            concat_ws(chr(10), '1', len(t), t[1], t[2], array_to_string(t[{DEPTH + 1} : {DEPTH} + (len(t) - {DEPTH}) // 3], ' '), array_to_string(t[{DEPTH + 1} + 2 * (len(t) - {DEPTH}) // 3 :], ' ')),
-            concat_ws(chr(10), '2', len(t), t[1], t[2], array_to_string(t[{DEPTH + 1} : {DEPTH} + (len(t) - {DEPTH}) // 3], ' '), array_to_string(t[{DEPTH + 1} + (len(t) - {DEPTH}) // 3 : {DEPTH} + 2 * (len(t) - {DEPTH}) // 3], ' '))]
+      WHEN n >= {MIN_FREE} AND constant >= {MIN_CONSTANT} THEN [own, f0, f1, f2]
+      WHEN n = 1 AND own = '' THEN []
+      WHEN constant = 0 AND regexp_matches(line, '{SQL_UNSPACED}') THEN ['u' || chr(10) || regexp_replace(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[0-9]+', '<*>', 'g')]
+      WHEN constant = 0 THEN []
+      WHEN n >= {MIN_SHORT} AND n < {MIN_FREE} THEN [own,
+            CASE WHEN constant - len(list_filter(t0, lambda x: x <> '<*>')) >= {MIN_CONSTANT} THEN f0 ELSE own END,
+            CASE WHEN constant - len(list_filter(t1, lambda x: x <> '<*>')) >= {MIN_CONSTANT} THEN f1 ELSE own END,
+            CASE WHEN constant - len(list_filter(t2, lambda x: x <> '<*>')) >= {MIN_CONSTANT} THEN f2 ELSE own END]
+      ELSE [own]
     END) AS key
-  FROM line_rows
+  FROM line_free
 ),
 recurring AS (
   SELECT key, min(doc_id) AS keeper FROM (SELECT DISTINCT doc_id, md5(body) AS body, key FROM line_keys)
