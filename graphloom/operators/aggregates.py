@@ -127,9 +127,13 @@ def folder_flows(graph: Graph) -> DataFrame:
     return pairs.select(F.inline(flows), "n").groupBy("folder").pivot("direction", ["internal", "out", "in"]).agg(F.sum("n")).fillna(0).withColumnsRenamed({"out": "outgoing", "in": "incoming"})
 
 
+#: Share of its methods' scores that a type gains (fixed value).
+MEMBERS = 0.3
+
+
 def key_symbols(graph: Graph, per_file: int = 3) -> DataFrame:
-    """The leading symbols of every file. Score: exact calls 1, references 0.5, calls by name 1 / definitions; unexported names count
-    0.8 of it with a docstring and 0.4 without; main counts 0.5 more."""
+    """The leading symbols of every file. Score: exact calls 1, references 0.5, calls by name 1 / definitions; a type or
+    class gains MEMBERS of the scores of its methods in its folder; unexported names count 0.8 of it with a docstring and 0.4 without; main counts 0.5 more."""
     incoming = graph.edges.groupBy(F.col("target_id").alias("id")).agg(
         F.sum(((F.col("edge_type") == "calls") & (F.col("provenance") == "precise")).cast("long")).alias("precise"),
         F.sum(((F.col("edge_type") == "calls") & (F.col("provenance") != "precise")).cast("long")).alias("named"),
@@ -137,6 +141,14 @@ def key_symbols(graph: Graph, per_file: int = 3) -> DataFrame:
     )
     symbols = graph.nodes.where("kind not in ('file', 'test')").join(incoming, "id", "left").fillna(0, ["precise", "named", "refs"]).join(definition_counts(graph), ["project_id", "symbol"], "left")
     base = F.col("precise") + F.col("named") / F.greatest(F.coalesce("definitions", F.lit(1)), F.lit(1)) + 0.5 * F.col("refs")
+    symbols = symbols.withColumn("base", base)
+    # "pkg.Type.method" counts for the type whose full name is "pkg.Type".
+    owner = F.substring_index("fqn", ".", -1)
+    of = F.expr("left(fqn, length(fqn) - length(substring_index(fqn, '.', -1)) - 1)")
+    methods = symbols.where((F.col("kind") == "method") & (owner != F.col("fqn"))).groupBy("project_id", paths.folder(F.col("file_path")).alias("dir"), of.alias("fqn")).agg(F.sum("base").alias("of_members"))
+    symbols = symbols.withColumn("dir", paths.folder(F.col("file_path"))).join(methods, ["project_id", "dir", "fqn"], "left").drop("dir")
+    gained = F.when(F.col("kind").isin("type", "class"), MEMBERS * F.coalesce("of_members", F.lit(0.0))).otherwise(0.0)
+    base = F.col("base") + gained
     factor = F.when(names.is_exported(F.col("symbol")), 1.0).when(F.coalesce("docstring", F.lit("")) != "", 0.8).otherwise(0.4)
     score = scores.round_half_up(base * factor + F.when(F.col("symbol") == "main", 0.5).otherwise(0.0), 3)
     ranked = symbols.withColumn("score", score).withColumn("rn", F.row_number().over(W.partitionBy("file_path").orderBy(F.desc("score"), "start_line", "fqn", "id")))

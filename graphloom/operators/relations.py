@@ -209,20 +209,33 @@ def resolve_references(graph: Graph, refs: DataFrame) -> DataFrame:
 
     A full target name decides alone and is precise. Else all namesakes of a related language are candidates, and an unqualified
     name keeps those of its own folder if there are any. All survivors become edges; edges to oneself go.
+
+    Two more columns may come. ``file_path`` is the file a reference stands in: of definitions with the name ``from_fqn`` that file's
+    own is its source, and without from_fqn the file itself. ``to_kinds`` lists the kinds that can be meant: then folders do not
+    matter, and the last part of a dotted table or view is a name of it too.
     """
     nodes = graph.nodes.where("kind <> 'file'")
     family = language_family(F.col("language"))
     last = F.max_by(F.struct("id", "file_path", family.alias("family")), F.col("id"))
     by_name = nodes.groupBy("fqn").agg(last.alias("s"))
-    src = by_name.select(F.col("fqn").alias("from_fqn"), F.col("s.id").alias("source_id"), paths.folder(F.col("s.file_path")).alias("source_dir"), F.col("s.family").alias("source_family"))
-    located = refs.join(src, "from_fqn")
+    place = [F.col("s.id").alias("source_id"), paths.folder(F.col("s.file_path")).alias("source_dir"), F.col("s.family").alias("source_family")]
+    refs = refs if "to_kinds" in refs.columns else refs.withColumn("to_kinds", F.lit(None).cast("array<string>"))
+    located = refs.join(by_name.select(F.col("fqn").alias("from_fqn"), *place), "from_fqn")
+    if "file_path" in refs.columns:
+        own = nodes.groupBy("fqn", "file_path").agg(last.alias("s")).select(F.col("fqn").alias("from_fqn"), "file_path", *place)
+        here = refs.join(own, ["from_fqn", "file_path"])
+        top = graph.nodes.where("kind = 'file'").groupBy("file_path").agg(last.alias("s")).select("file_path", *place)
+        of_file = refs.where("from_fqn is null").join(top, "file_path")
+        located = here.unionByName(located.join(here.select("ref_id"), "ref_id", "left_anti")).unionByName(of_file)
     exact = located.where("to_fqn is not null").join(by_name.select(F.col("fqn").alias("to_fqn"), F.col("s.id").alias("target_id")), "to_fqn")
     exact = exact.select("ref_id", "source_id", "target_id", "kind", F.lit(1.0).alias("weight"), F.lit("precise").alias("provenance"))
-    target = nodes.select(F.col("symbol").alias("to_name"), F.col("id").alias("target_id"), paths.folder(F.col("file_path")).alias("target_dir"), family.alias("target_family"), F.col("language").alias("target_language"))
-    named = located.where("to_fqn is null").join(target, "to_name")
+    target = nodes.select(F.col("symbol").alias("to_name"), F.col("id").alias("target_id"), F.col("kind").alias("target_kind"), paths.folder(F.col("file_path")).alias("target_dir"), family.alias("target_family"), F.col("language").alias("target_language"))
+    tails = target.where("target_kind in ('table', 'view') and to_name like '%.%'").withColumn("to_name", F.substring_index("to_name", ".", -1))
+    named = located.where("to_fqn is null").join(target.withColumn("tail", F.lit(False)).unionByName(tails.withColumn("tail", F.lit(True))), "to_name")
+    named = named.where("case when to_kinds is null then not tail else array_contains(to_kinds, target_kind) end")
     foreign = F.col("kind").isin("calls", "references") & (F.col("target_language").isin("sql", "yaml", "markdown") | (F.col("target_family") != F.col("source_family")))
     named = named.where(~F.coalesce(foreign, F.lit(False)))
     near = F.max((F.col("source_dir") == F.col("target_dir")).cast("int")).over(W.partitionBy("ref_id"))
-    named = named.withColumn("near", near).where("qualified or near = 0 or source_dir = target_dir")
+    named = named.withColumn("near", near).where("qualified or to_kinds is not null or near = 0 or source_dir = target_dir")
     named = named.select("ref_id", "source_id", "target_id", "kind", F.when(F.col("qualified"), 0.7).otherwise(1.0).alias("weight"), F.lit("name").alias("provenance"))
     return exact.unionByName(named).where("source_id <> target_id")

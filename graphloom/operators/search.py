@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,26 +72,42 @@ def bm25(docs: DataFrame, key: str, text: Column, query: str, limit: int = 50) -
 #: Behaviour comes before declarations, and those before data.
 KIND_RANK = {"function": 0, "method": 0, "class": 0, "test": 0, "type": 1, "module": 1}
 OTHER_KIND = 2
+#: What a word that stands in most nodes counts.
+LEAST_IDF = 1e-6
 
 
 def lexical_search(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """Nodes by weighted field matches of the search terms, re-ranked by terms covered, product code before tests, and kind."""
+    """Nodes with a word that begins with a search term: by terms covered, product code before tests, kind, then BM25 over weighted fields.
+
+    A term counts in a field as often as words begin with it, times the field's weight; document frequencies and the mean length
+    (words of all fields, files among them) are one row of sums. An idf that would be negative is next to nothing. The order
+    is of all nodes that match, not of the best by BM25 alone.
+    """
     terms = names.lexical_terms(query)
     if not terms:
-        return nodes.limit(0).select("id", F.lit(0.0).alias("score"))
-    weighted, covered = F.lit(0.0), F.lit(0)
-    for t in terms:
+        return nodes.limit(0).select("*", F.lit(0.0).alias("weight"), F.lit(0).alias("covered"), F.lit(0).alias("kind_rank"), F.lit(0).alias("is_test"), F.lit(0.0).alias("score"))
+    counted = nodes.select("*", *(words_of(F.col(f)).alias(f"w_{f}") for f in FIELD_WEIGHTS))
+    per_term = lambda t: sum((weight * F.size(F.filter(F.col(f"w_{f}"), lambda w: w.startswith(t))) for f, weight in FIELD_WEIGHTS.items()), F.lit(0.0))
+    length = sum((F.size(f"w_{f}") for f in FIELD_WEIGHTS), F.lit(0))
+    counted = counted.select(*nodes.columns, length.alias("dl"), *(per_term(t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    sums = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()
+    weight, covered, any_term = F.lit(0.0), F.lit(0), F.lit(False)
+    for i, t in enumerate(terms):
+        df = sums[f"df{i}"] or 0
+        idf = max(math.log((sums["n"] - df + 0.5) / (df + 0.5)), LEAST_IDF)
+        tf = F.col(f"tf{i}")
+        weight = weight + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(sums["mean"] or 1) or 1.0)))
+        any_term = any_term | (tf > 0)
         hit = F.lit(False)
-        for field, weight in FIELD_WEIGHTS.items():
-            here = F.lower(F.coalesce(F.col(field), F.lit(""))).contains(t)
-            weighted, hit = weighted + F.when(here, weight).otherwise(0.0), hit | here
+        for field in FIELD_WEIGHTS:
+            hit = hit | F.lower(F.coalesce(F.col(field), F.lit(""))).contains(t)
         covered = covered + hit.cast("int")
     kind = F.lit(OTHER_KIND)
     for k, rank in KIND_RANK.items():
         kind = F.when(F.col("kind") == k, rank).otherwise(kind)
     test = paths.is_test_node(F.col("kind"), F.col("file_path"))
-    found = nodes.where("kind <> 'file'").select("*", weighted.alias("weight"), covered.alias("covered"), kind.alias("kind_rank"), test.cast("int").alias("is_test")).where("covered > 0")
-    ordered = found.orderBy(F.desc("covered"), "is_test", "kind_rank", F.desc("weight"), F.length("symbol"), "symbol", "file_path", "start_line", "id").limit(limit)
+    found = counted.where((F.col("kind") != "file") & any_term).select(*nodes.columns, scores.round_half_up(weight, 6).alias("weight"), covered.alias("covered"), kind.alias("kind_rank"), test.cast("int").alias("is_test"))
+    ordered = found.orderBy(F.desc("covered"), "is_test", "kind_rank", F.desc("weight"), "id").limit(limit)
     return ordered.withColumn("score", scores.round_half_up(F.col("covered") / len(terms), 6))
 
 
@@ -120,7 +137,7 @@ def fuse(vector_hits: DataFrame, lexical_hits: DataFrame, key: str, kind: str =
 def cascade(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Name hits, then lexical hits not among them, up to ``limit``, with the mode that found each."""
     named = search_names(nodes, query, limit).select("id", F.lit(0).alias("mode"), F.row_number().over(W.orderBy("tier", F.desc("exact"), F.desc("prefix"), F.length("symbol"), "symbol", "file_path", "start_line", "id")).alias("rn"))
-    lexical = lexical_search(nodes, query, limit).select("id", F.lit(1).alias("mode"), F.row_number().over(W.orderBy(F.desc("covered"), "is_test", "kind_rank", F.desc("weight"), F.length("symbol"), "symbol", "file_path", "start_line", "id")).alias("rn"))
+    lexical = lexical_search(nodes, query, limit).select("id", F.lit(1).alias("mode"), F.row_number().over(W.orderBy(F.desc("covered"), "is_test", "kind_rank", F.desc("weight"), "id")).alias("rn"))
     best = named.unionByName(lexical).groupBy("id").agg(F.min(F.struct("mode", "rn")).alias("b"))
     return best.select("id", F.when(F.col("b.mode") == 0, "name").otherwise("lexical").alias("mode"), F.row_number().over(W.orderBy("b")).alias("position")).where(F.col("position") <= limit)
 

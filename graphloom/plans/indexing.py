@@ -40,25 +40,37 @@ def reference_edges(nodes: DataFrame, own: DataFrame, rows: DataFrame, manifest:
     files = own.where("kind = 'file'").select(F.col("id").alias("source_id"), "file_path")
     all_files = nodes.where("kind = 'file'").select(F.col("id").alias("target_id"), F.col("file_path").alias("target"))
     defines = own.where("kind <> 'file'").join(files, "file_path").select("source_id", F.col("id").alias("target_id"), F.lit("defines").alias("edge_type"), F.lit(1.0).alias("weight"), F.lit("name").alias("provenance"))
-    links = resolve_imports(refs.where("kind in ('imports', 'documents')").select("file_path", F.col("name").alias("spec")).distinct(), manifest)
-    imports = links.join(files, "file_path").join(all_files, "target").where("source_id <> target_id").select("source_id", "target_id", F.lit("imports").alias("edge_type"), F.lit(1.0).alias("weight"), F.lit("name").alias("provenance")).distinct()
-    named = refs.where("kind not in ('imports', 'documents') and from_fqn is not null")
+    files_named = refs.where("kind in ('imports', 'documents')").select("file_path", "kind", F.col("name").alias("spec")).distinct()
+    links = resolve_imports(files_named.select("file_path", "spec").distinct(), manifest).join(files_named, ["file_path", "spec"])
+    imports = links.join(files, "file_path").join(all_files, "target").where("source_id <> target_id").select("source_id", "target_id", F.col("kind").alias("edge_type"), F.lit(1.0).alias("weight"), F.lit("name").alias("provenance")).distinct()
+    named = refs.where("kind not in ('imports', 'documents')")
+    by_last = F.col("kind").isin("calls", "references", "extends", "implements")
     asked = named.select(
         F.xxhash64("file_path", "kind", "name", "from_fqn", "start_line").alias("ref_id"),
-        F.concat_ws(".", module_name(F.col("file_path")), "from_fqn").alias("from_fqn"),
-        names.bare(F.col("name")).alias("to_name"),
+        F.when(F.col("from_fqn").isNotNull(), F.concat_ws(".", module_name(F.col("file_path")), "from_fqn")).alias("from_fqn"),
+        F.when(by_last, names.bare(F.col("name"))).otherwise(F.col("name")).alias("to_name"),
         "kind",
         F.col("name").contains(".").alias("qualified"),
         F.lit(None).cast("string").alias("to_fqn"),
+        F.when(F.col("kind").isin("reads", "writes"), F.array(F.lit("table"), F.lit("view"))).when(F.col("kind") == "styles", F.array(F.lit("selector"))).alias("to_kinds"),
         "file_path",
     ).dropDuplicates(["ref_id"])
     asked = cut(asked)
-    met = cut(R.resolve_references(Graph(nodes, nodes.limit(0)), asked.drop("file_path")))
+    met = cut(_own_styles(R.resolve_references(Graph(nodes, nodes.limit(0)), asked), asked, nodes, links))
     resolved = met.select("source_id", "target_id", F.col("kind").alias("edge_type"), "weight", "provenance").distinct()
     unresolved = asked.join(met.select("ref_id"), "ref_id", "left_anti").select("file_path", "to_name", "kind").distinct()
     return defines.unionByName(imports).unionByName(resolved), unresolved
 
 
+def _own_styles(met: DataFrame, asked: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """A style is meant of the file itself and the sheets it imports, if they have it; else of any sheet."""
+    styles = met.where("kind = 'styles'").join(asked.select("ref_id", "file_path"), "ref_id").join(nodes.select(F.col("id").alias("target_id"), F.col("file_path").alias("target")), "target_id")
+    scope = links.select("file_path", "target", F.lit(True).alias("imported")).distinct()
+    close = (F.col("file_path") == F.col("target")) | F.coalesce("imported", F.lit(False))
+    placed = styles.join(scope, ["file_path", "target"], "left").withColumn("close", close).withColumn("any_close", F.bool_or("close").over(W.partitionBy("ref_id")))
+    return met.where("kind <> 'styles'").unionByName(placed.where("close or not any_close").select(*met.columns))
+
+
 def index_tree(spark: SparkSession, root: str, project_id: int = 1, exclude: list[str] | None = None) -> tuple[Graph, DataFrame]:
     """The graph of all files below ``root``, and its unresolved references (file_path, to_name, kind)."""
     tree = walk_tree(spark, root, exclude)

@@ -319,8 +319,10 @@ def folder_flows(spark, sf_dir):
 
 
 KEY_SYMBOLS = """inc AS (SELECT target_id AS id, count(*) FILTER (edge_type = 'calls' AND provenance = 'precise') AS p, count(*) FILTER (edge_type = 'calls' AND provenance <> 'precise') AS m, count(*) FILTER (edge_type = 'references') AS r FROM edges GROUP BY target_id),
-sc AS (SELECT n.id, n.file_path, n.symbol, n.start_line, n.fqn, floor((coalesce(p, 0) + coalesce(m, 0) / d.k::DOUBLE + 0.5 * coalesce(r, 0)) * CASE WHEN regexp_matches(regexp_extract(n.symbol, '([^.]*)$', 1), '^\\p{Lu}') THEN 1.0 WHEN coalesce(docstring, '') <> '' THEN 0.8 ELSE 0.4 END * 1000 + 0.5) / 1000 AS score
-FROM nodes n LEFT JOIN inc ON inc.id = n.id JOIN (SELECT symbol, count(*) AS k FROM nodes GROUP BY symbol) d ON d.symbol = n.symbol WHERE n.kind NOT IN ('file', 'test'))"""
+ba AS (SELECT n.*, coalesce(p, 0) + coalesce(m, 0) / d.k::DOUBLE + 0.5 * coalesce(r, 0) AS base, """ + sql_dir("n.file_path") + """ AS dir FROM nodes n LEFT JOIN inc ON inc.id = n.id JOIN (SELECT symbol, count(*) AS k FROM nodes GROUP BY symbol) d ON d.symbol = n.symbol WHERE n.kind NOT IN ('file', 'test')),
+mem AS (SELECT dir, regexp_extract(fqn, '^(.*)\\.[^.]*$', 1) AS fqn, sum(base) AS of_members FROM ba WHERE kind = 'method' AND contains(fqn, '.') GROUP BY 1, 2),
+sc AS (SELECT ba.id, ba.file_path, ba.symbol, ba.start_line, ba.fqn, floor((base + CASE WHEN kind IN ('type', 'class') THEN 0.3 * coalesce(of_members, 0) ELSE 0 END) * CASE WHEN regexp_matches(regexp_extract(ba.symbol, '([^.]*)$', 1), '^\\p{Lu}') THEN 1.0 WHEN coalesce(docstring, '') <> '' THEN 0.8 ELSE 0.4 END * 1000 + 0.5) / 1000 AS score
+FROM ba LEFT JOIN mem ON mem.dir = ba.dir AND mem.fqn = ba.fqn)"""
 
 
 @query(G + ", " + KEY_SYMBOLS + " SELECT file_path, rn, id, symbol, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, start_line, fqn, id)::INT AS rn FROM sc) WHERE rn <= 3")
@@ -505,13 +507,19 @@ LEX_TERMS = names.lexical_terms("orders of priority handled")
 
 
 def _lexical_sql(terms: list[str]) -> str:
-    weight = " + ".join(f"CASE WHEN contains(lower(coalesce({f}, '')), '{t}') THEN {w} ELSE 0 END" for t in terms for f, w in S.FIELD_WEIGHTS.items())
-    cov = " + ".join("CAST(" + " OR ".join(f"contains(lower(coalesce({f}, '')), '{t}')" for f in S.FIELD_WEIGHTS) + " AS INT)" for t in terms)
+    fields = list(S.FIELD_WEIGHTS)
+    words = ", ".join(f"regexp_extract_all(lower(coalesce({f}, '')), '[\\p{{L}}\\p{{N}}]+') AS w_{f}" for f in fields)
+    length = " + ".join(f"len(w_{f})" for f in fields)
+    tf = ", ".join(" + ".join(f"{w} * len(list_filter(w_{f}, lambda x: starts_with(x, '{t}')))" for f, w in S.FIELD_WEIGHTS.items()) + f" AS tf{i}" for i, t in enumerate(terms))
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
+    weight = " + ".join(f"greatest(ln((s.n - s.df{i} + 0.5) / (s.df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / s.mean))" for i in range(len(terms)))
+    cov = " + ".join("CAST(" + " OR ".join(f"contains(lower(coalesce({f}, '')), '{t}')" for f in fields) + " AS INT)" for t in terms)
     kind = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for k, i in S.KIND_RANK.items()) + f" ELSE {S.OTHER_KIND} END"
-    return f"lex AS (SELECT *, {weight} AS weight, {cov} AS covered, {kind} AS kind_rank, CAST(kind = 'test' OR {sql_test_path('file_path')} AS INT) AS is_test FROM nodes WHERE kind <> 'file')"
+    return f"""lexw AS (SELECT *, {words} FROM nodes), lext AS (SELECT *, {length} AS dl, {tf} FROM lexw), lexs AS (SELECT count(*) AS n, avg(dl) AS mean, {df} FROM lext),
+lex AS (SELECT t.*, floor(({weight}) * 1000000 + 0.5) / 1000000 AS weight, {cov} AS covered, {kind} AS kind_rank, CAST(kind = 'test' OR {sql_test_path('file_path')} AS INT) AS is_test FROM lext t, lexs s WHERE kind <> 'file' AND ({' OR '.join(f'tf{i} > 0' for i in range(len(terms)))}))"""
 
 
-LEX_ORDER = "covered DESC, is_test, kind_rank, weight DESC, length(symbol), symbol, file_path, start_line, id"
+LEX_ORDER = "covered DESC, is_test, kind_rank, weight DESC, id"
 
 
 @query(G + ", " + _lexical_sql(LEX_TERMS) + f" SELECT id, symbol, covered, floor(covered / {len(LEX_TERMS)}::DOUBLE * 1000000 + 0.5) / 1000000 AS score FROM lex WHERE covered > 0 ORDER BY {LEX_ORDER} LIMIT 50")

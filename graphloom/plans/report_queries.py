@@ -9,14 +9,17 @@ from . import exploration as E
 from . import reports as P
 from .queries import BLAST, CHANGED, FILE_COVERAGE, G, GF, INBOUND, KEY_SYMBOLS, RANKED, ROOTS, SUBS, UP, query, sql_dir, sql_test_path, suppliers
 
-IMPACT_ROWS = """imp AS (SELECT r.root, count(b.id) AS affected, count(*) FILTER (b.depth = 1) AS direct, count(*) FILTER (b.depth > 1) AS indirect, count(*) FILTER (b.confirmed) AS confirmed, count(*) FILTER (n.kind = 'test') AS tests, count(DISTINCT """ + sql_dir("n.file_path") + """) AS packages
+IMPACT_ROWS = """imp AS (SELECT r.root, count(b.id) AS affected, count(*) FILTER (b.depth = 1) AS direct, count(*) FILTER (b.depth > 1) AS indirect, count(*) FILTER (b.confirmed) AS confirmed, count(*) FILTER (n.kind = 'test') AS tests, count(DISTINCT """ + sql_dir("n.file_path") + """) FILTER (b.depth = 1 AND n.file_path <> '') AS packages
 FROM (SELECT DISTINCT root FROM roots) r LEFT JOIN blast b ON b.root = r.root LEFT JOIN nodes n ON n.id = b.id GROUP BY r.root)"""
 RISK_ROWS = IMPACT_ROWS + """, amb AS (SELECT r.root, max(d.k) AS definitions FROM roots r JOIN nodes n ON n.id = r.id JOIN (SELECT symbol, count(*) AS k FROM nodes GROUP BY symbol) d ON d.symbol = n.symbol GROUP BY r.root),
-sev AS (SELECT i.*, a.definitions, CASE WHEN tests = 0 THEN 0.9::DOUBLE ELSE 0 END AS s1, CASE WHEN direct >= 10 THEN 0.5::DOUBLE WHEN direct >= 5 THEN 0.3 ELSE 0 END AS s2, CASE WHEN packages >= 3 THEN 0.3::DOUBLE ELSE 0 END AS s3, CASE WHEN definitions > 1 THEN 0.2::DOUBLE ELSE 0 END AS s4 FROM imp i LEFT JOIN amb a ON a.root = i.root),
-risk AS (SELECT *, floor((1 - (1 - s1) * (1 - s2) * (1 - s3) * (1 - s4)) * 1000 + 0.5) / 1000 AS score FROM sev)"""
-LEVEL = "CASE WHEN score >= 0.67 THEN 'high' WHEN score >= 0.34 THEN 'medium' ELSE 'low' END"
+unr AS (SELECT r.root, bool_or(n.language IN ('typescript', 'javascript', 'python', 'vue') AND c.file_path IS NULL) AS unresolved, bool_and(n.kind = 'test' OR """ + sql_test_path("n.file_path") + """) AS is_test
+FROM roots r JOIN nodes n ON n.id = r.id LEFT JOIN (SELECT DISTINCT project_id, file_path FROM coverage) c ON c.project_id = n.project_id AND c.file_path = n.file_path GROUP BY r.root),
+sev AS (SELECT i.*, a.definitions, u.unresolved, u.is_test, CASE WHEN NOT unresolved AND tests = 0 THEN 0.9::DOUBLE ELSE 0 END AS s1, CASE WHEN unresolved THEN 0 WHEN direct >= 10 THEN 0.5::DOUBLE WHEN direct >= 5 THEN 0.3 ELSE 0 END AS s2,
+  CASE WHEN NOT unresolved AND packages >= 3 THEN 0.3::DOUBLE ELSE 0 END AS s3, CASE WHEN definitions > 1 THEN 0.2::DOUBLE ELSE 0 END AS s4, CASE WHEN unresolved THEN 0.3::DOUBLE ELSE 0 END AS s5 FROM imp i LEFT JOIN amb a ON a.root = i.root JOIN unr u ON u.root = i.root),
+risk AS (SELECT *, floor((1 - (1 - s1) * (1 - s2) * (1 - s3) * (1 - s4) * (1 - s5)) * 1000 + 0.5) / 1000 AS score FROM sev)"""
+LEVEL = "CASE WHEN unresolved THEN 'unknown' WHEN score >= 0.67 THEN 'high' WHEN score >= 0.34 THEN 'medium' ELSE 'low' END"
 CHANGED_ROOTS = CHANGED + ", roots AS (SELECT id, id AS root FROM changed)"
-HG = with_sql("nodes", "edges", "hunks")
+HG = with_sql("nodes", "edges", "coverage", "hunks")
 
 
 @query(G + ", " + ROOTS + ", " + BLAST + ", " + IMPACT_ROWS + " SELECT *, tests = 0 AS untested FROM imp")
@@ -25,7 +28,7 @@ def impact(spark, sf_dir):
     return P.impact(g, suppliers(g, spark))
 
 
-@query(G + ", " + ROOTS + ", " + BLAST + ", " + RISK_ROWS + f" SELECT root, affected, definitions, score::DOUBLE AS score, {LEVEL} AS level FROM risk")
+@query(GF + ", " + ROOTS + ", " + BLAST + ", " + RISK_ROWS + f" SELECT root, affected, definitions, score::DOUBLE AS score, {LEVEL} AS level FROM risk")
 def risk(spark, sf_dir):
     g = graph(spark, sf_dir)
     return P.risk(g, suppliers(g, spark)).select("root", "affected", "definitions", "score", "level")
@@ -36,15 +39,18 @@ def review(spark, sf_dir):
     return P.review(graph(spark, sf_dir), view(spark, sf_dir, "hunks")).select("root", "direct", "indirect", "tests", "score", "level", "busy")
 
 
-SUMMARY = "summary AS (SELECT *, floor((1 - (1 - untested) * (1 - fan_in) * (1 - packages) * (1 - ambiguous)) * 1000 + 0.5) / 1000 AS score, CASE WHEN symbols = 0 THEN 'unknown' WHEN uncovered = 0 THEN 'covered' WHEN uncovered = symbols THEN 'uncovered' ELSE 'partial' END AS coverage FROM (SELECT count(*) AS symbols, max(s1) AS untested, max(s2) AS fan_in, max(s3) AS packages, max(s4) AS ambiguous, count(*) FILTER (tests = 0) AS uncovered FROM risk))"
+SUMMARY = """summary AS (SELECT *, unresolved_severity > 0 AS unresolved, floor((1 - (1 - untested) * (1 - fan_in) * (1 - packages) * (1 - ambiguous) * (1 - unresolved_severity)) * 1000 + 0.5) / 1000 AS score,
+  CASE WHEN covered = 0 AND uncovered = 0 THEN 'unknown' WHEN covered = 0 THEN 'uncovered' WHEN uncovered = 0 AND unknown = 0 THEN 'covered' ELSE 'partial' END AS coverage
+  FROM (SELECT count(*) AS symbols, max(s1) AS untested, max(s2) AS fan_in, max(s3) AS packages, max(s4) AS ambiguous, max(s5) AS unresolved_severity, count(*) FILTER (NOT is_test AND tests > 0) AS covered,
+    count(*) FILTER (NOT is_test AND tests = 0 AND NOT unresolved) AS uncovered, count(*) FILTER (NOT is_test AND tests = 0 AND unresolved) AS unknown FROM risk))"""
 
 
-@query(HG + ", " + CHANGED_ROOTS + ", " + BLAST + ", " + RISK_ROWS + ", " + SUMMARY + f" SELECT symbols, untested, fan_in, packages, ambiguous, uncovered, score::DOUBLE AS score, {LEVEL} AS level, coverage FROM summary")
+@query(HG + ", " + CHANGED_ROOTS + ", " + BLAST + ", " + RISK_ROWS + ", " + SUMMARY + f" SELECT symbols, untested, fan_in, packages, ambiguous, unresolved_severity AS unresolved, covered, uncovered, unknown, score::DOUBLE AS score, {LEVEL} AS level, coverage FROM summary")
 def review_summary(spark, sf_dir):
     return P.review_summary(P.review(graph(spark, sf_dir), view(spark, sf_dir, "hunks")))
 
 
-@query(HG + ", " + CHANGED_ROOTS + ", " + BLAST + ", " + RISK_ROWS + ", " + SUMMARY + f" SELECT {LEVEL} AS level, coverage, score >= 0.67 AS fails_level, coverage IN ('uncovered', 'partial') AS fails_coverage, score >= 0.67 OR coverage IN ('uncovered', 'partial') AS would_fail FROM summary")
+@query(HG + ", " + CHANGED_ROOTS + ", " + BLAST + ", " + RISK_ROWS + ", " + SUMMARY + f" SELECT level, coverage, level = 'high' AS fails_level, coverage IN ('uncovered', 'partial') AND uncovered > 0 AS fails_coverage, level = 'high' OR coverage IN ('uncovered', 'partial') AND uncovered > 0 AS would_fail FROM (SELECT *, {LEVEL} AS level FROM summary)")
 def review_gate(spark, sf_dir):
     return P.gate(P.review_summary(P.review(graph(spark, sf_dir), view(spark, sf_dir, "hunks"))), "medium", require_coverage=True)
 

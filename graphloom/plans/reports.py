@@ -11,11 +11,12 @@ from ..operators import aggregates as A
 from ..operators import maintenance as M
 from ..operators import relations as R
 from ..operators import traverse as T
-from ..schema import CALLABLE_KINDS, DECLARATIVE_LANGUAGES, Graph
+from ..schema import CALLABLE_KINDS, DECLARATIVE_LANGUAGES, NO_CALLS_BY_NAME, Graph
 
 
 def impact(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
-    """One row per root: what a change of it may break, by distance and confidence, the tests among it, and its packages.
+    """One row per root: what a change of it may break, by distance and confidence, the tests among it, and the packages of
+    its direct callers.
 
     A root without tests in its radius is untested.
     """
@@ -26,7 +27,7 @@ def impact(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
         F.sum((F.col("depth") > 1).cast("long")).alias("indirect"),
         F.sum(F.col("confirmed").cast("long")).alias("confirmed"),
         F.sum((F.col("kind") == "test").cast("long")).alias("tests"),
-        F.countDistinct(paths.folder(F.col("file_path"))).alias("packages"),
+        F.countDistinct(F.when((F.col("depth") == 1) & (F.col("file_path") != ""), paths.folder(F.col("file_path")))).alias("packages"),
     )
     out = roots.select("root").distinct().join(sums, "root", "left").fillna(0)
     return out.withColumn("untested", F.col("tests") == 0)
@@ -37,14 +38,33 @@ def ambiguity(graph: Graph, roots: DataFrame) -> DataFrame:
     return roots.join(graph.nodes.select("id", "project_id", "symbol"), "id").join(A.definition_counts(graph), ["project_id", "symbol"], "left").groupBy("root").agg(F.max("definitions").alias("definitions"))
 
 
-def risk(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Impact with a score: the probabilistic OR of its factors, and a level."""
+def subjects(graph: Graph, roots: DataFrame) -> DataFrame:
+    """(root, unresolved, is_test): whether a definition of the root has no call graph (neither exact calls of its file nor calls by
+    name of its language), and whether all of its definitions are tests or stand in test files."""
+    covered = graph.coverage.select("project_id", "file_path").distinct().withColumn("covered", F.lit(True))
+    of = roots.select("root", "id").join(graph.nodes.select("id", "project_id", "file_path", "kind", "language"), "id").join(covered, ["project_id", "file_path"], "left")
+    unresolved = F.col("covered").isNull() & F.col("language").isin(*NO_CALLS_BY_NAME)
+    return of.groupBy("root").agg(F.bool_or(unresolved).alias("unresolved"), F.bool_and(paths.is_test_node(F.col("kind"), F.col("file_path"))).alias("is_test"))
+
+
+def risk_factors() -> dict[str, Column]:
+    """Severity of each factor of a row of :func:`risk`. Where there is no call graph, callers and tests are unknown, not absent."""
     s = scores.SEVERITY
-    of = impact(graph, roots, max_depth).join(ambiguity(graph, roots), "root", "left")
-    fan = F.when(F.col("direct") >= 10, s["fan_in_10"]).when(F.col("direct") >= 5, s["fan_in_5"]).otherwise(0.0)
-    factors = [F.when(F.col("untested"), s["untested"]).otherwise(0.0), fan, F.when(F.col("packages") >= 3, s["packages_3"]).otherwise(0.0), F.when(F.col("definitions") > 1, s["ambiguous"]).otherwise(0.0)]
-    score = scores.round_half_up(scores.any_of(factors), 3)
-    return of.withColumn("score", score).withColumn("level", scores.risk_level(F.col("score")))
+    known = lambda severity: F.when(F.col("unresolved"), 0.0).otherwise(severity)
+    return {
+        "untested": known(F.when(F.col("untested"), s["untested"]).otherwise(0.0)),
+        "fan_in": known(F.when(F.col("direct") >= 10, s["fan_in_10"]).when(F.col("direct") >= 5, s["fan_in_5"]).otherwise(0.0)),
+        "packages": known(F.when(F.col("packages") >= 3, s["packages_3"]).otherwise(0.0)),
+        "ambiguous": F.when(F.col("definitions") > 1, s["ambiguous"]).otherwise(0.0),
+        "unresolved": F.when(F.col("unresolved"), s["unresolved"]).otherwise(0.0),
+    }
+
+
+def risk(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
+    """Impact with a score: the probabilistic OR of its factors, and a level, which is unknown without a call graph."""
+    of = impact(graph, roots, max_depth).join(ambiguity(graph, roots), "root", "left").join(subjects(graph, roots), "root", "left").fillna(False, ["unresolved", "is_test"])
+    score = scores.round_half_up(scores.any_of(list(risk_factors().values())), 3)
+    return of.withColumn("score", score).withColumn("level", F.when(F.col("unresolved"), "unknown").otherwise(scores.risk_level(F.col("score"))))
 
 
 def call_graph_label(graph: Graph, nodes: DataFrame) -> DataFrame:
@@ -64,19 +84,24 @@ def review(graph: Graph, hunks: DataFrame, max_depth: int = 3, busy: int = 8) ->
 
 
 def review_summary(reviewed: DataFrame) -> DataFrame:
-    """The whole change: worst severity per factor, then the OR of those."""
-    s = scores.SEVERITY
+    """The whole change: worst severity per factor, then the OR of those, and a verdict on how its symbols are tested.
+
+    Tests are no subjects of that verdict; a symbol without tests and without a call graph is unknown, not uncovered.
+    """
+    tested = F.col("tests") > 0
+    subject = ~F.col("is_test")
     row = reviewed.agg(
         F.count(F.lit(1)).alias("symbols"),
-        F.max(F.when(F.col("untested"), s["untested"]).otherwise(0.0)).alias("untested"),
-        F.max(F.when(F.col("direct") >= 10, s["fan_in_10"]).when(F.col("direct") >= 5, s["fan_in_5"]).otherwise(0.0)).alias("fan_in"),
-        F.max(F.when(F.col("packages") >= 3, s["packages_3"]).otherwise(0.0)).alias("packages"),
-        F.max(F.when(F.col("definitions") > 1, s["ambiguous"]).otherwise(0.0)).alias("ambiguous"),
-        F.sum(F.col("untested").cast("long")).alias("uncovered"),
-    )
-    score = scores.round_half_up(scores.any_of([F.col(c) for c in ("untested", "fan_in", "packages", "ambiguous")]), 3)
-    verdict = F.when(F.col("symbols") == 0, "unknown").when(F.col("uncovered") == 0, "covered").when(F.col("uncovered") == F.col("symbols"), "uncovered").otherwise("partial")
-    return row.withColumn("score", score).withColumn("level", scores.risk_level(F.col("score"))).withColumn("coverage", verdict)
+        *(F.max(c).alias(k) for k, c in risk_factors().items()),
+        F.sum((subject & tested).cast("long")).alias("covered"),
+        F.sum((subject & ~tested & ~F.col("unresolved")).cast("long")).alias("uncovered"),
+        F.sum((subject & ~tested & F.col("unresolved")).cast("long")).alias("unknown"),
+    ).fillna(0)
+    score = scores.round_half_up(scores.any_of([F.col(c) for c in risk_factors()]), 3)
+    none = (F.col("covered") == 0) & (F.col("uncovered") == 0)
+    verdict = F.when(none, "unknown").when(F.col("covered") == 0, "uncovered").when((F.col("uncovered") == 0) & (F.col("unknown") == 0), "covered").otherwise("partial")
+    level = F.when(F.col("unresolved") > 0, "unknown").otherwise(scores.risk_level(F.col("score")))
+    return row.withColumn("score", score).withColumn("level", level).withColumn("coverage", verdict)
 
 
 #: Order of levels; unknown never trips a gate.
@@ -87,7 +112,7 @@ def gate(summary: DataFrame, max_level: str = "medium", require_coverage: bool =
     """Whether a change would fail: a level above ``max_level``, or uncovered symbols where coverage is required."""
     level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), F.col("level")), F.lit(0))
     too_risky = level > LEVELS[max_level]
-    bare = F.lit(require_coverage) & F.col("coverage").isin("uncovered", "partial")
+    bare = F.lit(require_coverage) & F.col("coverage").isin("uncovered", "partial") & (F.col("uncovered") > 0)
     return summary.select("level", "coverage", too_risky.alias("fails_level"), bare.alias("fails_coverage"), (too_risky | bare).alias("would_fail"))
 
 

@@ -14,6 +14,8 @@ CALLABLE_KINDS = ("function", "method", "test")
 #: Edges that a change travels backwards along.
 IMPACT_TYPES = ("calls", "extends", "implements", "overrides")
 DECLARATIVE_LANGUAGES = ("sql", "yaml", "markdown", "html", "css", "scss", "sass", "less")
+#: Languages whose calls by name are too few to say that a caller is absent.
+NO_CALLS_BY_NAME = ("typescript", "javascript", "python", "vue")
 #: Edges a free walk follows unless told otherwise: all but a file's own definitions.
 WALK_TYPES = tuple(t for t in EDGE_TYPES if t != "defines")
 

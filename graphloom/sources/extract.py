@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..ship import ship
+from . import blocks
 
 #: Symbols and references in one table: ``row`` says which a row is.
 EXTRACTED = "file_path string, row string, kind string, name string, fqn string, start_line int, end_line int, from_fqn string, docstring string"
 #: Longer files are hashed but not parsed; generated and minified ones neither.
 MAX_BYTES = 2 << 20
+#: Fixed values.
 GENERATED = r"(?m)^\s*// Code generated .* DO NOT EDIT\.\s*$"
 MINIFIED = r"\.min\.(js|mjs|css|js\.map|css\.map)$"
 
@@ -133,7 +136,8 @@ _SQL_TOKEN = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|[
 
 def sql_rows(text: str) -> list[Row]:
     """Tables and views declared, tables read and written; names of WITH clauses are no tables, and DELETE writes."""
-    tokens = [(m.group(), text.count("\n", 0, m.start()) + 1) for m in _SQL_TOKEN.finditer(text) if not m.group().startswith(("--", "/*"))]
+    starts = blocks.line_starts(text)
+    tokens = [(m.group(), bisect_right(starts, m.start())) for m in _SQL_TOKEN.finditer(text) if not m.group().startswith(("--", "/*"))]
     out: list[Row] = []
     statement: list[tuple[str, int]] = []
     n = 0
@@ -170,7 +174,7 @@ def sql_rows(text: str) -> list[Row]:
 #: Declarations by pattern: (kind, expression with the name as group 1), for languages without a parser here.
 PATTERNS: dict[str, list[tuple[str, str]]] = {
     "go": [("function", r"^func\s+(\w+)\s*[\[(]"), ("method", r"^func\s+\([^)]*\)\s*(\w+)\s*\("), ("type", r"^type\s+(\w+)\s")],
-    "typescript": [("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("type", r"^\s*(?:export\s+)?(?:interface|type|enum)\s+(\w+)"), ("function", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>")],
+    "typescript": [("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("type", r"^\s*(?:export\s+)?(?:interface|type|enum)\s+(\w+)"), ("method", r"^\s+(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?(#?\w+)\s*(?:<[^<>]*>)?\([^;]*\{\s*$"), ("function", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>")],
     "ruby": [("class", r"^\s*class\s+([\w:]+)"), ("module", r"^\s*module\s+([\w:]+)"), ("method", r"^\s*def\s+(?:self\.)?([\w?!=]+)")],
     "lua": [("function", r"^\s*(?:local\s+)?function\s+([\w.:]+)")],
     "gdscript": [("function", r"^\s*(?:static\s+)?func\s+(\w+)"), ("class", r"^\s*class(?:_name)?\s+(\w+)")],
@@ -190,20 +194,81 @@ for _same, _of in (("javascript", "typescript"), ("vue", "typescript"), ("scss",
     IMPORTS[_same] = IMPORTS[_of]
 
 
+#: Languages whose calls are read, and how the rules of their blocks are called.
+CALLING = {"go": "go", "typescript": "typescript", "javascript": "typescript", "vue": "typescript", "ruby": "ruby", "lua": "lua"}
+_RECEIVER = re.compile(r"^func\s+\(\s*(?:\w+\s+)?\*?(\w+)")
+_BASES = re.compile(r"\b(extends|implements)\s+([\w$.]+(?:\s*,\s*[\w$.]+)*)|\bclass\s+[\w:]+\s*(<)\s*([\w:]+)")
+
+
+def _script(text: str) -> str:
+    """A component file with all but its scripts blanked, so that lines keep their numbers."""
+    blank = lambda part: re.sub(r"[^\n]", " ", part)
+    out, last = [], 0
+    for m in re.finditer(r"<script[^>]*>(.*?)</script>", text, re.DOTALL | re.IGNORECASE):
+        out += [blank(text[last : m.start(1)]), m[1]]
+        last = m.end(1)
+    return "".join([*out, blank(text[last:])])
+
+
 def pattern_rows(language: str) -> Callable[[str], list[Row]]:
     rules = [(kind, re.compile(rule)) for kind, rule in PATTERNS.get(language, [])]
     wanted = re.compile(IMPORTS[language]) if language in IMPORTS else None
+    calling = CALLING.get(language)
+    braces = calling in ("go", "typescript") or PATTERNS.get(language) is PATTERNS["css"]
 
     def rows(text: str) -> list[Row]:
-        out: list[Row] = []
-        for i, line in enumerate(text.split("\n"), 1):
+        """Declarations with the lines they span and the declarations around them, imports, bases and calls.
+
+        A call belongs to the innermost declaration around it, or to none.
+        """
+        if language == "vue":
+            text = _script(text)
+        rules_of = calling or ("css" if braces else language)
+        code = blocks.code_only(text, rules_of)
+        lines, starts = code.split("\n"), blocks.line_starts(code)
+        ends = blocks.block_ends(code, rules_of) if calling or braces else []
+        openings = [a for a, _ in ends]
+        found: list[tuple[int, int, str, str, str]] = []
+        for i, line in enumerate(lines, 1):
             for kind, rule in rules:
-                if m := rule.search(line):
+                if (m := rule.search(line)) and m[1] not in blocks.KEYWORDS:
                     kind = "test" if kind == "function" and re.match(r"Test[A-Z_]|test_", m[1]) else kind
-                    out.append(_symbol(kind, m[1], m[1], i, i))
+                    # Its block is the first that opens on its lines, before any next statement.
+                    at, last = starts[i - 1] + (m.start() if not braces else m.start(1)), i
+                    k = bisect_left(openings, at)
+                    if k < len(ends) and ";" not in code[at : ends[k][0]] and code.count("\n", at, ends[k][0]) <= 20:
+                        last = bisect_right(starts, ends[k][1] - 1)
+                    elif braces and kind == "method":
+                        break
+                    receiver = _RECEIVER.match(line) if calling == "go" else None
+                    found.append((i, last, kind, m[1], f"{receiver[1]}.{m[1]}" if receiver else m[1]))
                     break
-            if wanted:
-                out += [_reference("imports", m[1], i, None) for m in wanted.finditer(line)]
+        out: list[Row] = []
+        around: list[tuple[int, str, str]] = []
+        owner_of: dict[int, str] = {}
+        names_at = {}
+        for i, last, kind, name, own in found:
+            while around and around[-1][0] < i:
+                around.pop()
+            inside = around[-1] if around else None
+            if kind == "method" and calling == "typescript" and not (inside and inside[2] == "class"):
+                continue  # a call with a block, not a member
+            fqn = f"{inside[1]}.{own}" if inside else own
+            out.append(_symbol(kind, name, fqn, i, last))
+            names_at[i] = name
+            around.append((last, fqn, kind))
+            for k in range(i, last + 1):
+                owner_of[k] = fqn  # the innermost comes last
+            if calling in ("typescript", "ruby") and kind in ("class", "type"):
+                for m in _BASES.finditer(lines[i - 1]):
+                    for base in re.split(r"\s*,\s*", m[2] or m[4]):
+                        out.append(_reference(m[1] or "extends", base.replace("::", "."), i, fqn))
+        if wanted:
+            out += [_reference("imports", m[1], i, None) for i, line in enumerate(text.split("\n"), 1) for m in wanted.finditer(line)]
+        for name, at in blocks.calls(code, calling) if calling else []:
+            i = bisect_right(starts, at)
+            if names_at.get(i) != name:
+                out.append(_reference("calls", name, i, owner_of.get(i)))
         return out
 
     return rows

@@ -128,10 +128,24 @@ def test_walks_do_not_depend_on_order_or_copies_of_edges(spark):
 
 @pytest.mark.parametrize(("level", "limit", "fails"), [("high", "medium", True), ("medium", "medium", False), ("unknown", "low", False)])
 def test_gate(spark, level, limit, fails):
-    row = P.gate(spark.createDataFrame([(level, "covered")], "level string, coverage string"), limit).first()
+    row = P.gate(spark.createDataFrame([(level, "covered", 0)], "level string, coverage string, uncovered long"), limit).first()
     assert row.would_fail is fails
 
 
+def test_risk_without_a_call_graph_is_unknown(spark):
+    nodes = {"App": {"file_path": "web/app.ts", "kind": "function", "language": "typescript"}, "Run": function("lib/run.go"), "TestRun": function("lib/run_test.go", kind="test")}
+    for i in range(6):
+        nodes[f"C{i}"] = function(f"p{i % 2}/c.go", start=i)
+        nodes[f"D{i}"] = function(f"q{i}/d.go")
+    edges = [*((f"C{i}", "Run") for i in range(6)), *((f"D{i}", f"C{i}") for i in range(6))]
+    g, ids = toy(spark, nodes, edges)
+    row = P.risk(g, roots(spark, ids, "App")).first()
+    assert (row.level, row.score, row.unresolved) == ("unknown", 0.3, True)
+    row = P.risk(g, roots(spark, ids, "Run")).first()
+    # Six direct callers in two packages, though eight packages lie in the radius, and no test.
+    assert (row.packages, row.direct, row.level, row.score) == (2, 6, "high", 0.93)
+
+
 def test_flow_tree_marks_cycles_and_repeats(spark):
     from graphloom.plans import exploration as E
 

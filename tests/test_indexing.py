@@ -31,7 +31,7 @@ def test_index_and_refresh(spark, tmp_path):
     g, unresolved = indexing.index_tree(spark, f"file://{tmp_path}")
     found = edges(g)
     assert ("app.main.main", "calls", "app.store.save") in found and ("app.main.main", "calls", "app.main.helper") in found
-    assert ("app/main.py", "imports", "app/store.py") in found and ("docs/a.md", "imports", "docs/b.md") in found
+    assert ("app/main.py", "imports", "app/store.py") in found and ("docs/a.md", "documents", "docs/b.md") in found
     assert ("app/store.py", "defines", "app.store.Store") in found
     assert ("missing_thing", "calls") in {(r.to_name, r.kind) for r in unresolved.collect()}
     assert {r.symbol for r in R.callers(g, R.roots_by_symbol(g, ["save"])).collect()} == {"main"}
@@ -47,6 +47,39 @@ def test_index_and_refresh(spark, tmp_path):
     assert edges(whole) == later
 
 
+def test_calls_of_other_languages(spark, tmp_path):
+    """Edges worked out by hand: owners, module-level calls, members, bases, same-named functions, styles in scope."""
+    write(
+        tmp_path,
+        {
+            "srv/store.go": "package srv\n\nfunc (s *Store) Put(k string) {\n\tcheck(k) // Get(\n}\n\nfunc check(k string) {}\n\nfunc init() { s.Put(\"check(\") }\n",
+            "cmd/main.go": "package main\n\nfunc main() {\n\tif ok { run() }\n}\n\nfunc run() { srv.Put(1) }\n",
+            "tool/main.go": "package main\n\nfunc main() { start() }\n\nfunc start() {}\n",
+            "web/app.ts": "import { Base } from './base'\nexport class App extends Base {\n  async open(): Promise<void> {\n    await this.load(1)\n  }\n  load(n: number) {\n  }\n}\nboot()\n\nfunction boot() {\n  new App().open()\n}\n",
+            "web/base.ts": "export class Base {\n}\n",
+            "lib/job.rb": "class Job\n  def perform(x)\n    while x do\n      step(x)\n    end\n  end\n\n  def step(x)\n  end\nend\n",
+            "lua/m.lua": "local function a()\n  if x then b(1) end\nend\nfunction b(y)\nend\na()\n",
+            "page/index.html": '<link rel="stylesheet" href="own.css"><p class="big">x</p>',
+            "page/own.css": ".big {\n}\n",
+            "other/far.css": ".big {\n}\n",
+            "db/t.sql": "CREATE TABLE shop.items (id int);\nSELECT * FROM items;\n",
+        },
+    )
+    g, _ = indexing.index_tree(spark, f"file://{tmp_path}")
+    found = {e for e in edges(g) if e[1] != "defines"}
+    assert {e for e in found if e[1] == "calls"} == {
+        ("srv.store.Store.Put", "calls", "srv.store.check"), ("srv.store.init", "calls", "srv.store.Store.Put"),
+        ("cmd.main.main", "calls", "cmd.main.run"), ("cmd.main.run", "calls", "srv.store.Store.Put"), ("tool.main.main", "calls", "tool.main.start"),
+        ("web.app.App.open", "calls", "web.app.App.load"), ("web/app.ts", "calls", "web.app.boot"), ("web.app.boot", "calls", "web.app.App"), ("web.app.boot", "calls", "web.app.App.open"),
+        ("lib.job.Job.perform", "calls", "lib.job.Job.step"), ("lua.m.a", "calls", "lua.m.b"), ("lua/m.lua", "calls", "lua.m.a"),
+    }
+    assert ("web.app.App", "extends", "web.base.Base") in found and ("web/app.ts", "imports", "web/base.ts") in found
+    assert {e for e in found if e[1] == "styles"} == {("page/index.html", "styles", "page.own..big")}
+    assert ("db.t.query2", "reads", "db.t.shop.items") in found
+    ends = {r.fqn: (r.start_line, r.end_line) for r in g.nodes.collect()}
+    assert ends["srv.store.Store.Put"] == (3, 5) and ends["web.app.App"] == (2, 8) and ends["lib.job.Job"] == (1, 10) and ends["lua.m.a"] == (1, 3)
+
+
 def test_snapshots(spark, tmp_path):
     root = f"file://{tmp_path}/store"
     g = testbed.graph(spark, "/root/testdata/sf0.001")
