@@ -183,6 +183,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ma
     often = written(found.groupBy("anchor").agg(F.sum("occ").alias("k")).where("k > 1").select("anchor"))
     rows = written(found.join(often, "anchor"))
     drop_written(found)
+    drop_written(often)
     distinct = rows.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("k"), F.max("occ").alias("occ"), F.min(F.struct("doc_id", "body", "start")).alias("one"))
     distinct = written(distinct.select(*IDENTITY, "k", "occ", "one.*"))
     per_anchor = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("occ").alias("most")).where("kinds > 1 or most > 1"))
@@ -194,6 +195,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ma
     whole = distinct.where("k > 1").selectExpr(*IDENTITY, "array(0L) low", "array(n - 1) high")
     once = distinct.where("k = 1").select(*IDENTITY).join(flags, IDENTITY)
     marks = written(whole.unionByName(once))
+    for table in (distinct, per_anchor, flags):
+        drop_written(table)
     return rows.select(*IDENTITY, "doc_id", "body", "start").join(marks, IDENTITY).selectExpr("doc_id", "body", "transform(low, x -> x + start) low", "transform(high, x -> x + start) high")
 
 

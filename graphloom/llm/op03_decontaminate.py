@@ -154,12 +154,13 @@ def retrieve(words: np.ndarray, doc: np.ndarray, index: dict) -> tuple[np.ndarra
     live_windows, window = np.unique(window, return_inverse=True)
     post, of = _expand(index["blocks_at"], term)
     cell = window[of] * n_blocks + index["blocks"][post]
-    score = np.bincount(cell, index["block_max"][post], minlength=len(live_windows) * n_blocks)
-    open_cell = score >= np.tile(index["need"], len(live_windows))
+    cells, back = np.unique(cell, return_inverse=True)  # only cells with a posting: a long text has very many windows
+    open_cell = cells[np.bincount(back, index["block_max"][post], minlength=len(cells)) >= index["need"][cells % n_blocks]]
     # Full scores of the items of open blocks.
     post, of = _expand(index["items_at"], term)
     item = index["items"][post]
-    ok = open_cell[window[of] * n_blocks + index["block_of"][item]]
+    cell = window[of] * n_blocks + index["block_of"][item]
+    ok = open_cell[np.minimum(np.searchsorted(open_cell, cell), len(open_cell) - 1)] == cell if len(open_cell) else np.zeros(len(cell), bool)
     cell, back = np.unique(window[of][ok] * len(index["ids"]) + item[ok], return_inverse=True)
     score = np.bincount(back, index["impact"][post][ok], minlength=len(cell))
     window, item = cell // len(index["ids"]), cell % len(index["ids"])

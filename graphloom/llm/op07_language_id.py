@@ -22,8 +22,8 @@ from .runtime import blocks, ship
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
 SWITCH_PENALTY = 14.0
-#: Subtracted from a word's score for a language that does not use its script.
-FOREIGN_SCRIPT = 30.0
+#: Score of a word for a language that does not use its script: no candidate, whatever switches cost.
+NO_CANDIDATE = -1e6
 #: A language uses a script that has at least this share of its training letters.
 SCRIPT_SHARE = 0.001
 UNDETERMINED = "und"
@@ -112,7 +112,7 @@ def word_scores(bucket: np.ndarray, word_at: np.ndarray, script: np.ndarray, mod
     scores = np.add.reduceat(model["tables"][bucket], word_at, axis=0).astype(np.float64)
     uses = model["uses"][script]
     known = uses.any(axis=1, keepdims=True)
-    return np.where(known, np.where(uses, scores, scores - FOREIGN_SCRIPT), 0.0)
+    return np.where(known, np.where(uses, scores, NO_CANDIDATE), 0.0)
 
 
 def viterbi(scores: np.ndarray, doc_at: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -231,4 +231,5 @@ HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 5 = 0"
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(f"not coalesce({HELD_OUT}, false)"))
-    return identify(docs, model, with_spans=False).selectExpr("doc_id", f"coalesce({HELD_OUT}, false) held_out", "lang_pred", "score")
+    spans = "array_join(transform(spans, s -> concat_ws(':', s.start, s.end, s.lang)), ',') spans"
+    return identify(docs, model).selectExpr("doc_id", f"coalesce({HELD_OUT}, false) held_out", "lang_pred", "score", spans)
