@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -163,10 +163,38 @@ def common_callers(callers: DataFrame) -> DataFrame:
 def fingerprint(files: DataFrame) -> DataFrame:
     """One SHA-256 per project over ``path NUL hash LF`` of its files in order of path.
 
-    The digest is over an ordered whole by definition; what is gathered is one short line per file.
+    The digest is over an ordered whole by definition: one task gathers a line per file. See tree_fingerprint for very large projects.
     """
-    line = F.concat("file_path", F.lit("\0"), "file_hash", F.lit("\n"))
-    return files.groupBy("project_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("fingerprint"))
+    return files.groupBy("project_id").agg(_digest(_file_line()).alias("fingerprint"))
+
+
+#: Buckets of a digest tree go by this many leading hex digits of the digest of a path.
+BUCKET_DIGITS = 3
+
+
+def tree_fingerprint(files: DataFrame) -> DataFrame:
+    """One SHA-256 per project, as a digest tree: over the digests, in order, of 4096 buckets of files, so no task gathers more than a bucket's lines."""
+    bucket = F.left(F.md5("file_path"), F.lit(BUCKET_DIGITS)).alias("bucket")
+    buckets = files.groupBy("project_id", bucket).agg(_digest(_file_line()).alias("digest"))
+    return buckets.groupBy("project_id").agg(_digest(F.concat("bucket", "digest")).alias("fingerprint"))
+
+
+def _file_line() -> Column:
+    return F.concat("file_path", F.lit("\0"), "file_hash", F.lit("\n"))
+
+
+def _digest(lines: Column) -> Column:
+    return F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), ""), 256)
+
+
+#: How far a call graph can be trusted, weakest first; none says nothing.
+CALL_GRAPHS = {"unresolved": 1, "name": 2, "resolved": 3}
+
+
+def weakest_call_graph(labels: DataFrame, key: str) -> DataFrame:
+    """(key, call_graph): the weakest label of each group of (key, call_graph); none only if all are none."""
+    rank = F.try_element_at(F.create_map(*[F.lit(x) for kv in CALL_GRAPHS.items() for x in kv]), F.col("call_graph"))
+    return labels.groupBy(key).agg(F.coalesce(F.min_by("call_graph", rank), F.lit("none")).alias("call_graph"))
 
 
 def hit_counts(hits: DataFrame) -> DataFrame:

@@ -11,5 +11,7 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: lineage ends in the folder of ``spark.checkpoint.dir``, so a lost executor costs nothing earlier."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()

@@ -92,3 +92,38 @@ def node_positions(nodes: DataFrame) -> DataFrame:
     offsets = sizes.select("part", before.alias("before"))
     rank = F.row_number().over(W.partitionBy("part").orderBy("key"))
     return tagged.join(offsets, "part").select("id", (rank - 1 + F.col("before")).alias("position"))
+
+
+def retarget_notes(annotations: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Annotations with the targets of ``moves`` (project_id, id, target), and (project_id, id, matched) of each move."""
+    new = moves.select("project_id", "id", F.col("target").alias("new_target")).dropDuplicates(["project_id", "id"])
+    out = annotations.join(new, ["project_id", "id"], "left").withColumn("target", F.coalesce("new_target", "target")).select(*annotations.columns)
+    return out, _matched(new, annotations)
+
+
+def delete_notes(annotations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Annotations without those of ``ids`` (project_id, id), and (project_id, id, matched) of each."""
+    gone = ids.select("project_id", "id").distinct()
+    return annotations.join(gone, ["project_id", "id"], "left_anti").select(*annotations.columns), _matched(gone, annotations)
+
+
+def _matched(asked: DataFrame, annotations: DataFrame) -> DataFrame:
+    there = annotations.select("project_id", "id", F.lit(True).alias("there"))
+    return asked.join(there, ["project_id", "id"], "left").select("project_id", "id", F.coalesce("there", F.lit(False)).alias("matched"))
+
+
+def set_vec_ids(nodes: DataFrame, by_node: DataFrame) -> DataFrame:
+    """Nodes whose vec_id follows ``by_node`` (project_id, id, vec_id); a null there clears it, other nodes keep theirs."""
+    old = F.col("vec_id") if "vec_id" in nodes.columns else F.lit(None).cast("string")
+    new = by_node.select("project_id", "id", F.struct(F.col("vec_id").alias("v")).alias("set_to")).dropDuplicates(["project_id", "id"])
+    moved = nodes.withColumn("old_vec", old).join(new, ["project_id", "id"], "left")
+    return moved.select(*(c for c in nodes.columns if c != "vec_id"), F.when(F.col("set_to").isNotNull(), F.col("set_to.v")).otherwise(F.col("old_vec")).alias("vec_id"))
+
+
+def index_delta(nodes: DataFrame, indexed: DataFrame, dirty: DataFrame) -> DataFrame:
+    """(id, action) that bring a search index (ids in ``indexed``) up to ``nodes``: rows gone or flagged ``dirty`` (id) are removed,
+    new and flagged ones added; a flagged node gives both."""
+    now, was, flagged = (df.select("id").distinct() for df in (nodes, indexed, dirty))
+    remove = was.join(now, "id", "left_anti").unionByName(was.join(flagged, "id", "left_semi")).distinct()
+    add = now.join(was, "id", "left_anti").unionByName(now.join(flagged, "id", "left_semi")).distinct()
+    return remove.withColumn("action", F.lit("remove")).unionByName(add.withColumn("action", F.lit("add")))

@@ -64,6 +64,20 @@ def closure(graph: Graph, roots: DataFrame, max_depth: int = 3, edge_types: tupl
     return out
 
 
+def distances(graph: Graph, seeds: DataFrame, max_depth: int = 6, edge_types: tuple[str, ...] = ("calls",)) -> DataFrame:
+    """(id, distance): how many edges each node is from the nearest of all seeds (id), against the edges; seeds are at 0."""
+    edges = cut(graph.edges.where(F.col("edge_type").isin(*edge_types)).select("source_id", "target_id").distinct())
+    frontier = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0)))
+    out = frontier
+    for depth in range(1, max_depth + 1):
+        found = frontier.join(edges, F.col("id") == F.col("target_id")).select(F.col("source_id").alias("id")).distinct()
+        frontier = cut(found.join(out, "id", "left_anti").withColumn("distance", F.lit(depth)))
+        out = out.unionByName(frontier)
+        if frontier.isEmpty():
+            break
+    return out
+
+
 def shortest_paths(graph: Graph, pairs: DataFrame, max_depth: int = 0) -> DataFrame:
     """(root, target, path): a shortest call path of each pair (root, target), the first by ids among equals; none if there is none.
 
@@ -101,8 +115,8 @@ def traverse(graph: Graph, roots: DataFrame, direction: str = "out", edge_types:
 
 
 def importing_tests(graph: Graph, changed: DataFrame, max_depth: int = 8, max_files: int = 500) -> DataFrame:
-    """(file, test_file, depth): tests that import a changed file (file_path), directly or not. Walks stop at tests; each changed
-    file reaches at most ``max_files`` files, the nearest first, by name."""
+    """(file, test_file, depth, truncated): tests that import a changed file (file_path), directly or not. Walks stop at tests; each
+    changed file reaches at most ``max_files`` files, the nearest first, by name, and ``truncated`` says that there are more."""
     place = lambda p: graph.nodes.select(F.col("id").alias(f"{p}_id"), F.col("file_path").alias(f"{p}_file"))
     imports = graph.edges.where("edge_type = 'imports'").join(place("source"), "source_id").join(place("target"), "target_id").where("source_file <> target_file").select("source_file", "target_file").distinct()
     imports = cut(imports)
@@ -118,7 +132,8 @@ def importing_tests(graph: Graph, changed: DataFrame, max_depth: int = 8, max_fi
         if frontier.isEmpty():
             break
     near = F.row_number().over(W.partitionBy("file").orderBy("depth", "at"))
-    return out.withColumn("rn", near).where(F.col("rn") <= max_files).where(paths.is_test_file(F.col("at"))).select("file", F.col("at").alias("test_file"), "depth")
+    ranked = out.withColumn("rn", near).withColumn("truncated", F.count(F.lit(1)).over(W.partitionBy("file")) > max_files)
+    return ranked.where(F.col("rn") <= max_files).where(paths.is_test_file(F.col("at"))).select("file", F.col("at").alias("test_file"), "depth", "truncated")
 
 
 def followable_calls(graph: Graph) -> DataFrame:

@@ -343,6 +343,11 @@ def index_fingerprint(spark, sf_dir):
     return A.fingerprint(graph(spark, sf_dir).files).select("fingerprint")
 
 
+@query(GF + ", b AS (SELECT substr(md5(file_path), 1, 3) AS bucket, sha256(string_agg(file_path || chr(0) || file_hash || chr(10), '' ORDER BY file_path)) AS digest FROM files GROUP BY 1) SELECT sha256(string_agg(bucket || digest, '' ORDER BY bucket)) AS fingerprint FROM b")
+def tree_fingerprint(spark, sf_dir):
+    return A.tree_fingerprint(graph(spark, sf_dir).files).select("fingerprint")
+
+
 @query("SELECT target, count(*) AS hits, max(ts) AS last_hit_at FROM (SELECT user_id, event_type || '/' || (user_id % 10) AS target, max(ts) AS ts FROM events GROUP BY ALL) GROUP BY target")
 def hit_counts(spark, sf_dir):
     hits = view(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.concat_ws("/", "event_type", F.col("user_id") % 10).alias("target"), "ts")
@@ -394,7 +399,7 @@ def traverse_both(spark, sf_dir):
 
 
 @query(G + """, im AS (SELECT DISTINCT s.file_path AS sf, t.file_path AS tf FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.edge_type = 'imports' AND s.file_path <> t.file_path)
-SELECT DISTINCT tf AS file, sf AS test_file, 1 AS depth FROM im WHERE tf = 'internal/geo/nation.go' AND ends_with(sf, '_test.go')""")
+SELECT DISTINCT tf AS file, sf AS test_file, 1 AS depth, (SELECT count(DISTINCT sf) FROM im WHERE tf = 'internal/geo/nation.go') > 500 AS truncated FROM im WHERE tf = 'internal/geo/nation.go' AND ends_with(sf, '_test.go')""")
 def importing_tests(spark, sf_dir):
     return T.importing_tests(graph(spark, sf_dir), spark.createDataFrame([("internal/geo/nation.go",)], "file_path string"))
 
@@ -406,12 +411,6 @@ def followable_calls(spark, sf_dir):
     return T.followable_calls(graph(spark, sf_dir))
 
 
-@query()
-def footprint(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return T.footprint(g, suppliers(g, spark))
-
-
 # --- maintenance
 
 

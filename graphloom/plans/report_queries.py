@@ -102,7 +102,7 @@ def inconsistencies(spark, sf_dir):
     return P.inconsistencies(graph(spark, sf_dir))
 
 
-@query(GF + ", " + FILE_COVERAGE + " SELECT n.id, CASE WHEN f.covered THEN 'resolved' ELSE 'name' END AS call_graph FROM nodes n JOIN file_coverage f ON f.file_path = n.file_path WHERE n.kind IN ('function', 'method', 'test')")
+@query(GF + ", " + FILE_COVERAGE + " SELECT n.id, CASE WHEN f.covered THEN 'resolved' WHEN n.language IN ('typescript', 'javascript', 'python', 'vue') THEN 'unresolved' ELSE 'name' END AS call_graph FROM nodes n JOIN file_coverage f ON f.file_path = n.file_path WHERE n.kind IN ('function', 'method', 'test')")
 def call_graph_labels(spark, sf_dir):
     g = graph(spark, sf_dir)
     return P.call_graph_label(g, g.nodes)

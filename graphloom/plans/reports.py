@@ -68,9 +68,9 @@ def risk(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
 
 
 def call_graph_label(graph: Graph, nodes: DataFrame) -> DataFrame:
-    """(id, call_graph) of callables: resolved if their file is covered, else name; declarative languages have none."""
+    """(id, call_graph) of callables: resolved if their file is covered, else unresolved or name by language; declarative languages have none."""
     covered = graph.coverage.select("project_id", "file_path").distinct().withColumn("covered", F.lit(True))
-    label = F.when(F.col("language").isin(*DECLARATIVE_LANGUAGES), "none").when(F.col("covered"), "resolved").otherwise("name")
+    label = F.when(F.col("language").isin(*DECLARATIVE_LANGUAGES), "none").when(F.col("covered"), "resolved").when(F.col("language").isin(*NO_CALLS_BY_NAME), "unresolved").otherwise("name")
     return nodes.where(F.col("kind").isin(*CALLABLE_KINDS)).join(covered, ["project_id", "file_path"], "left").select("id", label.alias("call_graph"))
 
 
@@ -262,3 +262,45 @@ def within_budget(rows: DataFrame, group: str, order: list, text: str, budget: i
     """The longest prefix of each group whose texts stay within a token budget."""
     used = F.sum(scores.tokens(F.coalesce(F.col(text), F.lit("")))).over(W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("tokens_used", used).where(F.col("tokens_used") <= budget)
+
+
+def confirmed_impact(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
+    """One row per root with only confirmed nodes of its radius, and how many distinct candidates (by full name, file and line) were
+    left out. ``untested`` still says whether any test was found before."""
+    radius = T.blast_radius(graph, roots, max_depth).join(graph.nodes.select("id", "kind", "fqn", "file_path", "start_line"), "id")
+    sure = F.col("confirmed")
+    sums = radius.groupBy("root").agg(
+        F.sum(sure.cast("long")).alias("affected"),
+        F.sum((sure & (F.col("depth") == 1)).cast("long")).alias("direct"),
+        F.sum((sure & (F.col("kind") == "test")).cast("long")).alias("tests"),
+        F.sum((F.col("kind") == "test").cast("long")).alias("any_tests"),
+        F.countDistinct(F.when(~sure, F.struct("fqn", "file_path", "start_line"))).alias("filtered"),
+    )
+    out = roots.select("root").distinct().join(sums, "root", "left").fillna(0)
+    return out.select("root", "affected", "direct", "tests", "filtered", (F.col("any_tests") == 0).alias("untested"))
+
+
+def tests_by_name(sources: DataFrame, symbols: DataFrame, limit: int = 50) -> DataFrame:
+    """(symbol, test_file, total): test files of ``sources`` (file_path, content) in which the bare name of a symbol (symbol) stands
+    as a word, the first ``limit`` by path with their true number. Evidence by name alone, for what no call graph sees.
+
+    Words of test files meet the names in one equi-join, however many symbols are asked for.
+    """
+    bare = symbols.select("symbol", names.bare(F.col("symbol")).alias("word")).where("word <> ''").distinct()
+    words = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_]+"), 0))).alias("word")
+    found = sources.where(paths.is_test_file(F.col("file_path"))).select("file_path", words).join(bare, "word").select("symbol", F.col("file_path").alias("test_file")).distinct()
+    rank = F.row_number().over(W.partitionBy("symbol").orderBy("test_file"))
+    ranked = found.withColumn("rn", rank).withColumn("total", F.count(F.lit(1)).over(W.partitionBy("symbol")))
+    return ranked.where(F.col("rn") <= limit).drop("rn")
+
+
+def file_context(graph: Graph, files: DataFrame) -> DataFrame:
+    """One row per file (file_path): how many symbols it defines and tests, who depends on it, the verdict on deleting it, the weakest
+    call graph of its callables, and the related files with the best of their reasons."""
+    wanted = files.select("file_path").distinct()
+    own = graph.nodes.where("kind <> 'file'").join(wanted, "file_path", "left_semi")
+    outline = own.groupBy("file_path").agg(F.count(F.lit(1)).alias("symbols"), F.sum((F.col("kind") == "test").cast("long")).alias("tests"))
+    labels = call_graph_label(graph, own).join(own.select("id", "file_path"), "id").select("file_path", "call_graph")
+    related = related_files(graph, wanted).groupBy(F.col("file").alias("file_path"), "related").agg(F.max("confidence").alias("c")).groupBy("file_path").agg(F.count(F.lit(1)).alias("related"), F.max("c").alias("best_related"))
+    out = wanted.join(outline, "file_path", "left").join(file_impact(graph), "file_path", "left").join(A.weakest_call_graph(labels, "file_path"), "file_path", "left").join(related, "file_path", "left")
+    return out.fillna(0, ["symbols", "tests", "dependents", "related"]).fillna("none", ["call_graph"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.aggregates import fingerprint
+from ..operators.aggregates import tree_fingerprint
 from ..schema import ANNOTATIONS, COVERAGE, EDGES, FILES, NODES, Graph
 
 SCHEMAS = {"nodes": NODES, "edges": EDGES, "files": FILES, "coverage": COVERAGE, "annotations": ANNOTATIONS}
@@ -17,7 +17,7 @@ def _fs(spark: SparkSession, path: str):
 
 def address(graph: Graph) -> str:
     """The fingerprint of one project's files."""
-    row = fingerprint(graph.files).first()
+    row = tree_fingerprint(graph.files).first()
     return row["fingerprint"] if row else "empty"
 
 
