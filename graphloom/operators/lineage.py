@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: lineage ends in the folder of ``spark.checkpoint.dir``, so a lost executor costs nothing earlier."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own is set only where a local session names none."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
+        folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: lineage ends there, a lost executor costs nothing earlier,
+    and later joins know its true size."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

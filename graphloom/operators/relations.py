@@ -119,15 +119,25 @@ def nearest_declaration(graph: Graph, positions: DataFrame, reach: int = 2) -> D
     return found.groupBy(*positions.columns).agg(best.alias("b")).select(*positions.columns, "b.*")
 
 
-def changed_symbols(graph: Graph, hunks: DataFrame) -> DataFrame:
-    """Symbols a diff touches: by overlap with a hunk, by a deletion between their lines, or with their whole file (deleted, new, renamed)."""
-    symbols = graph.nodes.where("kind <> 'file'").alias("n")
-    h = hunks.alias("h")
-    whole = F.col("h.status").isin("D", "?", "R")
-    overlap = (F.col("h.start_line") <= F.col("n.end_line")) & (F.col("n.start_line") <= F.col("h.end_line"))
-    straddle = (F.col("n.start_line") <= F.col("h.deletion_point")) & (F.col("n.end_line") >= F.col("h.deletion_point") + 1)
-    hit = symbols.join(h, (F.col("n.file_path") == F.col("h.file_path")) & (whole | F.coalesce(overlap, F.lit(False)) | F.coalesce(straddle, F.lit(False))), "left_semi")
-    return hit
+def _buckets(low: str, high: str, bucket: int) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.greatest(low, high) / bucket)))
+
+
+def changed_symbols(graph: Graph, hunks: DataFrame, bucket: int = 64) -> DataFrame:
+    """Symbols a diff touches: by overlap with a hunk, by a deletion between their lines, or with their whole file (deleted, new, renamed).
+
+    Symbols and hunks meet in every bucket of lines they touch, by an equi-join with a residual, so a very long file spreads.
+    """
+    symbols = graph.nodes.where("kind <> 'file'")
+    whole = F.col("status").isin("D", "?", "R")
+    of_file = symbols.join(hunks.where(whole).select("file_path").distinct(), "file_path", "left_semi").select("id")
+    spans = symbols.select("id", "file_path", "start_line", "end_line", _buckets("start_line", "end_line", bucket).alias("bucket"))
+    ranges = hunks.where(~whole & F.col("start_line").isNotNull() & (F.col("start_line") <= F.col("end_line"))).select("file_path", F.col("start_line").alias("low"), F.col("end_line").alias("high"))
+    # A deletion lies between its line and the next, so a symbol must hold both.
+    points = hunks.where(~whole & F.col("deletion_point").isNotNull()).select("file_path", F.col("deletion_point").alias("low"))
+    overlap = spans.join(ranges.withColumn("bucket", _buckets("low", "high", bucket)), ["file_path", "bucket"]).where("low <= end_line and start_line <= high").select("id")
+    straddle = spans.join(points.withColumn("bucket", F.floor(F.col("low") / bucket)), ["file_path", "bucket"]).where("start_line <= low and end_line >= low + 1").select("id")
+    return symbols.join(of_file.unionByName(overlap).unionByName(straddle).distinct(), "id", "left_semi").select(*symbols.columns)
 
 
 def hierarchy(graph: Graph, roots: DataFrame) -> DataFrame:

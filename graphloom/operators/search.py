@@ -134,12 +134,26 @@ def fuse(vector_hits: DataFrame, lexical_hits: DataFrame, key: str, kind: str =
     return both.select(key, scores.round_half_up(F.col("v") + F.col("l"), 8).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
-def cascade(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Name hits, then lexical hits not among them, up to ``limit``, with the mode that found each."""
-    named = search_names(nodes, query, limit).select("id", F.lit(0).alias("mode"), F.row_number().over(W.orderBy("tier", F.desc("exact"), F.desc("prefix"), F.length("symbol"), "symbol", "file_path", "start_line", "id")).alias("rn"))
-    lexical = lexical_search(nodes, query, limit).select("id", F.lit(1).alias("mode"), F.row_number().over(W.orderBy(F.desc("covered"), "is_test", "kind_rank", F.desc("weight"), "id")).alias("rn"))
-    best = named.unionByName(lexical).groupBy("id").agg(F.min(F.struct("mode", "rn")).alias("b"))
-    return best.select("id", F.when(F.col("b.mode") == 0, "name").otherwise("lexical").alias("mode"), F.row_number().over(W.orderBy("b")).alias("position")).where(F.col("position") <= limit)
+#: Ways of finding a node, the first ones first.
+MODES = ("name", "semantic", "lexical")
+
+
+def cascade(nodes: DataFrame, query: str, limit: int = 10, semantic: DataFrame | None = None) -> DataFrame:
+    """Name hits, then the nearest by vector if there are any (``semantic``: id, score), then lexical hits, each node once, up to
+    ``limit``, with the mode that found it first."""
+    stages = {
+        "name": search_names(nodes, query, limit).select("id", F.row_number().over(W.orderBy("tier", F.desc("exact"), F.desc("prefix"), F.length("symbol"), "symbol", "file_path", "start_line", "id")).alias("rn")),
+        "lexical": lexical_search(nodes, query, limit).select("id", F.row_number().over(W.orderBy(F.desc("covered"), "is_test", "kind_rank", F.desc("weight"), "id")).alias("rn")),
+    }
+    if semantic is not None:
+        near = semantic.join(nodes.where("kind <> 'file'").select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(limit)
+        stages["semantic"] = near.select("id", F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("rn"))
+    found = None
+    for mode, hits in stages.items():
+        rows = hits.withColumn("mode", F.lit(MODES.index(mode)))
+        found = rows if found is None else found.unionByName(rows)
+    best = found.groupBy("id").agg(F.min(F.struct("mode", "rn")).alias("b"))
+    return best.select("id", F.element_at(F.array(*map(F.lit, MODES)), F.col("b.mode") + 1).alias("mode"), F.row_number().over(W.orderBy("b")).alias("position")).where(F.col("position") <= limit)
 
 
 def embedding_text(nodes: DataFrame, cap: int = 0) -> DataFrame:

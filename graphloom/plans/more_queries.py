@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import aggregates as A
 from ..operators import maintenance as M
+from ..operators import search as S
 from ..operators import traverse as T
 from ..sources.testbed import graph, view, with_sql
 from . import reports as P
-from .queries import G, GF, ROOTS, query, sql_dir, sql_subsystem, sql_test_path, suppliers
-from .queries import BLAST as _BLAST
+from .queries import BLAST, G, GF, LEX_ORDER, NAME_ORDER, ROOTS, VECTOR, _lexical_sql, _name_sql, query, sql_dir, sql_subsystem, sql_test_path, suppliers
 from .report_queries import DEPS
 
 NOTES = with_sql("annotations")
@@ -58,7 +59,7 @@ def search_index_delta(spark, sf_dir):
 
 
 @query(
-    G + ", " + ROOTS + ", " + _BLAST
+    G + ", " + ROOTS + ", " + BLAST
     + """ SELECT r.root, count(b.id) FILTER (b.confirmed) AS affected, count(b.id) FILTER (b.confirmed AND b.depth = 1) AS direct, count(b.id) FILTER (b.confirmed AND n.kind = 'test') AS tests,
 count(DISTINCT {'f': n.fqn, 'p': n.file_path, 'l': n.start_line}) FILTER (NOT b.confirmed) AS filtered, count(b.id) FILTER (n.kind = 'test') = 0 AS untested
 FROM (SELECT DISTINCT root FROM roots) r LEFT JOIN blast b ON b.root = r.root LEFT JOIN nodes n ON n.id = b.id GROUP BY r.root"""
@@ -134,3 +135,19 @@ SELECT root, id, depth FROM (SELECT *, row_number() OVER (PARTITION BY root ORDE
 def footprint(spark, sf_dir):
     g = graph(spark, sf_dir)
     return T.footprint(g, suppliers(g, spark))
+
+
+#: Vectors stand for the customers of their numbers.
+@query(
+    G + ", " + VECTOR + ", " + _name_sql(["building"], "building") + ", " + _lexical_sql(names.lexical_terms("building"))
+    + f""", a AS (SELECT id, 0 AS mode, row_number() OVER (ORDER BY {NAME_ORDER}) AS rn FROM hits WHERE tier IS NOT NULL ORDER BY rn LIMIT 4),
+s AS (SELECT 3000000000 + vec_id AS id, 1 AS mode, row_number() OVER (ORDER BY score DESC, vec_id) AS rn FROM v WHERE 3000000000 + vec_id IN (SELECT id FROM nodes) ORDER BY rn LIMIT 4),
+b AS (SELECT id, 2 AS mode, row_number() OVER (ORDER BY {LEX_ORDER}) AS rn FROM lex WHERE covered > 0 ORDER BY rn LIMIT 4),
+u AS (SELECT id, min(mode * 1000 + rn) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM s UNION ALL SELECT * FROM b) GROUP BY id)
+SELECT id, ['name', 'semantic', 'lexical'][k // 1000 + 1] AS mode, position FROM (SELECT *, row_number() OVER (ORDER BY k)::INT AS position FROM u) WHERE position <= 4"""
+)
+def search_cascade_semantic(spark, sf_dir):
+    vectors = view(spark, sf_dir, "embeddings")
+    wanted = [float(x) for x in vectors.where("vec_id = 7").first()["embedding"]]
+    near = S.vector_search(vectors, wanted).select((F.lit(3000000000) + F.col("vec_id")).alias("id"), "score")
+    return S.cascade(graph(spark, sf_dir).nodes, "building", 4, near)

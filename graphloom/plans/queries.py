@@ -559,7 +559,7 @@ def search_cascade(spark, sf_dir):
     return S.cascade(graph(spark, sf_dir).nodes, "Order#1")
 
 
-@query(G + " SELECT id, sha256(left(concat_ws(chr(10), docstring, signature, fqn), 2000)) AS digest FROM nodes WHERE kind <> 'file'")
+@query(G + " SELECT id, sha256(concat_ws(chr(10), docstring, signature, fqn)) AS digest FROM nodes WHERE kind <> 'file'")
 def embedding_text(spark, sf_dir):
     return S.embedding_text(graph(spark, sf_dir).nodes).select("id", "digest")
 
