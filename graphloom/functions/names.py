@@ -8,19 +8,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words of a question that carry no subject, and what is cut off the others.
-STOP_WORDS = frozenset(
-    """the and for with from into that this these those are was were been being has have had does did doing can could should
-    would will how what where which who why when there here about work works working happen happens handled implemented code
-    find show all any some its our your you not use used uses""".split()
-)
+STOP_WORDS = frozenset([
+    "the", "and", "for", "with", "from", "into", "that", "this", "these", "those", "are", "was", "were", "been", "being", "has", "have", "had", "does",
+    "did", "doing", "can", "could", "should", "would", "will", "how", "what", "where", "which", "who", "why", "when", "there", "here", "about", "work",
+    "works", "working", "happen", "happens", "handled", "implemented", "code", "find", "show", "all", "any", "some", "its", "our", "your", "you", "not",
+    "use", "used", "uses",
+])
 #: The first suffix that leaves at least MIN_STEM letters; a plain s only after another letter.
 SUFFIXES = ("ions", "ion", "ings", "ing", "ed", "es", "s")
 MIN_STEM = 4
 # Words that make a short search text a question.
-QUESTION_WORDS = tuple(
-    """a an the is are was were do does did can could should would will where what when how why who which with for to in on at of
-    and or not this that these those we i you it its be been""".split()
-)
+QUESTION_WORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "do", "does", "did", "can", "could", "should", "would", "will", "where", "what", "when", "how", "why",
+    "who", "which", "with", "for", "to", "in", "on", "at", "of", "and", "or", "not", "this", "that", "these", "those", "we", "i", "you", "it", "its",
+    "be", "been",
+)
 #: Dotted, scoped, snake-case and camel-case names.
 IDENTIFIER = r"\w+(?:\.\w+)+|::|\w+_\w+|[a-z0-9][A-Z]"
 
