@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .runtime import blocks, ship
-from .top_names import TOP_LEVEL
+from .top_names import is_top_level
 
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -233,7 +233,7 @@ def _local_dots(text: str, least: int, end: int) -> list[tuple[int, int, str]]:
 def _known_top(domain: str) -> bool:
     """Whether an undisguised domain ends in a top-level name. "at home.It was" is prose: only common names may be capitalised."""
     top = domain.rsplit(".", 1)[1]
-    return top.lower() in _COMMON or (top.lower() in TOP_LEVEL and not top.istitle())
+    return top.lower() in _COMMON or (is_top_level(top) and not top.istitle())
 
 
 def address_edits(text: str) -> list[tuple[int, int, str]]:

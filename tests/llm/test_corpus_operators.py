@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -114,6 +114,20 @@ def test_components(spark):
     assert {k for k, v in found.items() if v == 1} == {*range(1, 41), 90} and {k for k, v in found.items() if v == 100} == {100, 101, 102}
 
 
+def plain_leaks(rows, items):
+    words_of = lambda t: re.findall(r"[0-9a-z_\u0080-\U0010ffff]+", t.lower())
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    texts = [(d, words_of(t or "")) for d, t in rows]
+    found = set()
+    for i, item in items:
+        parts = [words_of(p) for p in op3.question_and_answer(item)]
+        wanted = [(min(5, len(w)), grams(w, min(5, len(w)))) for w in parts]
+        for d, w in texts:
+            if all(k and len(g & grams(w, k)) >= 0.8 * len(g) for k, g in wanted):
+                found.add((d, i))
+    return found
+
+
 @pytest.mark.parametrize("part_bytes", [1 << 20, 300])
 def test_leaks_equal_brute_force(spark, part_bytes):
     items = [(i, prose(100 + i, 20 + i).capitalize() + ". " + prose(200 + i, 4).capitalize() + ".") for i in range(12)]
@@ -125,18 +139,7 @@ def test_leaks_equal_brute_force(spark, part_bytes):
         if d % 5 == 0:
             words.append(items[d % 12][1].split(". ")[0])  # a question without its answer
         rows.append((d, " ".join([*words, prose(400 + d, 90)])))
-    words_of = lambda t: re.findall(r"[0-9a-z_]+", t.lower())
-    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
-    want = set()
-    for d, t in rows:
-        for i, item in items:
-            shares = []
-            for part in op3.question_and_answer(item):
-                w = words_of(part)
-                k = min(5, len(w))
-                shares.append(len(grams(w, k) & grams(words_of(t), k)) / len(grams(w, k)))
-            if min(shares) >= 0.8:
-                want.add((d, i))
+    want = plain_leaks(rows, items)
     found = op3.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), part_bytes=part_bytes)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want and want
 
@@ -182,12 +185,41 @@ def test_classifier_on_labels(spark):
     assert out[out.quality == 0].is_good.mean() < 0.2
 
 
-def test_pipeline_runs(spark):
-    import corpus_pipeline
+def test_each_stage_of_the_pipeline_equals_brute_force(spark):
+    """Every stage on what the one before it kept: languages by label, lines by SQL, classes and leaks by all pairs, pieces by ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 0
-    docs = defaultdict(int)
-    for r in out.collect():
-        docs[r.doc_id] += r.length
-    assert len(docs) < 200
+    import corpus_pipeline
+    from graphloom.llm import op07_language_id as op7
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    benchmark = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    columns = list(docs.columns)
+    for name, stage in corpus_pipeline.STAGES:
+        source = spark.createDataFrame(docs)
+        out = stage(spark, source, sf).toPandas()
+        if name == "packing":
+            tokenizer = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+            want = {d: len(e.ids) + 1 for d, e in zip(docs.doc_id, tokenizer.encode_batch([t or "" for t in docs.text], add_special_tokens=False), strict=True)}
+            assert out.groupby("doc_id").length.sum().to_dict() == want
+            continue
+        assert list(out.columns) == columns
+        kept = dict(zip(out.doc_id, out.text, strict=True))
+        if name == "language_id":
+            seen = {r.doc_id: r for r in op7.identify(source, op7.train(source)).collect()}
+            assert set(kept) == {d for d, r in seen.items() if r.lang_pred != "und" and r.score >= corpus_pipeline.MIN_LANGUAGE_SCORE}
+            worded = {d for d, t in zip(docs.doc_id, docs.text, strict=True) if t and len(re.findall(r"[^\W\d_]+", t)) >= 5}
+            assert len(worded & set(kept)) >= 0.99 * len(worded)
+        elif name == "line_dedup":
+            con = duckdb.connect()
+            con.register("documents", docs)
+            want = {r[0]: r[3] for r in con.sql(op4.ORACLE_SQL).fetchall()}
+            assert {d: hashlib.md5(t.encode()).hexdigest() for d, t in kept.items()} == want
+        elif name == "near_dedup":
+            classes = plain_classes(list(zip(docs.doc_id, docs.text, strict=True)))
+            assert set(kept) == {d for d, c in classes.items() if d == c} and len(kept) < len(docs)
+        else:
+            assert set(docs.doc_id) - set(kept) == {d for d, _ in plain_leaks(list(zip(docs.doc_id, docs.text, strict=True)), benchmark)}
+        docs = out

@@ -83,6 +83,38 @@ def test_costs_are_balanced():
     assert max(full) <= 1.6 * (sum(full) / len(full))
 
 
+def plain_pack(lengths, capacity):
+    """The rule of packing by looking at every sequence."""
+    total = sum(lengths)
+    sizes = [capacity] * (total // capacity) + [1 << b for b in range(12, -1, -1) if total % capacity >> b & 1]
+    used, costs, out, whole, rests = [0] * len(sizes), [0.0] * len(sizes), [], 0, []
+    for d, n in enumerate(lengths):
+        for start in range(0, n - n % capacity, capacity):
+            out.append((d, start, capacity, whole, 0))
+            used[whole] = capacity
+            whole += 1
+        if n % capacity:
+            rests.append((-(n % capacity), d, n - n % capacity))
+    for minus, d, start in sorted(rests):
+        left = -minus
+        while left:
+            room = [(costs[s], s) for s in range(whole, len(sizes)) if sizes[s] - used[s] >= left]
+            most = max(sizes[s] - used[s] for s in range(whole, len(sizes)))
+            s = min(room or [(costs[s], s) for s in range(whole, len(sizes)) if sizes[s] - used[s] == most])[1]
+            n = min(left, sizes[s] - used[s])
+            out.append((d, start, n, s, used[s]))
+            used[s] += n
+            costs[s] += op9.cost(n)
+            start, left = start + n, left - n
+    return out
+
+
+def test_documents_are_cut_only_where_no_sequence_has_room():
+    rnd = random.Random(8)
+    for lengths in ([rnd.randint(1, 4096) for _ in range(400)], [rnd.choice([1, 7, 7, 300, 4096, 9000]) for _ in range(300)], [5], []):
+        assert sorted(op9.pack(lengths)) == sorted(plain_pack(lengths, op9.CAPACITY))
+
+
 RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
