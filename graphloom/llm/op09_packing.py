@@ -133,7 +133,8 @@ def cost(n: int) -> float:
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece; sequences count from 0.
 
-    All sequences but at most log2(capacity) ones are exactly full, and those hold a power of two each.
+    All sequences but at most log2(capacity) ones are exactly full, and those hold a power of two each. Among sequences of
+    equal cost the fullest takes a piece, then the first.
     """
     total = sum(lengths)
     sizes = [capacity] * (total // capacity)

@@ -98,9 +98,9 @@ def plain_pack(lengths, capacity):
     for minus, d, start in sorted(rests):
         left = -minus
         while left:
-            room = [(costs[s], s) for s in range(whole, len(sizes)) if sizes[s] - used[s] >= left]
+            room = [(costs[s], sizes[s] - used[s], s) for s in range(whole, len(sizes)) if sizes[s] - used[s] >= left]
             most = max(sizes[s] - used[s] for s in range(whole, len(sizes)))
-            s = min(room or [(costs[s], s) for s in range(whole, len(sizes)) if sizes[s] - used[s] == most])[1]
+            s = min(room or [(costs[s], most, s) for s in range(whole, len(sizes)) if sizes[s] - used[s] == most])[-1]
             n = min(left, sizes[s] - used[s])
             out.append((d, start, n, s, used[s]))
             used[s] += n
