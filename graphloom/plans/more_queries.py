@@ -137,6 +137,18 @@ def footprint(spark, sf_dir):
     return T.footprint(g, suppliers(g, spark))
 
 
+@query(
+    G + ", " + ROOTS + ", " + FOLLOWABLE
+    + """, walk AS (SELECT root, id, 0 AS depth FROM roots UNION SELECT w.root, f.target_id, w.depth + 1 FROM walk w JOIN fol f ON f.source_id = w.id WHERE w.depth < 3),
+near AS (SELECT root, id, min(depth)::INT AS depth FROM walk GROUP BY root, id), cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, id) AS rn FROM near) WHERE rn <= 400),
+steps AS (SELECT c.root, c.id, c.depth, row_number() OVER (PARTITION BY c.root ORDER BY c.depth, n.file_path, n.start_line, c.id)::INT AS position FROM cut c JOIN nodes n ON n.id = c.id)
+SELECT root, position, id, depth FROM steps WHERE position <= 50"""
+)
+def processes(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return P.processes(g, suppliers(g, spark))
+
+
 #: Vectors stand for the customers of their numbers.
 @query(
     G + ", " + VECTOR + ", " + _name_sql(["building"], "building") + ", " + _lexical_sql(names.lexical_terms("building"))

@@ -120,12 +120,6 @@ def symbol_context(spark, sf_dir):
     return P.context(g, suppliers(g, spark))
 
 
-@query()
-def processes(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return P.processes(g, suppliers(g, spark))
-
-
 @query("SELECT conv_id, turn, used AS tokens_used FROM (SELECT conv_id, turn, CAST(sum((strlen(coalesce(text, '')) + 3) // 4) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM conversations) WHERE used <= 200")
 def turns_within_budget(spark, sf_dir):
     return P.within_budget(view(spark, sf_dir, "conversations"), "conv_id", [F.col("turn")], "text", 200).select("conv_id", "turn", "tokens_used")
