@@ -41,7 +41,8 @@ def ambiguity(graph: Graph, roots: DataFrame) -> DataFrame:
 def subjects(graph: Graph, roots: DataFrame) -> DataFrame:
     """(root, unresolved, is_test): whether a definition of the root has no call graph (neither exact calls of its file nor calls by
     name of its language), and whether all of its definitions are tests or stand in test files."""
-    covered = graph.coverage.select("project_id", "file_path").distinct().withColumn("covered", F.lit(True))
+    coverage = graph.nodes.limit(0) if graph.coverage is None else graph.coverage
+    covered = coverage.select("project_id", "file_path").distinct().withColumn("covered", F.lit(True))
     of = roots.select("root", "id").join(graph.nodes.select("id", "project_id", "file_path", "kind", "language"), "id").join(covered, ["project_id", "file_path"], "left")
     unresolved = F.col("covered").isNull() & F.col("language").isin(*NO_CALLS_BY_NAME)
     return of.groupBy("root").agg(F.bool_or(unresolved).alias("unresolved"), F.bool_and(paths.is_test_node(F.col("kind"), F.col("file_path"))).alias("is_test"))

@@ -133,12 +133,13 @@ def test_gate(spark, level, limit, fails):
 
 
 def test_risk_without_a_call_graph_is_unknown(spark):
-    nodes = {"App": {"file_path": "web/app.ts", "kind": "function", "language": "typescript"}, "Run": function("lib/run.go"), "TestRun": function("lib/run_test.go", kind="test")}
+    nodes = {"App": function("web/app.ts"), "Run": function("lib/run.go")}
     for i in range(6):
-        nodes[f"C{i}"] = function(f"p{i % 2}/c.go", start=i)
+        nodes[f"C{i}"] = function(f"p{i % 2}/c.go", start=10 * i, end=10 * i + 5)
         nodes[f"D{i}"] = function(f"q{i}/d.go")
-    edges = [*((f"C{i}", "Run") for i in range(6)), *((f"D{i}", f"C{i}") for i in range(6))]
-    g, ids = toy(spark, nodes, edges)
+    edges = [*((f"C{i}", "Run", "calls", "precise") for i in range(6)), *((f"D{i}", f"C{i}", "calls", "precise") for i in range(6))]
+    g, ids = make(spark, nodes, edges)
+    g = Graph(g.nodes.withColumn("language", F.when(F.col("symbol") == "App", "typescript").otherwise("go")), g.edges)
     row = P.risk(g, roots(spark, ids, "App")).first()
     assert (row.level, row.score, row.unresolved) == ("unknown", 0.3, True)
     row = P.risk(g, roots(spark, ids, "Run")).first()
