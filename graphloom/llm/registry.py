@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import oracles
+from . import oracles, oracles_rows
 from .op01_substring_dedup import op1_substring_dedup
 from .op02_minhash_dedup import op2_minhash_dedup
 from .op03_decontaminate import op3_decontaminate
@@ -20,6 +20,9 @@ from .op07_language_id import op7_language_id
 from .op08_quality_classifier import op8_quality_classifier
 from .op09_packing import op9_packing
 from .op10_quality_rules import op10_quality_rules
+from .op11_mixing import op11_mixing
+from .op12_merkle_manifest import op12_merkle_manifest
+from .op13_vector_codes import op13_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,9 +37,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
+        "op11_mixing": op11_mixing,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_vector_codes": op13_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": oracles.OP1, "op2_minhash_dedup": oracles.OP2, "op3_decontaminate": oracles.OP3, "op4_line_dedup": OP4_SQL}
+    return {
+        "op1_substring_dedup": oracles.OP1,
+        "op2_minhash_dedup": oracles.OP2,
+        "op3_decontaminate": oracles.OP3,
+        "op4_line_dedup": OP4_SQL,
+        "op11_mixing": oracles_rows.OP11,
+        "op12_merkle_manifest": oracles_rows.OP12,
+        "op13_vector_codes": oracles_rows.OP13,
+    }
