@@ -1,10 +1,11 @@
 """Benchmark decontamination: BM25 over the benchmark's items with block-max WAND, then overlap checks.
 
 The inverted index is of the benchmark, which is bounded per block (BLOCK_BYTES of item text); a larger benchmark is
-searched block by block, each block against all documents. Every training passage (a window of words of which
-each stretch as long as the longest item lies whole in some window) is a query. Block-max bounds
-discard the passages and the item blocks that cannot reach an item's threshold; what remains is scored in full. An
-item above its threshold counts as a leak if the document has enough of the shingles of its question and of its answer.
+searched block by block, each block against all documents. Every training text is a query, as a whole, for its overlap with an item is
+judged on the whole. An item's threshold is the least score that a text with enough of the item's shingles can have, so retrieval
+loses nothing wherever in a text the parts of an item stand. Block-max bounds discard the texts and the item blocks that cannot
+reach a threshold; what remains is scored in full. An item above its threshold counts as a leak if the text has enough of the shingles of
+its question and of its answer.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from .runtime import blocks, ship
 from .textops import WORD_BYTES, flat, span_hashes, spans, windows
 
 K1, B = 1.2, 0.75
-#: Share of an item's own score that a passage must reach to be retrieved.
-RETRIEVE = 0.4
 #: Share of the five-word shingles of question and of answer that a document must have.
 OVERLAP = 0.8
 SHINGLE = 5
@@ -54,7 +53,26 @@ def _shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(windows(words, np.zeros(len(words), np.int64), size)[0])
 
 
-def build_index(items: list[tuple[int, str]]) -> dict:
+def most_lost(impacts: np.ndarray, size: int, overlap: float, repeats: bool) -> float:
+    """The most that words of a part can weigh which a text lacks that has ``overlap`` of the part's distinct shingles of ``size`` words.
+
+    ``impacts`` are of the part's words in order. Each missing shingle can take one word from an end of the part, or one from its middle
+    once size - 1 more are missing there. If shingles repeat, missing ones may take words at several places: then the heaviest words count,
+    one for each missing shingle and size - 1 more.
+    """
+    n = len(impacts) - size + 1
+    missing = n - int(np.ceil(overlap * n - 1e-9))
+    if missing <= 0:
+        return 0.0
+    heaviest = np.concatenate([[0.0], np.cumsum(np.sort(impacts)[::-1])])
+    top = lambda k: float(heaviest[min(max(k, 0), len(impacts))])
+    if repeats:
+        return top(missing + size - 1)
+    head, tail = (np.concatenate([[0.0], np.cumsum(x)]) for x in (impacts, impacts[::-1]))
+    return max(float(head[i] + tail[j]) + top(missing - i - j - (size - 1)) for i in range(missing + 1) for j in range(missing + 1 - i))
+
+
+def build_index(items: list[tuple[int, str]], overlap: float = OVERLAP) -> dict:
     """Postings with BM25 impacts, block maxima, thresholds and the shingles that verify, of items with a word."""
     hashes, doc = _hash_words([t for _, t in items])
     lengths = np.bincount(doc, minlength=len(items))
@@ -67,8 +85,23 @@ def build_index(items: list[tuple[int, str]]) -> dict:
     average = lengths.sum() / n if len(terms) else 1.0
     impact = idf[p_term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[p_item] / average)) if len(terms) else np.zeros(0)
     own = np.bincount(p_item, impact, minlength=len(items))
-    threshold = np.where(lengths > 0, RETRIEVE * own, np.inf)
-    # Non-essential postings: the least impacts of an item that together stay below LIGHT of its threshold. A passage
+    checks, threshold = [], np.full(len(items), np.inf)
+    for i, (_, text) in enumerate(items):
+        both, lost = [], 0.0
+        parts = question_and_answer(text or "")
+        for k, part in enumerate(parts):
+            words, _ = _hash_words([part])
+            size = min(SHINGLE, len(words))
+            shingles = _shingles(words, size) if size else np.zeros(0, np.uint64)
+            both.append((size, shingles))
+            if size and (k == 0 or part != parts[0]):
+                weight = impact[np.searchsorted(pair, np.searchsorted(terms, words) * len(items) + i)]
+                lost += most_lost(weight, size, overlap, len(shingles) < len(words) - size + 1)
+        checks.append(both)
+        if all(size for size, _ in both):
+            # A little less, for sums in another order; at least some word must be there.
+            threshold[i] = max(own[i] - lost, 1e-3 * own[i]) * (1 - 1e-9)
+    # Non-essential postings: the least impacts of an item that together stay below LIGHT of its threshold. A text
     # must reach the rest of the threshold, ``need``, with essential postings alone.
     order = np.lexsort((impact, p_item))
     below = np.cumsum(impact[order])
@@ -90,17 +123,9 @@ def build_index(items: list[tuple[int, str]]) -> dict:
     np.maximum.at(best, p_term[essential], impact[essential])
     sieve = np.zeros(1 << 20, bool)
     sieve[(terms >> np.uint64(44)).astype(np.int64)] = True
-    checks = []
-    for _, text in items:
-        both = []
-        for part in question_and_answer(text or ""):
-            words, _ = _hash_words([part])
-            size = min(SHINGLE, len(words))
-            both.append((size, _shingles(words, size) if size else np.zeros(0, np.uint64)))
-        checks.append(both)
     at = lambda keys: np.searchsorted(keys, np.arange(len(terms) + 1))
     return {
-        "ids": np.array([i for i, _ in items], np.int64), "terms": terms, "sieve": sieve, "block_of": block_of, "best": best, "threshold": threshold, "need": need, "longest": int(lengths.max(initial=1)), "checks": checks,
+        "ids": np.array([i for i, _ in items], np.int64), "terms": terms, "sieve": sieve, "block_of": block_of, "best": best, "threshold": threshold, "need": need, "checks": checks,
         "items_at": at(p_term), "items": p_item, "impact": impact, "blocks_at": at(block_pair // max(1, n_blocks)), "blocks": block_pair % max(1, n_blocks), "block_max": block_max,
     }
 
@@ -113,7 +138,7 @@ def _expand(at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def retrieve(words: np.ndarray, doc: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, item, best passage score) of the passages that reach an item's threshold.
+    """(document, item, score) of the items whose threshold a document reaches.
 
     ``words`` are the word hashes of several documents one after another, ``doc`` their documents.
     """
@@ -124,52 +149,33 @@ def retrieve(words: np.ndarray, doc: np.ndarray, index: dict) -> tuple[np.ndarra
     hit = np.flatnonzero(index["sieve"][(words >> np.uint64(44)).astype(np.int64)])
     place = np.minimum(np.searchsorted(terms, words[hit]), len(terms) - 1)
     same = terms[place] == words[hit]
-    hit, term = hit[same], place[same]
-    owner = doc[hit]
-    first = np.searchsorted(doc, np.arange(int(doc[-1]) + 1))
-    stride = index["longest"]
-    # Windows of two strides: window w covers strides w and w + 1 of its document, so each word is in two.
-    slot = (hit - first[owner]) // stride
-    base = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(first)) // stride + 2)])
-    right = base[owner] + slot + 1
-    n_windows = int(base[-1])
-    # Every occurrence of an essential term counted: never below the passage's essential score.
-    bound = np.bincount(right, index["best"][term], minlength=n_windows + 1)
-    total = bound + np.concatenate([bound[1:], [0]])
-    live = total >= index["need"].min()
-    parts = []
-    for window in (right, right - 1):
-        ok = live[window]
-        parts.append(window[ok] * len(terms) + term[ok])
-    pairs = np.unique(np.concatenate(parts))
-    window, term = pairs // len(terms), pairs % len(terms)
+    pairs = np.unique(doc[hit[same]] * len(terms) + place[same])
+    owner, term = pairs // len(terms), pairs % len(terms)
     # WAND: the sum of the best essential impact of each term must reach the lowest need.
-    score = np.bincount(window, index["best"][term], minlength=n_windows + 1)
-    ok = score[window] >= index["need"].min()
-    window, term = window[ok], term[ok]
-    if not len(window):
+    score = np.bincount(owner, index["best"][term], minlength=int(doc[-1]) + 1)
+    ok = score[owner] >= index["need"].min()
+    owner, term = owner[ok], term[ok]
+    if not len(owner):
         return none
     # Block-max: sums of the terms' maxima within each block of items.
     n_blocks = len(index["need"])
-    live_windows, window = np.unique(window, return_inverse=True)
+    live, owner = np.unique(owner, return_inverse=True)
     post, of = _expand(index["blocks_at"], term)
-    cell = window[of] * n_blocks + index["blocks"][post]
-    cells, back = np.unique(cell, return_inverse=True)  # only cells with a posting: a long text has very many windows
+    cell = owner[of] * n_blocks + index["blocks"][post]
+    cells, back = np.unique(cell, return_inverse=True)  # only cells with a posting
     open_cell = cells[np.bincount(back, index["block_max"][post], minlength=len(cells)) >= index["need"][cells % n_blocks]]
+    if not len(open_cell):
+        return none
     # Full scores of the items of open blocks.
     post, of = _expand(index["items_at"], term)
     item = index["items"][post]
-    cell = window[of] * n_blocks + index["block_of"][item]
-    ok = open_cell[np.minimum(np.searchsorted(open_cell, cell), len(open_cell) - 1)] == cell if len(open_cell) else np.zeros(len(cell), bool)
-    cell, back = np.unique(window[of][ok] * len(index["ids"]) + item[ok], return_inverse=True)
+    cell = owner[of] * n_blocks + index["block_of"][item]
+    ok = open_cell[np.minimum(np.searchsorted(open_cell, cell), len(open_cell) - 1)] == cell
+    cell, back = np.unique(owner[of][ok] * len(index["ids"]) + item[ok], return_inverse=True)
     score = np.bincount(back, index["impact"][post][ok], minlength=len(cell))
-    window, item = cell // len(index["ids"]), cell % len(index["ids"])
+    owner, item = cell // len(index["ids"]), cell % len(index["ids"])
     ok = score >= index["threshold"][item]
-    owner = np.searchsorted(base, live_windows[window[ok]], "right") - 1
-    cell, back = np.unique(owner * len(index["ids"]) + item[ok], return_inverse=True)
-    best = np.zeros(len(cell))
-    np.maximum.at(best, back, score[ok])
-    return cell // len(index["ids"]), cell % len(index["ids"]), best
+    return live[owner[ok]], item[ok], score[ok]
 
 
 def overlaps(words: np.ndarray, check: list, made: dict) -> list[float]:
@@ -201,7 +207,7 @@ def find_leaks(block: pa.RecordBatch, index: dict, overlap: float) -> list[tuple
     return rows
 
 
-def indexes(benchmark: DataFrame, part_bytes: int = PART_BYTES):
+def indexes(benchmark: DataFrame, part_bytes: int = PART_BYTES, overlap: float = OVERLAP):
     """Broadcast indexes of the parts of ``benchmark``; each holds about ``part_bytes`` of text, so its size is bounded."""
     spark = benchmark.sparkSession
     items = benchmark.selectExpr("cast(item_id as long) item_id", "text", "octet_length(text) size").where("text is not null")
@@ -209,7 +215,7 @@ def indexes(benchmark: DataFrame, part_bytes: int = PART_BYTES):
     n_parts = max(1, -(-int(total) // part_bytes))
     for part in range(n_parts):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == part).orderBy("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in own]))
+        yield spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in own], overlap))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -223,7 +229,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, part_
     ship(docs.sparkSession)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("text is not null")
     found = None
-    for shared in indexes(benchmark, part_bytes):
+    for shared in indexes(benchmark, part_bytes, overlap):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -241,7 +247,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, part_
 def without_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns; as in :func:`leaks`, null texts stay. No shuffle."""
     ship(docs.sparkSession)
-    for shared in indexes(benchmark, part_bytes):
+    for shared in indexes(benchmark, part_bytes, overlap):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value

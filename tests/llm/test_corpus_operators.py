@@ -144,6 +144,39 @@ def test_leaks_equal_brute_force(spark, part_bytes):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want and want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_scattered_leaks_equal_brute_force(spark, seed):
+    """Items of several sentences whose pieces stand far apart, with words changed and shingles missing."""
+    rnd = random.Random(seed)
+    items = []
+    for i in range(20):
+        sentences = [prose(1000 * seed + 10 * i + k, rnd.choice([2, 4, 7, 15])).capitalize() + "." for k in range(rnd.randint(1, 5))]
+        items.append((i, " ".join(sentences)))
+    items += [(20, "The the the the the the the. The the the the the the."), (21, "One two three one two three one two three one two. Four."), (22, "!? ..")]
+    rows = [(0, prose(5, 400).join(s + ". " for s in items[3][1].split(". ")))]
+    for d in range(1, 150):
+        words = rnd.choice(items)[1].split()
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            words[rnd.randrange(len(words))] = "changed"
+        pieces, at = [prose(d, 30)], 0
+        while at < len(words):
+            n = rnd.choice([4, 9, 30])
+            pieces += [" ".join(words[at : at + n]), prose(7000 + d, rnd.choice([0, 0, 250]))]
+            at += n
+        rows.append((d, " ".join(pieces)))
+    want = plain_leaks(rows, items)
+    found = op3.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len(want) > 20
+
+
+def test_texts_without_doc_id_are_texts(spark):
+    p, q = prose(1, 100), prose(2, 100)
+    rows = [(None, p), (None, p), (1, q), (None, "x" + q), (None, prose(3, 100)), (None, None)]
+    found = op1.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id is None, r.n_bytes, r.n_removed) for r in found)
+    assert got == sorted([(True, len(p), len(p))] * 2 + [(False, len(q), len(q)), (True, len(q) + 1, len(q)), (True, len(prose(3, 100)), 0), (True, 0, 0)])
+
+
 def test_recurring_lines_go_from_all_but_the_first(spark):
     notice = "Page {} of the archive, updated daily by the editors of this site, see the terms."
     rows = [(d, f"{prose(d, 12)}\n{notice.format(d)}\n\n{prose(50 + d, 12)}") for d in range(6)] + [(20 + d, prose(99, 30)) for d in range(7)] + [(40, None), (41, "")]
