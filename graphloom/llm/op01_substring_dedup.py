@@ -33,6 +33,8 @@ MAX_TOGETHER = 1000
 #: Bytes of segments in one transform; a batch is closed at the first anchor border beyond it.
 BATCH_BYTES = 1 << 19
 ANCHOR_BLOCK = 1 << 20
+#: What stands for a missing doc_id; a row that has it is told apart by its text.
+NO_ID = -(1 << 62)
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -218,14 +220,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
 
     Every byte goes that a string of ``length`` bytes covers which starts anywhere else as well, in the same text or another, as
     judged on the texts as they came. Null texts count as empty. Repeated rows are texts of their own, and so repeats of
-    each other. Rows without doc_id come back whole and are no repeats of others. An empty table gives no rows; other
-    columns are ignored.
+    each other. Rows without doc_id, or with one that is no number, are texts like others and come back without one. An empty table
+    gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) body", "coalesce(text, '') text")
-    low = F.flatten(F.collect_list("low")).alias("low")
-    marks = repeated_windows(texts.where(f"octet_length(text) >= {length} and doc_id is not null"), length, **options)
-    per_doc = written(marks.groupBy("doc_id", "body").agg(low, F.flatten(F.collect_list("high")).alias("high")))
+    # A text is known by doc_id and body; texts without doc_id share one, and of equal texts any may stand for all.
+    texts = docs.selectExpr("cast(doc_id as long) own_id", f"coalesce(cast(doc_id as long), {NO_ID}) doc_id", "xxhash64(text) body", "coalesce(text, '') text")
+    marks = repeated_windows(texts.where(f"octet_length(text) >= {length}").select("doc_id", "body", "text"), length, **options)
+    # A set, so that rows of equal texts, however many, meet once a task.
+    per_doc = marks.groupBy("doc_id", "body").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    per_doc = written(per_doc.select("doc_id", "body", F.flatten("runs.low").alias("low"), F.flatten("runs.high").alias("high")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -240,10 +244,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
                 kept = b"".join([*parts, raw[last:]])
                 rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if spans else text))
             n_bytes, n_removed, n_spans, sums, left = zip(*rows, strict=True)
-            columns = [block.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sums)]
+            columns = [block.column("own_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sums)]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(left, pa.string())] if with_text else []), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text])
 
-    joined = texts.join(per_doc, ["doc_id", "body"], "left").select("doc_id", "text", "low", "high")
+    joined = texts.join(per_doc, ["doc_id", "body"], "left").select("own_id", "text", "low", "high")
     return joined.mapInArrow(run, SCHEMA + ", text string" * with_text)
 
 

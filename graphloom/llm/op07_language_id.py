@@ -41,17 +41,24 @@ _letters: list[np.ndarray] = []
 
 
 def _letter_table() -> np.ndarray:
+    """2 for letters, 1 for marks, which are parts of words but make none a text with letters, 0 for all else."""
     if not _letters:
-        _letters.append(np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000))
+        _letters.append(np.fromiter(("ML".find(unicodedata.category(chr(i))[0]) + 1 for i in range(0x110000)), np.uint8, 0x110000))
     return _letters[0]
 
 
 def _words(column: pa.Array):
-    """Letters of the lower-cased texts: trigram bucket and word of each; start, end, document and script of each word."""
+    """Letters of the lower-cased texts: trigram bucket and word of each; start, end, document and script of each word.
+
+    Runs of marks alone are words only in a text that has a letter.
+    """
     texts = pc.utf8_lower(pc.fill_null(column, "")).to_pylist()
     chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    letter = _letter_table()[chars]
+    kind = _letter_table()[chars]
+    lengths = np.diff(at)
+    lettered = np.bincount(np.repeat(np.arange(len(texts)), lengths)[kind == 2], minlength=len(texts)) > 0
+    letter = (kind > 0) & np.repeat(lettered, lengths)
     border = np.zeros(len(chars) + 1, bool)
     border[at] = True
     first = letter & (border[:-1] | ~np.concatenate([[False], letter])[:-1]) if len(chars) else letter

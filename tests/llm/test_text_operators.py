@@ -265,6 +265,14 @@ def test_viterbi_shortcut_is_exact():
         assert np.isclose(value(own, got[a:b]), best.max())
 
 
+def test_marks_alone_are_no_language(spark):
+    model = op7.train(spark.createDataFrame([(1, "das ist ein satz", "de")], "doc_id long, text string, lang string"))
+    texts = ["\u0301\u0302", "12 \u0301", "a\u0301", None, "", "!"]
+    rows = op7.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in sorted(rows, key=lambda r: r.doc_id)] == ["und", "und", "de", "und", "und", "und"]
+    assert all(r.score == 0 and not r.spans for r in rows if r.lang_pred == "und")
+
+
 def test_languages_are_found_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = op7.op7_language_id(spark, "/root/testdata/sf0.01").where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
