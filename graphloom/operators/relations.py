@@ -13,15 +13,21 @@ from ..schema import PRECISE, Graph
 NODE_ORDER = ("file_path", "start_line", "fqn", "kind", "symbol", "id")
 
 
-def in_degree(graph: Graph, edge_types: tuple[str, ...] = ("calls",)) -> DataFrame:
-    return graph.edges.where(F.col("edge_type").isin(*edge_types)).groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
+def in_degree(graph: Graph, edge_types: tuple[str, ...] = ("calls",), of: DataFrame | None = None) -> DataFrame:
+    """(id, in_degree) of all nodes with such edges, or only of those in ``of`` (id)."""
+    into = graph.edges.where(F.col("edge_type").isin(*edge_types)).select(F.col("target_id").alias("id"))
+    if of is not None:
+        into = into.join(of.select("id"), "id", "left_semi")
+    return into.groupBy("id").agg(F.count(F.lit(1)).alias("in_degree"))
 
 
 def _neighbours(graph: Graph, roots: DataFrame, near: str, far: str) -> DataFrame:
     """Distinct nodes at the far end of calls that touch ``roots`` (id, root) at the near end, with their in-degree."""
     calls = graph.edges.where("edge_type = 'calls'").select(F.col(near).alias("near"), F.col(far).alias("far"))
     found = calls.join(roots.select(F.col("id").alias("near"), "root"), "near").select("root", F.col("far").alias("id")).distinct()
-    return found.join(graph.nodes, "id").join(in_degree(graph), "id", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
+    # Calls into what was found are counted, not into all nodes.
+    into = in_degree(graph, of=found)
+    return found.join(graph.nodes, "id").join(into, "id", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
 
 
 def callers(graph: Graph, roots: DataFrame) -> DataFrame:
@@ -123,12 +129,13 @@ def _buckets(low: str, high: str, bucket: int) -> Column:
     return F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.greatest(low, high) / bucket)))
 
 
-def changed_symbols(graph: Graph, hunks: DataFrame, bucket: int = 64) -> DataFrame:
+def changed_symbols(graph: Graph, hunks: DataFrame, bucket: int = LINE_BUCKET) -> DataFrame:
     """Symbols a diff touches: by overlap with a hunk, by a deletion between their lines, or with their whole file (deleted, new, renamed).
 
-    Symbols and hunks meet in every bucket of lines they touch, by an equi-join with a residual, so a very long file spreads.
+    Only symbols of changed files are dealt to buckets; there they meet the hunks of each bucket of lines they touch, by an equi-join
+    with a residual, so a very long file spreads.
     """
-    symbols = graph.nodes.where("kind <> 'file'")
+    symbols = graph.nodes.where("kind <> 'file'").join(hunks.select("file_path").distinct(), "file_path", "left_semi")
     whole = F.col("status").isin("D", "?", "R")
     of_file = symbols.join(hunks.where(whole).select("file_path").distinct(), "file_path", "left_semi").select("id")
     spans = symbols.select("id", "file_path", "start_line", "end_line", _buckets("start_line", "end_line", bucket).alias("bucket"))

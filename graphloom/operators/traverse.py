@@ -1,7 +1,8 @@
 """Walks over the graph, for a whole set of roots at once.
 
-Each walk takes roots (id, root) and goes level by level: a level is one join with the edges, one aggregation and one
-anti-join with what was reached before. Levels are checkpointed, so plans stay small however deep a walk goes.
+Each walk takes roots (id, root) and goes level by level: a level is one join of its frontier with the edges, one aggregation and one
+anti-join with what was reached before. The graph itself is read, not written; levels are written, so plans stay small however
+deep a walk goes and the next join knows how small its frontier is.
 """
 
 from __future__ import annotations
@@ -12,17 +13,21 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..schema import IMPACT_TYPES, WALK_TYPES, Graph
-from .lineage import cut
+from .lineage import cut, release
 
 
-def impact_edges(graph: Graph) -> DataFrame:
-    """(source_id, target_id, confirmed, via): impact edges collapsed per pair.
+def impact_edges(graph: Graph, targets: DataFrame | None = None) -> DataFrame:
+    """(source_id, target_id, confirmed, via): impact edges collapsed per pair; only those into ``targets`` (id), if given.
 
     Confirmed: exact, or a call within a file to a name unique in it. via is '' for calls, else the first family relation.
     """
-    nodes = graph.nodes.select("id", "project_id", "file_path", "symbol")
-    unique = graph.nodes.where("kind <> 'file'").groupBy("project_id", "file_path", "symbol").agg(F.count(F.lit(1)).alias("namesakes"))
-    target = nodes.join(unique, ["project_id", "file_path", "symbol"], "left").select(F.col("id").alias("target_id"), F.col("file_path").alias("target_file"), "namesakes")
+    nodes = graph.nodes.select("id", "project_id", "file_path", "symbol", "kind")
+    own, named = nodes, nodes.where("kind <> 'file'")
+    if targets is not None:
+        own = nodes.join(targets.select("id").distinct(), "id")
+        named = named.join(own.select("project_id", "file_path").distinct(), ["project_id", "file_path"], "left_semi")
+    unique = named.groupBy("project_id", "file_path", "symbol").agg(F.count(F.lit(1)).alias("namesakes"))
+    target = own.join(unique, ["project_id", "file_path", "symbol"], "left").select(F.col("id").alias("target_id"), F.col("file_path").alias("target_file"), "namesakes")
     source = nodes.select(F.col("id").alias("source_id"), F.col("file_path").alias("source_file"))
     edges = graph.edges.where(F.col("edge_type").isin(*IMPACT_TYPES)).join(target, "target_id").join(source, "source_id")
     local = (F.col("edge_type") == "calls") & (F.col("source_file") == F.col("target_file")) & (F.col("source_file") != "") & (F.col("namesakes") == 1)
@@ -34,39 +39,50 @@ def impact_edges(graph: Graph) -> DataFrame:
 def blast_radius(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
     """(root, id, depth, confirmed, via): what reaches each root backwards, at its least depth, roots left out.
 
-    A node is confirmed if some shortest path to the root has only confirmed edges.
+    A node is confirmed if some shortest path to the root has only confirmed edges. Edges into a node are classified when a
+    walk first gets there, and kept for the walks that get there later.
     """
-    edges = cut(impact_edges(graph))
-    frontier = roots.select("root", "id", F.lit(True).alias("confirmed")).distinct()
+    frontier = cut(roots.select("root", "id", F.lit(True).alias("confirmed")).distinct())
     visited = frontier.select("root", "id")
-    out = None
+    edges, out, seen = None, None, None
+    tables = []
     for depth in range(1, max_depth + 1):
+        here = frontier.select("id").distinct()
+        fresh = cut(here if seen is None else here.join(seen, "id", "left_anti"))
+        into = cut(impact_edges(graph, fresh))
+        tables += [fresh, into]
+        seen = fresh if seen is None else seen.unionByName(fresh)
+        edges = into if edges is None else edges.unionByName(into)
         step = frontier.withColumnRenamed("confirmed", "so_far").join(edges, F.col("id") == F.col("target_id"))
         found = step.groupBy("root", F.col("source_id").alias("id")).agg(F.bool_or(F.col("so_far") & F.col("confirmed")).alias("confirmed"), F.min("via").alias("via"))
         found = cut(found.join(visited, ["root", "id"], "left_anti").select("root", "id", F.lit(depth).alias("depth"), "confirmed", "via"))
         out = found if out is None else out.unionByName(found)
         frontier = found.select("root", "id", "confirmed")
         visited = visited.unionByName(found.select("root", "id"))
+        if found.isEmpty():
+            break
+    release(*tables)
     return out
 
 
 def closure(graph: Graph, roots: DataFrame, max_depth: int = 3, edge_types: tuple[str, ...] = ("calls",), backwards: bool = False) -> DataFrame:
     """(root, id, depth): all that each root reaches over those edges, itself at depth 0."""
     ends = ("target_id", "source_id") if backwards else ("source_id", "target_id")
-    edges = graph.edges.where(F.col("edge_type").isin(*edge_types)).select(F.col(ends[0]).alias("near"), F.col(ends[1]).alias("far")).distinct()
-    edges = cut(edges)
+    edges = graph.edges.where(F.col("edge_type").isin(*edge_types)).select(F.col(ends[0]).alias("near"), F.col(ends[1]).alias("far"))
     frontier = cut(roots.select("root", "id", F.lit(0).alias("depth")).distinct())
     out = frontier
     for depth in range(1, max_depth + 1):
         found = frontier.join(edges, F.col("id") == F.col("near")).select("root", F.col("far").alias("id")).distinct()
         frontier = cut(found.join(out, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         out = out.unionByName(frontier)
+        if frontier.isEmpty():
+            break
     return out
 
 
 def distances(graph: Graph, seeds: DataFrame, max_depth: int = 6, edge_types: tuple[str, ...] = ("calls",)) -> DataFrame:
     """(id, distance): how many edges each node is from the nearest of all seeds (id), against the edges; seeds are at 0."""
-    edges = cut(graph.edges.where(F.col("edge_type").isin(*edge_types)).select("source_id", "target_id").distinct())
+    edges = graph.edges.where(F.col("edge_type").isin(*edge_types)).select("source_id", "target_id")
     frontier = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0)))
     out = frontier
     for depth in range(1, max_depth + 1):
@@ -83,7 +99,7 @@ def shortest_paths(graph: Graph, pairs: DataFrame, max_depth: int = 0) -> DataFr
 
     ``max_depth`` 0 is no bound: levels go on until no walk has anything new.
     """
-    edges = cut(graph.edges.where("edge_type = 'calls'").select("source_id", "target_id").distinct())
+    edges = graph.edges.where("edge_type = 'calls'").select("source_id", "target_id")
     frontier = cut(pairs.select("root", F.col("root").alias("id"), F.array("root").alias("path")).distinct())
     visited, goals = frontier.select("root", "id"), cut(pairs.select("root", "target").distinct())
     found = goals.where("root = target").select("root", "target", F.array("root").alias("path"))
@@ -151,6 +167,6 @@ def followable_calls(graph: Graph) -> DataFrame:
 
 def footprint(graph: Graph, roots: DataFrame, max_depth: int = 4, cap: int = 400) -> DataFrame:
     """(root, id, depth): what a feature's handler calls along followable calls, the nearest ``cap`` nodes."""
-    calls = followable_calls(graph).withColumn("edge_type", F.lit("calls")).withColumn("weight", F.lit(1.0)).withColumn("provenance", F.lit("precise"))
+    calls = cut(followable_calls(graph)).withColumn("edge_type", F.lit("calls")).withColumn("weight", F.lit(1.0)).withColumn("provenance", F.lit("precise"))
     reached = closure(Graph(graph.nodes, calls), roots, max_depth)
     return reached.withColumn("rn", F.row_number().over(W.partitionBy("root").orderBy("depth", "id"))).where(F.col("rn") <= cap).drop("rn")

@@ -10,9 +10,10 @@ from ..functions import names, paths
 from ..operators import maintenance as M
 from ..operators import relations as R
 from ..operators.lineage import cut
-from ..schema import Graph
+from ..schema import EDGE_TYPES, Graph
 from ..sources.extract import extract, resolve_imports
 from ..sources.files import walk_tree
+from ..sources.store import file_system
 
 
 def module_name(path: Column) -> Column:
@@ -82,23 +83,70 @@ def index_tree(spark: SparkSession, root: str, project_id: int = 1, exclude: lis
     return Graph(nodes, edges, manifest, coverage), unresolved
 
 
+def _replaced(spark: SparkSession, old: Graph, some: DataFrame, deleted: DataFrame, manifest: DataFrame, project_id: int) -> tuple[Graph, DataFrame]:
+    """The next snapshot once the files of ``some`` (a tree) were read again and ``deleted`` (file_path) are gone, and the files whose surface changed."""
+    base = M.cascade_delete(old, deleted)
+    rows = cut(extract(some))
+    fresh = cut(symbol_nodes(some, rows, project_id))
+    touched = some.select("file_path")
+    everything = base.nodes.join(touched, "file_path", "left_anti").select(*fresh.columns).unionByName(fresh)
+    edges, _ = reference_edges(everything, fresh, rows, manifest)
+    nxt, surface = M.replace_files(base, Graph(fresh, edges), touched)
+    return Graph(nxt.nodes, nxt.edges, manifest, nxt.coverage, nxt.annotations), surface
+
+
+def _manifest(tree: DataFrame, project_id: int) -> DataFrame:
+    return tree.select(F.lit(project_id).cast("long").alias("project_id"), "file_path", "file_hash", "size_bytes")
+
+
 def refresh(spark: SparkSession, old: Graph, root: str, project_id: int = 1, exclude: list[str] | None = None) -> tuple[Graph, DataFrame]:
     """The next snapshot of a graph after files changed, reading only those, and the files whose surface changed.
 
     Edges from untouched files into touched ones follow identities; the touched files' own references are resolved against all nodes.
     """
     tree = walk_tree(spark, root, exclude)
-    manifest = cut(tree.select(F.lit(project_id).cast("long").alias("project_id"), "file_path", "file_hash", "size_bytes"))
+    manifest = cut(_manifest(tree, project_id))
     delta = cut(M.file_delta(old.files, manifest))
-    base = M.cascade_delete(old, delta.where("change = 'deleted'").select("file_path"))
     touched = delta.where("change <> 'deleted'").select("file_path")
-    some = tree.join(touched, "file_path", "left_semi")
-    rows = cut(extract(some))
-    fresh = cut(symbol_nodes(some, rows, project_id))
-    everything = base.nodes.join(touched, "file_path", "left_anti").select(*fresh.columns).unionByName(fresh)
-    edges, _ = reference_edges(everything, fresh, rows, manifest)
-    nxt, surface = M.replace_files(base, Graph(fresh, edges), touched)
-    return Graph(nxt.nodes, nxt.edges, manifest, nxt.coverage, nxt.annotations), surface
+    return _replaced(spark, old, tree.join(touched, "file_path", "left_semi"), delta.where("change = 'deleted'").select("file_path"), manifest, project_id)
+
+
+#: Paths of one batch that are read by name; a batch of more is a refresh of the whole tree.
+MOST_PATHS = 10_000
+
+
+def apply_paths(spark: SparkSession, old: Graph, root: str, batch: DataFrame, project_id: int = 1, exclude: list[str] | None = None) -> tuple[Graph, DataFrame]:
+    """The next snapshot after a batch of paths (path), of which only the files are read, and the files (file_path) that were touched.
+
+    A path without a file is deleted, whatever its operation says. Files that referred to a symbol that is gone are read again as well,
+    so that their references meet what is there now. A batch of more than MOST_PATHS paths refreshes the whole tree.
+    """
+    paths_ = [r["path"] for r in batch.select("path").distinct().limit(MOST_PATHS + 1).collect()]
+    if len(paths_) > MOST_PATHS:
+        nxt, _ = refresh(spark, old, root, project_id, exclude)
+        return nxt, M.file_delta(old.files, nxt.files).select("file_path")
+    fs, _ = file_system(spark, root)
+    there = {p for p in paths_ if fs.exists(file_system(spark, f"{root.rstrip('/')}/{p}")[1])}
+
+    def step(read: set[str]) -> tuple[Graph, DataFrame]:
+        some = cut(walk_tree(spark, root, exclude, sorted(read))) if read else walk_tree(spark, root, exclude).limit(0)
+        kept = old.files.join(_names(spark, {*paths_, *read}), "file_path", "left_anti").select("project_id", "file_path", "file_hash", "size_bytes")
+        manifest = cut(kept.unionByName(_manifest(some, project_id)))
+        return _replaced(spark, old, some, _names(spark, set(paths_) - there), manifest, project_id)
+
+    nxt, surface = step(there)
+    broken = surface.unionByName(_names(spark, set(paths_) - there)).distinct()
+    dependents = R.source_files_targeting(old, broken, EDGE_TYPES).select("source_file").distinct().limit(MOST_PATHS + 1).collect()
+    more = {r["source_file"] for r in dependents} - there - set(paths_)
+    if len(more) > MOST_PATHS:
+        nxt, _ = refresh(spark, old, root, project_id, exclude)
+    elif more:
+        nxt, _ = step(there | more)
+    return nxt, _names(spark, {*paths_, *more})
+
+
+def _names(spark: SparkSession, names_: set[str]) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in sorted(names_)], "file_path string")
 
 
 def language_counts(tree: DataFrame) -> DataFrame:

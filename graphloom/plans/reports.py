@@ -11,6 +11,7 @@ from ..operators import aggregates as A
 from ..operators import maintenance as M
 from ..operators import relations as R
 from ..operators import traverse as T
+from ..operators.lineage import cut
 from ..schema import CALLABLE_KINDS, DECLARATIVE_LANGUAGES, NO_CALLS_BY_NAME, Graph
 
 
@@ -80,7 +81,7 @@ def review(graph: Graph, hunks: DataFrame, max_depth: int = 3, busy: int = 8) ->
 
     All changed symbols are roots of one walk, not of a walk each.
     """
-    changed = R.changed_symbols(graph, hunks).select("id", F.col("id").alias("root"))
+    changed = cut(R.changed_symbols(graph, hunks).select("id", F.col("id").alias("root")))
     return risk(graph, changed, max_depth).withColumn("busy", F.col("direct") >= busy)
 
 
@@ -121,7 +122,7 @@ def affected_tests(graph: Graph, hunks: DataFrame, max_depth: int = 3) -> DataFr
     """(test_file, reason): tests to run for a change: changed themselves, covering a changed symbol, or importing a changed file."""
     files = hunks.select("file_path").distinct()
     own = files.where(paths.is_test_file(F.col("file_path"))).select(F.col("file_path").alias("test_file"), F.lit("changed").alias("reason"))
-    changed = R.changed_symbols(graph, hunks).select("id", F.col("id").alias("root"))
+    changed = cut(R.changed_symbols(graph, hunks).select("id", F.col("id").alias("root")))
     cover = T.blast_radius(graph, changed, max_depth).join(graph.nodes.where("kind = 'test'").select("id", "file_path"), "id").select(F.col("file_path").alias("test_file"), F.lit("covers").alias("reason"))
     imports = T.importing_tests(graph, files).select("test_file", F.lit("imports").alias("reason"))
     return own.unionByName(cover).unionByName(imports).distinct()

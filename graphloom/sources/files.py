@@ -22,9 +22,9 @@ EXCLUDED = [
 ]
 
 
-def walk_tree(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
-    """(file_path, content, size_bytes, file_hash, language) of the files below ``root``; hidden folders and excluded globs are left out."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def walk_tree(spark: SparkSession, root: str, exclude: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """(file_path, content, size_bytes, file_hash, language) of the files below ``root``, or of ``only`` those of these paths; hidden folders and excluded globs are left out."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root if only is None else [f"{root.rstrip('/')}/{p}" for p in only])
     base = re.sub(r"^\w+:/*", "/", root).rstrip("/")
     relative = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), "^" + re.escape(base) + "/", "")
     rows = read.select(relative.alias("file_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("file_hash"), F.col("content").alias("raw"))

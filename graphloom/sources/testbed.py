@@ -6,11 +6,15 @@ regions modules. Calls run customer - order - part - supplier - customer, so tra
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import shared_folder
 from ..schema import Graph
+from .store import EMPTY, Conflict, Store, file_system
 
 NODES = """
 SELECT 1000000000 + CAST(r_regionkey AS BIGINT) AS id, CAST(1 AS BIGINT) AS project_id, 'cmd/geo/region.go' AS file_path, r_name AS symbol, 'geo.' || r_name AS fqn, 'module' AS kind, 'go' AS language,
@@ -93,8 +97,9 @@ VIEWS = {"nodes": NODES, "edges": EDGES, "files": FILES, "coverage": COVERAGE, "
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, have: dict[str, DataFrame] | None = None) -> DataFrame:
-    """One of VIEWS, or a table of ``sf_dir``, as a DataFrame. ``have`` keeps what was opened, so no table is opened twice."""
-    have = {} if have is None else have
+    """One of VIEWS, or a table of ``sf_dir``, as a DataFrame. ``have`` keeps what was opened, so no table is opened twice; by itself it
+    holds the indexed tables of the graph."""
+    have = (_pinned(spark, sf_dir) if name in VIEWS else {}) if have is None else have
     if name not in have:
         if name in VIEWS:
             inputs = {k: view(spark, sf_dir, k, have) for k in sorted(set(re.findall(r"{(\w+)}", VIEWS[name])))}
@@ -104,8 +109,47 @@ def view(spark: SparkSession, sf_dir: str, name: str, have: dict[str, DataFrame]
     return have[name]
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of names, lengths and times of all files of the tables: another state of the tables has another one."""
+    seen = []
+    for table in TABLES:
+        fs, path = file_system(spark, f"{sf_dir}/{table}.parquet")
+        for s in fs.listStatus(path) if fs.exists(path) else []:
+            seen.append(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+#: Tables the graph is projected from, and what of it is indexed.
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+INDEXED = ("nodes", "edges")
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> Store:
+    """The store of the graph of ``sf_dir``, indexed first if it has no version: queries read an index, as they do after
+    ``plans.indexing``. It lies in the folder of ``spark.checkpoint.dir`` and goes with the application."""
+    root = f"{shared_folder(spark)}/graph-{spark.sparkContext.applicationId}-{_stamp(spark, sf_dir)}"
+    store = Store(spark, root)
+    if store.pin() is EMPTY:
+        have: dict[str, DataFrame] = {}
+        nodes, edges = (view(spark, sf_dir, k, have) for k in INDEXED)
+        # Walks read one family of edges at a time.
+        by_family = lambda folder: edges.repartition("edge_type", "target_id").write.partitionBy("edge_type").parquet(folder)
+        with contextlib.suppress(Conflict):  # another thread was faster
+            store.publish(EMPTY, {"nodes": nodes, "edges": by_family})
+        fs, where = file_system(spark, root)
+        fs.deleteOnExit(where)
+    return store
+
+
+def _pinned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    version = indexed(spark, sf_dir).pin()
+    have = {k: version.read(spark, k) for k in INDEXED}
+    return have | {"edges": have["edges"].select("source_id", "target_id", "edge_type", "weight", "provenance")}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    have: dict[str, DataFrame] = {}
+    """The graph of ``sf_dir``, pinned to one version of its store; what is not indexed is derived from that."""
+    have = _pinned(spark, sf_dir)
     return Graph(*(view(spark, sf_dir, k, have) for k in ("nodes", "edges", "files", "coverage", "annotations")))
 
 
