@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names, paths, scores
+from .lineage import cut
 
 #: Field weights, BM25 constants, and channel weights by kind of query.
 FIELD_WEIGHTS = {"symbol": 10.0, "fqn": 6.0, "file_path": 3.0, "docstring": 2.0, "signature": 1.0}
@@ -134,20 +135,26 @@ def fuse(vector_hits: DataFrame, lexical_hits: DataFrame, key: str, kind: str =
     return both.select(key, scores.round_half_up(F.col("v") + F.col("l"), 8).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
-#: Ways of finding a node, the first ones first.
+#: Ways of finding a node.
 MODES = ("name", "semantic", "lexical")
 
 
-def cascade(nodes: DataFrame, query: str, limit: int = 10, semantic: DataFrame | None = None) -> DataFrame:
-    """Name hits, then the nearest by vector if there are any (``semantic``: id, score), then lexical hits, each node once, up to
-    ``limit``, with the mode that found it first."""
+def cascade(nodes: DataFrame, query: str, limit: int = 10, semantic: DataFrame | None = None, lexical: DataFrame | None = None) -> DataFrame:
+    """(id, mode, position), at most ``limit``: the nearest by vector (``semantic``: id, score) if there are any; else the name hits,
+    topped up with lexical hits, each node once, with the mode that found it.
+
+    ``lexical`` gives the rows of :func:`lexical_search` where they come from a kept index.
+    """
+    if semantic is not None:
+        near = semantic.join(nodes.where("kind <> 'file'").select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(limit)
+        near = cut(near.select("id", F.lit("semantic").alias("mode"), F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("position")))
+        if not near.isEmpty():
+            return near
+    lexical = lexical_search(nodes, query, limit) if lexical is None else lexical
     stages = {
         "name": search_names(nodes, query, limit).select("id", F.row_number().over(W.orderBy("tier", F.desc("exact"), F.desc("prefix"), F.length("symbol"), "symbol", "file_path", "start_line", "id")).alias("rn")),
-        "lexical": lexical_search(nodes, query, limit).select("id", F.row_number().over(W.orderBy(F.desc("covered"), "is_test", "kind_rank", F.desc("weight"), "id")).alias("rn")),
+        "lexical": lexical.select("id", F.row_number().over(W.orderBy(F.desc("covered"), "is_test", "kind_rank", F.desc("weight"), "id")).alias("rn")),
     }
-    if semantic is not None:
-        near = semantic.join(nodes.where("kind <> 'file'").select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(limit)
-        stages["semantic"] = near.select("id", F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("rn"))
     found = None
     for mode, hits in stages.items():
         rows = hits.withColumn("mode", F.lit(MODES.index(mode)))

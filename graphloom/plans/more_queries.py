@@ -149,14 +149,14 @@ def processes(spark, sf_dir):
     return P.processes(g, suppliers(g, spark))
 
 
-#: Vectors stand for the customers of their numbers.
+#: Vectors stand for the customers of their numbers; where any is near, neither names nor words are asked.
 @query(
     G + ", " + VECTOR + ", " + _name_sql(["building"], "building") + ", " + _lexical_sql(names.lexical_terms("building"))
-    + f""", a AS (SELECT id, 0 AS mode, row_number() OVER (ORDER BY {NAME_ORDER}) AS rn FROM hits WHERE tier IS NOT NULL ORDER BY rn LIMIT 4),
-s AS (SELECT 3000000000 + vec_id AS id, 1 AS mode, row_number() OVER (ORDER BY score DESC, vec_id) AS rn FROM v WHERE 3000000000 + vec_id IN (SELECT id FROM nodes) ORDER BY rn LIMIT 4),
-b AS (SELECT id, 2 AS mode, row_number() OVER (ORDER BY {LEX_ORDER}) AS rn FROM lex WHERE covered > 0 ORDER BY rn LIMIT 4),
-u AS (SELECT id, min(mode * 1000 + rn) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM s UNION ALL SELECT * FROM b) GROUP BY id)
-SELECT id, ['name', 'semantic', 'lexical'][k // 1000 + 1] AS mode, position FROM (SELECT *, row_number() OVER (ORDER BY k)::INT AS position FROM u) WHERE position <= 4"""
+    + f""", s AS (SELECT 3000000000 + vec_id AS id, 'semantic' AS mode, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS position FROM v WHERE 3000000000 + vec_id IN (SELECT id FROM nodes WHERE kind <> 'file') ORDER BY position LIMIT 4),
+a AS (SELECT id, row_number() OVER (ORDER BY {NAME_ORDER}) AS rn FROM hits WHERE tier IS NOT NULL ORDER BY rn LIMIT 4),
+b AS (SELECT id, 1000 + row_number() OVER (ORDER BY {LEX_ORDER}) AS rn FROM lex WHERE covered > 0 ORDER BY rn LIMIT 4),
+u AS (SELECT id, min(rn) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id)
+SELECT * FROM s UNION ALL SELECT id, mode, position FROM (SELECT id, CASE WHEN k < 1000 THEN 'name' ELSE 'lexical' END AS mode, row_number() OVER (ORDER BY k)::INT AS position FROM u) WHERE position <= 4 AND NOT EXISTS (SELECT 1 FROM s)"""
 )
 def search_cascade_semantic(spark, sf_dir):
     vectors = view(spark, sf_dir, "embeddings")

@@ -12,9 +12,10 @@ from ..operators import aggregates as A
 from ..operators import maintenance as M
 from ..operators import relations as R
 from ..operators import search as S
+from ..operators import text_index as X
 from ..operators import traverse as T
 from ..schema import Graph
-from ..sources.testbed import graph, view, with_sql
+from ..sources.testbed import graph, text_index, view, with_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -523,7 +524,9 @@ LEX_ORDER = "covered DESC, is_test, kind_rank, weight DESC, id"
 
 @query(G + ", " + _lexical_sql(LEX_TERMS) + f" SELECT id, symbol, covered, floor(covered / {len(LEX_TERMS)}::DOUBLE * 1000000 + 0.5) / 1000000 AS score FROM lex WHERE covered > 0 ORDER BY {LEX_ORDER} LIMIT 50")
 def lexical_search(spark, sf_dir):
-    return S.lexical_search(graph(spark, sf_dir).nodes, "orders of priority handled").select("id", "symbol", "covered", "score")
+    """From the kept index of the graph's nodes."""
+    version = text_index(spark, sf_dir)
+    return X.lexical_search(spark, version, graph(spark, sf_dir).nodes, "orders of priority handled").select("id", "symbol", "covered", "score")
 
 
 COSINE = "list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))"
@@ -556,7 +559,8 @@ def query_classes(spark, sf_dir):
 @query(G + ", " + _name_sql(["order#1"], "order#1") + ", " + _lexical_sql(names.lexical_terms("Order#1")) + f""", a AS (SELECT id, 0 AS mode, row_number() OVER (ORDER BY {NAME_ORDER}) AS rn FROM hits WHERE tier IS NOT NULL ORDER BY rn LIMIT 10), b AS (SELECT id, 1 AS mode, row_number() OVER (ORDER BY {LEX_ORDER}) AS rn FROM lex WHERE covered > 0 ORDER BY rn LIMIT 10),
 u AS (SELECT id, min(mode * 1000 + rn) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id) SELECT id, CASE WHEN k < 1000 THEN 'name' ELSE 'lexical' END AS mode, position FROM (SELECT *, row_number() OVER (ORDER BY k)::INT AS position FROM u) WHERE position <= 10""")
 def search_cascade(spark, sf_dir):
-    return S.cascade(graph(spark, sf_dir).nodes, "Order#1")
+    g = graph(spark, sf_dir)
+    return S.cascade(g.nodes, "Order#1", lexical=X.lexical_search(spark, text_index(spark, sf_dir), g.nodes, "Order#1", 10))
 
 
 @query(G + " SELECT id, sha256(concat_ws(chr(10), docstring, signature, fqn)) AS digest FROM nodes WHERE kind <> 'file'")

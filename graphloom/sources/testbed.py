@@ -12,9 +12,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import text_index as X
 from ..operators.lineage import shared_folder
 from ..schema import Graph
-from .store import EMPTY, Conflict, Store, file_system
+from .store import EMPTY, Conflict, Store, Version, file_system
 
 NODES = """
 SELECT 1000000000 + CAST(r_regionkey AS BIGINT) AS id, CAST(1 AS BIGINT) AS project_id, 'cmd/geo/region.go' AS file_path, r_name AS symbol, 'geo.' || r_name AS fqn, 'module' AS kind, 'go' AS language,
@@ -153,6 +154,15 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(*(view(spark, sf_dir, k, have) for k in ("nodes", "edges", "files", "coverage", "annotations")))
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> Version:
+    """The version of the store with an index of the words of the graph's nodes, which is made on first use and kept from then on."""
+    store = indexed(spark, sf_dir)
+    version = store.pin()
+    if not any(k.startswith("entries/") for k in version.tables):
+        version = X.update(store, version.read(spark, "nodes"))
+    return version
+
+
 def with_sql(*names: str) -> str:
     """The CTEs of those views for DuckDB, with what they read from, ready for more after a comma."""
     out: dict[str, str] = {}
