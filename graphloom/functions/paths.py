@@ -14,7 +14,7 @@ TEST_FOLDERS = ("testdata", "__tests__", "__mocks__", "test", "tests")
 GROUPING_FOLDERS = ("internal", "cmd", "pkg")
 # Extension to language.
 LANGUAGES = {
-    "go": "go", "py": "python", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript",
+    "go": "go", "py": "python", "pyw": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript",
     "mjs": "javascript", "cjs": "javascript", "rb": "ruby", "lua": "lua", "gd": "gdscript", "css": "css", "scss": "scss", "sass": "sass", "less": "less", "html": "html",
     "htm": "html", "sql": "sql", "yml": "yaml", "yaml": "yaml", "md": "markdown", "markdown": "markdown", "vue": "vue",
 }
@@ -63,6 +63,18 @@ def ancestors(path: Column) -> Column:
     return F.when(folder(path) == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, F.lit(1), n)))))
 
 
+def normalized(path: Column) -> Column:
+    """A path without '.', '..' and empty parts; null if it leaves the root."""
+    away = F.lit(None).cast("array<string>")
+
+    def step(out: Column, part: Column) -> Column:
+        up = F.when(F.size(out) > 0, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(away)
+        return F.when(out.isNull(), away).when(part.isin("", "."), out).when(part == "..", up).otherwise(F.concat(out, F.array(part)))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.when(parts.isNotNull(), F.concat_ws("/", parts))
+
+
 def glob_regex(pattern: str) -> str:
     """Regex of an exclude glob. A bare name matches any path segment; with a slash it is tied to the root; ``**/`` is any depth."""
     deep = pattern.startswith("**/")

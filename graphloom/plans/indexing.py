@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import names, paths
 from ..operators import maintenance as M
 from ..operators import relations as R
+from ..operators.imports import modules, packages, resolve_imports
 from ..operators.lineage import cut
 from ..schema import EDGE_TYPES, Graph
-from ..sources.extract import extract, resolve_imports
+from ..sources.extract import extract
 from ..sources.files import walk_tree
 from ..sources.store import file_system
 
@@ -32,17 +33,17 @@ def symbol_nodes(tree: DataFrame, rows: DataFrame, project_id: int) -> DataFrame
     return both.select(ident.alias("id"), F.lit(project_id).cast("long").alias("project_id"), "file_path", "symbol", "fqn", "kind", "language", "start_line", "end_line", F.lit(None).cast("string").alias("signature"), "docstring", "source_hash")
 
 
-def reference_edges(nodes: DataFrame, own: DataFrame, rows: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reference_edges(nodes: DataFrame, own: DataFrame, rows: DataFrame, manifest: DataFrame, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges of the references in ``rows`` (definitions, imports and resolved names) and the references that met nothing.
 
-    ``nodes`` are all that can be met, ``own`` those of the files that were read.
+    ``nodes`` are all that can be met, ``own`` those of the files that were read. ``tree`` has the manifests of packages and modules.
     """
     refs = rows.where("row = 'reference'")
     files = own.where("kind = 'file'").select(F.col("id").alias("source_id"), "file_path")
     all_files = nodes.where("kind = 'file'").select(F.col("id").alias("target_id"), F.col("file_path").alias("target"))
     defines = own.where("kind <> 'file'").join(files, "file_path").select("source_id", F.col("id").alias("target_id"), F.lit("defines").alias("edge_type"), F.lit(1.0).alias("weight"), F.lit("name").alias("provenance"))
     files_named = refs.where("kind in ('imports', 'documents')").select("file_path", "kind", F.col("name").alias("spec")).distinct()
-    links = resolve_imports(files_named.select("file_path", "spec").distinct(), manifest).join(files_named, ["file_path", "spec"])
+    links = cut(resolve_imports(files_named.select("file_path", "spec"), manifest, packages(tree), modules(tree)).join(files_named, ["file_path", "spec"]))
     imports = links.join(files, "file_path").join(all_files, "target").where("source_id <> target_id").select("source_id", "target_id", F.col("kind").alias("edge_type"), F.lit(1.0).alias("weight"), F.lit("name").alias("provenance")).distinct()
     named = refs.where("kind not in ('imports', 'documents')")
     by_last = F.col("kind").isin("calls", "references", "extends", "implements")
@@ -78,19 +79,21 @@ def index_tree(spark: SparkSession, root: str, project_id: int = 1, exclude: lis
     rows = cut(extract(tree))
     nodes = cut(symbol_nodes(tree, rows, project_id))
     manifest = cut(tree.select(F.lit(project_id).cast("long").alias("project_id"), "file_path", "file_hash", "size_bytes"))
-    edges, unresolved = reference_edges(nodes, nodes, rows, manifest)
+    edges, unresolved = reference_edges(nodes, nodes, rows, manifest, tree)
     coverage = manifest.select("project_id", "file_path", F.lit("").alias("resolver")).limit(0)
     return Graph(nodes, edges, manifest, coverage), unresolved
 
 
-def _replaced(spark: SparkSession, old: Graph, some: DataFrame, deleted: DataFrame, manifest: DataFrame, project_id: int) -> tuple[Graph, DataFrame]:
-    """The next snapshot once the files of ``some`` (a tree) were read again and ``deleted`` (file_path) are gone, and the files whose surface changed."""
+def _replaced(spark: SparkSession, old: Graph, some: DataFrame, declared: DataFrame, deleted: DataFrame, manifest: DataFrame, project_id: int) -> tuple[Graph, DataFrame]:
+    """The next snapshot once the files of ``some`` (a tree) were read again and ``deleted`` (file_path) are gone, and the files whose surface changed.
+
+    ``declared`` is a tree with the manifests of packages and modules."""
     base = M.cascade_delete(old, deleted)
     rows = cut(extract(some))
     fresh = cut(symbol_nodes(some, rows, project_id))
     touched = some.select("file_path")
     everything = base.nodes.join(touched, "file_path", "left_anti").select(*fresh.columns).unionByName(fresh)
-    edges, _ = reference_edges(everything, fresh, rows, manifest)
+    edges, _ = reference_edges(everything, fresh, rows, manifest, declared)
     nxt, surface = M.replace_files(base, Graph(fresh, edges), touched)
     return Graph(nxt.nodes, nxt.edges, manifest, nxt.coverage, nxt.annotations), surface
 
@@ -108,7 +111,7 @@ def refresh(spark: SparkSession, old: Graph, root: str, project_id: int = 1, exc
     manifest = cut(_manifest(tree, project_id))
     delta = cut(M.file_delta(old.files, manifest))
     touched = delta.where("change <> 'deleted'").select("file_path")
-    return _replaced(spark, old, tree.join(touched, "file_path", "left_semi"), delta.where("change = 'deleted'").select("file_path"), manifest, project_id)
+    return _replaced(spark, old, tree.join(touched, "file_path", "left_semi"), tree, delta.where("change = 'deleted'").select("file_path"), manifest, project_id)
 
 
 #: Paths of one batch that are read by name; a batch of more is a refresh of the whole tree.
@@ -126,13 +129,14 @@ def apply_paths(spark: SparkSession, old: Graph, root: str, batch: DataFrame, pr
         nxt, _ = refresh(spark, old, root, project_id, exclude)
         return nxt, M.file_delta(old.files, nxt.files).select("file_path")
     fs, _ = file_system(spark, root)
+    declared = _declared(spark, old, root, exclude, paths_)
     there = {p for p in paths_ if fs.exists(file_system(spark, f"{root.rstrip('/')}/{p}")[1])}
 
     def step(read: set[str]) -> tuple[Graph, DataFrame]:
         some = cut(walk_tree(spark, root, exclude, sorted(read))) if read else walk_tree(spark, root, exclude).limit(0)
         kept = old.files.join(_names(spark, {*paths_, *read}), "file_path", "left_anti").select("project_id", "file_path", "file_hash", "size_bytes")
         manifest = cut(kept.unionByName(_manifest(some, project_id)))
-        return _replaced(spark, old, some, _names(spark, set(paths_) - there), manifest, project_id)
+        return _replaced(spark, old, some, declared, _names(spark, set(paths_) - there), manifest, project_id)
 
     nxt, surface = step(there)
     broken = surface.unionByName(_names(spark, set(paths_) - there)).distinct()
@@ -145,6 +149,21 @@ def apply_paths(spark: SparkSession, old: Graph, root: str, batch: DataFrame, pr
     return nxt, _names(spark, {*paths_, *more})
 
 
+#: Files that declare packages and modules.
+DECLARING = ("package.json", "go.mod")
+
+
+def _declared(spark: SparkSession, old: Graph, root: str, exclude: list[str] | None, batch: list[str]) -> DataFrame:
+    """A tree with the files that declare packages and modules: those that are known and those of the batch, read by name if they are not too many."""
+    known = old.files.where(paths.base_name(F.col("file_path")).isin(*DECLARING)).select("file_path").limit(MOST_PATHS + 1).collect()
+    if len(known) > MOST_PATHS:
+        return walk_tree(spark, root, exclude)
+    fs, _ = file_system(spark, root)
+    named = {r["file_path"] for r in known} | {p for p in batch if p.rsplit("/", 1)[-1] in DECLARING}
+    there = sorted(p for p in named if fs.exists(file_system(spark, f"{root.rstrip('/')}/{p}")[1]))
+    return walk_tree(spark, root, exclude, there) if there else walk_tree(spark, root, exclude).limit(0)
+
+
 def _names(spark: SparkSession, names_: set[str]) -> DataFrame:
     return spark.createDataFrame([(p,) for p in sorted(names_)], "file_path string")
 

@@ -298,19 +298,3 @@ def extract(files: DataFrame) -> DataFrame:
 
     return todo.mapInPandas(run, EXTRACTED)
 
-
-def resolve_imports(imports: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(file_path, spec, target): the first existing file of each import's ordered candidates.
-
-    Candidates are exploded and met with the manifest by an equi-join; the least position wins.
-    """
-    here = paths.folder(F.col("file_path"))
-    spec = F.col("spec")
-    relative = spec.rlike(r"^\.{1,2}/") | spec.rlike(r"^[^/@~].*\.(md|markdown|css|scss|sass|less|js|mjs|ts|html?)$")
-    joined = F.when(relative, F.concat_ws("/", here, spec)).when(spec.rlike(r"^[@~]/"), F.substring(spec, 3, 10000)).otherwise(F.translate(spec, ".", "/"))
-    ends = ["", ".py", "/__init__.py", ".ts", ".tsx", ".js", "/index.ts", "/index.js", ".rb", ".lua", ".scss", ".css", ".md"]
-    tries = imports.select("file_path", "spec", F.posexplode(F.transform(F.array(*map(F.lit, ends)), lambda e: F.concat(joined, e))).alias("k", "path"))
-    up = r"[^/.][^/]*/\.\./"
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"(^|/)\./", "$1"), up, ""), up, ""), r"^/", "")
-    found = tries.withColumn("target", clean).join(manifest.select(F.col("file_path").alias("target")), "target")
-    return found.groupBy("file_path", "spec").agg(F.min_by("target", "k").alias("target"))

@@ -94,7 +94,22 @@ SELECT 10000000000 + l_partkey, 'part.' || p_name, s_name, 'references', true, C
 FROM (SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_partkey) x JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey
 """
 
-VIEWS = {"nodes": NODES, "edges": EDGES, "files": FILES, "coverage": COVERAGE, "later": LATER, "annotations": ANNOTATIONS, "hunks": HUNKS, "positions": POSITIONS, "refs": REFS}
+#: References within files: from orders (in their file, anywhere, or with a wrong line) to suppliers and parts in theirs.
+SCOPED_REFS = """
+SELECT o_orderkey AS ref_id, CASE WHEN o_orderkey % 3 = 0 THEN 'extends' ELSE 'calls' END AS kind, CASE WHEN o_orderkey % 4 <> 1 THEN f.file_path END AS from_file, f.fqn AS from_name,
+       CAST(CASE WHEN o_orderkey % 5 = 0 THEN 7 ELSE f.start_line END AS INT) AS from_line, CASE WHEN o_orderkey % 7 <> 2 THEN t.file_path END AS to_file, t.fqn AS to_name,
+       CAST(CASE WHEN o_orderkey % 2 = 0 THEN t.start_line ELSE 0 END AS INT) AS to_line
+FROM {orders} JOIN (SELECT l_orderkey, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM {lineitem} GROUP BY l_orderkey) x ON l_orderkey = o_orderkey JOIN {nodes} f ON f.id = 4000000000 + o_orderkey
+     JOIN {nodes} t ON t.id = CASE WHEN o_orderkey % 3 = 1 THEN 6000000000 + l_suppkey ELSE 5000000000 + l_partkey END
+"""
+#: Calls as an exact resolver finds them, by position and full name; some ends are known by neither, some leave the project.
+EXACT = """
+SELECT f.file_path AS caller_file, CAST(f.start_line AS INT) AS caller_line, f.fqn AS caller_fqn, t.file_path AS callee_file, CAST(CASE WHEN l_linenumber = 2 THEN 0 ELSE t.start_line END AS INT) AS callee_line,
+       CASE WHEN l_linenumber = 3 THEN 'gone.' || t.fqn ELSE t.fqn END AS callee_fqn, l_linenumber = 4 AS external
+FROM {lineitem} JOIN {nodes} f ON f.id = 4000000000 + l_orderkey JOIN {nodes} t ON t.id = 5000000000 + l_partkey
+"""
+
+VIEWS = {"nodes": NODES, "edges": EDGES, "files": FILES, "coverage": COVERAGE, "later": LATER, "annotations": ANNOTATIONS, "hunks": HUNKS, "positions": POSITIONS, "refs": REFS, "scoped_refs": SCOPED_REFS, "exact": EXACT}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, have: dict[str, DataFrame] | None = None) -> DataFrame:

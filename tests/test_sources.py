@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import names, paths
 from graphloom.sources import extract as X
 from graphloom.sources import files, testbed
+from graphloom.operators.imports import resolve_imports
 from graphloom.streaming import changes
 
 
@@ -63,7 +64,7 @@ def test_tree_to_symbols_and_imports(spark, tmp_path):
     rows = X.extract(tree)
     assert {r.fqn for r in rows.where("row = 'symbol'").collect()} == {"g", "f", "K", "x"}
     imports = rows.where("kind = 'imports'").selectExpr("file_path", "name spec")
-    assert {(r.file_path, r.target) for r in X.resolve_imports(imports, tree).collect()} == {("pkg/a.py", "pkg/b.py"), ("web/i.ts", "web/j.ts")}
+    assert {(r.file_path, r.target) for r in resolve_imports(imports, tree).collect()} == {("pkg/a.py", "pkg/b.py"), ("web/i.ts", "web/j.ts")}
 
 
 DIFF = """diff --git a/x.go b/x.go
