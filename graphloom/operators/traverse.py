@@ -7,7 +7,9 @@ deep a walk goes and the next join knows how small its frontier is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -118,23 +120,50 @@ def shortest_paths(graph: Graph, pairs: DataFrame, max_depth: int = 0) -> DataFr
     return found
 
 
+DIRECTIONS = {"out": (("source_id", "target_id"),), "in": (("target_id", "source_id"),), "both": (("source_id", "target_id"), ("target_id", "source_id"))}
+
+
+def _hops(graph: Graph, frontier: DataFrame, direction: str, edge_types: tuple[str, ...]) -> DataFrame:
+    """(root, id): what one edge leads to from each node of ``frontier`` (root, id); a symbol also has the imports of its file, and is no step from it."""
+
+    def over(start: DataFrame, types: tuple[str, ...]) -> list[DataFrame]:
+        edges = graph.edges.where(F.col("edge_type").isin(*types))
+        return [start.join(edges.select(F.col(near).alias("id"), F.col(far).alias("far")), "id").select("root", F.col("far").alias("id")) for near, far in DIRECTIONS[direction]]
+
+    parts = over(frontier.select("root", "id"), edge_types)
+    if "imports" in edge_types:
+        files = graph.nodes.where("kind = 'file'").groupBy("project_id", "file_path").agg(F.min("id").alias("owner"))
+        symbols = graph.nodes.where("kind <> 'file'").select("id", "project_id", "file_path")
+        owners = frontier.select("root", "id").join(symbols, "id").join(files, ["project_id", "file_path"]).select("root", F.col("owner").alias("id")).distinct()
+        parts += over(owners, ("imports",))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def traverse(graph: Graph, roots: DataFrame, direction: str = "out", edge_types: tuple[str, ...] = WALK_TYPES, max_depth: int = 2, max_nodes: int = 100) -> DataFrame:
-    """A free walk from each root: nodes at their least depth in durable order, at most ``max_nodes`` a root with their true total."""
-    reached = [closure(graph, roots, max_depth, edge_types, backwards=b) for b in {"out": (False,), "in": (True,), "both": ()}[direction]]
-    if direction == "both":
-        flipped = graph.edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "edge_type", "weight", "provenance")
-        reached = [closure(Graph(graph.nodes, graph.edges.unionByName(flipped)), roots, max_depth, edge_types)]
-    nodes = reached[0].where("depth > 0").join(graph.nodes, "id")
+    """A free walk from each root: nodes at their least depth in durable order, at most ``max_nodes`` a root with their true total.
+
+    The walk has two kinds of vertices: from a symbol it goes on along the symbol's edges and along the imports of the file that holds it.
+    """
+    frontier = cut(roots.select("root", "id").distinct())
+    visited, out = frontier, None
+    for depth in range(1, max_depth + 1):
+        level = cut(_hops(graph, frontier, direction, edge_types).join(visited, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        out = level if out is None else out.unionByName(level)
+        frontier = level.select("root", "id")
+        visited = visited.unionByName(frontier)
+        if level.isEmpty():
+            break
+    nodes = out.join(graph.nodes, "id")
     order = W.partitionBy("root").orderBy("depth", "file_path", "start_line", "fqn", "kind", "symbol", "id")
     ranked = nodes.withColumn("position", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(W.partitionBy("root")))
     return ranked.where(F.col("position") <= max_nodes).withColumn("truncated", F.col("total") > max_nodes)
 
 
 def importing_tests(graph: Graph, changed: DataFrame, max_depth: int = 8, max_files: int = 500) -> DataFrame:
-    """(file, test_file, depth, truncated): tests that import a changed file (file_path), directly or not. Walks stop at tests; each
-    changed file reaches at most ``max_files`` files, the nearest first, by name, and ``truncated`` says that there are more."""
-    place = lambda p: graph.nodes.select(F.col("id").alias(f"{p}_id"), F.col("file_path").alias(f"{p}_file"))
-    imports = graph.edges.where("edge_type = 'imports'").join(place("source"), "source_id").join(place("target"), "target_id").where("source_file <> target_file").select("source_file", "target_file").distinct()
+    """(file, test_file, depth, truncated): tests that import a changed file (file_path), directly or not. Walks stop at tests. An import by
+    Go means a package, not a file, and counts for none; calls tell of Go. Each changed file reaches at most ``max_files`` files, the nearest first, by name, and ``truncated`` says that there are more."""
+    place = lambda p: graph.nodes.select(F.col("id").alias(f"{p}_id"), F.col("file_path").alias(f"{p}_file"), F.col("language").alias(f"{p}_language"))
+    imports = graph.edges.where("edge_type = 'imports'").join(place("source"), "source_id").join(place("target"), "target_id").where("source_file <> target_file and coalesce(source_language, '') <> 'go'").select("source_file", "target_file").distinct()
     imports = cut(imports)
     frontier = cut(changed.select(F.col("file_path").alias("file"), F.col("file_path").alias("at")).distinct())
     visited, out = frontier, None
@@ -152,21 +181,67 @@ def importing_tests(graph: Graph, changed: DataFrame, max_depth: int = 8, max_fi
     return ranked.where(F.col("rn") <= max_files).where(paths.is_test_file(F.col("at"))).select("file", F.col("at").alias("test_file"), "depth", "truncated")
 
 
-def followable_calls(graph: Graph) -> DataFrame:
-    """Calls with one clear target: exact ones, and by name those whose namesake is the only one in the caller's folder, else in its subsystem, else anywhere."""
-    place = lambda p: graph.nodes.select(F.col("id").alias(f"{p}_id"), paths.folder(F.col("file_path")).alias(f"{p}_dir"), paths.subsystem(F.col("file_path")).alias(f"{p}_sub"), F.col("symbol").alias(f"{p}_symbol"))
-    calls = graph.edges.where("edge_type = 'calls'").select("source_id", "target_id", "provenance").distinct().join(place("source"), "source_id").join(place("target"), "target_id")
-    exact = calls.where("provenance = 'precise'").select("source_id", "target_id")
-    named = calls.where("provenance = 'name'")
-    tier = F.when(F.col("source_dir") == F.col("target_dir"), 0).when(F.col("source_sub") == F.col("target_sub"), 1).otherwise(2)
-    group = W.partitionBy("source_id", "target_symbol")
-    named = named.withColumn("tier", tier).withColumn("best", F.min("tier").over(group)).where("tier = best")
-    clear = named.withColumn("rivals", F.count(F.lit(1)).over(group)).where("rivals = 1").select("source_id", "target_id")
-    return exact.unionByName(clear).distinct()
+#: Kinds that a call by name can mean.
+CALL_TARGETS = ("function", "method", "class")
+
+
+def followable_calls(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
+    """(source_id, target_id) of calls with one clear target; only those from ``sources`` (id), if given. Tests neither call nor are called.
+
+    An exact call is clear, and one by a name that has a single definition. Of several definitions the only one in the caller's folder is meant, or, if
+    there is none, the only one in its subsystem. Definitions that share a full name share each other's calls, so of such a caller a
+    call is not trusted if the deepest folder of the namesakes that holds the target is not the caller's own.
+    """
+    test = paths.is_test_node(F.col("kind"), F.col("file_path"))
+    nodes = graph.nodes.select("id", "symbol", "fqn", "kind", paths.folder(F.col("file_path")).alias("dir"), paths.subsystem(F.col("file_path")).alias("sub"), test.alias("test"))
+    callers = nodes.where("not test").select(F.col("id").alias("source_id"), F.col("fqn").alias("source_fqn"), F.col("dir").alias("source_dir"), F.col("sub").alias("source_sub"))
+    calls = graph.edges.where("edge_type = 'calls'").groupBy("source_id", "target_id").agg(F.bool_or(F.col("provenance") == "precise").alias("precise"))
+    if sources is not None:
+        own = sources.select(F.col("id").alias("source_id")).distinct()
+        few = graph.edges.where("edge_type = 'calls'").join(own, "source_id")
+        calls = few.groupBy("source_id", "target_id").agg(F.bool_or(F.col("provenance") == "precise").alias("precise"))
+    targets = nodes.where("not test and kind <> 'file'").select(F.col("id").alias("target_id"), "symbol", F.col("dir").alias("target_dir"))
+    calls = calls.join(callers, "source_id").join(targets, "target_id")
+    defs = nodes.where(F.col("kind").isin(*CALL_TARGETS) & ~F.col("test"))
+    count = lambda *keys: defs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"))
+    anywhere = count("symbol").select("symbol", F.col("n").alias("n_all"))
+    in_dir = count("symbol", "dir").select("symbol", F.col("dir").alias("source_dir"), F.col("n").alias("n_dir"), F.col("one").alias("in_dir"))
+    in_sub = count("symbol", "sub").select("symbol", F.col("sub").alias("source_sub"), F.col("n").alias("n_sub"), F.col("one").alias("in_sub"))
+    met = calls.join(anywhere, "symbol", "left").join(in_dir, ["symbol", "source_dir"], "left").join(in_sub, ["symbol", "source_sub"], "left")
+    chosen = F.when(F.col("n_dir") == 1, F.col("in_dir")).when(F.col("n_dir").isNull() & (F.col("n_sub") == 1), F.col("in_sub"))
+    clear = met.where(F.col("precise") | (F.coalesce("n_all", F.lit(0)) <= 1) | F.coalesce(chosen == F.col("target_id"), F.lit(False)))
+    twins = defs.where("fqn <> ''").groupBy(F.col("fqn").alias("source_fqn")).agg(F.count(F.lit(1)).alias("k"), F.collect_set("dir").alias("dirs")).where("k > 1")
+    # Only twins are looked for in the folders above the target.
+    shared = clear.join(twins.select("source_fqn"), "source_fqn").select("source_id", "target_id", "source_fqn", "source_dir", F.explode(_up(F.col("target_dir"))).alias("dir"))
+    homes = twins.select("source_fqn", F.explode("dirs").alias("dir"))
+    deepest = shared.join(homes, ["source_fqn", "dir"]).groupBy("source_id", "target_id", "source_dir").agg(F.max_by("dir", F.length("dir")).alias("deepest"))
+    foreign = deepest.where("deepest <> source_dir").select("source_id", "target_id")
+    return clear.select("source_id", "target_id").join(foreign, ["source_id", "target_id"], "left_anti")
+
+
+def _up(folder: Column) -> Column:
+    """A folder and those above it; the root only for itself."""
+    parts = F.split(folder, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, F.lit(1), n)))
 
 
 def footprint(graph: Graph, roots: DataFrame, max_depth: int = 4, cap: int = 400) -> DataFrame:
-    """(root, id, depth): what a feature's handler calls along followable calls, the nearest ``cap`` nodes."""
-    calls = cut(followable_calls(graph)).withColumn("edge_type", F.lit("calls")).withColumn("weight", F.lit(1.0)).withColumn("provenance", F.lit("precise"))
-    reached = closure(Graph(graph.nodes, calls), roots, max_depth)
-    return reached.withColumn("rn", F.row_number().over(W.partitionBy("root").orderBy("depth", "id"))).where(F.col("rn") <= cap).drop("rn")
+    """(root, id, depth, truncated): what a feature's handler calls along followable calls, the nearest ``cap`` nodes, and whether there are more."""
+    frontier = cut(roots.select("root", "id", F.lit(0).alias("depth")).distinct())
+    out, calls, seen, tables = frontier, None, None, []
+    for depth in range(1, max_depth + 1):
+        here = frontier.select("id").distinct()
+        fresh = cut(here if seen is None else here.join(seen, "id", "left_anti"))
+        more = cut(followable_calls(graph, fresh))
+        tables += [fresh, more]
+        seen = fresh if seen is None else seen.unionByName(fresh)
+        calls = more if calls is None else calls.unionByName(more)
+        found = frontier.join(calls, F.col("id") == F.col("source_id")).select("root", F.col("target_id").alias("id")).distinct()
+        frontier = cut(found.join(out, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        out = out.unionByName(frontier)
+        if frontier.isEmpty():
+            break
+    release(*tables)
+    own = W.partitionBy("root")
+    ranked = out.withColumn("rn", F.row_number().over(own.orderBy("depth", "id"))).withColumn("truncated", F.count(F.lit(1)).over(own) > cap)
+    return ranked.where(F.col("rn") <= cap).drop("rn")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +14,9 @@ from ..operators import aggregates as A
 from ..operators import relations as R
 from ..operators import search as S
 from ..operators import traverse as T
+from ..operators.lineage import cut
 from ..schema import Graph
+from ..ship import ship
 from . import reports as P
 
 
@@ -114,26 +119,114 @@ def feature_footprints(graph: Graph, found: DataFrame, max_depth: int = 4) -> Da
     return handlers.withColumnRenamed("id", "root").join(sums, "root").select("kind", "name", "symbols", "files")
 
 
-def flow_tree(graph: Graph, roots: DataFrame, max_depth: int = 3, breadth: int = 20) -> DataFrame:
-    """(root, path, depth, id, leaf): call trees as flat rows that sort by ``path``, callees by file, line and id.
+_TREE = "root {id}, path string, depth int, id long, leaf string"
+
+
+def call_tree(root: int, calls: dict[int, list[int]], max_depth: int, max_nodes: int) -> list[tuple[str, int, int, str | None]]:
+    """(path, depth, id, leaf) of one call tree in call order; a path has three digits and a dot for each call.
 
-    A callee already on its path ends as a 'cycle'; one that stands at an earlier path of the tree ends as a 'repeat'; a node at
-    the last depth with calls ends as 'depth'. Each node shows its first ``breadth`` callees.
+    A node shows its calls where it first comes in that order above the last depth; later it is a 'repeat', below itself a 'cycle', and with
+    calls at the last depth it ends as 'depth'. With more than ``max_nodes`` nodes, the calls of a node all come in before those of
+    the first of them, and what does not come in any more cuts its caller as 'max_nodes'.
+    """
+    shown: dict[int, str] = {}
+    leaf: dict[str, str] = {}
+    children: dict[str, list[tuple[str, int]]] = {}
+    # What is still to be shown, the next one last; a node is left, by its path, once all below it is shown.
+    stack: list[tuple[str, int, tuple[int, ...]]] = [("", root, ())]
+    while stack:
+        at, node, above = stack.pop()
+        own = calls.get(node, [])
+        if node in above:
+            leaf[at] = "cycle"
+        elif node in shown:
+            leaf[at] = "repeat"
+        elif own and len(above) >= max_depth:
+            leaf[at] = "depth"
+        elif own:
+            shown[node] = at
+            children[at] = [(f"{at}{k:03}.", c) for k, c in enumerate(own, 1)]
+            stack.extend((p, c, (*above, node)) for p, c in reversed(children[at]))
+    budget, out, todo = max_nodes - 1, [], [("", root)]
+    while todo:
+        at, node = todo.pop()
+        kept = children.get(at, [])[: max(budget, 0)]
+        why = "max_nodes" if len(kept) < len(children.get(at, [])) else leaf.get(at)
+        budget -= len(kept)
+        out.append((at, at.count("."), node, why))
+        todo.extend(reversed(kept))
+    here = {at for at, *_ in out}
+    # A repeat of what was cut away is a cut itself.
+    return [(at, depth, node, "max_nodes" if why == "repeat" and shown[node] not in here else why) for at, depth, node, why in out]
+
+
+def flow_tree(graph: Graph, roots: DataFrame, max_depth: int = 3, breadth: int = 20, max_nodes: int = 10_000) -> DataFrame:
+    """(root, path, depth, id, leaf): the call tree of each root (id, root) as flat rows that sort by ``path``, callees by file, line and id.
+
+    Each node shows its first ``breadth`` callees, so a tree expands ``breadth`` ** (``max_depth`` - 1) nodes at most, each of them once. The calls that a
+    tree can show are found level by level for all roots; one task then puts a root's calls, whose number is bounded by that, in order.
+    """
+    order = graph.nodes.select(F.col("id").alias("target_id"), "file_path", "start_line")
+    frontier = cut(roots.select("root", "id").distinct())
+    visited, parts = frontier, [frontier.select("root", F.lit(None).cast("long").alias("source_id"), F.col("id").alias("target_id"), F.lit(0).alias("k"))]
+    for _ in range(max_depth + 1):  # one more, to know whether the last ones have calls
+        calls = T.followable_calls(graph, frontier).join(order, "target_id")
+        k = F.row_number().over(W.partitionBy("source_id").orderBy("file_path", "start_line", "target_id"))
+        calls = calls.withColumn("k", k).where(F.col("k") <= breadth)
+        level = cut(frontier.join(calls, F.col("id") == F.col("source_id")).select("root", "source_id", "target_id", "k"))
+        parts.append(level)
+        frontier = cut(level.select("root", F.col("target_id").alias("id")).distinct().join(visited, ["root", "id"], "left_anti"))
+        visited = visited.unionByName(frontier)
+        if frontier.isEmpty():
+            break
+    rows = reduce(DataFrame.unionByName, parts)
+
+    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("k")
+        start = group.loc[group["source_id"].isna(), "target_id"]
+        own = group[group["source_id"].notna()]
+        calls = {int(s): t.tolist() for s, t in own.groupby("source_id")["target_id"]}
+        found = [row for node in sorted(start) for row in call_tree(int(node), calls, max_depth, max_nodes)]
+        return pd.DataFrame([(key[0], *row) for row in found], columns=["root", "path", "depth", "id", "leaf"])
+
+    kind = roots.schema["root"].dataType.simpleString()
+    ship(graph.nodes.sparkSession)
+    return rows.groupBy("root").applyInPandas(one, _TREE.format(id=kind))
+
+
+def processes(graph: Graph, entries: DataFrame, max_depth: int = 4, steps: int = 40) -> DataFrame:
+    """(root, position, id, depth, path): for each entry point (id, root) the steps of its call tree in call order, each node where it
+    comes first; at most ``steps`` nodes of a tree."""
+    tree = flow_tree(graph, entries, max_depth, max_nodes=steps).where("leaf is null or leaf <> 'cycle'")
+    first = tree.groupBy("root", "id").agg(F.min(F.struct("path", "depth")).alias("f")).select("root", "id", "f.*")
+    return first.select("root", F.row_number().over(W.partitionBy("root").orderBy("path")).alias("position"), "id", "depth", "path")
+
+
+#: Entry points a search builds trees for, and the steps it shows of each.
+MOST_CANDIDATES, SHOWN_STEPS = 12, 8
+
+
+def ranked_processes(graph: Graph, entries: DataFrame, seeds: DataFrame, limit: int = 3, max_depth: int = 4, steps: int = 40) -> DataFrame:
+    """(rank, root, matched, position, id, depth, is_seed): the processes of ``entries`` (id, root, place) that hold most ``seeds`` (id, rank), and the way to them.
+
+    Seeds are walked back from along calls and references, as far as a process is deep; of the entry points this reaches the nearest ones,
+    then the first ones by place, get a call tree. Those with a seed among their steps are ordered by how many they hold, then by their best seed. Of their
+    steps those that lead to a seed are shown in call order; of too many the entry and the seeds stay first.
     """
-    order = graph.nodes.select("id", "file_path", "start_line")
-    calls = T.followable_calls(graph).join(order.withColumnRenamed("id", "target_id"), "target_id")
-    k = F.row_number().over(W.partitionBy("source_id").orderBy("file_path", "start_line", "target_id"))
-    calls = calls.withColumn("k", k).where(F.col("k") <= breadth).select("source_id", "target_id", "k")
-    level = roots.select("root", F.col("id"), F.lit("").alias("path"), F.array("id").alias("trail"), F.lit(0).alias("depth"), F.lit(False).alias("cycle"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        step = level.where("not cycle").join(calls, F.col("id") == F.col("source_id"))
-        level = step.select("root", F.col("target_id").alias("id"), F.concat("path", F.lpad(F.col("k").cast("string"), 3, "0"), F.lit(".")).alias("path"), F.concat("trail", F.array("target_id")).alias("trail"), F.lit(depth).alias("depth"), F.array_contains("trail", F.col("target_id")).alias("cycle"))
-        out = out.unionByName(level)
-    first = F.min("path").over(W.partitionBy("root", "id"))
-    marked = out.withColumn("first", first)
-    # Below a repeat nothing is shown: its subtree stands at the first place.
-    repeats = marked.where("path <> first and not cycle").select("root", F.col("path").alias("stop"))
-    below = marked.join(repeats, (marked["root"] == repeats["root"]) & marked["path"].startswith(repeats["stop"]) & (marked["path"] != repeats["stop"]), "left_anti")
-    leaf = F.when(F.col("cycle"), "cycle").when(F.col("path") != F.col("first"), "repeat")
-    return below.select("root", "path", "depth", "id", leaf.alias("leaf"))
+    near = T.distances(graph, seeds.select("id").distinct(), max_depth, ("calls", "references"))
+    few = cut(entries.join(near, "id").orderBy("distance", "place", "root").limit(MOST_CANDIDATES).select("id", "root", "place", "distance"))
+    flow = cut(processes(graph, few.select("id", "root"), max_depth, steps))
+    best = seeds.groupBy("id").agg(F.min("rank").alias("seed_rank"))
+    marked = cut(flow.join(best, "id", "left").withColumn("is_seed", F.col("seed_rank").isNotNull()))
+    held = marked.where("is_seed").groupBy("root").agg(F.count(F.lit(1)).alias("matched"), F.min("seed_rank").alias("best"))
+    chosen = held.join(few, "root").orderBy(F.desc("matched"), "best", "distance", "place", "root").limit(limit)
+    chosen = cut(chosen.select("root", "matched", F.row_number().over(W.orderBy(F.desc("matched"), "best", "distance", "place", "root")).alias("rank")))
+    # Paths of a step and all above it: its own without its last calls.
+    calls = F.expr("length(path) div 4")
+    above = F.transform(F.sequence(F.lit(0), calls), lambda n: F.expr("path").substr(F.lit(1), n * 4))
+    on_path = marked.where("is_seed").select("root", F.explode(above).alias("path")).distinct()
+    kept = marked.join(on_path, ["root", "path"]).join(chosen, "root")
+    first = F.when(F.col("path") == "", 0).when(F.col("is_seed"), 1).otherwise(2)
+    shown = kept.withColumn("n", F.row_number().over(W.partitionBy("root").orderBy(first, "path"))).where(F.col("n") <= SHOWN_STEPS)
+    position = F.row_number().over(W.partitionBy("root").orderBy("path"))
+    return shown.select("rank", "root", "matched", position.alias("position"), "id", "depth", "is_seed")

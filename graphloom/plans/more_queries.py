@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -9,9 +10,10 @@ from ..operators import aggregates as A
 from ..operators import maintenance as M
 from ..operators import search as S
 from ..operators import traverse as T
+from ..schema import Graph
 from ..sources.testbed import graph, view, with_sql
 from . import reports as P
-from .queries import BLAST, G, GF, LEX_ORDER, NAME_ORDER, ROOTS, VECTOR, _lexical_sql, _name_sql, query, sql_dir, sql_subsystem, sql_test_path, suppliers
+from .queries import BLAST, FOLLOWABLE, G, GF, LEX_ORDER, NAME_ORDER, ROOTS, VECTOR, _lexical_sql, _name_sql, query, sql_dir, sql_subsystem, sql_test_path, suppliers
 from .report_queries import DEPS
 
 NOTES = with_sql("annotations")
@@ -118,35 +120,44 @@ def file_contexts(spark, sf_dir):
     return P.file_context(g, g.nodes)
 
 
-FOLLOWABLE = f"""call_ends AS (SELECT DISTINCT e.source_id, e.target_id, e.provenance, {sql_dir('s.file_path')} AS sd, {sql_dir('t.file_path')} AS td, {sql_subsystem('s.file_path')} AS ss, {sql_subsystem('t.file_path')} AS ts, t.symbol
-FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.edge_type = 'calls'),
-tiered AS (SELECT *, CASE WHEN sd = td THEN 0 WHEN ss = ts THEN 1 ELSE 2 END AS tier FROM call_ends WHERE provenance = 'name'),
-nearest AS (SELECT *, min(tier) OVER (PARTITION BY source_id, symbol) AS best FROM tiered),
-clear AS (SELECT *, count(*) OVER (PARTITION BY source_id, symbol) AS rivals FROM nearest WHERE tier = best),
-fol AS (SELECT source_id, target_id FROM call_ends WHERE provenance = 'precise' UNION SELECT source_id, target_id FROM clear WHERE rivals = 1)"""
-
-
 @query(
     G + ", " + ROOTS + ", " + FOLLOWABLE
     + """, walk AS (SELECT root, id, 0 AS depth FROM roots UNION SELECT w.root, f.target_id, w.depth + 1 FROM walk w JOIN fol f ON f.source_id = w.id WHERE w.depth < 4),
 near AS (SELECT root, id, min(depth)::INT AS depth FROM walk GROUP BY root, id)
-SELECT root, id, depth FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, id) AS rn FROM near) WHERE rn <= 400"""
+SELECT root, id, depth, n > 400 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, id) AS rn, count(*) OVER (PARTITION BY root) AS n FROM near) WHERE rn <= 400"""
 )
 def footprint(spark, sf_dir):
     g = graph(spark, sf_dir)
     return T.footprint(g, suppliers(g, spark))
 
 
+#: The graph with a node for each file, and imports between files in place of those of their symbols.
+WITH_FILES = """file_nodes AS (SELECT 8000000000 + row_number() OVER (ORDER BY file_path) AS id, file_path FROM (SELECT DISTINCT file_path FROM nodes)),
+all_nodes AS (SELECT id, file_path, symbol, fqn, kind, start_line FROM nodes UNION ALL SELECT id, file_path, NULL, NULL, 'file', 1 FROM file_nodes),
+file_imports AS (SELECT DISTINCT a.id AS source_id, b.id AS target_id FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id JOIN file_nodes a ON a.file_path = s.file_path JOIN file_nodes b ON b.file_path = t.file_path WHERE e.edge_type = 'imports' AND a.id <> b.id),
+hops AS (SELECT source_id AS id, target_id AS far FROM edges WHERE edge_type = 'calls' UNION SELECT * FROM file_imports UNION SELECT n.id, i.target_id FROM nodes n JOIN file_nodes f ON f.file_path = n.file_path JOIN file_imports i ON i.source_id = f.id)"""
+
+
+def graph_with_files(spark, sf_dir) -> Graph:
+    g = graph(spark, sf_dir)
+    files = g.nodes.select("project_id", "file_path").distinct().withColumn("id", F.lit(8000000000) + F.row_number().over(W.orderBy("file_path")))
+    nodes = g.nodes.unionByName(files.select("id", "project_id", "file_path", F.lit("file").alias("kind"), F.lit(1).alias("start_line")), allowMissingColumns=True)
+    at = lambda p: g.nodes.select(F.col("id").alias(f"{p}_id"), "file_path").join(files, "file_path").select(f"{p}_id", F.col("id").alias(p))
+    imports = g.edges.where("edge_type = 'imports'").join(at("source"), "source_id").join(at("target"), "target_id").where("source <> target").select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), "edge_type", "weight", "provenance").distinct()
+    return Graph(nodes, g.edges.where("edge_type <> 'imports'").unionByName(imports), g.files, g.coverage)
+
+
 @query(
-    G + ", " + ROOTS + ", " + FOLLOWABLE
-    + """, walk AS (SELECT root, id, 0 AS depth FROM roots UNION SELECT w.root, f.target_id, w.depth + 1 FROM walk w JOIN fol f ON f.source_id = w.id WHERE w.depth < 3),
-near AS (SELECT root, id, min(depth)::INT AS depth FROM walk GROUP BY root, id), cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, id) AS rn FROM near) WHERE rn <= 400),
-steps AS (SELECT c.root, c.id, c.depth, row_number() OVER (PARTITION BY c.root ORDER BY c.depth, n.file_path, n.start_line, c.id)::INT AS position FROM cut c JOIN nodes n ON n.id = c.id)
-SELECT root, position, id, depth FROM steps WHERE position <= 50"""
+    G + ", " + ROOTS + ", " + WITH_FILES
+    + """, walk AS (SELECT root, id, 0 AS depth FROM roots UNION SELECT w.root, h.far, w.depth + 1 FROM walk w JOIN hops h ON h.id = w.id WHERE w.depth < 3),
+m AS (SELECT root, id, min(depth)::INT AS depth FROM walk GROUP BY root, id HAVING min(depth) > 0),
+r AS (SELECT root, m.id, depth, row_number() OVER (PARTITION BY root ORDER BY depth, file_path, start_line, fqn NULLS FIRST, kind, symbol NULLS FIRST, m.id)::INT AS position, count(*) OVER (PARTITION BY root) AS total FROM m JOIN all_nodes n ON n.id = m.id)
+SELECT *, total > 100 AS truncated FROM r WHERE position <= 100"""
 )
-def processes(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return P.processes(g, suppliers(g, spark))
+def traverse_files(spark, sf_dir):
+    """From all suppliers along calls and the imports of their files."""
+    g = graph_with_files(spark, sf_dir)
+    return T.traverse(g, suppliers(g, spark), "out", ("calls", "imports"), 3).select("root", "id", "depth", "position", "total", "truncated")
 
 
 #: Vectors stand for the customers of their numbers; where any is near, neither names nor words are asked.

@@ -50,16 +50,20 @@ def sql_test_path(p: str) -> str:
     return f"(regexp_matches(lower({_BASE.format(p=p)}), '(_test\\.go|_test\\.py|_spec\\.rb|_test\\.rb|_spec\\.lua|_test\\.lua|\\.(test|spec)\\.(ts|tsx|js|jsx|mjs|cjs))$|^test_.*\\.py$') OR list_has_any(string_split(lower({sql_dir(p)}), '/'), ['testdata', '__tests__', '__mocks__', 'test', 'tests']))"
 
 
+def sql_test_file(p: str) -> str:
+    return f"regexp_matches(lower({_BASE.format(p=p)}), '(_test\\.go|_test\\.py|_spec\\.rb|_test\\.rb|_spec\\.lua|_test\\.lua|\\.(test|spec)\\.(ts|tsx|js|jsx|mjs|cjs))$|^test_.*\\.py$')"
+
+
 G = with_sql("nodes", "edges")
 GF = with_sql("nodes", "edges", "files", "coverage")
 
 
 def suppliers(g: Graph, spark: SparkSession) -> DataFrame:
-    """A small set of roots: the suppliers of the first few numbers."""
-    return g.nodes.where("id >= 6000000000 and id <= 6000000012").select("id", F.col("id").alias("root"))
+    """Roots of the walks: all suppliers, the testbed's classes."""
+    return g.nodes.where("kind = 'class'").select("id", F.col("id").alias("root"))
 
 
-ROOTS = "roots AS (SELECT id, id AS root FROM nodes WHERE id >= 6000000000 AND id <= 6000000012)"
+ROOTS = "roots AS (SELECT id, id AS root FROM nodes WHERE kind = 'class')"
 
 # --- scans and lookups
 
@@ -207,13 +211,13 @@ def source_files_targeting(spark, sf_dir):
 
 
 @query(with_sql("nodes", "refs") + """, src AS (SELECT fqn, max(id) AS id FROM nodes GROUP BY fqn) SELECT DISTINCT n.file_path FROM refs r JOIN src s ON s.fqn = r.from_fqn JOIN nodes n ON n.id = s.id WHERE r.to_fqn IS NOT NULL AND r.to_fqn NOT IN (SELECT fqn FROM nodes)
-AND r.to_name IN (SELECT s_name FROM supplier WHERE s_suppkey % 3 = 0)""")
+AND r.to_name IN (SELECT s_name FROM supplier)""")
 def files_to_heal(spark, sf_dir):
     g, refs = graph(spark, sf_dir), view(spark, sf_dir, "refs")
     known = g.nodes.select(F.col("fqn").alias("to_fqn"))
     sources = g.nodes.groupBy(F.col("fqn").alias("from_fqn")).agg(F.max_by(F.struct("project_id", "file_path"), "id").alias("s"))
     unresolved = refs.where("to_fqn is not null").join(known, "to_fqn", "left_anti").join(sources, "from_fqn").select("s.*", "to_name")
-    changed = view(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("name"))
+    changed = view(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
     return R.files_to_heal(unresolved, changed).select("file_path")
 
 
@@ -223,11 +227,11 @@ def annotated_nodes(spark, sf_dir):
     return R.annotated(g.nodes, g.annotations).select("id", "symbol", F.array_join(F.array_sort(F.array_distinct("notes.note")), "|").alias("notes"))
 
 
-@query(G + """, s AS (SELECT id AS selector_id, file_path, fqn, start_line, kind FROM nodes WHERE kind = 'type' AND id % 4 = 0), m AS (SELECT s.selector_id, n.id, n.start_line, n.start_line = s.start_line AS exact FROM nodes n JOIN s ON n.file_path = s.file_path AND n.fqn = s.fqn AND n.kind = s.kind),
+@query(G + """, s AS (SELECT id AS selector_id, file_path, fqn, start_line, kind FROM nodes WHERE kind = 'type'), m AS (SELECT s.selector_id, n.id, n.start_line, n.start_line = s.start_line AS exact FROM nodes n JOIN s ON n.file_path = s.file_path AND n.fqn = s.fqn AND n.kind = s.kind),
 k AS (SELECT *, bool_or(exact) OVER (PARTITION BY selector_id) AS any_exact FROM m) SELECT selector_id, id, count(*) OVER (PARTITION BY selector_id) AS matches FROM k WHERE exact OR NOT any_exact""")
 def selector_resolution(spark, sf_dir):
     g = graph(spark, sf_dir)
-    wanted = g.nodes.where("kind = 'type' and id % 4 = 0").select(F.col("id").alias("selector_id"), "file_path", "fqn", "start_line", "kind")
+    wanted = g.nodes.where("kind = 'type'").select(F.col("id").alias("selector_id"), "file_path", "fqn", "start_line", "kind")
     return R.resolve_selector(g.nodes, wanted).select("selector_id", "id", "matches")
 
 
@@ -382,12 +386,13 @@ def callee_closure(spark, sf_dir):
     return T.closure(g, suppliers(g, spark), 3)
 
 
-@query(G + ", " + ROOTS + """, p AS (SELECT root, x.id AS target FROM roots JOIN (SELECT id FROM nodes WHERE kind = 'type') x ON x.id % 20 = root % 20), walk AS (SELECT root, id, 0 AS depth, [id] AS path FROM roots UNION SELECT w.root, e.target_id, w.depth + 1, list_append(w.path, e.target_id) FROM walk w JOIN (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type = 'calls') e ON e.source_id = w.id WHERE w.depth < 4)
-SELECT w.root, target, array_to_string(min(path), '>') AS path FROM walk w JOIN p ON p.root = w.root AND p.target = w.id JOIN (SELECT root, id, min(depth) AS depth FROM walk GROUP BY root, id) m ON m.root = w.root AND m.id = w.id AND m.depth = w.depth GROUP BY w.root, target""")
+@query(G + ", " + ROOTS + """, p AS (SELECT id AS target FROM nodes WHERE kind = 'type'), walk AS (SELECT root, id, 0 AS depth, [id] AS path FROM roots UNION SELECT w.root, e.target_id, w.depth + 1, list_append(w.path, e.target_id) FROM walk w JOIN (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type = 'calls') e ON e.source_id = w.id WHERE w.depth < 4)
+SELECT w.root, target, array_to_string(min(path), '>') AS path FROM walk w JOIN p ON p.target = w.id JOIN (SELECT root, id, min(depth) AS depth FROM walk GROUP BY root, id) m ON m.root = w.root AND m.id = w.id AND m.depth = w.depth GROUP BY w.root, target""")
 def shortest_paths(spark, sf_dir):
     g = graph(spark, sf_dir)
-    parts = g.nodes.where("kind = 'type'").select(F.col("id").alias("target"), (F.col("id") % 20).alias("k"))
-    pairs = suppliers(g, spark).select("root", (F.col("root") % 20).alias("k")).join(parts, "k").select("root", "target")
+    roots, parts = suppliers(g, spark), g.nodes.where("kind = 'type'").select("id")
+    # To every part that a root reaches; others have no path.
+    pairs = T.closure(g, roots, 4).join(parts, "id", "left_semi").select("root", F.col("id").alias("target"))
     return T.shortest_paths(g, pairs, 4).select("root", "target", F.array_join("path", ">").alias("path"))
 
 
@@ -399,15 +404,25 @@ def traverse_both(spark, sf_dir):
     return T.traverse(g, suppliers(g, spark), "both").select("root", "id", "depth", "position", "total", "truncated")
 
 
-@query(G + """, im AS (SELECT DISTINCT s.file_path AS sf, t.file_path AS tf FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.edge_type = 'imports' AND s.file_path <> t.file_path)
-SELECT DISTINCT tf AS file, sf AS test_file, 1 AS depth, (SELECT count(DISTINCT sf) FROM im WHERE tf = 'internal/geo/nation.go') > 500 AS truncated FROM im WHERE tf = 'internal/geo/nation.go' AND ends_with(sf, '_test.go')""")
+@query(G + """, im AS (SELECT DISTINCT s.file_path AS sf, t.file_path AS tf FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.edge_type = 'imports' AND s.file_path <> t.file_path AND s.language <> 'go')
+SELECT DISTINCT tf AS file, sf AS test_file, 1 AS depth, (SELECT count(DISTINCT sf) FROM im WHERE tf = 'internal/geo/nation.go') > 500 AS truncated FROM im WHERE tf = 'internal/geo/nation.go' AND """ + sql_test_file("sf"))
 def importing_tests(spark, sf_dir):
     return T.importing_tests(graph(spark, sf_dir), spark.createDataFrame([("internal/geo/nation.go",)], "file_path string"))
 
 
-@query(G + """, c AS (SELECT DISTINCT e.source_id, e.target_id, e.provenance, t.symbol, CASE WHEN """ + sql_dir("s.file_path") + " = " + sql_dir("t.file_path") + " THEN 0 WHEN " + sql_subsystem("s.file_path") + " = " + sql_subsystem("t.file_path") + """ THEN 1 ELSE 2 END AS tier FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.edge_type = 'calls'),
-b AS (SELECT *, min(tier) OVER (PARTITION BY source_id, symbol) AS best FROM c WHERE provenance = 'name'), k AS (SELECT *, count(*) OVER (PARTITION BY source_id, symbol) AS rivals FROM b WHERE tier = best)
-SELECT source_id, target_id FROM c WHERE provenance = 'precise' UNION SELECT source_id, target_id FROM k WHERE rivals = 1""")
+_TEST = "(kind = 'test' OR " + sql_test_path("file_path") + ")"
+FOLLOWABLE = f"""placed AS (SELECT id, symbol, fqn, kind, {sql_dir('file_path')} AS dir, {sql_subsystem('file_path')} AS sub, {_TEST} AS test FROM nodes),
+defs AS (SELECT * FROM placed WHERE kind IN ('function', 'method', 'class') AND NOT test),
+twins AS (SELECT fqn, list_distinct(list(dir)) AS dirs FROM defs WHERE fqn <> '' GROUP BY fqn HAVING count(*) > 1),
+all_of AS (SELECT symbol, count(*) AS n FROM defs GROUP BY symbol), in_dir AS (SELECT symbol, dir, count(*) AS n, min(id) AS one FROM defs GROUP BY symbol, dir), in_sub AS (SELECT symbol, sub, count(*) AS n, min(id) AS one FROM defs GROUP BY symbol, sub),
+ends AS (SELECT e.source_id, e.target_id, bool_or(e.provenance = 'precise') AS precise, any_value(s.fqn) AS fqn, any_value(s.dir) AS sd, any_value(s.sub) AS ss, any_value(t.dir) AS td, any_value(t.symbol) AS symbol
+  FROM edges e JOIN placed s ON s.id = e.source_id JOIN placed t ON t.id = e.target_id WHERE e.edge_type = 'calls' AND NOT s.test AND NOT t.test AND t.kind <> 'file' GROUP BY e.source_id, e.target_id),
+fol AS (SELECT source_id, target_id FROM ends LEFT JOIN all_of a ON a.symbol = ends.symbol LEFT JOIN in_dir d ON d.symbol = ends.symbol AND d.dir = sd LEFT JOIN in_sub u ON u.symbol = ends.symbol AND u.sub = ss LEFT JOIN twins w ON w.fqn = ends.fqn
+  WHERE (precise OR coalesce(a.n, 0) <= 1 OR coalesce(CASE WHEN d.n = 1 THEN d.one WHEN d.n IS NULL AND u.n = 1 THEN u.one END = target_id, false))
+  AND coalesce(list_sort(list_filter(w.dirs, lambda x: td = x OR (x <> '' AND starts_with(td, x || '/'))), 'DESC')[1], sd) = sd)"""
+
+
+@query(G + ", " + FOLLOWABLE + " SELECT source_id, target_id FROM fol")
 def followable_calls(spark, sf_dir):
     return T.followable_calls(graph(spark, sf_dir))
 

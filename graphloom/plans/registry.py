@@ -7,7 +7,6 @@ from ..streaming import queries as _streaming  # noqa: F401
 from . import more_queries as _more  # noqa: F401
 from . import report_queries as _reports  # noqa: F401
 from . import resolution_queries as _resolution  # noqa: F401
-from . import whole_queries as _whole  # noqa: F401
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

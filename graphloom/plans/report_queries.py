@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import search as S
 from ..sources.testbed import graph, view, with_sql
 from . import exploration as E
 from . import reports as P
-from .queries import BLAST, CHANGED, FILE_COVERAGE, G, GF, INBOUND, KEY_SYMBOLS, RANKED, ROOTS, SUBS, UP, query, sql_dir, sql_test_path, suppliers
+from .queries import BLAST, CHANGED, FILE_COVERAGE, G, GF, INBOUND, KEY_SYMBOLS, RANKED, ROOTS, SUBS, UP, query, sql_dir, sql_test_file, sql_test_path, suppliers
 
 IMPACT_ROWS = """imp AS (SELECT r.root, count(b.id) AS affected, count(*) FILTER (b.depth = 1) AS direct, count(*) FILTER (b.depth > 1) AS indirect, count(*) FILTER (b.confirmed) AS confirmed, count(*) FILTER (n.kind = 'test') AS tests, count(DISTINCT """ + sql_dir("n.file_path") + """) FILTER (b.depth = 1 AND n.file_path <> '') AS packages
 FROM (SELECT DISTINCT root FROM roots) r LEFT JOIN blast b ON b.root = r.root LEFT JOIN nodes n ON n.id = b.id GROUP BY r.root)"""
@@ -55,9 +56,9 @@ def review_gate(spark, sf_dir):
     return P.gate(P.review_summary(P.review(graph(spark, sf_dir), view(spark, sf_dir, "hunks"))), "medium", require_coverage=True)
 
 
-@query(HG + ", " + CHANGED_ROOTS + ", " + BLAST + """, im AS (SELECT DISTINCT s.file_path AS sf, t.file_path AS tf FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.edge_type = 'imports' AND s.file_path <> t.file_path), hf AS (SELECT DISTINCT file_path FROM hunks),
-iw AS (SELECT file_path AS place FROM hf UNION SELECT sf FROM iw JOIN im ON im.tf = iw.place WHERE NOT ends_with(iw.place, '_test.go'))
-SELECT file_path AS test_file, 'changed' AS reason FROM hf WHERE ends_with(file_path, '_test.go') UNION SELECT n.file_path, 'covers' FROM blast b JOIN nodes n ON n.id = b.id WHERE n.kind = 'test' UNION SELECT place, 'imports' FROM iw WHERE ends_with(place, '_test.go') AND place NOT IN (SELECT file_path FROM hf)""")
+@query(HG + ", " + CHANGED_ROOTS + ", " + BLAST + """, im AS (SELECT DISTINCT s.file_path AS sf, t.file_path AS tf FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.edge_type = 'imports' AND s.file_path <> t.file_path AND s.language <> 'go'), hf AS (SELECT DISTINCT file_path FROM hunks),
+iw AS (SELECT file_path AS place FROM hf UNION SELECT sf FROM iw JOIN im ON im.tf = iw.place WHERE NOT """ + sql_test_file("iw.place") + """)
+SELECT file_path AS test_file, 'changed' AS reason FROM hf WHERE """ + sql_test_file("file_path") + """ UNION SELECT n.file_path, 'covers' FROM blast b JOIN nodes n ON n.id = b.id WHERE n.kind = 'test' UNION SELECT place, 'imports' FROM iw WHERE """ + sql_test_file("place") + " AND place NOT IN (SELECT file_path FROM hf)")
 def affected_tests(spark, sf_dir):
     return P.affected_tests(graph(spark, sf_dir), view(spark, sf_dir, "hunks"))
 
@@ -149,16 +150,17 @@ def refactor_sites(spark, sf_dir):
 
 
 # Keys are priorities of orders, used at the line where an order's method starts.
-USES = "uses AS (SELECT DISTINCT 'KEY_' || substr(o_orderpriority, 1, 1) AS key, n.file_path, n.start_line AS line FROM orders JOIN nodes n ON n.id = 4000000000 + o_orderkey WHERE o_orderkey % 50 = 0), users AS (SELECT DISTINCT key, id FROM (SELECT u.key, n.id, row_number() OVER (PARTITION BY u.key, u.file_path, u.line ORDER BY n.end_line - n.start_line, n.start_line, n.id) AS rn FROM uses u JOIN nodes n ON n.file_path = u.file_path AND n.start_line <= u.line AND u.line <= n.end_line) WHERE rn = 1)"
+USES = "uses AS (SELECT DISTINCT 'KEY_' || substr(o_orderpriority, 1, 1) AS key, n.file_path, n.start_line AS line FROM orders JOIN nodes n ON n.id = 4000000000 + o_orderkey), users AS (SELECT DISTINCT key, id FROM (SELECT u.key, n.id, row_number() OVER (PARTITION BY u.key, u.file_path, u.line ORDER BY n.end_line - n.start_line, n.start_line, n.id) AS rn FROM uses u JOIN nodes n ON n.file_path = u.file_path AND n.start_line <= u.line AND u.line <= n.end_line) WHERE rn = 1)"
 
 
 def _uses(g, spark, sf_dir):
-    orders = view(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select((F.lit(4000000000) + F.col("o_orderkey")).alias("id"), F.concat(F.lit("KEY_"), F.substring("o_orderpriority", 1, 1)).alias("key"))
+    orders = view(spark, sf_dir, "orders").select((F.lit(4000000000) + F.col("o_orderkey")).alias("id"), F.concat(F.lit("KEY_"), F.substring("o_orderpriority", 1, 1)).alias("key"))
     return g.nodes.join(orders, "id").select("key", "file_path", F.col("start_line").alias("line")).distinct()
 
 
-@query(G + ", " + USES + ", roots AS (SELECT DISTINCT id, id AS root FROM users), " + BLAST + ", x AS (SELECT key, id, 0 AS depth, true AS confirmed FROM users UNION ALL SELECT u.key, b.id, b.depth, b.confirmed FROM users u JOIN blast b ON b.root = u.id), m AS (SELECT key, id, min(depth) AS depth FROM x GROUP BY key, id) SELECT m.key, m.id, m.depth, bool_or(x.confirmed) AS confirmed FROM m JOIN x ON x.key = m.key AND x.id = m.id AND x.depth = m.depth GROUP BY m.key, m.id, m.depth")
+@query()
 def key_impact(spark, sf_dir):
+    """Of all orders; too slow in SQL, tested against brute force."""
     g = graph(spark, sf_dir)
     return E.key_impact(g, _uses(g, spark, sf_dir))
 
@@ -178,3 +180,17 @@ def explore(spark, sf_dir):
 def flow_tree(spark, sf_dir):
     g = graph(spark, sf_dir)
     return E.flow_tree(g, suppliers(g, spark))
+
+
+@query()
+def processes(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return E.processes(g, suppliers(g, spark)).select("root", "position", "id", "depth")
+
+
+@query()
+def ranked_processes(spark, sf_dir):
+    """Of all suppliers, with the best hits of a search as seeds."""
+    g = graph(spark, sf_dir)
+    seeds = S.cascade(g.nodes, "medium building order", 20).select("id", F.col("position").alias("rank"))
+    return E.ranked_processes(g, suppliers(g, spark).withColumn("place", F.col("root")), seeds)

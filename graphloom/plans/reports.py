@@ -234,16 +234,6 @@ def inconsistencies(graph: Graph) -> DataFrame:
     return out
 
 
-def processes(graph: Graph, entries: DataFrame, max_depth: int = 3, steps: int = 50) -> DataFrame:
-    """(root, position, id, depth): for each entry point (id, root) the steps its calls lead to, nearest first, each once.
-
-    Followed are calls with one clear target, so a step is never a guess.
-    """
-    reached = T.footprint(graph, entries, max_depth).join(graph.nodes.select("id", "file_path", "start_line"), "id")
-    position = F.row_number().over(W.partitionBy("root").orderBy("depth", "file_path", "start_line", "id"))
-    return reached.withColumn("position", position).where(F.col("position") <= steps).select("root", "position", "id", "depth")
-
-
 def architecture(graph: Graph) -> DataFrame:
     """Per subsystem: its rollup and its most called node."""
     hub = A.ranked_hotspots(graph).withColumn("subsystem", paths.subsystem(F.col("file_path")))

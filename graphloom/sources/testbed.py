@@ -36,7 +36,7 @@ UNION ALL
 SELECT 5000000000 + p_partkey, CAST(1 AS BIGINT), 'internal/part/' || lower(replace(p_brand, '#', '_')) || '.py', p_name, 'part.' || p_name, 'type', 'python',
        CAST(1 + (p_partkey % 80) * 20 AS INT), CAST(20 + (p_partkey % 80) * 20 AS INT), 'class ' || p_name, p_type, md5(p_name) FROM {part}
 UNION ALL
-SELECT 6000000000 + s_suppkey, CAST(1 AS BIGINT), 'web/supplier/n' || CAST(s_nationkey AS VARCHAR(9)) || '.ts', s_name, 'supplier.' || s_name, 'class', 'typescript',
+SELECT 6000000000 + s_suppkey, CAST(1 AS BIGINT), 'web/supplier/n' || CAST(s_nationkey AS VARCHAR(9)) || CASE WHEN s_nationkey % 5 = 4 THEN '.test.ts' ELSE '.ts' END, s_name, 'supplier.' || s_name, 'class', 'typescript',
        CAST(1 + (s_suppkey % 40) * 30 AS INT), CAST(30 + (s_suppkey % 40) * 30 AS INT), 'class ' || s_name, 'Supplies parts', md5(s_name) FROM {supplier}
 """
 
@@ -84,7 +84,7 @@ UNION ALL
 SELECT DISTINCT file_path, 'M', CAST(NULL AS INT), CAST(NULL AS INT), CAST(end_line AS INT) - 10 FROM {nodes} WHERE kind = 'class' AND id % 5 = 1
 """
 #: Positions to look up.
-POSITIONS = "SELECT file_path, CAST(start_line + id % 13 AS INT) AS line, id AS position_id FROM {nodes} WHERE id % 3 = 0"
+POSITIONS = "SELECT file_path, CAST(start_line + id % 13 AS INT) AS line, id AS position_id FROM {nodes}"
 #: References still to resolve, from customers to names of parts and suppliers.
 REFS = """
 SELECT o_orderkey AS ref_id, lower(c_mktsegment) || '.' || c_name AS from_fqn, p_name AS to_name, 'calls' AS kind, o_orderkey % 2 = 0 AS qualified, CAST(NULL AS VARCHAR(200)) AS to_fqn
