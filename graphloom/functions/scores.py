@@ -27,6 +27,10 @@ def risk_level(score: Column) -> Column:
     return F.when(score >= HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low")
 
 
+#: Fixed value.
+BYTES_PER_TOKEN = 4
+
+
 def tokens(text: Column) -> Column:
     """Estimated model tokens: a quarter of the bytes, rounded up."""
-    return F.ceil(F.octet_length(text) / 4).cast("long")
+    return F.ceil(F.octet_length(text) / BYTES_PER_TOKEN).cast("long")

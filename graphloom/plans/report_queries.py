@@ -114,8 +114,11 @@ def architecture_map(spark, sf_dir):
     return P.architecture(graph(spark, sf_dir)).select("subsystem", "files", "hub")
 
 
-@query(G + ", " + ROOTS + """, deg AS (SELECT target_id AS id, count(*) AS in_degree FROM edges WHERE edge_type = 'calls' GROUP BY target_id), x AS (SELECT DISTINCT r.root, 'caller' AS relation, e.source_id AS id FROM edges e JOIN roots r ON r.id = e.target_id WHERE e.edge_type = 'calls' UNION SELECT DISTINCT r.root, 'callee', e.target_id FROM edges e JOIN roots r ON r.id = e.source_id WHERE e.edge_type = 'calls'),
-k AS (SELECT x.root, x.relation, x.id, count(*) OVER (PARTITION BY x.root, relation) AS total, row_number() OVER (PARTITION BY x.root, relation ORDER BY coalesce(deg.in_degree, 0) DESC, n.file_path, n.start_line, n.id)::INT AS position FROM x JOIN nodes n ON n.id = x.id LEFT JOIN deg ON deg.id = x.id) SELECT root, relation, position, total, id FROM k WHERE position <= 25""")
+CONTEXT = """deg AS (SELECT target_id AS id, count(*) AS in_degree FROM edges WHERE edge_type = 'calls' GROUP BY target_id), x AS (SELECT DISTINCT r.root, 'caller' AS relation, e.source_id AS id FROM edges e JOIN roots r ON r.id = e.target_id WHERE e.edge_type = 'calls' UNION SELECT DISTINCT r.root, 'callee', e.target_id FROM edges e JOIN roots r ON r.id = e.source_id WHERE e.edge_type = 'calls'),
+k AS (SELECT x.root, x.relation, x.id, count(*) OVER (PARTITION BY x.root, relation) AS total, row_number() OVER (PARTITION BY x.root, relation ORDER BY coalesce(deg.in_degree, 0) DESC, n.file_path, n.start_line, n.id)::INT AS position FROM x JOIN nodes n ON n.id = x.id LEFT JOIN deg ON deg.id = x.id)"""
+
+
+@query(G + ", " + ROOTS + ", " + CONTEXT + " SELECT root, relation, position, total, id FROM k WHERE position <= 25")
 def symbol_context(spark, sf_dir):
     g = graph(spark, sf_dir)
     return P.context(g, suppliers(g, spark))

@@ -15,11 +15,26 @@ from ..operators.lineage import cut
 from ..schema import CALLABLE_KINDS, DECLARATIVE_LANGUAGES, NO_CALLS_BY_NAME, Graph
 
 
-def impact(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
+def name_evidence(graph: Graph, roots: DataFrame, sources: DataFrame) -> DataFrame:
+    """(root, named_tests): how many test files of ``sources`` (file_path, content) name a root (id, root), NAMED_TESTS at most.
+
+    A name says nothing of one definition among several; only roots whose name has a single one are looked for.
+    """
+    of = roots.join(graph.nodes.select("id", "project_id", "symbol"), "id").join(A.definition_counts(graph).where("definitions = 1"), ["project_id", "symbol"], "left_semi").select("root", "symbol")
+    found = tests_by_name(sources, of.select("symbol").distinct(), NAMED_TESTS).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    return of.join(found, "symbol").groupBy("root").agg(F.max("n").alias("named_tests"))
+
+
+#: Fixed value: test files by name of one symbol.
+NAMED_TESTS = 50
+
+
+def impact(graph: Graph, roots: DataFrame, max_depth: int = 3, sources: DataFrame | None = None) -> DataFrame:
     """One row per root: what a change of it may break, by distance and confidence, the tests among it, and the packages of
     its direct callers.
 
-    A root without tests in its radius is untested.
+    A root without tests in its radius is untested. With ``sources`` (file_path, content), test files that name such a root are counted in
+    ``named_tests``, and it is untested only without them too.
     """
     radius = T.blast_radius(graph, roots, max_depth).join(graph.nodes.select("id", "kind", "file_path"), "id")
     sums = radius.groupBy("root").agg(
@@ -31,7 +46,12 @@ def impact(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
         F.countDistinct(F.when((F.col("depth") == 1) & (F.col("file_path") != ""), paths.folder(F.col("file_path")))).alias("packages"),
     )
     out = roots.select("root").distinct().join(sums, "root", "left").fillna(0)
-    return out.withColumn("untested", F.col("tests") == 0)
+    if sources is None:
+        return out.withColumn("untested", F.col("tests") == 0)
+    out = cut(out)
+    bare = roots.join(out.where("tests = 0").select("root"), "root", "left_semi")
+    named = out.join(name_evidence(graph, bare, sources), "root", "left").fillna(0, ["named_tests"])
+    return named.withColumn("untested", (F.col("tests") == 0) & (F.col("named_tests") == 0))
 
 
 def ambiguity(graph: Graph, roots: DataFrame) -> DataFrame:
@@ -62,9 +82,9 @@ def risk_factors() -> dict[str, Column]:
     }
 
 
-def risk(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
+def risk(graph: Graph, roots: DataFrame, max_depth: int = 3, sources: DataFrame | None = None) -> DataFrame:
     """Impact with a score: the probabilistic OR of its factors, and a level, which is unknown without a call graph."""
-    of = impact(graph, roots, max_depth).join(ambiguity(graph, roots), "root", "left").join(subjects(graph, roots), "root", "left").fillna(False, ["unresolved", "is_test"])
+    of = impact(graph, roots, max_depth, sources).join(ambiguity(graph, roots), "root", "left").join(subjects(graph, roots), "root", "left").fillna(False, ["unresolved", "is_test"])
     score = scores.round_half_up(scores.any_of(list(risk_factors().values())), 3)
     return of.withColumn("score", score).withColumn("level", F.when(F.col("unresolved"), "unknown").otherwise(scores.risk_level(F.col("score"))))
 
@@ -76,13 +96,13 @@ def call_graph_label(graph: Graph, nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("kind").isin(*CALLABLE_KINDS)).join(covered, ["project_id", "file_path"], "left").select("id", label.alias("call_graph"))
 
 
-def review(graph: Graph, hunks: DataFrame, max_depth: int = 3, busy: int = 8) -> DataFrame:
-    """One row per changed symbol with its risk, and whether many callers hang on it.
+def review(graph: Graph, hunks: DataFrame, max_depth: int = 3, busy: int = 8, sources: DataFrame | None = None) -> DataFrame:
+    """One row per changed symbol with its risk, and whether many callers hang on it; with ``sources`` tests by name count too.
 
     All changed symbols are roots of one walk, not of a walk each.
     """
     changed = cut(R.changed_symbols(graph, hunks).select("id", F.col("id").alias("root")))
-    return risk(graph, changed, max_depth).withColumn("busy", F.col("direct") >= busy)
+    return risk(graph, changed, max_depth, sources).withColumn("busy", F.col("direct") >= busy)
 
 
 def review_summary(reviewed: DataFrame) -> DataFrame:
@@ -90,7 +110,7 @@ def review_summary(reviewed: DataFrame) -> DataFrame:
 
     Tests are no subjects of that verdict; a symbol without tests and without a call graph is unknown, not uncovered.
     """
-    tested = F.col("tests") > 0
+    tested = F.col("tests") + (F.col("named_tests") if "named_tests" in reviewed.columns else F.lit(0)) > 0
     subject = ~F.col("is_test")
     row = reviewed.agg(
         F.count(F.lit(1)).alias("symbols"),
@@ -256,6 +276,34 @@ def within_budget(rows: DataFrame, group: str, order: list, text: str, budget: i
     return rows.withColumn("tokens_used", used).where(F.col("tokens_used") <= budget)
 
 
+def fit_budget(rows: DataFrame, group: str, key: str, position: str, size: str, plan: list[tuple[str, int]], budget: int) -> DataFrame:
+    """``rows`` of lists (``key``) of each ``group`` that stay within ``budget`` tokens, four bytes (``size``) to one.
+
+    ``plan`` names lists, the least important first, each with how many entries stay at least: the first list is cut from its end
+    down to that, then the next one, until all fits, and no entry goes that need not. Lists that the plan does not name are never cut.
+    An entry goes if what is left before it goes, in that order, is still too much.
+    """
+    order = F.lit(None).cast("int")
+    floor = F.lit(0)
+    for k, (name, least) in enumerate(plan):
+        order, floor = F.when(F.col(key) == name, k).otherwise(order), F.when(F.col(key) == name, least).otherwise(floor)
+    ranked = rows.withColumn("__rank", F.row_number().over(W.partitionBy(group, key).orderBy(position))).withColumn("__step", F.when(F.col("__rank") > floor, order))
+    own = W.partitionBy(group)
+    going = own.orderBy(F.col("__step").asc_nulls_last(), F.desc("__rank"), key)
+    gone_before = F.coalesce(F.sum(size).over(going.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    left = F.ceil((F.sum(size).over(own) - gone_before) / scores.BYTES_PER_TOKEN)
+    return ranked.withColumn("__left", left).where(F.col("__step").isNull() | (F.col("__left") <= budget)).drop("__rank", "__step", "__left")
+
+
+def budget_summary(rows: DataFrame, kept: DataFrame, group: str, key: str, size: str) -> DataFrame:
+    """(group, key, total, kept, dropped, tokens): what became of each list; tokens are those of all the group's kept rows."""
+    total = rows.groupBy(group, key).agg(F.count(F.lit(1)).alias("total"))
+    stay = kept.groupBy(group, key).agg(F.count(F.lit(1)).alias("kept"))
+    used = kept.groupBy(group).agg(F.ceil(F.sum(size) / scores.BYTES_PER_TOKEN).alias("tokens"))
+    out = total.join(stay, [group, key], "left").join(used, group, "left").fillna(0, ["kept", "tokens"])
+    return out.select(group, key, "total", "kept", (F.col("total") - F.col("kept")).alias("dropped"), "tokens")
+
+
 def confirmed_impact(graph: Graph, roots: DataFrame, max_depth: int = 3) -> DataFrame:
     """One row per root with only confirmed nodes of its radius, and how many distinct candidates (by full name, file and line) were
     left out. ``untested`` still says whether any test was found before."""
