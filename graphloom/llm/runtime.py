@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,18 @@ __all__ = ["BLOCK_BYTES", "blocks", "drop_written", "ship", "shared_dir", "writt
 BLOCK_BYTES = 1 << 20
 #: Bytes of one Arrow batch between Spark and Python; Spark's own default of 64 MB would be held several times over.
 BATCH_BYTES = 4 << 20
+
+
+def _libc():
+    """The C library if it can trim its heap."""
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -70,3 +83,11 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 start, held = row, 0
             held += int(sizes[row])
         yield batch.slice(start, n - start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a task no longer holds to the system: its worker waits for other stages, beside the memory of their own."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
