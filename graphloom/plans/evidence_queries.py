@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import digests as D
+from ..operators import grep as R
 from ..schema import Graph
 from ..sources.testbed import graph, view, with_sql
 from . import reports as P
@@ -89,3 +90,24 @@ SELECT sha256(string_agg(prefix || digest, '' ORDER BY prefix)) AS fingerprint F
 )
 def structural_fingerprint(spark, sf_dir):
     return D.structural_tree(graph(spark, sf_dir).nodes).where("level = 0").select(F.col("digest").alias("fingerprint"))
+
+
+#: Files of suppliers with a line for each of their symbols' lines.
+TEXTS = "texts AS (SELECT file_path, array_to_string(list_transform(range(1, max(end_line) + 11), lambda k: 'call_' || (k % 50) || '(' || file_path || ')'), chr(10)) AS content FROM nodes WHERE kind = 'class' GROUP BY file_path)"
+
+
+def _texts(g: Graph):
+    lines = F.transform(F.sequence(F.lit(1), F.max("end_line") + 10), lambda k: F.concat(F.lit("call_"), (k % 50).cast("string"), F.lit("("), F.col("file_path"), F.lit(")")))
+    return g.nodes.where("kind = 'class'").groupBy("file_path").agg(F.array_join(lines, "\n").alias("content"))
+
+
+@query(
+    G + ", " + TEXTS
+    + """, hit AS (SELECT file_path, unnest(list_filter(range(1, len(string_split(content, chr(10))) + 1), lambda k: contains(string_split(content, chr(10))[k], 'call_7('))) AS line FROM texts),
+first AS (SELECT * FROM hit ORDER BY file_path, line LIMIT 1000),
+met AS (SELECT f.*, n.symbol, n.fqn, n.kind, n.start_line, row_number() OVER (PARTITION BY f.file_path, f.line ORDER BY n.end_line - n.start_line, n.start_line, n.id) AS rn FROM first f LEFT JOIN nodes n ON n.file_path = f.file_path AND n.start_line <= f.line AND f.line <= n.end_line)
+SELECT file_path, line, symbol, kind, CASE WHEN symbol IS NULL THEN 'none' WHEN start_line = line THEN 'exact' ELSE 'enclosing' END AS resolution FROM met WHERE rn = 1"""
+)
+def grep_symbols(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return R.grep(g, _texts(g), "call_7(", top=1000)[0].select("file_path", "line", "symbol", "kind", "resolution")

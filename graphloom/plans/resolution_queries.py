@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import imports as I
 from ..operators import relations as R
 from ..operators import resolution as X
 from ..sources.testbed import graph, view, with_sql
@@ -78,3 +79,29 @@ def exact_pass_coverage(spark, sf_dir):
 count(*) FILTER (NOT external AND source_id = target_id) AS to_itself, count(*) FILTER (external) AS external FROM located""")
 def exact_pass_counts(spark, sf_dir):
     return X.pass_counts(graph(spark, sf_dir), view(spark, sf_dir, "exact"))
+
+
+#: Imports of the testbed's files: scripts by relative paths, an alias and a package, Go by two modules, one inside the other, Python by dots.
+IMPORTS = """imports AS (
+SELECT DISTINCT 'web/supplier/n' || s_nationkey || CASE WHEN s_nationkey % 5 = 4 THEN '.test.ts' ELSE '.ts' END AS file_path,
+  CASE s_suppkey % 5 WHEN 0 THEN './n' || ((s_nationkey + 1) % 25) WHEN 1 THEN '@/supplier/n' || s_nationkey WHEN 2 THEN '@shop/web/supplier/n' || ((s_nationkey + 7) % 25) || '.js' WHEN 3 THEN '@shop/web' ELSE '~/none' END AS spec FROM supplier
+UNION SELECT DISTINCT 'internal/' || lower(c_mktsegment) || '/n' || c_nationkey || CASE WHEN c_custkey % 7 = 0 THEN '_test.go' ELSE '.go' END, CASE c_custkey % 4 WHEN 0 THEN 'example.org/shop/geo/' WHEN 1 THEN 'example.org/shop/internal/' || lower(c_mktsegment) WHEN 2 THEN 'example.org/shop/cmd/geo/v2' ELSE 'fmt' END FROM customer
+UNION SELECT DISTINCT 'internal/part/' || lower(replace(p_brand, '#', '_')) || '.py', CASE p_partkey % 3 WHEN 0 THEN '.brand_' || (p_partkey % 30) WHEN 1 THEN 'internal.part.brand_' || (p_partkey % 30) ELSE 'os' END FROM part)"""
+
+
+@query(
+    with_sql("nodes") + ", " + IMPORTS + """, files AS (SELECT DISTINCT file_path AS target FROM nodes),
+meant AS (SELECT file_path, spec, CASE
+    WHEN ends_with(file_path, '.ts') AND spec = '@shop/web' THEN 'web/supplier/n0.ts'
+    WHEN ends_with(file_path, '.ts') THEN 'web/supplier/' || regexp_replace(regexp_extract(spec, '([^/]*)$', 1), '\\.js$', '') || '.ts'
+    WHEN ends_with(file_path, '.py') THEN 'internal/part/' || regexp_extract(spec, '([^.]*)$', 1) || '.py' END AS target,
+  CASE WHEN ends_with(file_path, '.go') THEN CASE WHEN spec = 'example.org/shop/geo/' THEN 'internal/geo' WHEN spec = 'example.org/shop/cmd/geo/v2' THEN 'cmd/geo' ELSE substr(spec, 18) END END AS folder FROM imports WHERE spec <> '~/none'),
+standing AS (SELECT regexp_extract(target, '^(.*)/[^/]*$', 1) AS folder, arg_min(target, (ends_with(target, '_test.go'), target)) AS chosen FROM files WHERE ends_with(target, '.go') GROUP BY 1)
+SELECT file_path, spec, f.target FROM meant m JOIN files f ON f.target = m.target UNION ALL SELECT file_path, spec, chosen FROM meant m JOIN standing s ON s.folder = m.folder"""
+)
+def import_targets(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    imports = spark.sql(IMPORTS.removeprefix("imports AS (").removesuffix(")").replace("FROM supplier", "FROM {supplier}").replace("FROM customer", "FROM {customer}").replace("FROM part)", "FROM {part})").replace("FROM part", "FROM {part}"), **{t: view(spark, sf_dir, t) for t in ("supplier", "customer", "part")})
+    packages = spark.createDataFrame([("@shop/web", "web", ["supplier/n0.js", "index"])], "name string, dir string, entries array<string>")
+    modules = spark.createDataFrame([("example.org/shop", ""), ("example.org/shop/geo", "internal/geo")], "name string, dir string")
+    return I.resolve_imports(imports, g.nodes.select("file_path").distinct(), packages, modules)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom import schema
 from graphloom.operators import digests as D
+from graphloom.operators.grep import grep
 from graphloom.operators.maintenance import file_delta
 from graphloom.plans import reports as P
 from graphloom.schema import Graph
@@ -86,3 +87,27 @@ def test_tests_by_name_count_only_for_names_of_one(spark):
     hunks = spark.createDataFrame([("a.ts", "M", 1, 9, None, None)], "file_path string, status string, start_line int, end_line int, deletion_point int, old_path string")
     plain, named = (P.review_summary(P.review(g, hunks, sources=s)).first() for s in (None, sources))
     assert (plain.covered, plain.uncovered, plain.coverage) == (0, 2, "uncovered") and (named.covered, named.uncovered, named.coverage) == (1, 1, "partial")
+
+
+def test_grep_names_the_symbol_around(spark):
+    nodes = [(1, 1, "a.go", None, None, "file", "go", 1, 9, "", "", ""), (2, 1, "a.go", "Big", "m.Big", "class", "go", 2, 9, "", "", ""), (3, 1, "a.go", "f", "m.f", "method", "go", 4, 6, "", "", "")]
+    g = Graph(spark.createDataFrame(nodes, schema.NODES), spark.createDataFrame([], schema.EDGES))
+    files = [
+        ("a.go", "x = todo\n\nTODO here\ntodo(1)\r\n  todo(2)\n" + "é" * 400 + "todo\n"),
+        ("b.go", "nothing\n"),
+        ("bin.go", "todo\0"),
+        ("big.go", "todo" + " " * (4 << 20)),
+        ("long.go", "todo\n" + "y" * ((1 << 20) + 1) + "\ntodo\n"),
+        ("none.go", None),
+    ]
+    df = spark.createDataFrame(files, "file_path string, content string")
+    hits, report = grep(g, df, "todo")
+    got = [(r.file_path, r.line, r.symbol, r.resolution) for r in sorted(hits.collect(), key=lambda r: (r.file_path, r.line))]
+    assert got == [("a.go", 1, None, "none"), ("a.go", 4, "f", "exact"), ("a.go", 5, "f", "enclosing"), ("a.go", 6, "f", "enclosing"), ("long.go", 1, None, "none")]
+    assert hits.where("line = 4").first().matched_line == "todo(1)" and hits.where("line = 6").first().matched_line == "é" * 300 + "…"
+    assert report.first().asDict() == {"files_scanned": 4, "files_skipped": 2, "total": 5, "truncated": False}
+    hits, report = grep(g, df, "^TODO|x =", regex=True, ignore_case=True, top=2)
+    assert hits.count() == 2 and report.first().total == 4 and report.first().truncated
+    assert grep(g, df, "tOdO", ignore_case=True)[1].first().total == 6
+    with pytest.raises(ValueError):
+        grep(g, df, "")
