@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import drop_written, ship, written
+from .runtime import drop_written, ship, spare_names, written
 
 MIN_DOCS = 5
 DEPTH = 2
@@ -67,7 +67,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     """``docs`` with ``text`` without the lines of recurring templates, and with n_lines and n_dropped as (last) columns.
 
     Lines are what stands between line ends; blank lines and lines without a template stay.
-    Every row stays, if need be with an empty text. A null text stays null and has no lines; an empty one has one.
+    Every row stays, if need be with an empty text. A row without doc_id, or with one that is no number, counts as a document but loses no line. A null text stays null and has no lines; an empty one has one.
     Rows that repeat a doc_id count as documents each and lose the same lines. An empty table gives no rows. Other
     columns pass through; columns named n_lines or n_dropped are replaced.
     """
@@ -86,16 +86,16 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     lost = written(exploded.select("doc_id", "key").join(recurring, "key").where("doc_id <> keeper").select("doc_id", "key"))
     drop_written(keyed)
     drop_written(recurring)
-    per_doc = lost.groupBy("doc_id").agg(F.collect_set("key").alias("__lost")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(per_doc, docs["doc_id"].cast("long") == F.col("__id"), "left")
-    kept = F.filter(lines, lambda x: ~F.arrays_overlap(template_keys(x), F.col("__lost")))
-    rest = F.when(F.col("__lost").isNull(), lines).otherwise(kept)
-    out = joined.withColumn("__kept", rest)
+    lost_keys, own_id, rest = spare_names(docs, "__lost", "__id", "__kept")
+    per_doc = lost.groupBy("doc_id").agg(F.collect_set("key").alias(lost_keys)).withColumnRenamed("doc_id", own_id)
+    joined = docs.join(per_doc, docs["doc_id"].cast("long") == F.col(own_id), "left")
+    kept = F.filter(lines, lambda x: ~F.arrays_overlap(template_keys(x), F.col(lost_keys)))
+    out = joined.withColumn(rest, F.when(F.col(lost_keys).isNull(), lines).otherwise(kept))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    n_kept = F.when(F.col("text").isNull(), 0).otherwise(F.size("__kept")).cast("long")
+    n_kept = F.when(F.col("text").isNull(), 0).otherwise(F.size(rest)).cast("long")
     out = out.withColumn("n_lines", n_lines).withColumn("n_dropped", n_lines - n_kept)
-    text = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    return out.withColumn("text", text).drop("__kept", "__lost", "__id")
+    text = F.when(F.col(lost_keys).isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    return out.withColumn("text", text).drop(rest, lost_keys, own_id)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

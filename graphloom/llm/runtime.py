@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship as _ship
 
-__all__ = ["BLOCK_BYTES", "blocks", "drop_written", "ship", "shared_dir", "written"]
+__all__ = ["BLOCK_BYTES", "blocks", "drop_written", "ship", "shared_dir", "spare_names", "written"]
 
 #: Bytes of text that one vectorised step holds at a time; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -69,6 +69,17 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores more as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches at row borders so that each holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:

@@ -1,7 +1,8 @@
 """Each operator and stage on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import pytest
-from helpers import empty_docs, odd_docs
+from helpers import empty_docs, odd_docs, prose
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import op01_substring_dedup as op1
@@ -14,6 +15,8 @@ from graphloom.llm import op07_language_id as op7
 from graphloom.llm import op08_quality_classifier as op8
 from graphloom.llm import op09_packing as op9
 from graphloom.llm import op10_quality_rules as op10
+from graphloom.llm import op11_mixing as op11
+from graphloom.llm import op12_merkle_manifest as op12
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -42,6 +45,41 @@ def test_row_per_row(spark, name):
     assert OPERATORS[name](empty_docs(spark)).count() == 0
 
 
+LONG = (prose(9, 300) + "\n") * 700
+
+
+def rows_without_ids(spark):
+    """Null and tied ids, texts of megabytes, and columns with the names operators use inside."""
+    texts = [(None, prose(0, 60)), (None, prose(0, 60)), (None, prose(1, 60)), (None, None), (1, prose(0, 60)), (2, LONG), (3, "x" * 2_000_000), (4, "\n" * 1_000_000), (5, "tie"), (5, "tie")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    inner = ("__lost", "__id", "__kept", "n_lines", "n_dropped", "body", "own_id", "runs", "key", "size", "copies", "digest", "grp", "pos")
+    return docs.select("*", *(F.lit(7).alias(c) for c in inner))
+
+
+@pytest.mark.parametrize("name", [*OPERATORS, "op11", "op12"])
+def test_null_ids_long_texts_and_inner_names(spark, name):
+    of = {**OPERATORS, "op11": op11.mixture, "op12": op12.manifest}[name]
+    rows = of(rows_without_ids(spark)).select("doc_id").collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == [-1, -1, -1, -1, 1, 2, 3, 4, 5, 5]
+
+
+def test_rows_without_ids_keep_their_meaning(spark):
+    docs = rows_without_ids(spark)
+    classes = op2.near_duplicate_classes(docs).collect()
+    assert all(r.is_kept for r in classes if r.doc_id is None)
+    lines = op4.drop_recurring_lines(docs)
+    assert set(lines.columns) == set(docs.columns)
+    assert {r.doc_id: r.n_lines for r in lines.where("doc_id in (2, 4)").collect()} == {2: 701, 4: 1_000_001}
+    cut = {(r.doc_id, r.n_bytes): r.n_removed for r in op1.remove_repeats(docs).collect()}
+    assert cut[2, len(LONG)] == len(LONG) and cut[3, 2_000_000] == 2_000_000 and cut[4, 1_000_000] == 1_000_000
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packed = op9.packed_sequences(docs, path).collect()
+    assert sum(r.doc_id is None for r in packed) >= 4
+    item = spark.createDataFrame([(0, prose(9, 300))], "item_id long, text string")
+    assert [r.doc_id for r in op3.leaks(docs, item).collect()] == [2]
+    assert op3.without_leaks(docs, item).count() == 9
+
+
 def test_leaks_take_odd_rows(spark):
     assert op3.leaks(odd_docs(spark), benchmark(spark)).count() == 0
     assert op3.leaks(empty_docs(spark), benchmark(spark)).count() == 0
