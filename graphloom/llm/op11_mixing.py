@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import ship, written
+from .runtime import ship, spare_names, written
 
 #: What sources weigh in turn, the share of all sizes that is taken, and the most copies of a document.
 WEIGHTS = (3, 1, 2)
@@ -199,17 +199,17 @@ def _spread(units: DataFrame, run: int) -> DataFrame:
 def mixed_documents(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """``docs`` with each row as often as ``plan`` (of :func:`mixture`) takes it; its columns pass through.
 
-    Rows of equal source, doc_id and size are taken by turns: row k of such a group, counted within its partition, gets the
-    k-th of the group's copies in descending order there, so that a group in several partitions is taken by its mean, rounded by a draw.
+    Rows of equal source, doc_id and size cannot be told apart in the plan: each of them is taken as often as the group is on average, rounded by a draw.
     """
-    per = plan.groupBy("source", "doc_id", "size").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    per = per.select(F.struct("source", "doc_id", "size").alias("__unit"), "__copies", "__rows")
-    sized = docs.withColumn("__key", F.struct("source", "doc_id", text_size(F.col("text")).alias("size"))).withColumn("__at", F.monotonically_increasing_id())
-    joined = sized.join(per, F.col("__key").eqNullSafe(F.col("__unit")))
-    mean = F.col("__copies") / F.col("__rows")
-    rest = _draw(F.lit("row"), "__at") < mean - F.floor(mean)
-    times = F.when(F.col("__rows") == 1, F.col("__copies")).otherwise(F.floor(mean) + rest.cast("long"))
-    return joined.withColumn("__n", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+    copies, rows, unit, key, at, n = spare_names(docs, "__copies", "__rows", "__unit", "__key", "__at", "__n")
+    per = plan.groupBy("source", "doc_id", "size").agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
+    per = per.select(F.struct("source", "doc_id", "size").alias(unit), copies, rows)
+    sized = docs.withColumn(key, F.struct("source", "doc_id", text_size(F.col("text")).alias("size"))).withColumn(at, F.monotonically_increasing_id())
+    joined = sized.join(per, F.col(key).eqNullSafe(F.col(unit)))
+    mean = F.col(copies) / F.col(rows)
+    rest = _draw(F.lit("row"), at) < mean - F.floor(mean)
+    times = F.when(F.col(rows) == 1, F.col(copies)).otherwise(F.floor(mean) + rest.cast("long"))
+    return joined.withColumn(n, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
 
 
 def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
