@@ -1,11 +1,12 @@
 """Operators that read each text by itself, against the libraries and plain code."""
 
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import op05_pii as op5
 from graphloom.llm import op06_token_counts as op6
 from graphloom.llm import op07_language_id as op7
+from graphloom.llm import op08_quality_classifier as op8
 from graphloom.llm import op09_packing as op9
 from graphloom.llm import op10_quality_rules as op10
 
@@ -327,3 +329,64 @@ def test_rules_keep_clean_and_drop_junk(spark):
     every = op10.quality_rules(spark.read.parquet(f"{sf}/documents.parquet"))
     worst = F.least(*[c for c in every.columns if c.startswith("vote_")])
     assert every.where("kept").where(worst < 0).count() > 0
+
+
+def plain_em(rows, n_rules):
+    """Priors and chances of a bad vote by EM over rows one by one, classes dropped by the same criterion; plain numbers and loops."""
+
+    def chance(row, prior, bad, c):
+        p = prior[c]
+        for r, v in enumerate(row):
+            p *= bad[r][c] if v < 0 else 1 - bad[r][c] if v > 0 else 1
+        return p
+
+    def fitted(prior, bad):
+        for _ in range(op10.EM_ROUNDS):
+            total, failed, passed = [1.0] * len(prior), [[1.0] * len(prior) for _ in bad], [[1.0] * len(prior) for _ in bad]
+            for row, k in rows.items():
+                p = [chance(row, prior, bad, c) for c in range(len(prior))]
+                for c, x in enumerate(p):
+                    share = k * x / sum(p)
+                    total[c] += share
+                    for r, v in enumerate(row):
+                        if v:
+                            (failed if v < 0 else passed)[r][c] += share
+            was, prior = prior, [t / sum(total) for t in total]
+            bad = [[f / (f + g) for f, g in zip(fs, gs, strict=True)] for fs, gs in zip(failed, passed, strict=True)]
+            if max(abs(a - b) for a, b in zip(prior, was, strict=True)) < op10.EM_CHANGE:
+                break
+        return prior, bad, sum(k * math.log(sum(chance(row, prior, bad, c) for c in range(len(prior)))) for row, k in rows.items())
+
+    prior = [0.8] + [0.2 / n_rules] * n_rules
+    state = fitted(prior, [[0.02] + [0.8 if c == r else 0.1 for c in range(n_rules)] for r in range(n_rules)])
+    worth = (n_rules + 1) / 2 * math.log(sum(rows.values()) + 1)
+    going = True
+    while len(state[0]) > 2 and going:
+        going = False
+        for c in sorted(range(1, len(state[0])), key=lambda c: state[0][c]):
+            rest = [p / (1 - state[0][c]) for i, p in enumerate(state[0]) if i != c]
+            less = fitted(rest, [[x for i, x in enumerate(b) if i != c] for b in state[1]])
+            if less[2] >= state[2] - worth:
+                state, going = less, True
+                break
+    prior, bad, _ = state
+    return {row: chance(row, prior, bad, 0) / sum(chance(row, prior, bad, c) for c in range(len(prior))) for row in rows}
+
+
+def test_verdicts_equal_plain_em(spark, monkeypatch):
+    """kept of the rules and posteriors of the labellers, from votes to verdict."""
+    monkeypatch.setattr(op10, "EM_ROUNDS", 40)
+    monkeypatch.setattr(op10.estimate, "__defaults__", (40,))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = op10.quality_rules(docs).collect()
+    names = [f"vote_{k}" for k in op10.rules()]
+    votes = {r.doc_id: tuple(r[v] for v in names) for r in rows}
+    want = plain_em(Counter(votes.values()), len(names))
+    for r in rows:
+        assert abs(r.posterior - want[votes[r.doc_id]]) < 1e-6
+        assert r.kept == (not r.base_failed and want[votes[r.doc_id]] >= op10.KEEP_FROM)
+    named = op10.rules(op8.MIN_WORDS)
+    other = {r.doc_id: tuple(r[k] for k in named) for r in op10.features(docs).select("doc_id", *(v.cast("int").alias(k) for k, v in named.items())).collect()}
+    want = plain_em(Counter(other.values()), len(named))
+    for r in op8.labelled(docs)[0].collect():
+        assert abs(r.posterior - want[other[r.doc_id]]) < 1e-6
