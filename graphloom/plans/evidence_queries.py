@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import digests as D
 from ..operators import grep as R
 from ..schema import Graph
+from ..sources.files import merged_hunks
 from ..sources.testbed import graph, view, with_sql
 from . import reports as P
 from .queries import BLAST, G, ROOTS, query, suppliers
@@ -111,3 +112,27 @@ SELECT file_path, line, symbol, kind, CASE WHEN symbol IS NULL THEN 'none' WHEN
 def grep_symbols(spark, sf_dir):
     g = graph(spark, sf_dir)
     return R.grep(g, _texts(g), "call_7(", top=1000)[0].select("file_path", "line", "symbol", "kind", "resolution")
+
+
+#: A later diff of some of the files, and files no diff shows.
+WORKING = """working AS (SELECT file_path, CASE WHEN substr(md5(file_path), 6, 1) < '3' THEN 'A' ELSE 'M' END AS status, CAST(5 + length(file_path) AS INT) AS start_line, CAST(9 + length(file_path) AS INT) AS end_line, CAST(NULL AS INT) AS deletion_point, CAST(NULL AS VARCHAR(9)) AS old_path FROM files WHERE substr(md5(file_path), 5, 1) < '9'
+UNION ALL SELECT file_path, 'R', NULL, NULL, NULL, 'old/' || substr(file_path, 1, 4) FROM files WHERE substr(md5(file_path), 7, 1) = '0'),
+untracked AS (SELECT 'new/' || file_path AS file_path FROM files WHERE substr(md5(file_path), 8, 1) = '0' UNION ALL SELECT file_path FROM files WHERE substr(md5(file_path), 8, 1) < '4')"""
+
+
+@query(
+    with_sql("nodes", "hunks", "files") + ", " + WORKING + """, every AS (SELECT file_path, status, start_line, end_line, deletion_point, NULL::VARCHAR AS old_path, 0 AS k FROM hunks UNION ALL SELECT *, CASE status WHEN 'R' THEN 2 ELSE 1 END FROM working),
+per AS (SELECT file_path, coalesce(arg_min(status, k) FILTER (status <> 'M'), 'M') AS status, max(old_path) AS old_path, bool_and(start_line IS NULL AND deletion_point IS NULL) AS bare FROM every GROUP BY file_path)
+SELECT DISTINCT b.file_path, p.status, b.start_line, b.end_line, b.deletion_point, p.old_path FROM every b JOIN per p ON p.file_path = b.file_path WHERE p.bare OR b.start_line IS NOT NULL OR b.deletion_point IS NOT NULL
+UNION ALL SELECT DISTINCT file_path, '?', NULL::INT, NULL::INT, NULL::INT, NULL::VARCHAR FROM untracked WHERE file_path NOT IN (SELECT file_path FROM per)"""
+)
+def merged_diff(spark, sf_dir):
+    """The staged diff, a working one, and renames as a third."""
+    files = view(spark, sf_dir, "files")
+    at = lambda k: F.substring(F.md5("file_path"), k, 1)
+    none = F.lit(None).cast("int")
+    changed = files.where(at(5) < "9").select("file_path", F.when(at(6) < "3", "A").otherwise("M").alias("status"), (5 + F.length("file_path")).cast("int").alias("start_line"), (9 + F.length("file_path")).cast("int").alias("end_line"), none.alias("deletion_point"), F.lit(None).cast("string").alias("old_path"))
+    renamed = files.where(at(7) == "0").select("file_path", F.lit("R").alias("status"), none.alias("start_line"), none.alias("end_line"), none.alias("deletion_point"), F.concat(F.lit("old/"), F.substring("file_path", 1, 4)).alias("old_path"))
+    untracked = files.where(at(8) == "0").select(F.concat(F.lit("new/"), "file_path").alias("file_path")).unionByName(files.where(at(8) < "4").select("file_path"))
+    staged = view(spark, sf_dir, "hunks").withColumn("old_path", F.lit(None).cast("string"))
+    return merged_hunks([staged, changed, renamed], untracked)

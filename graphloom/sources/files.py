@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,25 @@ def diff_hunks(diffs: DataFrame) -> DataFrame:
     return diffs.select("diff").mapInPandas(run, HUNKS)
 
 
+def merged_hunks(diffs: list[DataFrame], untracked: DataFrame | None = None) -> DataFrame:
+    """HUNKS of several diffs of one tree, such as the staged and the working one, and of files (file_path) no diff shows.
+
+    Ranges of a file are put together. It has the first status that is more than a change (M), and the old path of its last rename. A
+    row without a range stands only for a file that has no other. Files of ``untracked`` come in whole (?), unless a diff has them.
+    """
+    ordered = reduce(DataFrame.unionByName, [d.withColumn("of", F.lit(k)) for k, d in enumerate(diffs)])
+    status = F.coalesce(F.min_by("status", F.when(F.col("status") != "M", F.col("of"))), F.lit("M"))
+    renamed = F.max_by("old_path", F.when(F.col("old_path").isNotNull(), F.col("of")))
+    empty = F.col("start_line").isNull() & F.col("deletion_point").isNull()
+    per_file = ordered.groupBy("file_path").agg(status.alias("status"), renamed.alias("old_path"), F.bool_and(empty).alias("bare"))
+    rows = ordered.select("file_path", "start_line", "end_line", "deletion_point").distinct().join(per_file, "file_path")
+    rows = rows.where("bare or start_line is not null or deletion_point is not null").select("file_path", "status", "start_line", "end_line", "deletion_point", "old_path")
+    if untracked is None:
+        return rows
+    fresh = untracked.select("file_path").distinct().join(per_file.select("file_path"), "file_path", "left_anti")
+    return rows.unionByName(fresh.withColumn("status", F.lit("?")), allowMissingColumns=True)
+
+
 def export_snapshot(graph: Graph, folder: str) -> None:
     """JSON lines of a graph, edges by position in the ordered nodes, so that a snapshot does not depend on ids."""
     position = node_positions(graph.nodes)

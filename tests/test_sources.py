@@ -146,3 +146,12 @@ def test_each_text_is_embedded_once(spark):
 
     assert {(r.id, r.embedding[0]) for r in search.embed(texts, lengths).collect()} == {(1, 1.0), (2, 1.0), (3, 2.0)}
     assert calls.value == 2
+
+
+def test_diffs_of_one_tree_are_merged(spark):
+    staged = [("a.go", "M", 1, 3, None, None), ("b.go", "A", 1, 9, None, None), ("c.go", "M", None, None, None, None), ("d.go", "R", None, None, None, "old/d.go")]
+    working = [("a.go", "D", None, None, 0, None), ("b.go", "M", 4, 5, None, None), ("d.go", "M", 7, 8, None, None), ("a.go", "M", 1, 3, None, None)]
+    frames = [spark.createDataFrame(r, files.HUNKS) for r in (staged, working)]
+    extra = spark.createDataFrame([("new.go",), ("new.go",), ("a.go",)], "file_path string")
+    got = {tuple(r) for r in files.merged_hunks(frames, extra).select("file_path", "status", "start_line", "end_line", "deletion_point", "old_path").collect()}
+    assert got == {("a.go", "D", 1, 3, None, None), ("a.go", "D", None, None, 0, None), ("b.go", "A", 1, 9, None, None), ("b.go", "A", 4, 5, None, None), ("c.go", "M", None, None, None, None), ("d.go", "R", 7, 8, None, "old/d.go"), ("new.go", "?", None, None, None, None)}
