@@ -248,11 +248,14 @@ def resolve_references(graph: Graph, refs: DataFrame) -> DataFrame:
     exact = exact.select("ref_id", "source_id", "target_id", "kind", F.lit(1.0).alias("weight"), F.lit("precise").alias("provenance"))
     target = nodes.select(F.col("symbol").alias("to_name"), F.col("id").alias("target_id"), F.col("kind").alias("target_kind"), paths.folder(F.col("file_path")).alias("target_dir"), family.alias("target_family"), F.col("language").alias("target_language"))
     tails = target.where("target_kind in ('table', 'view') and to_name like '%.%'").withColumn("to_name", F.substring_index("to_name", ".", -1))
-    named = located.where("to_fqn is null").join(target.withColumn("tail", F.lit(False)).unionByName(tails.withColumn("tail", F.lit(True))), "to_name")
-    named = named.where("case when to_kinds is null then not tail else array_contains(to_kinds, target_kind) end")
     foreign = F.col("kind").isin("calls", "references") & (F.col("target_language").isin("sql", "yaml", "markdown") | (F.col("target_family") != F.col("source_family")))
-    named = named.where(~F.coalesce(foreign, F.lit(False)))
-    near = F.max((F.col("source_dir") == F.col("target_dir")).cast("int")).over(W.partitionBy("ref_id"))
-    named = named.withColumn("near", near).where("qualified or to_kinds is not null or near = 0 or source_dir = target_dir")
+    open_ = located.where("to_fqn is null")
+    # Names of one's own folder meet by name and folder; only what finds none there, or may mean any, meets all definitions of its name.
+    plain = open_.where("not qualified and to_kinds is null")
+    near = plain.join(target.withColumn("source_dir", F.col("target_dir")), ["to_name", "source_dir"]).where(~F.coalesce(foreign, F.lit(False)))
+    far = open_.join(near.select("ref_id"), "ref_id", "left_anti").join(target.withColumn("tail", F.lit(False)).unionByName(tails.withColumn("tail", F.lit(True))), "to_name")
+    far = far.where("case when to_kinds is null then not tail else array_contains(to_kinds, target_kind) end").where(~F.coalesce(foreign, F.lit(False)))
+    columns = ["ref_id", "source_id", "target_id", "kind", "qualified"]
+    named = near.select(*columns).unionByName(far.select(*columns))
     named = named.select("ref_id", "source_id", "target_id", "kind", F.when(F.col("qualified"), 0.7).otherwise(1.0).alias("weight"), F.lit("name").alias("provenance"))
     return exact.unionByName(named).where("source_id <> target_id")
