@@ -195,22 +195,26 @@ def followable_calls(graph: Graph, sources: DataFrame | None = None) -> DataFram
     test = paths.is_test_node(F.col("kind"), F.col("file_path"))
     nodes = graph.nodes.select("id", "symbol", "fqn", "kind", paths.folder(F.col("file_path")).alias("dir"), paths.subsystem(F.col("file_path")).alias("sub"), test.alias("test"))
     callers = nodes.where("not test").select(F.col("id").alias("source_id"), F.col("fqn").alias("source_fqn"), F.col("dir").alias("source_dir"), F.col("sub").alias("source_sub"))
-    calls = graph.edges.where("edge_type = 'calls'").groupBy("source_id", "target_id").agg(F.bool_or(F.col("provenance") == "precise").alias("precise"))
-    if sources is not None:
-        own = sources.select(F.col("id").alias("source_id")).distinct()
-        few = graph.edges.where("edge_type = 'calls'").join(own, "source_id")
-        calls = few.groupBy("source_id", "target_id").agg(F.bool_or(F.col("provenance") == "precise").alias("precise"))
     targets = nodes.where("not test and kind <> 'file'").select(F.col("id").alias("target_id"), "symbol", F.col("dir").alias("target_dir"))
-    calls = calls.join(callers, "source_id").join(targets, "target_id")
+    edges = graph.edges.where("edge_type = 'calls'").select("source_id", "target_id", "provenance")
+    if sources is not None:
+        edges = edges.join(sources.select(F.col("id").alias("source_id")).distinct(), "source_id")
+    calls = edges.groupBy("source_id", "target_id").agg(F.bool_or(F.col("provenance") == "precise").alias("precise"))
+    calls = cut(calls.join(callers, "source_id").join(targets, "target_id"))
+    # Definitions of the names that are called are counted, not all.
     defs = nodes.where(F.col("kind").isin(*CALL_TARGETS) & ~F.col("test"))
-    count = lambda *keys: defs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"))
-    anywhere = count("symbol").select("symbol", F.col("n").alias("n_all"))
-    in_dir = count("symbol", "dir").select("symbol", F.col("dir").alias("source_dir"), F.col("n").alias("n_dir"), F.col("one").alias("in_dir"))
-    in_sub = count("symbol", "sub").select("symbol", F.col("sub").alias("source_sub"), F.col("n").alias("n_sub"), F.col("one").alias("in_sub"))
+    named = defs.join(calls.where("not precise").select("symbol").distinct(), "symbol", "left_semi")
+    per = cut(named.groupBy("symbol", "dir", "sub").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one")))
+    anywhere = per.groupBy("symbol").agg(F.sum("n").alias("n_all"))
+    in_dir = per.select("symbol", F.col("dir").alias("source_dir"), F.col("n").alias("n_dir"), F.col("one").alias("in_dir"))
+    in_sub = per.groupBy("symbol", F.col("sub").alias("source_sub")).agg(F.sum("n").alias("n_sub"), F.min("one").alias("in_sub"))
     met = calls.join(anywhere, "symbol", "left").join(in_dir, ["symbol", "source_dir"], "left").join(in_sub, ["symbol", "source_sub"], "left")
     chosen = F.when(F.col("n_dir") == 1, F.col("in_dir")).when(F.col("n_dir").isNull() & (F.col("n_sub") == 1), F.col("in_sub"))
     clear = met.where(F.col("precise") | (F.coalesce("n_all", F.lit(0)) <= 1) | F.coalesce(chosen == F.col("target_id"), F.lit(False)))
-    twins = defs.where("fqn <> ''").groupBy(F.col("fqn").alias("source_fqn")).agg(F.count(F.lit(1)).alias("k"), F.collect_set("dir").alias("dirs")).where("k > 1")
+    own = calls.select(F.col("source_fqn").alias("fqn")).where("fqn <> ''").distinct()
+    twins = cut(defs.join(own, "fqn", "left_semi").groupBy(F.col("fqn").alias("source_fqn")).agg(F.count(F.lit(1)).alias("k"), F.collect_set("dir").alias("dirs")).where("k > 1"))
+    if twins.isEmpty():
+        return clear.select("source_id", "target_id")
     # Only twins are looked for in the folders above the target.
     shared = clear.join(twins.select("source_fqn"), "source_fqn").select("source_id", "target_id", "source_fqn", "source_dir", F.explode(_up(F.col("target_dir"))).alias("dir"))
     homes = twins.select("source_fqn", F.explode("dirs").alias("dir"))
