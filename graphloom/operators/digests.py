@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .maintenance import file_delta
 
 #: Levels below the root; a node of level k is named by the k leading hex digits of the digest of a path.
@@ -26,7 +27,8 @@ def _over(lines: Column) -> Column:
 def digest_tree(rows: DataFrame, line: Column, path: str = "file_path", project: str = "project_id") -> DataFrame:
     """(project_id, level, prefix, digest) of every node. A bucket's digest is over its rows' lines in order, an inner one over its children's prefixes
     and digests, so no task gathers more than a bucket, and the root is one digest per project."""
-    level = rows.groupBy(F.col(project).alias("project_id"), bucket(F.col(path)).alias("prefix")).agg(_over(line).alias("digest"))
+    # At most 16 ** LEVELS rows a project, from which the levels above are made.
+    level = cut(rows.groupBy(F.col(project).alias("project_id"), bucket(F.col(path)).alias("prefix")).agg(_over(line).alias("digest")))
     out = [level.withColumn("level", F.lit(LEVELS))]
     for k in range(LEVELS - 1, -1, -1):
         level = level.groupBy("project_id", F.left("prefix", F.lit(k)).alias("prefix")).agg(_over(F.concat("prefix", "digest")).alias("digest"))
@@ -57,7 +59,7 @@ def unequal_buckets(before: DataFrame, after: DataFrame) -> DataFrame:
             above = open_.withColumnRenamed("prefix", "up")
             old, new = (t.withColumn("up", F.left("prefix", F.lit(k - 1))).join(above, ["project_id", "up"], "left_semi").drop("up") for t in (old, new))
         both = old.join(new, ["project_id", "prefix"], "full")
-        open_ = both.where(~F.col("old").eqNullSafe(F.col("new"))).select("project_id", "prefix")
+        open_ = cut(both.where(~F.col("old").eqNullSafe(F.col("new"))).select("project_id", "prefix"))
     return open_
 
 
