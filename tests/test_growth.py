@@ -55,3 +55,9 @@ REFS = "ref_id long, from_fqn string, to_name string, kind string, qualified boo
 
 def namesakes(spark):
     return graph(spark, [(i, "lib/a.py", "name", f"a.name{i}", "function", "python", i, i) for i in range(MANY)] + [(999, "m.go", "main", "m.main", "function", "go", 1, 9), (998, "x", "name", "x.name", "function", None, 1, 9)])
+
+
+def test_names_of_foreign_languages_are_not_met(spark):
+    refs = spark.createDataFrame([(k, "m.main", "name", "calls", k % 2 == 0, None) for k in range(MANY)], REFS)
+    rows, most = joined(R.resolve_references(namesakes(spark), refs))
+    assert {(r.ref_id, r.target_id) for r in rows} == {(k, 998) for k in range(MANY)} and most <= 2 * MANY
