@@ -39,7 +39,8 @@ def unresolved_references(spark, sf_dir):
     lost = F.when(F.col("ref_id") % 3 == 0, F.concat(F.lit("lost "), "to_name")).otherwise(F.col("to_name"))
     kind = F.when(F.col("ref_id") % 2 == 0, "reads").when(F.col("ref_id") % 5 == 0, "calls").otherwise("writes")
     refs = view(spark, sf_dir, "refs").select("ref_id", "from_fqn", lost.alias("to_name"), kind.alias("kind"), "to_fqn", F.lit(True).alias("qualified"))
-    return X.unresolved_references(g, refs, R.resolve_references(g, refs)).drop("project_id")
+    refs = refs.where(F.col("kind").isin(*X.DECLARATIVE))
+    return X.unresolved_references(g, refs, R.resolve_references(g, refs, brief=True)).drop("project_id")
 
 
 LOCATED = """, pos AS (SELECT file_path, start_line, max(id) AS id FROM nodes GROUP BY file_path, start_line HAVING count(*) = 1), named AS (SELECT fqn, max(id) AS id FROM nodes GROUP BY fqn),

@@ -61,3 +61,12 @@ def test_names_of_foreign_languages_are_not_met(spark):
     refs = spark.createDataFrame([(k, "m.main", "name", "calls", k % 2 == 0, None) for k in range(MANY)], REFS)
     rows, most = joined(R.resolve_references(namesakes(spark), refs))
     assert {(r.ref_id, r.target_id) for r in rows} == {(k, 998) for k in range(MANY)} and most <= 2 * MANY
+
+
+def test_whether_a_reference_meets_something_needs_no_pairs(spark):
+    g = namesakes(spark)
+    refs = spark.createDataFrame([(k, "m.main", "name" if k else "none", "reads", True, None) for k in range(MANY)], REFS)
+    whole, brief = (R.resolve_references(g, refs, brief=b) for b in (False, True))
+    rows, most = joined(brief)
+    assert {r.ref_id for r in rows} == {r.ref_id for r in whole.collect()} == set(range(1, MANY)) and most <= 4 * MANY
+    assert [r.to_name for r in X.unresolved_references(g, refs, brief).collect()] == ["none"]
