@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import Graph
+from .lineage import cut
 
 #: Kinds that a reference within files can mean, and kinds of references that are kept when they meet nothing.
 CALLABLE = ("function", "class", "variable", "method", "test")
@@ -30,13 +30,11 @@ def _declared(graph: Graph) -> DataFrame:
     return graph.nodes.where("kind <> 'file' and fqn <> ''").select("id", "file_path", "fqn", "kind", "start_line")
 
 
-def _at_line(found: DataFrame, line: str) -> DataFrame:
-    """Of several declarations of one reference the one that starts at its line, if one does; else all."""
-    own = W.partitionBy("ref_id")
-    hit = F.coalesce((F.col(line) > 0) & (F.col("start_line") == F.col(line)), F.lit(False))
-    # Of two that start there, the first by id.
-    first = F.min(F.when(hit, F.col("id"))).over(own)
-    return found.withColumn("first", first).where(F.col("first").isNull() | (F.col("id") == F.col("first"))).drop("first")
+def _at_line(refs: DataFrame, decls: DataFrame, end: str) -> DataFrame:
+    """``refs`` with ``hit`` (id, kind): of the declarations of the name at ``end`` the first by id that starts at its line, if one does."""
+    keys = [f"{end}_file", f"{end}_name", f"{end}_line"]
+    starts = decls.where("start_line > 0").groupBy("file_path", "fqn", "start_line").agg(F.min(F.struct("id", "kind")).alias("hit"))
+    return refs.join(starts.toDF(*keys, "hit"), keys, "left")
 
 
 def scoped_references(graph: Graph, refs: DataFrame) -> DataFrame:
@@ -50,14 +48,20 @@ def scoped_references(graph: Graph, refs: DataFrame) -> DataFrame:
     names = by_full_name(graph)
     anywhere = refs.where("from_file is null").join(names.select(F.col("name").alias("from_name"), F.col("id").alias("source_id")), "from_name")
     of_file = refs.where("from_file = from_name").join(names.select(F.col("name").alias("from_name"), F.col("id").alias("source_id")), "from_name")
-    inside = refs.where("from_file <> from_name").join(decls.select(F.col("file_path").alias("from_file"), F.col("fqn").alias("from_name"), "id", "start_line"), ["from_file", "from_name"])
-    first = _at_line(inside, "from_line").groupBy("ref_id").agg(F.min_by("id", F.struct("start_line", "id")).alias("source_id"))
+    first = decls.groupBy("file_path", "fqn").agg(F.min(F.struct("start_line", "id")).alias("first")).select(F.col("file_path").alias("from_file"), F.col("fqn").alias("from_name"), F.col("first.id").alias("first"))
+    inside = _at_line(refs.where("from_file <> from_name").join(first, ["from_file", "from_name"]), decls, "from").withColumn("source_id", F.coalesce("hit.id", "first"))
     columns = ["ref_id", "source_id", "kind", "to_file", "to_name", "to_line"]
-    located = anywhere.select(*columns).unionByName(of_file.select(*columns)).unionByName(refs.join(first, "ref_id").select(*columns))
-    targets = located.join(decls.select(F.col("file_path").alias("to_file"), F.col("fqn").alias("to_name"), "id", "start_line", F.col("kind").alias("target_kind")), ["to_file", "to_name"])
-    meant = F.when(F.col("kind").isin("extends", "implements"), F.col("target_kind").isin(*INHERITED)).otherwise(F.col("target_kind").isin(*CALLABLE))
-    kept = _at_line(targets, "to_line").where(meant & (F.col("id") != F.col("source_id")))
-    return kept.select("ref_id", "source_id", F.col("id").alias("target_id"), "kind", F.lit(NAME_WEIGHT).alias("weight"), F.lit("name").alias("provenance"))
+    located = anywhere.select(*columns).unionByName(of_file.select(*columns)).unionByName(inside.select(*columns))
+    located = cut(_at_line(located, decls, "to").withColumn("inherits", F.coalesce(F.col("kind").isin("extends", "implements"), F.lit(False))))
+    means = lambda kind: F.when(F.col("inherits"), F.col(kind).isin(*INHERITED)).otherwise(F.col(kind).isin(*CALLABLE))
+    exact = located.where(F.col("hit").isNotNull() & means("hit.kind")).withColumn("target_id", F.col("hit.id"))
+    # Declarations of one name meet only references that can mean them.
+    ways = F.array_compact(F.array(F.when(F.col("kind").isin(*INHERITED), True), F.when(F.col("kind").isin(*CALLABLE), False)))
+    every = decls.select(F.col("file_path").alias("to_file"), F.col("fqn").alias("to_name"), F.col("id").alias("target_id"), F.explode(ways).alias("inherits"))
+    named = located.where("hit is null").join(every, ["to_file", "to_name", "inherits"])
+    columns = ["ref_id", "source_id", "target_id", "kind"]
+    kept = exact.select(*columns).unionByName(named.select(*columns)).where("target_id <> source_id")
+    return kept.select(*columns, F.lit(NAME_WEIGHT).alias("weight"), F.lit("name").alias("provenance"))
 
 
 def unresolved_references(graph: Graph, refs: DataFrame, edges: DataFrame) -> DataFrame:

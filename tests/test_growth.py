@@ -70,3 +70,10 @@ def test_whether_a_reference_meets_something_needs_no_pairs(spark):
     rows, most = joined(brief)
     assert {r.ref_id for r in rows} == {r.ref_id for r in whole.collect()} == set(range(1, MANY)) and most <= 4 * MANY
     assert [r.to_name for r in X.unresolved_references(g, refs, brief).collect()] == ["none"]
+
+
+def test_scoped_references_by_line_meet_one_declaration(spark):
+    g = graph(spark, [(i, "b.ts", "go", "m.go", "method", "typescript", i + 1, i + 1) for i in range(MANY)])
+    refs = spark.createDataFrame([(k, "calls", "b.ts", "m.go", k + 1, "b.ts", "m.go", (k + 1) % MANY + 1) for k in range(MANY)], X.SCOPED)
+    rows, most = joined(X.scoped_references(g, refs))
+    assert {(r.ref_id, r.source_id, r.target_id) for r in rows} == {(k, k, (k + 1) % MANY) for k in range(MANY)} and most <= MANY
