@@ -50,6 +50,13 @@ def test_symbols_in_one_place_make_no_pairs(spark):
     assert {(r.k, r.id) for r in rows} == {(k, 0) for k in range(MANY)} and most <= MANY
 
 
+def test_declarations_of_one_line_make_no_pairs(spark):
+    g = graph(spark, [(i, "f", f"s{i}", f"p.s{i}", "function", "go", 4, 9 + i % 3) for i in range(MANY)])
+    at = spark.createDataFrame([("f", 5, k) for k in range(MANY)], "file_path string, line int, k int")
+    rows, most = joined(R.nearest_declaration(g, at))
+    assert {(r.k, r.id) for r in rows} == {(k, 2) for k in range(MANY)} and most <= MANY
+
+
 REFS = "ref_id long, from_fqn string, to_name string, kind string, qualified boolean, to_fqn string"
 
 
