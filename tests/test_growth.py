@@ -2,9 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from graphloom import schema
 from graphloom.operators import relations as R
 from graphloom.operators import resolution as X
+from graphloom.operators import traverse as T
 from graphloom.schema import Graph
 
 MANY = 120
@@ -84,3 +87,35 @@ def test_scoped_references_by_line_meet_one_declaration(spark):
     refs = spark.createDataFrame([(k, "calls", "b.ts", "m.go", k + 1, "b.ts", "m.go", (k + 1) % MANY + 1) for k in range(MANY)], X.SCOPED)
     rows, most = joined(X.scoped_references(g, refs))
     assert {(r.ref_id, r.source_id, r.target_id) for r in rows} == {(k, k, (k + 1) % MANY) for k in range(MANY)} and most <= MANY
+
+
+def test_walks_through_hubs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(T, "HUB", 6)
+    rng = random.Random(11)
+    n, cap = 90, 12
+    nodes = [(i, f"f{rng.randrange(4)}", f"s{i}", f"p.s{i}", "function", "go", rng.randrange(9), 99) for i in range(n)]
+    pairs = {(rng.randrange(n + 3), rng.choice((1, 2, 3)) if rng.random() < 0.6 else rng.randrange(n + 3)) for _ in range(260)}  # three ends are no nodes
+    g = graph(spark, nodes, [(a, b, "calls", 0.7, "name") for a, b in pairs])
+    roots = spark.createDataFrame([(i, i) for i in range(40)], "id long, root long")
+    order = {i: (f, a, fqn, kind, s, i) for i, f, s, fqn, kind, _, a, _ in nodes}
+    for depth in (1, 2, 3):
+        want = set()
+        for root in range(40):
+            at = {root: 0}
+            for d in range(1, depth + 1):
+                for v in [v for v, k in at.items() if k == d - 1]:
+                    for a, b in pairs:
+                        for x, y in ((a, b), (b, a)):
+                            if x == v:
+                                at.setdefault(y, d)
+            met = sorted((at[i], order[i]) for i in at if i != root and i in order)
+            want |= {(root, k[-1], d, p + 1, len(met)) for p, (d, k) in enumerate(met[:cap])}
+        got = T.traverse(g, roots, "both", ("calls",), depth, cap).collect()
+        assert {(r.root, r.id, r.depth, r.position, r.total) for r in got} == want
+
+
+def test_what_lies_around_a_hub_is_listed_once(spark):
+    g = graph(spark, [(i, "f", f"s{i}", f"p.s{i}", "function", "go", 1, 9) for i in range(1, 800)], [(i, 1, "calls", 0.7, "name") for i in range(2, 800)])
+    roots = g.nodes.where("id > 1").select("id", F.col("id").alias("root"))
+    rows, most = joined(T.traverse(g, roots, "both", ("calls",), 2, 5))
+    assert len(rows) == 798 * 5 and {r.total for r in rows} == {798} and most <= 798 * 10
