@@ -89,6 +89,14 @@ def test_scoped_references_by_line_meet_one_declaration(spark):
     assert {(r.ref_id, r.source_id, r.target_id) for r in rows} == {(k, k, (k + 1) % MANY) for k in range(MANY)} and most <= MANY
 
 
+def test_selectors_by_line_meet_the_nodes_there(spark):
+    g = graph(spark, [(i, "b.ts", "go", "m.go", "method" if i % 2 else "class", "typescript", i // 2 + 1, i) for i in range(MANY)])
+    want = [(k, "b.ts", "m.go", k // 2 + 1, "method" if k % 2 else None) for k in range(MANY)] + [(MANY, "b.ts", "m.go", 0, "class")]
+    rows, most = joined(R.resolve_selector(g.nodes, spark.createDataFrame(want, "selector_id long, file_path string, fqn string, start_line int, kind string")))
+    own = {(k, k, 1) for k in range(1, MANY, 2)} | {(k, k + d, 2) for k in range(0, MANY, 2) for d in (0, 1)}
+    assert {(r.selector_id, r.id, r.matches) for r in rows} == own | {(MANY, i, MANY // 2) for i in range(0, MANY, 2)} and most <= 2 * MANY
+
+
 def test_walks_through_hubs_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(T, "HUB", 6)
     rng = random.Random(11)
