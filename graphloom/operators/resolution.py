@@ -84,10 +84,13 @@ def located_calls(graph: Graph, exact: DataFrame) -> DataFrame:
     positions, names = by_position(graph), by_full_name(graph)
 
     def end(calls: DataFrame, who: str, out: str) -> DataFrame:
-        at = positions.select(F.col("file_path").alias(f"{who}_file"), F.col("start_line").alias(f"{who}_line"), F.col("id").alias("by_position"))
-        named = names.select(F.col("name").alias(f"{who}_fqn"), F.col("id").alias("by_name"))
-        met = calls.join(at, [f"{who}_file", f"{who}_line"], "left").join(named, f"{who}_fqn", "left")
-        return met.withColumn(out, F.coalesce("by_position", "by_name")).drop("by_position", "by_name")
+        keys = [f"{who}_file", f"{who}_line", f"{who}_fqn"]
+        at = positions.select(F.col("file_path").alias(keys[0]), F.col("start_line").alias(keys[1]), F.col("id").alias("by_position"))
+        named = names.select(F.col("name").alias(keys[2]), F.col("id").alias("by_name"))
+        # Each end is looked up once, whatever number of calls has it.
+        ends = calls.select(*keys).distinct().join(at, keys[:2], "left").join(named, keys[2], "left")
+        ends = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce("by_position", "by_name").alias(out))
+        return calls.join(ends, [calls[k].eqNullSafe(ends[f"_{k}"]) for k in keys], "left").select(*calls.columns, out)
 
     return end(end(exact.where("not external"), "caller", "source_id"), "callee", "target_id").select("source_id", "target_id")
 

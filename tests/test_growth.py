@@ -97,6 +97,15 @@ def test_selectors_by_line_meet_the_nodes_there(spark):
     assert {(r.selector_id, r.id, r.matches) for r in rows} == own | {(MANY, i, MANY // 2) for i in range(0, MANY, 2)} and most <= 2 * MANY
 
 
+def test_ends_of_exact_calls_are_looked_up_once(spark):
+    g = graph(spark, [(1, "a.go", "f", "p.f", "function", "go", 1, 2), (2, "b.py", "t", "p.t", "type", "python", 4, 9), (3, "b.py", "u", "p.u", "type", "python", 4, 9)])
+    calls = [("a.go", 1, "p.f", "b.py", (4, 0, None)[k % 3], "p.t", False) for k in range(MANY)]
+    df = X.located_calls(g, spark.createDataFrame(calls, X.EXACT))
+    assert [(r.source_id, r.target_id) for r in df.collect()] == [(1, 2)] * MANY
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip("+- :").startswith("Aggregate [c") for line in plan.splitlines()) == 2  # distinct ends of callers and of callees
+
+
 def test_walks_through_hubs_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(T, "HUB", 6)
     rng = random.Random(11)
