@@ -69,14 +69,14 @@ def key_users(graph: Graph, uses: DataFrame) -> DataFrame:
 
 
 def key_impact(graph: Graph, uses: DataFrame, max_depth: int = 3) -> DataFrame:
-    """What the rotation of each key reaches: the symbols that read it, and all that depends on those, at the least distance."""
-    users = key_users(graph, uses)
+    """What the rotation of each key reaches: the symbols that read it, and all that depends on those, at the least distance.
+
+    One walk a key starts from all its users at once; a node is as confirmed as any of its nearest ways.
+    """
+    users = cut(key_users(graph, uses))
     first = users.select("key", "id", F.lit(0).alias("depth"), F.lit(True).alias("confirmed"))
-    reached = T.blast_radius(graph, users.select("id", F.col("id").alias("root")).distinct(), max_depth)
-    further = users.withColumnRenamed("id", "root").join(reached, "root").select("key", "id", "depth", "confirmed")
-    # A node is as confirmed as any of its nearest ways.
-    best = F.max(F.struct((-F.col("depth")).alias("near"), "confirmed"))
-    return first.unionByName(further).groupBy("key", "id").agg(best.alias("b")).select("key", "id", (-F.col("b.near")).alias("depth"), F.col("b.confirmed").alias("confirmed"))
+    reached = T.blast_radius(graph, users.select(F.col("key").alias("root"), "id"), max_depth)
+    return first.unionByName(reached.select(F.col("root").alias("key"), "id", "depth", "confirmed"))
 
 
 def required_keys(graph: Graph, roots: DataFrame, uses: DataFrame, max_depth: int = 3) -> DataFrame:

@@ -8,6 +8,7 @@ from graphloom import schema
 from graphloom.operators import relations as R
 from graphloom.operators import resolution as X
 from graphloom.operators import traverse as T
+from graphloom.plans import exploration as E
 from graphloom.schema import Graph
 
 MANY = 120
@@ -136,3 +137,25 @@ def test_what_lies_around_a_hub_is_listed_once(spark):
     roots = g.nodes.where("id > 1").select("id", F.col("id").alias("root"))
     rows, most = joined(T.traverse(g, roots, "both", ("calls",), 2, 5))
     assert len(rows) == 798 * 5 and {r.total for r in rows} == {798} and most <= 798 * 10
+
+
+def test_the_impact_of_a_key_is_one_walk(spark, monkeypatch):
+    rng = random.Random(3)
+    nodes = [(i, "f", f"s{i}", f"p.s{i}", "function", "go", i, i) for i in range(60)]
+    pairs = {(rng.randrange(60), rng.randrange(60)): rng.choice(("name", "precise")) for _ in range(110)}
+    g = graph(spark, nodes, [(a, b, "extends", 0.7, p) for (a, b), p in pairs.items()])
+    uses = [(f"k{i % 2}", "f", i) for i in range(0, 60, 9)]
+    walks, walk = [], T.blast_radius
+    monkeypatch.setattr(T, "blast_radius", lambda graph, roots, depth: walks.append({r.root for r in roots.collect()}) or walk(graph, roots, depth))
+    got = {(r.key, r.id, r.depth, r.confirmed) for r in E.key_impact(g, spark.createDataFrame(uses, "key string, file_path string, line int")).collect()}
+    want = {}
+    for key in ("k0", "k1"):
+        at = {i: (0, True) for k, _, i in uses if k == key}
+        for d in (1, 2, 3):
+            step = {}
+            for (a, b), p in pairs.items():
+                if b in at and at[b][0] == d - 1 and a not in at:
+                    step[a] = step.get(a, False) or (at[b][1] and p == "precise")
+            at |= {i: (d, sure) for i, sure in step.items()}
+        want |= {(key, i): v for i, v in at.items()}
+    assert got == {(*k, *v) for k, v in want.items()} and walks == [{"k0", "k1"}]
