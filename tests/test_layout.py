@@ -19,6 +19,19 @@ def chain(spark, n):
     return Graph(spark.createDataFrame(nodes, schema.NODES), spark.createDataFrame([(i, i + 1, "calls", 1.0, "precise") for i in range(n - 1)], schema.EDGES))
 
 
+def test_nodes_of_one_table_do_not_lie_in_one_file(spark, tmp_path):
+    for table in testbed.TABLES:
+        shutil.copy(f"/root/testdata/sf0.01/{table}.parquet", tmp_path)
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(least, "16KB")  # the table is small
+    try:
+        nodes = testbed.graph(spark, str(tmp_path)).nodes
+    finally:
+        spark.conf.unset(least)
+    sizes = [r["count"] for r in nodes.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) <= 0.6 * sum(sizes)
+
+
 def test_a_frequent_word_lies_in_several_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(X, "PIECE", 25, raising=False)
     nodes = chain(spark, 200).nodes
