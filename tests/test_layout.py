@@ -47,3 +47,12 @@ def test_a_frequent_word_lies_in_several_files(spark, tmp_path, monkeypatch):
     assert got.count() == 200
     # Once as a docstring and once as the beginning of two names.
     assert {r.tf0 for r in X.postings_of(spark, version, ["order"]).collect()} == {18.0}
+
+
+def test_folders_of_nodes_are_worked_out_once_a_walk(spark, monkeypatch):
+    seen, real = [], T.paths.subsystem
+    monkeypatch.setattr(T.paths, "subsystem", lambda c: seen.append(1) or real(c))
+    graph = chain(spark, 9)
+    roots = spark.createDataFrame([(0, 0)], "id long, root long")
+    assert {(r.id, r.depth) for r in T.footprint(graph, roots, 4).collect()} == {(k, k) for k in range(5)}
+    assert len(seen) == 1
