@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import paths
 from ..operators import aggregates as A
 from ..operators import relations as R
 from ..operators import search as S
 from ..operators import traverse as T
-from ..operators.lineage import cut
+from ..operators.lineage import cut, release
 from ..schema import Graph
 from ..ship import ship
 from . import reports as P
@@ -119,6 +123,8 @@ def feature_footprints(graph: Graph, found: DataFrame, max_depth: int = 4) -> Da
     return handlers.withColumnRenamed("id", "root").join(sums, "root").select("kind", "name", "symbols", "files")
 
 
+#: Rows of call trees that a task hands over at once.
+BATCH_ROWS = 10_000
 _TREE = "root {id}, path string, depth int, id long, leaf string"
 
 
@@ -169,8 +175,9 @@ def flow_tree(graph: Graph, roots: DataFrame, max_depth: int = 3, breadth: int =
     order = graph.nodes.select(F.col("id").alias("target_id"), "file_path", "start_line")
     frontier = cut(roots.select("root", "id").distinct())
     visited, parts = frontier, [frontier.select("root", F.lit(None).cast("long").alias("source_id"), F.col("id").alias("target_id"), F.lit(0).alias("k"))]
+    nodes = T.placed(graph)
     for _ in range(max_depth + 1):  # one more, to know whether the last ones have calls
-        calls = T.followable_calls(graph, frontier).join(order, "target_id")
+        calls = T.followable_calls(graph, frontier, nodes).join(order, "target_id")
         k = F.row_number().over(W.partitionBy("source_id").orderBy("file_path", "start_line", "target_id"))
         calls = calls.withColumn("k", k).where(F.col("k") <= breadth)
         level = cut(frontier.join(calls, F.col("id") == F.col("source_id")).select("root", "source_id", "target_id", "k"))
@@ -179,19 +186,40 @@ def flow_tree(graph: Graph, roots: DataFrame, max_depth: int = 3, breadth: int =
         visited = visited.unionByName(frontier)
         if frontier.isEmpty():
             break
+    release(nodes)
     rows = reduce(DataFrame.unionByName, parts)
 
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k")
-        start = group.loc[group["source_id"].isna(), "target_id"]
-        own = group[group["source_id"].notna()]
-        calls = {int(s): t.tolist() for s, t in own.groupby("source_id")["target_id"]}
-        found = [row for node in sorted(start) for row in call_tree(int(node), calls, max_depth, max_nodes)]
-        return pd.DataFrame([(key[0], *row) for row in found], columns=["root", "path", "depth", "id", "leaf"])
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a root come one after another, by k."""
+        each = ((root, source, target) for batch in batches for root, source, target in zip(*(batch.column(c).to_pylist() for c in ("root", "source_id", "target_id")), strict=True))
+        out: list[tuple] = []
+        for root, own in groupby(each, key=itemgetter(0)):
+            start, calls = [], {}
+            for _, source, target in own:
+                if source is None:
+                    start.append(target)
+                else:
+                    calls.setdefault(source, []).append(target)
+            out += [(root, *row) for node in sorted(start) for row in call_tree(node, calls, max_depth, max_nodes)]
+            if len(out) >= BATCH_ROWS:
+                yield _batch(out)
+                out = []
+        if out:
+            yield _batch(out)
+
+    root_type = to_arrow_type(roots.schema["root"].dataType)
+
+    def _batch(found: list[tuple]) -> pa.RecordBatch:
+        types = (root_type, pa.string(), pa.int32(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=["root", "path", "depth", "id", "leaf"])
 
     kind = roots.schema["root"].dataType.simpleString()
-    ship(graph.nodes.sparkSession)
-    return rows.groupBy("root").applyInPandas(one, _TREE.format(id=kind))
+    spark = graph.nodes.sparkSession
+    ship(spark)
+    # The rows are few bytes and much work, so their number of tasks is set: by size they would be put into one.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = rows.repartition(tasks, "root").sortWithinPartitions("root", "k")
+    return dealt.mapInArrow(trees, _TREE.format(id=kind))
 
 
 def processes(graph: Graph, entries: DataFrame, max_depth: int = 4, steps: int = 40) -> DataFrame:

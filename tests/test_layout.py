@@ -56,3 +56,10 @@ def test_folders_of_nodes_are_worked_out_once_a_walk(spark, monkeypatch):
     roots = spark.createDataFrame([(0, 0)], "id long, root long")
     assert {(r.id, r.depth) for r in T.footprint(graph, roots, 4).collect()} == {(k, k) for k in range(5)}
     assert len(seen) == 1
+
+
+def test_trees_are_dealt_to_tasks(spark):
+    graph = chain(spark, 40)
+    tree = E.flow_tree(graph, graph.nodes.select("id", F.col("id").alias("root")), 2)
+    assert tree.rdd.getNumPartitions() > 1
+    assert {(r.root, r.path, r.id) for r in tree.where("root = 3").collect()} == {(3, "", 3), (3, "001.", 4), (3, "001.001.", 5)}
