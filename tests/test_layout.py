@@ -49,6 +49,15 @@ def test_a_frequent_word_lies_in_several_files(spark, tmp_path, monkeypatch):
     assert {r.tf0 for r in X.postings_of(spark, version, ["order"]).collect()} == {18.0}
 
 
+def test_positions_take_one_sort_of_bounded_ranges(spark, monkeypatch):
+    monkeypatch.setattr(M, "RANGE", 20, raising=False)
+    nodes = chain(spark, 200).nodes
+    got = M.node_positions(nodes)
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+    order = nodes.orderBy("file_path", "start_line", "fqn", "kind", "symbol", "id").collect()
+    assert {r.id: r.position for r in got.collect()} == {r.id: k for k, r in enumerate(order)}
+
+
 def test_folders_of_nodes_are_worked_out_once_a_walk(spark, monkeypatch):
     seen, real = [], T.paths.subsystem
     monkeypatch.setattr(T.paths, "subsystem", lambda c: seen.append(1) or real(c))
