@@ -85,7 +85,8 @@ def key_impact(graph: Graph, uses: DataFrame, max_depth: int = 3) -> DataFrame:
 
 def required_keys(graph: Graph, roots: DataFrame, uses: DataFrame, max_depth: int = 3) -> DataFrame:
     """(root, key): keys that something a root calls, or itself, reads."""
-    return T.closure(graph, roots, max_depth).join(key_users(graph, uses), "id").select("root", "key").distinct()
+    users = key_users(graph, uses).withColumnRenamed("key", "mark")
+    return T.reached_marks(graph, roots, users, max_depth).withColumnRenamed("mark", "key")
 
 
 def explore(graph: Graph, query: str, seeds: int = 5, cap: int = 10) -> DataFrame:

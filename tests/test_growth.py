@@ -159,3 +159,43 @@ def test_the_impact_of_a_key_is_one_walk(spark, monkeypatch):
             at |= {i: (d, sure) for i, sure in step.items()}
         want |= {(key, i): v for i, v in at.items()}
     assert got == {(*k, *v) for k, v in want.items()} and walks == [{"k0", "k1"}]
+
+
+def written_rows(monkeypatch):
+    """The rows of each table that walks write from here on."""
+    rows, cut = [], T.cut
+    monkeypatch.setattr(T, "cut", lambda df: (out := cut(df), rows.append(out.count()))[0])
+    return rows
+
+
+def fan(spark, roots, ends):
+    """Many roots that call one node, which calls many."""
+    nodes = [(i, "f", f"s{i}", f"p.s{i}", "function", "go", i, i) for i in range(roots + ends + 1)]
+    links = [(i, roots, "calls", 0.7, "name") for i in range(roots)] + [(roots, roots + k, "calls", 0.7, "name") for k in range(1, ends + 1)]
+    return graph(spark, nodes, links)
+
+
+def test_keys_go_back_once_a_node(spark, monkeypatch):
+    g = fan(spark, 80, 90)
+    roots = g.nodes.where("id < 80").select("id", F.col("id").alias("root"))
+    uses = spark.createDataFrame([(f"k{i % 2}", "f", i) for i in range(81, 171)] + [("own", "f", 3)], "key string, file_path string, line int")
+    rows = written_rows(monkeypatch)
+    got = [(r.root, r.key) for r in E.required_keys(g, roots, uses).collect()]
+    assert sorted(got) == sorted([(i, k) for i in range(80) for k in ("k0", "k1")] + [(3, "own")]) and max(rows) <= 2 * 171
+
+
+def test_required_keys_equal_brute_force(spark):
+    rng = random.Random(17)
+    pairs = {(rng.randrange(60), rng.randrange(60)) for _ in range(90)}
+    g = graph(spark, [(i, "f", f"s{i}", f"p.s{i}", "function", "go", i, i) for i in range(60)], [(a, b, "calls", 0.7, "name") for a, b in pairs])
+    uses = [(f"k{rng.randrange(4)}", "f", rng.randrange(60)) for _ in range(20)]
+    roots = [(i, f"r{i % 13}") for i in range(30)]
+    for depth in (0, 1, 4):
+        want = set()
+        for i, root in roots:
+            at = {i}
+            for _ in range(depth):
+                at |= {b for a, b in pairs if a in at}
+            want |= {(root, key) for key, _, line in uses if line in at}
+        found = E.required_keys(g, spark.createDataFrame(roots, "id long, root string"), spark.createDataFrame(uses, "key string, file_path string, line int"), depth)
+        assert sorted((r.root, r.key) for r in found.collect()) == sorted(want)
