@@ -199,3 +199,49 @@ def test_required_keys_equal_brute_force(spark):
             want |= {(root, key) for key, _, line in uses if line in at}
         found = E.required_keys(g, spark.createDataFrame(roots, "id long, root string"), spark.createDataFrame(uses, "key string, file_path string, line int"), depth)
         assert sorted((r.root, r.key) for r in found.collect()) == sorted(want)
+
+
+def test_roots_that_call_the_same_nodes_walk_once(spark, monkeypatch):
+    g = fan(spark, 80, 90)
+    roots, ends = g.nodes.where("id < 80").select("id"), g.nodes.where("id > 80").select("id")
+    pairs = roots.withColumnRenamed("id", "root").where("root < 2").crossJoin(ends.select(F.col("id").alias("target")))
+    rows = written_rows(monkeypatch)
+    got = {(r.root, r.target): r.path for r in T.shortest_paths_to(g, roots, ends, 4).collect()}
+    assert got == {(i, k): [i, 80, k] for i in range(80) for k in range(81, 171)} and max(rows) <= 171
+    rows.clear()
+    assert {(r.root, r.target): r.path for r in T.shortest_paths(g, pairs).collect()} == {x: p for x, p in got.items() if x[0] < 2} and max(rows) <= 2 * 90
+
+
+def test_registered_paths_are_not_listed_twice(spark, monkeypatch, tmp_path):
+    from graphloom.plans import queries as Q
+
+    g = fan(spark, 80, 90)
+    kinds = F.when(F.col("id") < 80, "class").when(F.col("id") > 80, "type").otherwise("function")
+    monkeypatch.setattr(Q, "graph", lambda spark, sf_dir: Graph(g.nodes.withColumn("kind", kinds), g.edges))
+    rows = written_rows(monkeypatch)
+    got = {(r.root, r.target, r.path) for r in Q.shortest_paths(spark, str(tmp_path)).collect()}
+    assert got == {(i, k, f"{i}>80>{k}") for i in range(80) for k in range(81, 171)} and max(rows) <= 171
+
+
+def test_shortest_paths_to_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(T, "CELL", 3)
+    monkeypatch.setattr(T, "TASK_ROWS", 50)
+    rng = random.Random(23)
+    # Twenty roots share two sets of calls; one calls itself, two call each other, one is called by what it calls.
+    pairs = {(i, k) for i in range(20) for k in ((20, 21), (22,))[i % 2]} | {(20, 3), (22, 3), (4, 4), (6, 8), (8, 6)}
+    pairs |= {(rng.randrange(20, 60), rng.randrange(60)) for _ in range(90)}
+    g = graph(spark, [(i, "f", f"s{i}", f"p.s{i}", "function", "go", i, i) for i in range(60)], [(a, b, "calls", 0.7, "name") for a, b in pairs for _ in range(2)])
+    roots, ends = list(range(24)) + [59], list(range(0, 60, 2)) + [3, 99]
+    for depth in (0, 1, 4):
+        want = {}
+        for root in roots:
+            best, level = {root: [root]}, {root: [root]}
+            for _ in range(depth or 60):
+                step = {}
+                for x, path in level.items():
+                    for b in [b for a, b in pairs if a == x and b not in best]:
+                        step[b] = min(step.get(b, [999]), path + [b])
+                best, level = best | step, step
+            want |= {(root, t): best[t] for t in ends if t in best}
+        got = T.shortest_paths_to(g, spark.createDataFrame([(r,) for r in roots], "id long"), spark.createDataFrame([(t,) for t in ends], "id long"), depth).collect()
+        assert len(got) == len(want) and {(r.root, r.target): r.path for r in got} == want
