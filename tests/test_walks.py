@@ -282,3 +282,28 @@ def test_key_impact_and_context(spark, seed):
         callers = {a for a, b, k, _ in toy.edges if b == r and k == "calls"}
         assert {x.id for x in context if x.root == r and x.relation == "caller"} == callers
         assert {x.total for x in context if x.root == r and x.relation == "caller"} <= {len(callers)}
+
+
+def importers(spark, files, links):
+    """A graph of files (path, language) and the imports among them, by path."""
+    ids = {f: i for i, (f, _) in enumerate(files)}
+    rows = [(ids[f], 1, f, None, None, "file", language, 1, 9, "", "", "") for f, language in files]
+    return Graph(spark.createDataFrame(rows, schema.NODES), spark.createDataFrame([(ids[a], ids[b], "imports", 1.0, "name") for a, b in links], schema.EDGES))
+
+
+def test_importing_tests_of_a_hub_are_all_there(spark):
+    near = [f"a{i:03}.ts" for i in range(520)]
+    tests = [f"t{i}.test.ts" for i in range(3)] + [f"z{i}.test.ts" for i in range(510)]
+    links = [(f, "hub.ts") for f in near + tests[3:]] + [(t, near[500 + k]) for k, t in enumerate(tests[:3])]
+    graph = importers(spark, [(f, "typescript") for f in ["hub.ts", *near, *tests]], links)
+    got = T.importing_tests(graph, spark.createDataFrame([("hub.ts",)], "file_path string"))
+    assert sorted((r.file, r.test_file, r.depth) for r in got.collect()) == sorted(("hub.ts", t, 2 if t[0] == "t" else 1) for t in tests)
+
+
+def test_importing_tests_are_found_at_any_depth(spark):
+    chain = [f"m{i}.py" for i in range(10)]
+    links = list(zip(chain[1:], chain)) + [("test_end.py", chain[-1]), (chain[0], chain[3]), ("test_far.py", "test_end.py")]
+    graph = importers(spark, [(f, "python") for f in [*chain, "test_end.py", "test_far.py"]], links)
+    changed = spark.createDataFrame([(chain[0],), (chain[8],)], "file_path string")
+    assert {(r.file, r.test_file, r.depth) for r in T.importing_tests(graph, changed).collect()} == {(chain[0], "test_end.py", 10), (chain[8], "test_end.py", 2)}
+    assert T.importing_tests(graph, changed, 2).count() == 1
