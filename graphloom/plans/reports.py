@@ -144,7 +144,7 @@ def affected_tests(graph: Graph, hunks: DataFrame, max_depth: int = 3) -> DataFr
     own = files.where(paths.is_test_file(F.col("file_path"))).select(F.col("file_path").alias("test_file"), F.lit("changed").alias("reason"))
     changed = cut(R.changed_symbols(graph, hunks).select("id", F.col("id").alias("root")))
     cover = T.blast_radius(graph, changed, max_depth).join(graph.nodes.where("kind = 'test'").select("id", "file_path"), "id").select(F.col("file_path").alias("test_file"), F.lit("covers").alias("reason"))
-    imports = T.importing_tests(graph, files).select("test_file", F.lit("imports").alias("reason"))
+    imports = T.importing_tests(graph, files, packages=False).select("test_file", F.lit("imports").alias("reason"))
     return own.unionByName(cover).unionByName(imports).distinct()
 
 

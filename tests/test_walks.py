@@ -307,3 +307,31 @@ def test_importing_tests_are_found_at_any_depth(spark):
     changed = spark.createDataFrame([(chain[0],), (chain[8],)], "file_path string")
     assert {(r.file, r.test_file, r.depth) for r in T.importing_tests(graph, changed).collect()} == {(chain[0], "test_end.py", 10), (chain[8], "test_end.py", 2)}
     assert T.importing_tests(graph, changed, 2).count() == 1
+
+
+def test_importing_tests_by_package_are_marked(spark):
+    # t1 by package alone; t2 by package at 1, by files at 3; t3 only through a.go; t4 by a file of Go and one of another language.
+    files = [("m.py", "python"), ("a.go", "go"), ("b.py", "python"), ("c.py", "python"), ("t1_test.go", "go"), ("t2.test.ts", "typescript"), ("t3.test.ts", "typescript"), ("t4_test.py", None)]
+    links = [("t1_test.go", "m.py"), ("a.go", "m.py"), ("t2.test.ts", "a.go"), ("t3.test.ts", "a.go"), ("b.py", "m.py"), ("c.py", "b.py"), ("t2.test.ts", "c.py"), ("t4_test.py", "m.py")]
+    graph = importers(spark, files, links)
+    changed = spark.createDataFrame([("m.py",)], "file_path string")
+    by_file = {("m.py", "t2.test.ts", 3, False), ("m.py", "t4_test.py", 1, False)}
+    assert {tuple(r) for r in T.importing_tests(graph, changed).collect()} == by_file | {("m.py", "t1_test.go", 1, True), ("m.py", "t3.test.ts", 2, True)}
+    assert {tuple(r) for r in T.importing_tests(graph, changed, packages=False).collect()} == by_file
+
+
+def test_importing_tests_equal_brute_force(spark):
+    rnd = random.Random(31)
+    files = [(f"f{i}.{'go' if i % 3 == 0 else 'py'}" if i % 4 else f"f{i}_test.{'go' if i % 3 == 0 else 'py'}", "go" if i % 3 == 0 else "python") for i in range(40)]
+    links = [(rnd.choice(files)[0], rnd.choice(files)[0]) for _ in range(70)]
+    graph = importers(spark, files, links)
+    starts = [f for f, _ in files[:12]]
+    want = set()
+    for start in starts:
+        found = {}
+        for exact in (False, True):  # chains of files alone come last and win
+            at = levels(start, lambda x: {a for a, b in links if b == x and not (exact and a.endswith(".go"))} if x == start or "_test" not in x else (), 99)
+            found |= {f: (d, not exact) for f, d in at.items() if d and "_test" in f}
+        want |= {(start, f, d, p) for f, (d, p) in found.items()}
+    got = T.importing_tests(graph, spark.createDataFrame([(s,) for s in starts], "file_path string")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and {r.by_package for r in got} == {False, True}
