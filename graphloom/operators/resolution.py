@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Graph
-from .lineage import cut
+from .lineage import cut, release
 
 #: Kinds that a reference within files can mean, and kinds of references that are kept when they meet nothing.
 CALLABLE = ("function", "class", "variable", "method", "test")
@@ -79,20 +79,36 @@ def by_position(graph: Graph) -> DataFrame:
     return graph.nodes.groupBy("file_path", "start_line").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).where("n = 1").select("file_path", "start_line", "id")
 
 
+def _end_key(who: str) -> list[Column]:
+    """128 bits that stand for an end (file, line, full name); nulls count as such."""
+    parts = [F.col(f"{who}_{c}") for c in ("file", "line", "fqn")]
+    nulls = [p.isNull() for p in parts]
+    return [F.xxhash64(*parts, *nulls).alias(f"key_{who}_a"), F.xxhash64(*nulls, *reversed(parts)).alias(f"key_{who}_b")]
+
+
 def located_calls(graph: Graph, exact: DataFrame) -> DataFrame:
-    """EXACT rows within the project with source_id and target_id: by position where a single node starts there, else by full name; null if by neither."""
+    """EXACT rows within the project with source_id and target_id: by position where a single node starts there, else by full name; null if by neither.
+
+    ``exact`` is read for the ends of callers, for those of callees and for the calls, so it should be a table and not a plan.
+    """
     positions, names = by_position(graph), by_full_name(graph)
+    inside = exact.where("not external")
 
-    def end(calls: DataFrame, who: str, out: str) -> DataFrame:
+    def ends(who: str, out: str) -> DataFrame:
         keys = [f"{who}_file", f"{who}_line", f"{who}_fqn"]
         at = positions.select(F.col("file_path").alias(keys[0]), F.col("start_line").alias(keys[1]), F.col("id").alias("by_position"))
         named = names.select(F.col("name").alias(keys[2]), F.col("id").alias("by_name"))
         # Each end is looked up once, whatever number of calls has it.
-        ends = calls.select(*keys).distinct().join(at, keys[:2], "left").join(named, keys[2], "left")
-        ends = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce("by_position", "by_name").alias(out))
-        return calls.join(ends, [calls[k].eqNullSafe(ends[f"_{k}"]) for k in keys], "left").select(*calls.columns, out)
+        found = inside.select(*keys).distinct().join(at, keys[:2], "left").join(named, keys[2], "left")
+        found = found.select(*_end_key(who), F.coalesce("by_position", "by_name").alias("id"))
+        # Two ends of one key have yet to be seen; they would end the job, not mix its rows.
+        one = F.when(F.count(F.lit(1)) == 1, F.max("id")).otherwise(F.raise_error(F.lit("two ends of calls have one key")).cast("long"))
+        return found.groupBy(f"key_{who}_a", f"key_{who}_b").agg(one.alias(out))
 
-    return end(end(exact.where("not external"), "caller", "source_id"), "callee", "target_id").select("source_id", "target_id")
+    # Calls go to their ends by keys, not by paths and names.
+    calls = inside.select(*_end_key("caller"), *_end_key("callee"))
+    calls = calls.join(ends("caller", "source_id"), ["key_caller_a", "key_caller_b"]).select("source_id", "key_callee_a", "key_callee_b")
+    return calls.join(ends("callee", "target_id"), ["key_callee_a", "key_callee_b"]).select("source_id", "target_id")
 
 
 def supersede_by_position(graph: Graph, exact: DataFrame, clean: DataFrame, language: str = "go", resolver: str = "types") -> Graph:
@@ -103,20 +119,30 @@ def supersede_by_position(graph: Graph, exact: DataFrame, clean: DataFrame, lang
     """
     own = graph.nodes.join(clean.select("file_path").distinct(), "file_path", "left_semi").select(F.col("id").alias("source_id"))
     calls = graph.edges.where("edge_type = 'calls'").join(own, "source_id", "left_anti").select(*graph.edges.columns)
-    new = located_calls(graph, exact).where("source_id <> target_id").select("source_id", "target_id", F.lit("calls").alias("edge_type"), F.lit(1.0).alias("weight"), F.lit("precise").alias("provenance"))
+    exact = cut(exact.where("not external"))
+    located = cut(located_calls(graph, exact).where("source_id <> target_id"))
+    release(exact)
+    new = located.select("source_id", "target_id", F.lit("calls").alias("edge_type"), F.lit(1.0).alias("weight"), F.lit("precise").alias("provenance"))
     # An exact call of an earlier pass from a file that is not clean now comes in again only once.
-    again = new.select("source_id", "target_id", "provenance").distinct()
-    calls = calls.join(again, ["source_id", "target_id", "provenance"], "left_anti").select(*graph.edges.columns)
+    precise = F.coalesce(F.col("provenance") == "precise", F.lit(False))
+    kept = calls.where(precise).join(located.distinct(), ["source_id", "target_id"], "left_anti").select(*graph.edges.columns)
+    calls = calls.where(~precise).unionByName(kept)
+    edges = graph.edges.where("edge_type <> 'calls'").unionByName(calls).unionByName(new)
+    return Graph(graph.nodes, edges, graph.files, pass_coverage(graph, clean, language, resolver), graph.annotations)
+
+
+def pass_coverage(graph: Graph, clean: DataFrame, language: str = "go", resolver: str = "types") -> DataFrame | None:
+    """The coverage that :func:`supersede_by_position` leaves, for which no call is read."""
+    if graph.coverage is None:
+        return None
     read = graph.nodes.where(F.col("language") == language).select("file_path").distinct()
-    covered = None
-    if graph.coverage is not None:
-        fresh = clean.select("project_id", "file_path", F.lit(resolver).alias("resolver")).distinct()
-        covered = graph.coverage.join(read, "file_path", "left_anti").join(clean.select("file_path").distinct(), "file_path", "left_anti").select("project_id", "file_path", "resolver").unionByName(fresh)
-    return Graph(graph.nodes, graph.edges.where("edge_type <> 'calls'").unionByName(calls).unionByName(new), graph.files, covered, graph.annotations)
+    fresh = clean.select("project_id", "file_path", F.lit(resolver).alias("resolver")).distinct()
+    return graph.coverage.join(read, "file_path", "left_anti").join(clean.select("file_path").distinct(), "file_path", "left_anti").select("project_id", "file_path", "resolver").unionByName(fresh)
 
 
 def pass_counts(graph: Graph, exact: DataFrame) -> DataFrame:
     """One row: calls that come in, calls with an unknown end, calls of a node to itself, and calls out of the project."""
+    exact = cut(exact)
     ends = located_calls(graph, exact)
     known = F.col("source_id").isNotNull() & F.col("target_id").isNotNull()
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))

@@ -73,7 +73,7 @@ def exact_pass(spark, sf_dir):
 UNION ALL SELECT file_path, 'types' FROM clean""")
 def exact_pass_coverage(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return X.supersede_by_position(g, view(spark, sf_dir, "exact"), _clean(g)).coverage.drop("project_id")
+    return X.pass_coverage(g, _clean(g)).drop("project_id")
 
 
 @query(with_sql("nodes", "exact") + LOCATED + """ SELECT count(*) FILTER (NOT external AND source_id <> target_id) AS upgraded, count(*) FILTER (NOT external AND (source_id IS NULL OR target_id IS NULL)) AS skipped,

@@ -107,6 +107,48 @@ def test_ends_of_exact_calls_are_looked_up_once(spark):
     assert sum(line.lstrip("+- :").startswith("Aggregate [c") for line in plan.splitlines()) == 2  # distinct ends of callers and of callees
 
 
+def test_exact_calls_are_worked_out_once(spark):
+    g = graph(spark, [(i, "a.go", f"f{i}", f"p.f{i}", "function", "go", i, i) for i in range(1, 31)], [(1, 2, "calls", 1.0, "precise")])
+    seen = spark.sparkContext.accumulator(0)
+    calls = [("a.go", 1 + k % 30, f"p.f{1 + k % 30}", "a.go", 0, f"p.f{1 + k % 7}", k % 4 == 0) for k in range(MANY)]
+    exact = spark.createDataFrame(spark.sparkContext.parallelize(calls).map(lambda c: (seen.add(1), c)[1]), X.EXACT)
+    clean = spark.createDataFrame([(1, "b.go")], "project_id long, file_path string")
+    after = X.supersede_by_position(g, exact, clean)
+    got = [(r.source_id, r.target_id) for r in after.edges.collect()]
+    want = [(1 + k % 30, 1 + k % 7) for k in range(MANY) if k % 4 and k % 30 != k % 7]
+    assert sorted(got) == sorted(want + [(1, 2)] * ((1, 2) not in want)) and seen.value == MANY
+    seen.value = 0
+    assert X.pass_counts(g, exact).first().external == MANY // 4 and seen.value == MANY
+
+
+def test_exact_calls_go_to_their_ends_without_names(spark):
+    g = graph(spark, [(1, "a.go", "f", "p.f", "function", "go", 1, 2)])
+    plan = X.located_calls(g, spark.createDataFrame([("a.go", 1, "p.f", "a.go", 1, "p.f", False)], X.EXACT))._jdf.queryExecution().optimizedPlan()
+
+    def joins(node):
+        columns = [node.output().apply(i).name() for i in range(node.output().size())] if node.nodeName() == "Join" else []
+        return [columns] * bool(columns) + [j for i in range(node.children().size()) for j in joins(node.children().apply(i))]
+
+    found = joins(plan)
+    assert len(found) == 6 and not [j for j in found if any("caller" in c for c in j) and any("callee" in c for c in j) and not all(c.startswith(("key_", "source_id", "target_id")) for c in j)]
+
+
+def test_ends_of_exact_calls_equal_brute_force(spark):
+    rng = random.Random(41)
+    pick = lambda *some: rng.choice((None, *some))
+    nodes = [(i, f"f{rng.randrange(3)}", "s", f"p.s{rng.randrange(12)}", "function", "go", rng.randrange(1, 9), 99) for i in range(30)]
+    end = lambda: (pick("f0", "f1", "f2"), pick(0, *range(1, 9)), pick(*(f"p.s{k}" for k in range(14))))
+    calls = [(*end(), *end(), rng.choice((False, False, True))) for _ in range(400)]
+
+    def node(file, line, fqn):
+        at = [n[0] for n in nodes if (n[1], n[6]) == (file, line)]
+        return at[0] if len(at) == 1 else max((n[0] for n in nodes if n[3] == fqn), default=None)
+
+    got = X.located_calls(graph(spark, nodes), spark.createDataFrame(calls, X.EXACT)).collect()
+    order = lambda row: tuple(-1 if v is None else v for v in row)
+    assert sorted(map(order, got)) == sorted(order((node(*c[:3]), node(*c[3:6]))) for c in calls if not c[6])
+
+
 def test_walks_through_hubs_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(T, "HUB", 6)
     rng = random.Random(11)
