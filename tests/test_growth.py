@@ -10,6 +10,7 @@ from graphloom.operators import resolution as X
 from graphloom.operators import traverse as T
 from graphloom.plans import exploration as E
 from graphloom.schema import Graph
+from graphloom.sources import testbed
 
 MANY = 120
 
@@ -149,6 +150,20 @@ def test_ends_of_exact_calls_equal_brute_force(spark):
     assert sorted(map(order, got)) == sorted(order((node(*c[:3]), node(*c[3:6]))) for c in calls if not c[6])
 
 
+def test_suppliers_and_customers_of_a_nation_make_no_pairs(spark, tmp_path):
+    for table in testbed.TABLES:
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
+        if table in ("supplier", "customer"):
+            rows = rows.crossJoin(spark.range(90 if table == "supplier" else 6).withColumnRenamed("id", "copy"))
+            rows = rows.withColumn(f"{table[0]}_nationkey", F.lit(3)).withColumn(k := f"{table[0]}_{table[:4]}key", F.col(k) + 1000 * F.col("copy")).drop("copy")
+        rows.write.parquet(f"{tmp_path}/{table}.parquet")
+    rows, most = joined(testbed.view(spark, str(tmp_path), "edges", {}))
+    first = spark.read.parquet(f"{tmp_path}/customer.parquet").agg(F.min("c_custkey")).first()[0]
+    suppliers = {r.s_suppkey for r in spark.read.parquet(f"{tmp_path}/supplier.parquet").collect()}
+    got = [(r.source_id, r.target_id) for r in rows if r.edge_type == "calls" and r.source_id >= 6000000000]
+    assert sorted(got) == sorted((6000000000 + k, 3000000000 + first) for k in suppliers) and most <= 10_000
+
+
 def test_walks_through_hubs_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(T, "HUB", 6)
     rng = random.Random(11)
